@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "secrets"]
+MODULES = ["fingerprints", "licenses", "secrets"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
