@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "jaccard", "licenses", "secrets"]
+MODULES = ["fingerprints", "jaccard", "licenses", "packing", "secrets"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
