@@ -30,7 +30,7 @@ def test_odd_rows(spark):
     words = "the of and to in is it was for on".split()
     rng = np.random.default_rng(1)
     plain = [" ".join(rng.choice(words, 60)) + f" {i}" for i in range(200)]
-    toxic = [" ".join(np.insert(rng.choice(words, 60), [5, 30, 50], "disgusting")) + f" {i}" for i in range(100)]
+    toxic = [" ".join(np.insert(rng.choice(words, 60).astype(object), [5, 30, 50], "disgusting")) + f" {i}" for i in range(100)]
     texts = plain + toxic
     model = fit(texts, [0] * 200 + [1] * 100)
     assert model is not None and fit(plain, [0] * 200) is None and fit([], []) is None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "jaccard", "licenses", "packing", "secrets", "toxicity"]
+MODULES = ["fingerprints", "jaccard", "licenses", "mixing", "packing", "secrets", "toxicity"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
