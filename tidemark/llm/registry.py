@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "jaccard", "licenses", "mixing", "packing", "secrets", "toxicity"]
+MODULES = ["chat", "fingerprints", "jaccard", "licenses", "mixing", "packing", "secrets", "topk", "toxicity", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
