@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import zstandard as zstd
 
-from tidemark.llm import topk, warc
+from tidemark.llm import topk
 from tidemark.llm.topk import top_k
 from tidemark.llm.warc import read_archives, records_of, write_archives
 
@@ -71,9 +71,8 @@ def test_archives_round_trip(spark, tmp_path):
     assert read_archives(write_archives(frame.where("page_id < 0"), f"file://{tmp_path}/e")).collect() == []
 
 
-def test_archives_roll_over(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
-    monkeypatch.setattr(warc, "TRAIN_BYTES", 1000)
+def test_archives_roll_over(spark, tmp_path):
     pages = [(i, "u", os.urandom(300).hex()) for i in range(40)]
-    archives = write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archives = write_archives(frame, f"file://{tmp_path}/w", archive_bytes=2000, train_bytes=1000)
     assert archives.count() > 5 and {r.page_id for r in read_archives(archives).collect()} == set(range(40))

@@ -67,7 +67,8 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 class Archive:
     """One .warc.zst file, written under a name of this attempt and renamed when it is whole."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, train_bytes: int = TRAIN_BYTES):
+        self.train_bytes = train_bytes
         self.uri, (self.fs, self.path) = uri, place(uri)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
@@ -83,7 +84,7 @@ class Archive:
             return
         self.held.append(data)
         self.waiting += len(data)
-        if self.waiting >= TRAIN_BYTES:
+        if self.waiting >= self.train_bytes:
             self._start()
 
     def _start(self) -> None:
@@ -116,7 +117,10 @@ class Archive:
         return self.uri, self.records, self.bytes
 
 
-def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least: int = 100) -> DataFrame:
+def write_archives(
+    pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least: int = 100,
+    archive_bytes: int = ARCHIVE_BYTES, train_bytes: int = TRAIN_BYTES,
+) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives under ``folder``; returns (path, records, bytes), one row per archive.
 
     Null html is an empty payload. Payloads of at least ``least`` bytes that occur more than once are
@@ -137,9 +141,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             for at in range(0, batch.num_rows, 200):
                 for page_id, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.slice(at, 200).columns]):
                     if archive is None:
-                        archive = Archive(f"{folder}/part-{part:06d}-{n:04d}.warc.zst")
+                        archive = Archive(f"{folder}/part-{part:06d}-{n:04d}.warc.zst", train_bytes)
                     archive.add(record(page_id, url, html.encode(), digest, refers_to, date))
-                    if archive.bytes >= ARCHIVE_BYTES:
+                    if archive.bytes >= archive_bytes:
                         done.append(archive.close())
                         archive, n = None, n + 1
         if archive is not None:
@@ -150,50 +154,36 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     return written(decided.mapInArrow(run, "path string, records long, bytes long"))
 
 
-def records_of(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive, streamed: one record is held at a time."""
+def frames(uri: str) -> Iterator[bytes]:
+    """The decompressed frames of an archive, one at a time."""
     filesystem, path = place(uri)
     with filesystem.open_input_stream(path, compression=None) as f:
         lead, dictionary = f.read(8), None
         magic, size = struct.unpack("<II", lead) if len(lead) == 8 else (0, 0)
         if magic == MAGIC:
             dictionary, lead = zstd.ZstdCompressionDict(f.read(size)), b""
-        reader = zstd.ZstdDecompressor(dict_data=dictionary).stream_reader(_After(lead, f), read_across_frames=True)
-        pending = b""
-        while True:
-            while b"\r\n\r\n" not in pending:
-                more = reader.read(65_536)
-                if not more:
-                    if pending:
-                        raise ValueError(f"{uri} ends inside a record")
-                    return
-                pending += more
-            head, _, pending = pending.partition(b"\r\n\r\n")
-            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            length = int(headers["Content-Length"]) + 4
-            parts, have = [pending], len(pending)
-            while have < length:
-                more = reader.read(min(1 << 20, max(65_536, length - have)))
-                if not more:
-                    raise ValueError(f"{uri} ends inside a record")
-                parts.append(more)
-                have += len(more)
-            body = b"".join(parts)
-            pending = body[length:]
-            yield headers, body[: length - 4]
-
-
-class _After:
-    """A stream that begins with bytes already read."""
-
-    def __init__(self, lead: bytes, f):
-        self.lead, self.f = lead, f
-
-    def read(self, n: int = -1) -> bytes:
-        if self.lead:
-            out, self.lead = self.lead, b""
-            return out
-        return self.f.read(n)
+        decompressor = zstd.ZstdDecompressor(dict_data=dictionary)
+        data = lead or f.read(65_536)
+        while data:
+            frame, parts = decompressor.decompressobj(), []
+            while not frame.eof:
+                if not data:
+                    raise ValueError(f"{uri} ends inside a frame")
+                parts.append(frame.decompress(data))
+                data = frame.unused_data if frame.eof else f.read(65_536)
+            yield b"".join(parts)
+            data = data or f.read(65_536)
+
+
+def records_of(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive; one record is held at a time."""
+    for data in frames(uri):
+        head, _, rest = data.partition(b"\r\n\r\n")
+        headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        length = int(headers["Content-Length"])
+        if len(rest) != length + 4:
+            raise ValueError(f"{uri}: a record of {len(rest) - 4} bytes says {length}")
+        yield headers, rest[:length]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
