@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.common import components
-from tidemark.llm.jaccard import WordHashes, near_duplicates, segment_keys, shingle_set
+from tidemark.llm.jaccard import WordHashes, near_duplicates, segment_keys, shingle_sets
 
 
 def brute(texts):
@@ -89,7 +89,8 @@ def test_pairs_share_a_key(spark):
                 k, u = len(np.intersect1d(a, b)), len(np.union1d(a, b))
                 if not len(b) or 5 * k < 4 * u:
                     break
-                assert len(np.intersect1d(segment_keys(a, 4, 5), segment_keys(b, 4, 5)))
+                k, owner = segment_keys(np.r_[a, b], np.array([len(a), len(b)]), 4, 5)
+                assert len(np.intersect1d(k[owner == 0], k[owner == 1]))
 
 
 def test_odd_rows(spark):
@@ -102,7 +103,7 @@ def test_odd_rows(spark):
 
 def test_long_words_and_memo():
     w = WordHashes()
-    assert len(shingle_set("A b\x0bC\x1cd e", w)) == 1 and b"c\x1cd" in w
+    assert shingle_sets(["A b\x0bC\x1cd e", None, "a b c d e f e"], w)[1].tolist() == [1, 0, 3] and b"c\x1cd" in w
 
 
 def test_components_of_chains(spark):

@@ -16,9 +16,11 @@ until no unverified pair of different components is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ U = np.uint64
 KEYS_PER_TASK = 1_500_000
 MEMO = 400_000
 BATCH_ROWS = 500
+BATCH_BYTES = 4_000_000
+STEP = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,27 +52,43 @@ class WordHashes(dict):
         return h
 
 
-def shingle_set(text: str | None, words: WordHashes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text, A-Z lower-cased; with fewer words, of the whole sequence."""
-    if not text:
-        return np.empty(0, U)
-    found = text.encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.empty(0, U)
-    h = np.fromiter(map(words.__getitem__, found), U, len(found))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, U)
-    for i in range(k):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: list[str | None], words: WordHashes, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the sorted distinct hashes of each text's n-word shingles one after another, and their numbers.
 
-
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit words that stand for a set."""
-    a = np.bitwise_xor.reduce(mix(s + U(1))) if len(s) else U(0)
-    b = np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D))) if len(s) else U(0)
-    both = mix(np.array([a, b + U(len(s))], U)).view(np.int64)
-    return int(both[0]), int(both[1])
+    A-Z are lower-cased; a text with fewer than n words has one shingle, its whole sequence.
+    """
+    found = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+    sizes = [len(w) for w in found]
+    flat = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), U, sum(sizes))
+    rolled = np.full(max(0, len(flat) - n + 1), n, U)
+    for i in range(n if len(rolled) else 0):
+        rolled = rolled * STEP + flat[i : len(flat) - n + 1 + i]
+    rolled = mix(rolled)
+    out, at = [], 0
+    for size in sizes:
+        if size >= n:
+            v = np.sort(rolled[at : at + size - n + 1])
+            out.append(v[np.r_[True, v[1:] != v[:-1]]] if len(v) > 1 else v)
+        elif size:
+            h = np.array([size], U)
+            for w in flat[at : at + size]:
+                h = h * STEP + w
+            out.append(mix(h))
+        else:
+            out.append(np.empty(0, U))
+        at += size
+    return (np.concatenate(out) if out else np.empty(0, U)), np.array([len(v) for v in out], np.int64)
+
+
+def digests(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two 64-bit words that stand for each set."""
+    out = np.zeros((len(counts), 2), U)
+    full = np.flatnonzero(counts)
+    if len(full):
+        starts = (np.cumsum(counts) - counts)[full]
+        out[full, 0] = np.bitwise_xor.reduceat(mix(s + U(1)), starts)
+        out[full, 1] = np.add.reduceat(mix(s ^ U(0x5851F42D4C957F2D)), starts) + counts[full].astype(U)
+    return mix(out).view(np.int64)
 
 
 def most_apart(a: int, b: int, num: int, den: int) -> int:
@@ -88,42 +108,49 @@ def tables(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return [x for x in out if x[0] >= 0]
 
 
-def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys that a set emits, over all its tables."""
-    out = []
-    for t, d in tables(len(s), num, den):
+def segment_keys(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owner): the keys that sets emit over all their tables, and the number of the set of each."""
+    plans: list[list[tuple[int, int, int]]] = [[], [], []]  # by kind of table: (set, table, D)
+    for i, c in enumerate(counts.tolist()):
+        for k, (t, d) in enumerate(tables(c, num, den) if c else ()):
+            plans[k].append((i, t, d))
+    starts = np.cumsum(counts) - counts
+    keys, owners = [], []
+    for plan in plans:
+        if not plan:
+            continue
+        doc, table_no, d = np.array(plan, np.int64).T
+        n = counts[doc]
         p = d + d // 2 + 2
-        x = mix(s ^ mix(np.array([t + 1], U)))
-        segment = (x % U(p)).astype(np.int64)
-        zobrist = mix(x ^ U(0xD6E8FEB86659FD93))
-        order = np.argsort(segment, kind="stable")
-        seg = segment[order]
-        edges = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        value = np.bitwise_xor.reduceat(zobrist[order], edges)
-        bits = np.diff(np.r_[edges, len(seg)])
-        key = mix(value + seg[edges].astype(U) * U(0x9E3779B97F4A7C15) + U(t * 0x632BE59B + 1))
-        if len(key) > d + 1:
-            keep = np.lexsort((key, -bits))[: d + 1]
-            key = key[keep]
-        elif len(key) < d + 1:  # some emitted segments are empty: the sparse set's own marks
-            full = np.zeros(p, bool)
-            full[seg[edges]] = True
-            empty = np.flatnonzero(~full)
-            mark = mix(empty.astype(U) * U(0x9E3779B97F4A7C15) + U(t * 0x632BE59B + 1))
-            key = np.r_[key, np.sort(mark)[: d + 1 - len(key)]]
-        out.append(key)
-    return np.concatenate(out) if out else np.empty(0, U)
+        base = np.cumsum(p) - p
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        salt = mix(table_no.astype(U) + U(1))
+        x = mix(s[np.repeat(starts[doc], n) + within] ^ np.repeat(salt, n))
+        segment = np.repeat(base, n) + ((x >> U(32)) * np.repeat(p.astype(U), n) >> U(32)).astype(np.int64)
+        parity = np.zeros(int(p.sum()), U)
+        np.bitwise_xor.at(parity, segment, mix(x ^ U(0xD6E8FEB86659FD93)))
+        bits = np.bincount(segment, minlength=len(parity))
+        number = np.arange(len(parity)) - np.repeat(base, p)
+        key = mix(parity + number.astype(U) * STEP + np.repeat(salt, p))
+        # the order of emission: segments with most bits first, then by hash
+        key = ((255 - np.minimum(bits, 255)).astype(U) << U(56)) | (key >> U(8))
+        for b, width, limit in zip(base.tolist(), p.tolist(), d.tolist()):
+            keys.append(np.sort(key[b : b + width])[: limit + 1])
+        owners.append(np.repeat(doc, d + 1))
+    if not keys:
+        return np.empty(0, U), np.empty(0, np.int64)
+    return mix(np.concatenate(keys)), np.concatenate(owners)
 
 
 def dense_sketch(s: np.ndarray, n: int) -> bytes:
-    """Parity sketch of bit length 2**k >= 2 n; every shingle flips one bit."""
+    """Parity sketch of bit length 2**k >= 8 n; every shingle flips one bit."""
     size = dense_bits(n)
     odd = np.bincount((mix(s ^ U(0xA0761D6478BD642F)) % U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def dense_bits(n: int) -> int:
-    return max(64, 1 << int(np.ceil(np.log2(2 * max(n, 1)))))
+    return max(64, 1 << (8 * n - 1).bit_length())
 
 
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -134,14 +161,20 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH_ROWS rows and about BATCH_BYTES of text (one text at least)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(at, BATCH_ROWS)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            n = max(1, min(BATCH_ROWS, upto - at))
+            yield batch.slice(at, n)
+            at += n
 
 
-def _column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def _texts(batch: pa.RecordBatch) -> list:
+    return batch.column(batch.schema.get_field_index("text")).to_pylist()
 
 
 def set_digests(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
@@ -150,12 +183,12 @@ def set_digests(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in slices(batches):
-            sets = [shingle_set(t, words, n) for t in _column(batch, "text")]
-            d = [digest(s) for s in sets]
+            s, counts = shingle_sets(_texts(batch), words, n)
+            h = digests(s, counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())],
+                [batch.column(0), pa.array(counts), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
                 names=["doc_id", "n_shingles", "h1", "h2"],
-            )
+            )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
@@ -181,21 +214,19 @@ def _key_blobs(docs: DataFrame, text: str, n: int, num: int, den: int, parts: in
             )
 
         for batch in slices(batches):
-            for t in _column(batch, "text"):
-                s = shingle_set(t, words, n)
-                if not len(s):
-                    continue
-                h = digest(s)
-                if h in seen:  # a copy within this task's rows: pre-aggregated
-                    continue
-                seen.add(h)
-                k = segment_keys(s, num, den)
-                keys.append(k)
-                ids.append(np.full(len(k), h[0], np.int64))
-                held += len(k)
-                if held >= 1_000_000:
-                    yield flush()
-                    keys, ids, held = [], [], 0
+            s, counts = shingle_sets(_texts(batch), words, n)
+            h = digests(s, counts)
+            new = np.zeros(len(counts), bool)
+            for i, pair in enumerate(map(tuple, h.tolist())):  # copies within this task's rows are met once
+                new[i] = counts[i] > 0 and pair not in seen
+                seen.add(pair)
+            k, owner = segment_keys(s[np.repeat(new, counts)], counts[new], num, den)
+            keys.append(k)
+            ids.append(h[new, 0][owner])
+            held += len(k)
+            if held >= 1_000_000:
+                yield flush()
+                keys, ids, held = [], [], 0
         if held:
             yield flush()
 
@@ -229,19 +260,20 @@ def _meetings(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(run, "key long, h1 long").distinct()
 
 
-def _candidate_sets(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+def _candidate_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
     """(h1, n, items, sketch) of the given rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in slices(batches):
-            sets = [shingle_set(t, words, n) for t in _column(batch, "text")]
+            s, counts = shingle_sets(_texts(batch), words, n)
+            each = np.split(s, np.cumsum(counts)[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([digest(s)[0] for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([dense_sketch(s, len(s)) for s in sets], pa.binary()),
+                    pa.array(digests(s, counts)[:, 0].copy()),
+                    pa.array(counts),
+                    pa.array([v.view(np.int64) for v in each], pa.list_(pa.int64())),
+                    pa.array([dense_sketch(v, len(v)) for v in each], pa.binary()),
                 ],
                 names=["h1", "n", "items", "sketch"],
             )
@@ -260,20 +292,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _unlinked(num: int, den: int):
-    """For the sets of one meeting: a spanning forest, over components, of pairs that dense sketches can't rule out."""
+    """For the sets of one meeting: pairs of different components that dense sketches can't rule out.
+
+    The pairs hold a spanning forest of all such pairs over the components, so that a meeting is done
+    once they are verified, unless one of them fails.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         h = rows.column("h1").to_numpy()
-        comp = rows.column("comp").to_numpy()
         n = rows.column("n").to_numpy()
         raw = [np.frombuffer(b, np.uint8) for b in rows.column("sketch").to_pylist()]
         failed = {(int(x), y) for x, ys in zip(h, rows.column("failed").to_pylist()) for y in ys or ()}
         size = min(len(r) for r in raw) * 8
         sk = np.stack([fold(r, size) for r in raw])
-        _, label = np.unique(comp, return_inverse=True)
+        _, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+        start = label.copy()
+        # every pair of different components has a member outside the largest one
+        outside = np.flatnonzero(label != np.bincount(label).argmax())
+        rank = np.full(len(h), len(h))
+        rank[outside] = np.arange(len(outside))
         out = []
-        for i in range(len(h) - 1):
-            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        for r, i in enumerate(outside):
+            j = np.flatnonzero((label != label[i]) & (start != start[i]) & (rank > r))
             j = j[np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j])]
             if not len(j):
                 continue
@@ -283,7 +323,10 @@ def _unlinked(num: int, den: int):
                 if label[i] != label[x] and (a, b) not in failed:
                     label[label == label[x]] = label[i]
                     out.append((a, b))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        key = rows.column("key")[0].as_py()
+        return pa.table(
+            {"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())}
+        )
 
     return run
 
@@ -304,28 +347,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     wanted = written(ids.join(held, "h1").select(F.col("rep").alias("doc_id"), "h1").where("doc_id IS NOT NULL"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chosen = source.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(_candidate_sets(chosen, "doc_id", "text", n).dropDuplicates(["h1"]))
+    sets = written(_candidate_sets(chosen, "text", n).dropDuplicates(["h1"]))
 
-    # in each meeting the set with the smallest key is tried with all others
+    # in each meeting one set is tried with all others
     lead = met.groupBy("key").agg(F.min("h1").alias("a"))
     pairs = met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
     tried = _verified(pairs, sets, num, den)
+    label = written(components(tried.where("linked")))
+    todo = met
     while True:
-        label = written(components(tried.where("linked")))
-        state = sets.select("h1", "n", "sketch").join(label.withColumnRenamed("node", "h1"), "h1", "left")
-        state = state.withColumn("comp", F.coalesce("comp", "h1"))
+        state = sets.select("h1", "n", "sketch").join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
         fails = tried.where("NOT linked").groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "h1")
         # meetings whose sets aren't all in one component yet
-        open_keys = (
-            met.join(state.select("h1", "comp"), "h1").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        )
-        again = (
-            met.join(open_keys, "key").join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den), "a long, b long").distinct()
-        )
-        more = _verified(again, sets, num, den)
-        if more.isEmpty():
+        spread = todo.join(state.select("h1", "comp"), "h1").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        todo = written(todo.join(spread.where("lo <> hi").select("key"), "key", "left_semi"))
+        found = written(todo.join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den), "key long, a long, b long"))
+        more = _verified(found.select("a", "b").distinct(), sets, num, den)
+        gained, lost = more.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
+        tried = tried.union(more)
+        if gained:
+            label = written(components(tried.where("linked")))
+        if not lost:
             break
-        tried = written(tried.union(more))
+        again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
+        todo = todo.join(again, "key", "left_semi")
     comp = label.join(held, label["node"] == held["h1"]).groupBy("comp").agg(F.min("rep").alias("lowest"))
     of_set = held.join(label, held["h1"] == label["node"], "left").join(comp, "comp", "left")
     of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"))
