@@ -47,7 +47,7 @@ def test_plan_equals_best_fit_piece_by_piece(seed):
 
 def test_word_ids_equal_the_tokenizer():
     t, words = Tokenizer.from_file(PATH), WordIds(PATH)
-    texts = ["", "  ", "Hello, World!!  it's <|endoftext|> a<|startoftext|>b", "Crème BRÛLÉE ß÷× é İx ﬁ", "a\tb\x1cc d\r\ne", "123 4,5 ?!. ...", "日本語 テスト" * 50, "x" * 500, "ÀÉÿ. Ÿ. ªº µ"]
+    texts = ["", "  ", "Hello, World!!  it's <|endoftext|> a<|startoftext|>b", "Crème BRÛLÉE ß÷× é İx ﬁ", "a\tb\x1cc d\r\ne", "123 4,5 ?!. ...", "a-b end-- (x) junk###$$$ Wow!!!! e_f f_ \"q\" don't. a$1", "日本語 テスト" * 50, "x" * 500, "ÀÉÿ. Ÿ. ªº µ"]
     for x in texts:
         assert np.frombuffer(words.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-MEMO = 200_000
+MEMO = 300_000
 BATCH_ROWS = 200
 RANK_BUCKETS = 256
 
@@ -31,12 +31,12 @@ class WordIds(dict):
     """Token ids (little-endian bytes) of a stretch of text without spaces, by the library's own model.
 
     The tokenizer drops white space, so the ids of a text are those of its stretches, joined. A
-    stretch of plain Latin letters, with or without a closing mark, is one or two units of the
+    stretch of plain Latin letters, with or without closing marks, is one or two units of the
     tokenizer's own splitting and goes to its BPE model directly; every other stretch goes through
     the whole tokenizer. At most 2 * MEMO stretches are remembered.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([-.,;:!?#$%&*()_+=/~@\"]{0,8})")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -46,26 +46,40 @@ class WordIds(dict):
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]
         self.bytewise = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in letters})
+        self.one = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.marks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def slow(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def plain(self, word: str) -> bytes:
+        word = word.lower()
+        found = self.model.tokenize(word if word.isascii() else word.translate(self.bytewise))
+        return self.one[found[0].id] if len(found) == 1 else b"".join([self.one[t.id] for t in found])
+
+    def mark(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self.slow(marks)
+            if len(self.marks) < MEMO:
+                self.marks[marks] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             m = self.PLAIN.fullmatch(word)
-            if m is None or len(word) > 64:
+            if m is None:
                 ids = self.slow(word) if word else b""
+            elif m[2]:
+                ids = self[m[1]] + self.mark(m[2])
             else:
-                found = self.model.tokenize(m[1].lower().translate(self.bytewise))
-                ids = b"".join([t.id.to_bytes(4, "little") for t in found])
-                if m[2]:
-                    ids += self[m[2]] if m[2] != word else self.slow(word)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        if len(word) <= 64:
+                ids = self.plain(word)
+        if len(word) <= 80:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
