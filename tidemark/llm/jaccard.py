@@ -121,7 +121,7 @@ def segment_keys(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple
             continue
         doc, table_no, d = np.array(plan, np.int64).T
         n = counts[doc]
-        p = d + d // 2 + 2
+        p = d + d // 8 + 2
         base = np.cumsum(p) - p
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         salt = mix(table_no.astype(U) + U(1))
@@ -143,14 +143,14 @@ def segment_keys(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple
 
 
 def dense_sketch(s: np.ndarray, n: int) -> bytes:
-    """Parity sketch of bit length 2**k >= 8 n; every shingle flips one bit."""
+    """Parity sketch of bit length 2**k >= 4 n; every shingle flips one bit."""
     size = dense_bits(n)
     odd = np.bincount((mix(s ^ U(0xA0761D6478BD642F)) % U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def dense_bits(n: int) -> int:
-    return max(64, 1 << (8 * n - 1).bit_length())
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -281,13 +281,32 @@ def _candidate_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "h1 long, n long, items array<long>, sketch binary")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the dense sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y)) * 8
+                far = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64)
+                keep.append(far <= most_apart(na, nb, num, den) and min(na, nb) * den >= num * max(na, nb))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    left = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, linked) by exact intersection."""
     left = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     common = F.size(F.array_intersect("ia", "ib"))
     return written(
-        pairs.join(left, "a").join(right, "b").select("a", "b", (den * common >= num * (F.col("na") + F.col("nb") - common)).alias("linked"))
+        pairs.join(left, "a").join(right, "b").select("a", "b", (den * common >= num * (F.col("na") + F.col("nb") - common)).alias("linked")).distinct()
     )
 
 
@@ -299,6 +318,9 @@ def _unlinked(num: int, den: int):
     """
 
     def run(rows: pa.Table) -> pa.Table:
+        none = pa.table({c: pa.array([], pa.int64()) for c in ("key", "a", "b")})
+        if len(pc.unique(rows.column("comp"))) == 1:
+            return none
         h = rows.column("h1").to_numpy()
         n = rows.column("n").to_numpy()
         raw = [np.frombuffer(b, np.uint8) for b in rows.column("sketch").to_pylist()]
@@ -347,20 +369,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     wanted = written(ids.join(held, "h1").select(F.col("rep").alias("doc_id"), "h1").where("doc_id IS NOT NULL"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chosen = source.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(_candidate_sets(chosen, "text", n).dropDuplicates(["h1"]))
+    sets = written(_candidate_sets(chosen, "text", n))  # a repeated row's set stands twice, which changes nothing
 
     # in each meeting one set is tried with all others
     lead = met.groupBy("key").agg(F.min("h1").alias("a"))
     pairs = met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
-    tried = _verified(pairs, sets, num, den)
+    tried = _verified(_possible(pairs, sets, num, den), sets, num, den)
     label = written(components(tried.where("linked")))
     todo = met
     while True:
         state = sets.select("h1", "n", "sketch").join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
         fails = tried.where("NOT linked").groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "h1")
-        # meetings whose sets aren't all in one component yet
-        spread = todo.join(state.select("h1", "comp"), "h1").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        todo = written(todo.join(spread.where("lo <> hi").select("key"), "key", "left_semi"))
         found = written(todo.join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den), "key long, a long, b long"))
         more = _verified(found.select("a", "b").distinct(), sets, num, den)
         gained, lost = more.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
@@ -370,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if not lost:
             break
         again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
-        todo = todo.join(again, "key", "left_semi")
+        todo = written(todo.join(again, "key", "left_semi"))
     comp = label.join(held, label["node"] == held["h1"]).groupBy("comp").agg(F.min("rep").alias("lowest"))
     of_set = held.join(label, held["h1"] == label["node"], "left").join(comp, "comp", "left")
     of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"))
