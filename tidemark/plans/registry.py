@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["study", "projections"]
+MODULES = ["study", "projections", "joins"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
