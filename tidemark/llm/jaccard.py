@@ -294,27 +294,30 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(far <= most_apart(na, nb, num, den) and min(na, nb) * den >= num * max(na, nb))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    left = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    joined = _both_sides(pairs, sets, "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` plus n and ``column`` of either set. Only the values of sets in ``pairs`` are shuffled, if the pairs are few."""
+    own = small(pairs)
+    side = lambda x: own.join(sets.select(F.col("h1").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}")), x)
+    return side("a").join(side("b"), ["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, linked) by exact intersection."""
-    left = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    common = F.size(F.array_intersect("ia", "ib"))
-    return written(
-        pairs.join(left, "a").join(right, "b").select("a", "b", (den * common >= num * (F.col("na") + F.col("nb") - common)).alias("linked")).distinct()
-    )
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    both = _both_sides(written(pairs), sets, "items")
+    return written(both.select("a", "b", (den * common >= num * (F.col("n_a") + F.col("n_b") - common)).alias("linked")).distinct())
 
 
-def _unlinked(num: int, den: int):
+def _unlinked(num: int, den: int, all_pairs: bool = False):
     """For the sets of one meeting: pairs of different components that dense sketches can't rule out.
 
     The pairs hold a spanning forest of all such pairs over the components, so that a meeting is done
-    once they are verified, unless one of them fails.
+    once they are verified, unless one of them fails. With ``all_pairs`` they are all such pairs that
+    haven't failed before, for meetings where one did.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -343,7 +346,8 @@ def _unlinked(num: int, den: int):
             for x in j[far <= (n[i] + n[j]) * (den - num) // (den + num)]:
                 a, b = sorted((int(h[i]), int(h[x])))
                 if label[i] != label[x] and (a, b) not in failed:
-                    label[label == label[x]] = label[i]
+                    if not all_pairs:
+                        label[label == label[x]] = label[i]
                     out.append((a, b))
         key = rows.column("key")[0].as_py()
         return pa.table(
@@ -373,20 +377,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # in each meeting one set is tried with all others
     lead = met.groupBy("key").agg(F.min("h1").alias("a"))
-    pairs = met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
+    pairs = written(met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct())
     tried = _verified(_possible(pairs, sets, num, den), sets, num, den)
     label = written(components(tried.where("linked")))
-    todo = met
+    todo, again = met, None
     while True:
         state = sets.select("h1", "n", "sketch").join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
         fails = tried.where("NOT linked").groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "h1")
-        found = written(todo.join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den), "key long, a long, b long"))
+        found = written(todo.join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den, again is not None), "key long, a long, b long"))
         more = _verified(found.select("a", "b").distinct(), sets, num, den)
         gained, lost = more.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
         tried = tried.union(more)
         if gained:
             label = written(components(tried.where("linked")))
-        if not lost:
+        if not lost or again is not None:  # in the second round every such pair was verified
             break
         again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
         todo = written(todo.join(again, "key", "left_semi"))
