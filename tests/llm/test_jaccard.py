@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import jaccard
 from tidemark.llm.common import components
 from tidemark.llm.jaccard import WordHashes, near_duplicates, segment_keys, shingle_sets
 
@@ -110,3 +111,43 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 9)] + [(None, 3), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(9)}}
+
+
+def test_meetings_are_dealt_to_bounded_groups(spark):
+    """Meetings of one component are dropped, of others every pair of different components stands in one group."""
+    comps = {1: [1] * 50, 2: list(range(100, 103)), 3: [7] * 90 + list(range(200, 235)), 4: list(range(300, 345))}
+    rows = [(k, 1000 * k + i, c) for k, cs in comps.items() for i, c in enumerate(cs)]
+    met = spark.createDataFrame([r[:2] for r in rows], "key long, h1 long")
+    nodes = spark.createDataFrame([r[1:] for r in rows], "h1 long, comp long")
+    groups = {}
+    for r in jaccard._dealt(met, nodes, 10)[0].collect():
+        groups.setdefault((r.key, r.x, r.y), []).append(r)
+    assert {k for k, _, _ in groups} == {2, 3, 4} and max(map(len, groups.values())) < 50
+    seen = {}
+    for (key, x, y), g in groups.items():
+        for a in g:
+            for b in g:
+                if a.h1 < b.h1 and a.comp != b.comp and (x == y or a.block != b.block):
+                    seen[a.h1, b.h1] = seen.get((a.h1, b.h1), 0) + 1
+    want = {(a, b) for k, a, c in rows for l, b, d in rows if k == l and a < b and c != d}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+def test_components_from_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(6)
+    middles = [[f"m{m}w{i}" for i in range(150)] for m in range(2)]
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for m in middles:
+        for _ in range(20):
+            t = m + passage
+            for at in r.sample(range(0, 300, 6), 6):
+                t[at] = f"x{r.random()}"
+            texts.append(" ".join(t))
+        texts.append(" ".join(m + passage))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)

@@ -9,8 +9,8 @@ still share an emitted one, and empty or nearly empty segments are never emitted
 band of sizes only; sets that can link across a band's edge also emit for a table of that edge.
 
 Sets that meet are verified exactly. Nothing is capped: in each meeting one set is tried
-with all others; what this leaves unlinked is compared by dense sketches in blocks and verified,
-until no unverified pair of different components is left.
+with all others; meetings that this leaves unlinked are dealt to groups of about BLOCK sets a side,
+compared there by dense sketches and verified, until no unverified pair of different components is left.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ U = np.uint64
 KEYS_PER_TASK = 1_500_000
 MEMO = 400_000
 BATCH_ROWS = 500
+BLOCK = 1000
 BATCH_BYTES = 4_000_000
 STEP = U(0x9E3779B97F4A7C15)
 
@@ -312,46 +313,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.select("a", "b", (den * common >= num * (F.col("n_a") + F.col("n_b") - common)).alias("linked")).distinct())
 
 
+def _dealt(met: DataFrame, nodes: DataFrame, block: int, inside: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): the sets of each meeting that still holds two components, dealt to groups (key, x, y).
+
+    A meeting of at most ``block`` sets is one group (0, 0). In a larger one the sets outside the largest
+    component make up blocks 0, 1, ..., the others the blocks after these, of about ``block`` sets each by
+    their hash. Group (x, y) holds two blocks, of which x is an outside one; so every pair of different
+    components is in exactly one group. With ``inside`` there are only the groups (x, x) of larger meetings.
+    """
+    own = met.join(nodes, "h1")
+    by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    stat = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("sets"), F.max(F.struct("c", "comp")).alias("top"))
+    large = F.col("sets") > block
+    pieces = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    stat = written(
+        stat.where(F.col("comps") > 1 if not inside else (F.col("comps") > 1) & large).select(
+            "key",
+            F.when(large, F.col("top.comp")).alias("main"),
+            F.when(large, pieces(F.col("sets") - F.col("top.c"))).otherwise(1).alias("outer"),
+            F.when(large, pieces(F.col("top.c"))).otherwise(0).alias("inner"),
+        )
+    )
+    at = lambda n: F.pmod(F.xxhash64("h1"), n).cast("int")
+    in_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    members = own.join(small(stat), "key").withColumn("block", F.when(in_main, F.col("outer") + at(F.greatest("inner", F.lit(1)))).otherwise(at(F.col("outer"))))
+    outside = F.col("block") < F.col("outer")
+    if inside:
+        groups = members.where(outside).withColumn("with", F.col("block"))
+    else:
+        groups = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))))
+    pair = [F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y")]
+    return groups.select("key", *pair, "block", "h1", "comp"), members.select("key", "block", "h1", "comp")
+
+
+def _unlinked_pairs(met: DataFrame, nodes: DataFrame, sets: DataFrame, tried: DataFrame, num: int, den: int, all_pairs: bool = False, inside: bool = False) -> DataFrame:
+    """(key, a, b) as _unlinked finds them in the groups of _dealt. Pairs that failed are sent to the one group that would find them."""
+    groups, members = _dealt(met, nodes, BLOCK, inside)
+    side = lambda x: members.select("key", F.col("h1").alias(x), F.col("block").alias(f"block_{x}"), F.col("comp").alias(f"comp_{x}"))
+    fails = small(tried.where("NOT linked").select("a", "b"))
+    known = fails.join(side("a"), "a").join(side("b"), ["key", "b"]).where("comp_a <> comp_b" + (" AND block_a = block_b" if inside else ""))
+    known = known.select("key", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), F.col("a").alias("h1"), F.col("b").alias("failed"))
+    rows = groups.join(sets.select("h1", "n", "sketch"), "h1").unionByName(known, allowMissingColumns=True)
+    return rows.groupBy("key", "x", "y").applyInArrow(_unlinked(num, den, all_pairs), "key long, a long, b long")
+
+
 def _unlinked(num: int, den: int, all_pairs: bool = False):
-    """For the sets of one meeting: pairs of different components that dense sketches can't rule out.
+    """For the sets of one group of _dealt: pairs of different components that dense sketches can't rule out.
 
-    The pairs hold a spanning forest of all such pairs over the components, so that a meeting is done
+    The pairs hold a spanning forest of all such pairs over the components, so that a group is done
     once they are verified, unless one of them fails. With ``all_pairs`` they are all such pairs that
-    haven't failed before, for meetings where one did.
+    haven't failed before, for meetings where one did. Rows with ``failed`` name a pair that did.
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("key", "a", "b")})
-        if len(pc.unique(rows.column("comp"))) == 1:
-            return none
+        known = rows.filter(pc.is_valid(rows.column("failed")))
+        rows = rows.filter(pc.is_null(rows.column("failed")))
+        if len(pc.unique(rows.column("comp"))) < 2:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "a", "b")})
+        failed = set(zip(known.column("h1").to_pylist(), known.column("failed").to_pylist()))
         h = rows.column("h1").to_numpy()
         n = rows.column("n").to_numpy()
         raw = [np.frombuffer(b, np.uint8) for b in rows.column("sketch").to_pylist()]
-        failed = {(int(x), y) for x, ys in zip(h, rows.column("failed").to_pylist()) for y in ys or ()}
         size = min(len(r) for r in raw) * 8
         sk = np.stack([fold(r, size) for r in raw])
         _, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
         start = label.copy()
-        # every pair of different components has a member outside the largest one
-        outside = np.flatnonzero(label != np.bincount(label).argmax())
+        key, x, y = (rows.column(c)[0].as_py() for c in ("key", "x", "y"))
+        if x != y:  # pairs within a block are another group's
+            outside = np.flatnonzero(rows.column("block").to_numpy() == x)
+        else:  # every pair of different components has a member outside the largest one
+            outside = np.flatnonzero(label != np.bincount(label).argmax())
         rank = np.full(len(h), len(h))
-        rank[outside] = np.arange(len(outside))
+        rank[outside] = np.arange(len(outside)) if x == y else -1
         out = []
         for r, i in enumerate(outside):
-            j = np.flatnonzero((label != label[i]) & (start != start[i]) & (rank > r))
+            j = np.flatnonzero((start != start[i]) & (rank > r) & (all_pairs | (label != label[i])))
             j = j[np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j])]
             if not len(j):
                 continue
             far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64)
-            for x in j[far <= (n[i] + n[j]) * (den - num) // (den + num)]:
-                a, b = sorted((int(h[i]), int(h[x])))
-                if label[i] != label[x] and (a, b) not in failed:
+            for k in j[far <= (n[i] + n[j]) * (den - num) // (den + num)]:
+                a, b = sorted((int(h[i]), int(h[k])))
+                if (all_pairs or label[i] != label[k]) and (a, b) not in failed:
                     if not all_pairs:
-                        label[label == label[x]] = label[i]
+                        label[label == label[k]] = label[i]
                     out.append((a, b))
-        key = rows.column("key")[0].as_py()
         return pa.table(
-            {"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())}
+            {"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())}
         )
 
     return run
@@ -380,20 +428,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = written(met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct())
     tried = _verified(_possible(pairs, sets, num, den), sets, num, den)
     label = written(components(tried.where("linked")))
-    todo, again = met, None
-    while True:
-        state = sets.select("h1", "n", "sketch").join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
-        fails = tried.where("NOT linked").groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "h1")
-        found = written(todo.join(state.join(fails, "h1", "left"), "h1").groupBy("key").applyInArrow(_unlinked(num, den, again is not None), "key long, a long, b long"))
+    alone = wanted.select("h1").distinct()
+    if sets.count() > alone.count():  # repeated rows
+        sets = written(sets.dropDuplicates(["h1"]))
+    todo = met
+    large = met.groupBy("key").count().where(F.col("count") > BLOCK)
+    # inside: larger meetings only, to link most before their blocks are compared
+    for step in ("forest", "all") if large.isEmpty() else ("inside", "forest", "all"):
+        nodes = alone.join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
+        found = written(_unlinked_pairs(todo, nodes, sets, tried, num, den, step == "all", step == "inside"))
         more = _verified(found.select("a", "b").distinct(), sets, num, den)
         gained, lost = more.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first()
         tried = tried.union(more)
         if gained:
             label = written(components(tried.where("linked")))
-        if not lost or again is not None:  # in the second round every such pair was verified
-            break
-        again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
-        todo = written(todo.join(again, "key", "left_semi"))
+        if step == "forest":
+            if not lost:
+                break
+            again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
+            todo = written(todo.join(again, "key", "left_semi"))
     comp = label.join(held, label["node"] == held["h1"]).groupBy("comp").agg(F.min("rep").alias("lowest"))
     of_set = held.join(label, held["h1"] == label["node"], "left").join(comp, "comp", "left")
     of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"))
