@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 """Sides of narrow integer columns up to this many rows (counted first) are broadcast; larger ones are shuffled."""
+BATCH_ROWS = 500
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile  # one process holds driver and executors, as in tests
+
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,6 +43,37 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        under = f"{shared_dir(spark)}/tables/".split(":", 1)[-1].lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if under in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH_ROWS rows and about BATCH_BYTES of text (one text at least)."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            n = max(1, min(BATCH_ROWS, upto - at))
+            yield batch.slice(at, n)
+            at += n
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: Python workers live on and wait for the next one."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a narrow side for broadcast if it is proven to be small, else leave the choice to Spark."""
     n = df.count() if rows is None else rows

@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small, table, written
+from .common import components, discard, give_back, slices, small, table, written
 
 U = np.uint64
 KEYS_PER_TASK = 1_500_000
 MEMO = 400_000
-BATCH_ROWS = 500
 BLOCK = 1000
-BATCH_BYTES = 4_000_000
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -162,18 +160,6 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches of at most BATCH_ROWS rows and about BATCH_BYTES of text (one text at least)."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right"))
-            n = max(1, min(BATCH_ROWS, upto - at))
-            yield batch.slice(at, n)
-            at += n
-
-
 def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(batch.schema.get_field_index("text")).to_pylist()
 

@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import give_back, slices, table, written
 
-MEMO = 300_000
-BATCH_ROWS = 200
+MEMO = 100_000
 RANK_BUCKETS = 256
 
 
@@ -102,19 +101,19 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                rows = []
-                for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = (words.ids(body) if body else b"") + closing
-                    for i, a in enumerate(range(0, len(ids), 4 * size)):
-                        cut = ids[a : a + 4 * size]
-                        rows.append((doc, i, a // 4, len(cut) // 4, value(cut)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind))],
-                    names=["doc_id", "piece", "start", "length", column],
-                )
+        for part in slices(batches):
+            rows = []
+            for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = (words.ids(body) if body else b"") + closing
+                for i, a in enumerate(range(0, len(ids), 4 * size)):
+                    cut = ids[a : a + 4 * size]
+                    rows.append((doc, i, a // 4, len(cut) // 4, value(cut)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind))],
+                names=["doc_id", "piece", "start", "length", column],
+            )
+        del words
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"doc_id long, piece int, start long, length long, {column} {kinds[kind]}")
@@ -233,6 +232,8 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` with their places. Null texts are empty ones (one piece, the end id); repeated rows are
+    packed one by one; a null doc_id stays null."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
@@ -240,6 +241,7 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
+    """Token pieces of ``docs`` (doc_id, text) packed into sequences of ``size`` ids; an empty table gives no rows."""
     pieces = written(token_pieces(docs, tokenizer, size=size, derive=("ids_crc32", zlib.crc32, pa.int64())))
     return pack(pieces, size)
 

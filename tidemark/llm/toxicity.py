@@ -1,19 +1,23 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained on labelled rows: both begin with the same ordinary text; one
-goes on with ordinary words, the other with words of toxic text. Every window of a text is compressed
-with either; a window that toxic words explain better comes out shorter with the toxic dictionary.
-The differences of a text's windows are summed up in four figures, and a logistic model, fitted on
-labelled rows that the dictionaries haven't seen, turns them into a score whose 0.7 is the threshold
-with the best F1 there. Labels, language, source and doc_id are no inputs of a score.
+Two Zstandard dictionaries are trained, one on samples of toxic and one on samples of ordinary text.
+Both are laid behind one shared stretch of trained ordinary text, so that what the classes have in
+common costs the same under either, and are used as raw content, so that no entropy tables differ.
+Most of a toxic document is ordinary; the toxic samples are therefore the words of toxic text with
+7-byte grams that stand in more different surroundings there, for the amount of text, than in
+ordinary text; the ordinary samples are as many stretches of the same mean length from anywhere.
+
+Every window of a text is compressed with either dictionary; a window that toxic text explains
+better comes out shorter with the toxic one. The differences of a text's windows are summed up in
+four figures, and a logistic model, fitted on labelled rows that the dictionaries haven't seen, turns
+them into a score whose 0.7 is the threshold with the best F1 there. Labels, language, source and
+doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,84 +26,153 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, slices, table
 
 SAMPLE = {1: 2500, 0: 7500}
 """Most labelled rows of each class that the classifier is fitted on."""
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8_000
 """Longer texts are left out of that sample (not out of the scoring)."""
 WINDOW, STEP = 64, 32
+WINDOWS_AT_ONCE = 100_000
 FOLDS = 3
-GRAM, AROUND = 5, 6
-WORD = re.compile(rb"[^\x00-\x20.,;:!?\"()]+")
+GRAM, AROUND, SPREAD = 7, 6, 8
+LEAST, RATIO, BOUND = 5, 4, 1.5
+SHARED, OWN, OWN_PER_GRAM, SEGMENT, SHORT = 24_000, (512, 2048), 5, 40, 16
 THRESHOLD = 0.7
 
+U = np.uint64
+
 
 def lowered(text: str | None) -> bytes:
     return b" " + (text or "").lower().encode("utf-8", "replace") + b" "
 
 
-def _grams(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Grams (as numbers, sorted) and in how many different surroundings each stands."""
-    kept: list[np.ndarray] = []
-    names: list[np.ndarray] = []
-    for at in range(0, len(texts), 400):
-        b = np.frombuffer(b" " * AROUND + (b" " * AROUND).join(texts[at : at + 400]) + b" " * AROUND, np.uint8).astype(np.uint64)
-        n = len(b) - 2 * AROUND - GRAM
-        if n <= 0:
+def _joined(texts: list[bytes], size: int = 1_000_000) -> Iterator[bytes]:
+    """The texts, AROUND spaces about each, in buffers of about ``size`` bytes."""
+    gap, held, n = b" " * AROUND, [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield gap + gap.join(held) + gap
+            held, n = [], 0
+    if held:
+        yield gap + gap.join(held) + gap
+
+
+def _grams(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes as numbers, gram at each place that has AROUND bytes on either side)."""
+    b = np.frombuffer(buffer, np.uint8).astype(U)
+    n = len(b) - 2 * AROUND - GRAM + 1
+    g = np.zeros(max(0, n), U)
+    for k in range(GRAM if n > 0 else 0):
+        g = (g << U(8)) | b[AROUND + k : AROUND + k + n]
+    return b, g
+
+
+def _among(g: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Places of ``g`` whose value stands in the sorted ``only``."""
+    if not len(only):
+        return np.empty(0, np.int64)
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(only * U(0x9E3779B97F4A7C15)) >> U(44)] = True
+    at = np.flatnonzero(sieve[(g * U(0x9E3779B97F4A7C15)) >> U(44)])
+    i = np.minimum(np.searchsorted(only, g[at]), len(only) - 1)
+    return at[only[i] == g[at]]
+
+
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different values, how often each stands)."""
+    a = np.sort(a)
+    at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    return a[at], np.diff(np.r_[at, len(a)])
+
+
+def _surroundings(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Grams (sorted; those in ``only``, if given) and in about how many different surroundings each stands.
+
+    Surroundings are told apart by 2**SPREAD hashes, so that copies count once; how many there are is estimated from
+    how many hashes a gram fills.
+    """
+    pairs = np.empty(0, U)
+    for buffer in _joined(texts):
+        b, g = _grams(buffer)
+        hit = np.arange(len(g)) if only is None else _among(g, only)
+        h = np.zeros(len(hit), U)
+        for k in (*range(AROUND), *range(AROUND + GRAM, 2 * AROUND + GRAM)):
+            h = h * U(0x100000001B3) ^ b[hit + k]
+        h = (h * U(0x9E3779B97F4A7C15)) >> U(64 - SPREAD)
+        pairs = _distinct(np.concatenate([pairs, (g[hit] << U(SPREAD)) | h]))[0]
+    slots = float(1 << SPREAD)
+    names, filled = _distinct(pairs >> U(SPREAD))
+    return names, -slots * np.log1p(-np.minimum(filled, slots - 0.5) / slots)
+
+
+def _at(names: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts of ``names`` in (sorted names, counts), 0 where missing."""
+    out = np.zeros(len(names))
+    if len(found[0]):
+        i = np.minimum(np.searchsorted(found[0], names), len(found[0]) - 1)
+        same = found[0][i] == names
+        out[same] = found[1][i][same]
+    return out
+
+
+def _stretches(texts: list[bytes], telling: np.ndarray) -> list[bytes]:
+    """The stretches of the texts that telling grams cover, widened to whole words (by 12 bytes at most)."""
+    out = []
+    for buffer in _joined(texts):
+        b, g = _grams(buffer)
+        hit = _among(g, telling)
+        if not len(hit):
             continue
-        g = np.zeros(n, np.uint64)
-        for k in range(GRAM):
-            g = (g << np.uint64(8)) | b[AROUND + k : AROUND + k + n]
-        if only is not None:
-            i = np.minimum(np.searchsorted(only, g), len(only) - 1)
-            hit = np.flatnonzero(only[i] == g)
-        else:
-            hit = np.arange(n)
-        h = g[hit]
-        for k in range(2 * AROUND + GRAM):
-            h = h * np.uint64(0x100000001B3) ^ b[hit + k]
-        names.append(g[hit])
-        kept.append(h)
-    if not names:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    _, first = np.unique(np.concatenate(kept), return_index=True)
-    return np.unique(np.concatenate(names)[first], return_counts=True)
-
-
-def _dictionaries(toxic: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes] | None:
-    """Contents of the ordinary and the toxic dictionary."""
+        cut, spaces = np.flatnonzero(np.diff(hit) > 1) + 1, np.flatnonzero(b <= 32)
+        start, end = hit[np.r_[0, cut]] + AROUND, hit[np.r_[cut - 1, -1]] + AROUND + GRAM
+        start = np.maximum(start - 12, spaces[np.searchsorted(spaces, start, "right") - 1])
+        end = np.minimum(end + 12, spaces[np.searchsorted(spaces, end - 1)] + 1)
+        out += [buffer[x:y] for x, y in zip(start.tolist(), end.tolist())]
+    return out
+
+
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """Content of a dictionary of at most ``size`` bytes, trained on ``samples``; where they are too few to train on, the
+    samples themselves."""
+    try:
+        made = zstd.train_dictionary(size, samples, k=segment, d=6, f=20, accel=1).as_bytes()
+        return made[-max(1, len(made) - 300) :]  # what follows the entropy tables
+    except zstd.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def _cut_up(texts: list[bytes], n: int, length: int, rng: np.random.Generator) -> list[bytes]:
+    """``n`` stretches of ``length`` bytes from anywhere in the texts."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    places = rng.integers(0, int(ends[-1]), n)
+    which = np.searchsorted(ends, places, "right")
+    return [texts[i][max(0, min(p, len(texts[i]) - length)) :][:length] for i, p in zip(which.tolist(), (places - (ends - sizes)[which]).tolist())]
+
+
+def _dictionaries(toxic: list[bytes], plain: list[bytes], counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[bytes, bytes] | None:
+    """Contents of the ordinary and the toxic dictionary; ``counted`` holds grams and their surroundings in either class."""
     lt, lp = sum(map(len, toxic)), sum(map(len, plain))
     if not lt or not lp:
         return None
-    grams, times = _grams(toxic)
-    enough = times >= max(4, min(12, len(toxic) // 20))
-    grams, times = grams[enough], times[enough].astype(float)
-    if not len(grams):
-        return None
-    seen, other = _grams(plain, grams)
-    in_plain = np.zeros(len(grams))
-    in_plain[np.searchsorted(grams, seen)] = other
+    grams, times, other = counted
     # lower bound of the rate in toxic text against the upper bound of the rate in ordinary text
-    ratio = ((times - 2 * np.sqrt(times)) / lt) / ((in_plain + 2 * np.sqrt(in_plain + 1) + 1) / lp)
-    telling = {int(g).to_bytes(GRAM, "big") for g in grams[ratio > 4]}
-    words, ordinary = Counter(), Counter()
-    for t in toxic:
-        words.update(set(WORD.findall(t)))
-    words = {w: c for w, c in words.items() if any((b" " + w + b" ")[i : i + GRAM] in telling for i in range(len(w) + 3 - GRAM))}
-    for t in plain:
-        ordinary.update(set(WORD.findall(t)))
-    words = {w: c for w, c in words.items() if c / lt > 3 * (ordinary[w] + 0.5) / lp}
-    if not words:
+    ratio = ((times - BOUND * np.sqrt(times)) / lt) / ((other + BOUND * np.sqrt(other + 1) + 1) / lp)
+    telling = grams[(times >= LEAST) & (ratio > RATIO)]
+    samples = _stretches(toxic, telling)
+    if not samples:
         return None
-    tail = b" " + b" ".join(sorted(words, key=lambda w: (words[w], w))[-3000:]) + b" "
     rng = np.random.default_rng(0)
-    pool = sorted(w for w in ordinary if w not in words)
-    filler = b" ".join(pool[i] for i in rng.integers(0, len(pool), len(tail) // 2 + 8)) if pool else b" "
-    filler = (filler * (len(tail) // len(filler) + 1))[: len(tail)]
-    pieces = [t[i : i + 128] for t in plain for i in range(0, len(t) - 128, 128)] or plain
-    base = b"".join(pieces[i] for i in rng.integers(0, len(pieces), 48))
-    return base + filler, base + tail
+    length = max(8, sum(map(len, samples)) // len(samples))
+    shared = _trained(SHARED, _cut_up(plain, 60_000, WINDOW, rng), SEGMENT)
+    size = min(OWN[1], max(OWN[0], OWN_PER_GRAM * len(telling)))
+    own_plain = _trained(size, _cut_up(plain, len(samples), length, rng), SHORT)
+    own_toxic = _trained(size, samples, SHORT)
+    size = min(len(own_plain), len(own_toxic))
+    return shared + own_plain[-size:], shared + own_toxic[-size:]
 
 
 class Windows:
@@ -107,7 +180,7 @@ class Windows:
 
     def __init__(self, contents: tuple[bytes, bytes]):
         parameters = zstd.ZstdCompressionParameters(
-            window_log=15, strategy=zstd.STRATEGY_LAZY2, min_match=4, hash_log=13, chain_log=13, search_log=5, target_length=32,
+            window_log=15, strategy=zstd.STRATEGY_LAZY2, min_match=4, hash_log=15, chain_log=15, search_log=5, target_length=32,
             write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS,
         )
         self.both = [
@@ -115,19 +188,29 @@ class Windows:
             for c in contents
         ]
 
+    def differences(self, buffer: bytes, segments: np.ndarray) -> np.ndarray:
+        """Ordinary less toxic length of each window (start, length) of the buffer."""
+        held = zstd.BufferWithSegments(buffer, segments.tobytes())
+        plain, toxic = [np.fromiter(map(len, c.multi_compress_to_buffer(held, threads=1)), np.int32, len(segments)) for c in self.both]
+        return plain - toxic
+
     def figures(self, texts: list[bytes]) -> np.ndarray:
         """Per text: largest difference, sums of differences above 2 and above 4 by window, log of the number of windows."""
+        if not texts:
+            return np.empty((0, 4))
         sizes = np.array([len(t) for t in texts])
         counts = np.maximum(1, -(-(sizes - WINDOW) // STEP) + 1)
         starts = np.cumsum(sizes) - sizes
         first = np.cumsum(counts) - counts
-        own = np.arange(counts.sum()) - np.repeat(first, counts)
-        segments = np.empty((len(own), 2), "<u8")
-        segments[:, 0] = np.repeat(starts, counts) + own * STEP
-        segments[:, 1] = np.minimum(np.repeat(starts + sizes, counts) - segments[:, 0].astype(np.int64), WINDOW)
-        buffer = zstd.BufferWithSegments(b"".join(texts), segments.tobytes())
-        plain, toxic = [np.fromiter(map(len, c.multi_compress_to_buffer(buffer, threads=1)), np.int64, len(own)) for c in self.both]
-        d = plain - toxic
+        buffer, n = b"".join(texts), int(counts.sum())
+        d = np.empty(n, np.int32)
+        for a in range(0, n, WINDOWS_AT_ONCE):
+            at = np.arange(a, min(n, a + WINDOWS_AT_ONCE))
+            of = np.searchsorted(first, at, "right") - 1
+            segments = np.empty((len(at), 2), "<u8")
+            segments[:, 0] = starts[of] + (at - first[of]) * STEP
+            segments[:, 1] = np.minimum((starts + sizes)[of] - segments[:, 0].astype(np.int64), WINDOW)
+            d[at] = self.differences(buffer, segments)
         total = counts + 20.0
         return np.stack(
             [np.maximum.reduceat(d, first) / 8.0, np.add.reduceat(np.maximum(d - 2, 0), first) / total * 10, np.add.reduceat(np.maximum(d - 4, 0), first) / total * 10, np.log(total)],
@@ -147,25 +230,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: list[int]) -> tuple[tuple[bytes, bytes], np.ndarray] | None:
-    """Dictionaries and weights from labelled texts, each different text once; None if a class is missing."""
-    rows = sorted({t: y for t, y in zip(texts, toxic)}.items())
-    part = [zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for t, _ in rows]
-    rows = [(lowered(t), y) for t, y in rows]
-    contents = _dictionaries([t for t, y in rows if y], [t for t, y in rows if not y])
-    figures, seen = [], []
+    """Dictionaries and weights from labelled texts, in any order; None if a class is missing.
+
+    Each different text counts once; it is toxic if any of its rows is.
+    """
+    known: dict[str, int] = {}
+    for t, y in zip(texts, toxic):
+        known[t] = max(y, known.get(t, 0))
+    rows = [(lowered(t), y, zlib.crc32(t.encode("utf-8", "replace")) % FOLDS) for t, y in sorted(known.items())]
+    of = lambda y, folds: [t for t, z, p in rows if z == y and p in folds]
+    counts = [_surroundings(of(1, [f])) for f in range(FOLDS)]
+    names = _distinct(np.concatenate([c[0] for c in counts]))[0]
+    times = np.stack([_at(names, c) for c in counts])
+    names, times = names[times.sum(axis=0) >= 4], times[:, times.sum(axis=0) >= 4]
+    other = np.stack([_at(names, _surroundings(of(0, [f]), names)) for f in range(FOLDS)])
+
+    def made(folds: list[int]) -> tuple[bytes, bytes] | None:
+        return _dictionaries(of(1, folds), of(0, folds), (names, times[folds].sum(axis=0), other[folds].sum(axis=0)))
+
+    contents, figures, seen = made(list(range(FOLDS))), [], []
     for fold in range(FOLDS):  # the weights come from texts that the dictionaries haven't seen
-        make = [r for r, p in zip(rows, part) if p != fold]
-        keep = [r for r, p in zip(rows, part) if p == fold]
-        made = _dictionaries([t for t, y in make if y], [t for t, y in make if not y])
-        if made and keep:
-            figures.append(Windows(made).figures([t for t, _ in keep]))
+        part = made([f for f in range(FOLDS) if f != fold])
+        keep = [(t, y) for t, y, p in rows if p == fold]
+        if part and keep:
+            figures.append(Windows(part).figures([t for t, _ in keep]))
             seen += [y for _, y in keep]
     if contents is None or len(set(seen)) < 2:
         return None
     y, x = np.array(seen, float), np.concatenate(figures)
     w = _logistic(x, y)
     z = np.c_[x, np.ones(len(y))] @ w
-    order = np.argsort(-z)
+    order = np.argsort(-z, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     best = int(np.argmax(f1))
@@ -201,6 +296,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
             texts += b.column(0).to_pylist()
             toxic += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
+        give_back()
 
     return sample.repartition(1).mapInArrow(run, "model binary").first()["model"]
 
@@ -212,17 +308,15 @@ def with_scores(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(model)
         windows = Windows(fitted[0]) if fitted else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                score = np.zeros(part.num_rows)
-                if windows:
-                    x = windows.figures([lowered(t) for t in part.column(part.num_columns - 1).to_pylist()])
-                    score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ fitted[1], -30, 30)))
-                keep = part.columns[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [*keep, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"]
-                )
+        for part in slices(batches, "__text"):
+            score = np.zeros(part.num_rows)
+            if windows:
+                x = windows.figures([lowered(t) for t in part.column(part.num_columns - 1).to_pylist()])
+                score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ fitted[1], -30, 30)))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"]
+            )
+        give_back()
 
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.select(*[f"`{c}`" for c in rest]).dtypes)
@@ -231,6 +325,10 @@ def with_scores(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: doc_id, held_out, score and predicted.
+
+    Null texts are scored as empty ones, a null doc_id isn't held out, repeated rows are all returned with one score.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = with_scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
