@@ -151,3 +151,14 @@ def test_components_from_small_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_near_copies_without_id_link(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join(words[:k] + ["x"] + words[k:]) for k in (0, 50, 100)]
+    other = [f"v{i}" for i in range(100)]
+    rows = [(None, near[0]), (4, " ".join(words)), (None, near[1]), (9, near[2]), (None, " ".join(other)), (None, " ".join([*other, "y"])), (2, "z " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()]
+    key = lambda t: (t[0] is None, t[0] or 0, t[1] is None, t[1] or 0)
+    assert sorted(got, key=key) == sorted([(None, 4), (4, 4), (None, 4), (9, 4), (None, None), (None, None), (2, 2)], key=key)

@@ -107,7 +107,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .union(lowest.select("u", F.col("lo").alias("v")))
             .distinct()
         )
-        links = written(small_star)
+        done, links = links, written(small_star)
+        discard(done)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

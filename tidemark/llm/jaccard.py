@@ -1,12 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
 Every distinct shingle of a text flips one bit of a long sparse bit sketch, so the Hamming distance
-of two sketches is at most the symmetric difference D of their sets. The sketch is cut into P > D
-segments: sets that differ by at most D agree in at least P - D of them. Segments are kept as a hash
-that is XORed together from one random word per set bit. Of its P segments a set emits only the D + 1
-that carry most bits (ties by hash): by the prefix argument two sets that agree in P - D segments
-still share an emitted one, and empty or nearly empty segments are never emitted. D and P depend on a
-band of sizes only; sets that can link across a band's edge also emit for a table of that edge.
+of two sketches is at most the symmetric difference of their sets. The sketch of a size band is cut
+into P segments, a third more than the largest difference D of a pair whose smaller set lies in the
+band; a pair that differs by d agrees in at least P - d segments. Segments are kept as a hash that is
+XORed together from one random word per set bit. Of its P segments a set emits only as many as its
+own largest difference from any partner in that band, and one more: those that carry most bits (ties
+by hash). By the prefix argument two sets that agree in P - d segments share one of the d + 1 first
+of either, and both emit as many at least. Nearly empty segments are never emitted. A set emits for
+the band of its size and for those below that can hold a smaller partner.
 
 Sets that meet are verified exactly. Nothing is capped: in each meeting one set is tried
 with all others; meetings that this leaves unlinked are dealt to groups of about BLOCK sets a side,
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import components, discard, give_back, slices, small, table, written
 
 U = np.uint64
-KEYS_PER_TASK = 1_500_000
-MEMO = 400_000
+KEYS_PER_TASK = 1_000_000
+KEY_BYTES = 5
+MEMO = 150_000
 BLOCK = 1000
 STEP = U(0x9E3779B97F4A7C15)
 
@@ -95,61 +98,62 @@ def most_apart(a: int, b: int, num: int, den: int) -> int:
     return (a + b) * (den - num) // (den + num)
 
 
+def segments(band: int, num: int, den: int) -> int:
+    """Number of segments in a band, whose smaller sets have 2**band to 2**(band + 1) - 1 shingles."""
+    most = (2 << band) - 1
+    d = most_apart(most, most * den // num, num, den)
+    return d + d // 3 + 2
+
+
 def tables(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(table, D) for which a set of size n emits segments: its band's, and that of an edge which a partner can lie beyond."""
-    t = n.bit_length() - 1
-    low, high = 1 << t, (2 << t) - 1  # sizes of the band
-    out = [(2 * t, most_apart(high, high, num, den))]
-    if n * num <= den * low:  # a partner can be smaller than low; sizes up to low * den / num meet at this edge
-        out.append((2 * t - 1, most_apart(low - 1, (low - 1) * den // num, num, den)))
-    if n * den >= num * (high + 1):
-        out.append((2 * t + 1, most_apart(high, high * den // num, num, den)))
-    return [x for x in out if x[0] >= 0]
+    """(band, D) for which a set of size n emits segments: its own band, and each below with possible partners."""
+    own = n.bit_length() - 1
+    out = [(own, most_apart(n, n * den // num, num, den))]
+    for band in range(own - 1, -1, -1):
+        largest = (2 << band) - 1
+        if largest * den < n * num:
+            break
+        out.append((band, most_apart(n, largest, num, den)))
+    return out
 
 
 def segment_keys(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owner): the keys that sets emit over all their tables, and the number of the set of each."""
-    plans: list[list[tuple[int, int, int]]] = [[], [], []]  # by kind of table: (set, table, D)
-    for i, c in enumerate(counts.tolist()):
-        for k, (t, d) in enumerate(tables(c, num, den) if c else ()):
-            plans[k].append((i, t, d))
-    starts = np.cumsum(counts) - counts
-    keys, owners = [], []
-    for plan in plans:
-        if not plan:
-            continue
-        doc, table_no, d = np.array(plan, np.int64).T
-        n = counts[doc]
-        p = d + d // 8 + 2
-        base = np.cumsum(p) - p
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        salt = mix(table_no.astype(U) + U(1))
-        x = mix(s[np.repeat(starts[doc], n) + within] ^ np.repeat(salt, n))
-        segment = np.repeat(base, n) + ((x >> U(32)) * np.repeat(p.astype(U), n) >> U(32)).astype(np.int64)
-        parity = np.zeros(int(p.sum()), U)
-        np.bitwise_xor.at(parity, segment, mix(x ^ U(0xD6E8FEB86659FD93)))
-        bits = np.bincount(segment, minlength=len(parity))
-        number = np.arange(len(parity)) - np.repeat(base, p)
-        key = mix(parity + number.astype(U) * STEP + np.repeat(salt, p))
-        # the order of emission: segments with most bits first, then by hash
-        key = ((255 - np.minimum(bits, 255)).astype(U) << U(56)) | (key >> U(8))
-        for b, width, limit in zip(base.tolist(), p.tolist(), d.tolist()):
-            keys.append(np.sort(key[b : b + width])[: limit + 1])
-        owners.append(np.repeat(doc, d + 1))
-    if not keys:
+    """(keys, owner): the keys that sets emit over all their bands, and the number of the set of each."""
+    known: dict[int, list[tuple[int, int]]] = {}
+    plan = [(i, t, d) for i, c in enumerate(counts.tolist()) if c for t, d in known.get(c) or known.setdefault(c, tables(c, num, den))]
+    if not plan:
         return np.empty(0, U), np.empty(0, np.int64)
-    return mix(np.concatenate(keys)), np.concatenate(owners)
+    starts = np.cumsum(counts) - counts
+    keys = []
+    doc, band, d = np.array(plan, np.int64).T
+    n = counts[doc]
+    p = np.array([segments(t, num, den) for t in range(int(band.max()) + 1)])[band]
+    base = np.cumsum(p) - p
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    salt = mix(band.astype(U) + U(1))
+    x = mix(s[np.repeat(starts[doc], n) + within] ^ np.repeat(salt, n))
+    segment = np.repeat(base, n) + ((x >> U(32)) * np.repeat(p.astype(U), n) >> U(32)).astype(np.int64)
+    parity = np.zeros(int(p.sum()), U)
+    np.bitwise_xor.at(parity, segment, mix(x ^ U(0xD6E8FEB86659FD93)))
+    bits = np.bincount(segment, minlength=len(parity))
+    number = np.arange(len(parity)) - np.repeat(base, p)
+    key = mix(parity + number.astype(U) * STEP + np.repeat(salt, p))
+    # the order of emission: segments with most bits first, then by hash
+    key = ((255 - np.minimum(bits, 255)).astype(U) << U(56)) | (key >> U(8))
+    for b, width, limit in zip(base.tolist(), p.tolist(), d.tolist()):
+        keys.append(np.sort(key[b : b + width])[: limit + 1])
+    return mix(np.concatenate(keys)), np.repeat(doc, d + 1)
 
 
 def dense_sketch(s: np.ndarray, n: int) -> bytes:
-    """Parity sketch of bit length 2**k >= 4 n; every shingle flips one bit."""
+    """Parity sketch of bit length 2**k >= 2 n; every shingle flips one bit."""
     size = dense_bits(n)
     odd = np.bincount((mix(s ^ U(0xA0761D6478BD642F)) % U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def dense_bits(n: int) -> int:
-    return max(64, 1 << (4 * n - 1).bit_length())
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -176,11 +180,24 @@ def set_digests(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
                 [batch.column(0), pa.array(counts), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
                 names=["doc_id", "n_shingles", "h1", "h2"],
             )
+        del words
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
+def _packed(k: np.ndarray) -> bytes:
+    """The KEY_BYTES low bytes of each key, which tell the keys of one part apart well enough to find meetings."""
+    return k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _key_blobs(docs: DataFrame, text: str, n: int, num: int, den: int, parts: int) -> DataFrame:
     """(part, keys, sets): blobs of the keys of each part with the h1 of the set that emitted them."""
 
@@ -190,13 +207,13 @@ def _key_blobs(docs: DataFrame, text: str, n: int, num: int, den: int, parts: in
 
         def flush() -> pa.RecordBatch:
             k, i = np.concatenate(keys), np.concatenate(ids)
-            part = (k % U(parts)).astype(np.int64)
+            part = ((k >> U(8 * KEY_BYTES)) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             k, i, part = k[order], i[order], part[order]
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.r_[at[1:], len(part)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[at], pa.int64()), pa.array([k[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()), pa.array([i[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())],
+                [pa.array(part[at], pa.int64()), pa.array([_packed(k[a:b]) for a, b in zip(at, ends)], pa.binary()), pa.array([i[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())],
                 names=["part", "keys", "sets"],
             )
 
@@ -211,11 +228,13 @@ def _key_blobs(docs: DataFrame, text: str, n: int, num: int, den: int, parts: in
             keys.append(k)
             ids.append(h[new, 0][owner])
             held += len(k)
-            if held >= 1_000_000:
+            if held >= 500_000:
                 yield flush()
                 keys, ids, held = [], [], 0
         if held:
             yield flush()
+        del words
+        give_back()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "part long, keys binary, sets binary")
 
@@ -224,14 +243,19 @@ def _meetings(blobs: DataFrame) -> DataFrame:
     """(key, h1) of the keys that two sets at least emitted. A part holds about KEYS_PER_TASK keys."""
 
     def run(pieces: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(b, U) for b in pieces.column("keys").to_pylist()])
+        k = np.concatenate([_unpacked(b) for b in pieces.column("keys").to_pylist()])
         i = np.concatenate([np.frombuffer(b, np.int64) for b in pieces.column("sets").to_pylist()])
+        order = np.argsort(k, kind="stable")
+        k, i = k[order], i[order]
+        same = k[1:] == k[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        k, i = k[keep], i[keep]
         order = np.lexsort((i, k))
         k, i = k[order], i[order]
-        first = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+        first = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])][: len(k)]
         k, i = k[first], i[first]
         same = k[1:] == k[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
+        keep = (np.r_[same, False] | np.r_[False, same])[: len(k)]
         k, i = k[keep], i[keep]
         if len(k):  # meetings of the same sets say the same: keep one key for each list of sets
             at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -242,6 +266,7 @@ def _meetings(blobs: DataFrame) -> DataFrame:
             keep = np.repeat(chosen, np.diff(np.r_[at, len(k)]))
             name = np.repeat(lists, np.diff(np.r_[at, len(k)]))
             k, i = name[keep], i[keep]
+        give_back()
         return pa.table({"key": pa.array(k.view(np.int64)), "h1": pa.array(i)})
 
     return blobs.groupBy("part").applyInArrow(run, "key long, h1 long").distinct()
@@ -295,8 +320,11 @@ def _both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, linked) by exact intersection."""
     common = F.size(F.array_intersect("items_a", "items_b"))
-    both = _both_sides(written(pairs), sets, "items")
-    return written(both.select("a", "b", (den * common >= num * (F.col("n_a") + F.col("n_b") - common)).alias("linked")).distinct())
+    pairs = written(pairs)
+    both = _both_sides(pairs, sets, "items")
+    out = written(both.select("a", "b", (den * common >= num * (F.col("n_a") + F.col("n_b") - common)).alias("linked")).distinct())
+    discard(pairs)
+    return out
 
 
 def _dealt(met: DataFrame, nodes: DataFrame, block: int, inside: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -396,31 +424,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Texts link when their sets of distinct n-word shingles have a Jaccard similarity of at least
     num / den. Null and wordless texts have an empty set and link with nothing. Rows with a null id
-    are returned; they link as exact copies only. Repeated rows are all returned.
+    are returned and link like all others; a group without any id has component_id null. Repeated rows
+    are all returned. Sets are told apart by a 128-bit digest and compared under its first 64 bits.
     """
     rows = written(set_digests(docs, id_col, text, n))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total * 0.6) // KEYS_PER_TASK))
+    parts = max(1, -(-int(total * 0.35) // KEYS_PER_TASK))
     held = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     met = written(_meetings(_key_blobs(docs, text, n, num, den, parts)))
     ids = met.select("h1").distinct()
-    wanted = written(ids.join(held, "h1").select(F.col("rep").alias("doc_id"), "h1").where("doc_id IS NOT NULL"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chosen = source.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(_candidate_sets(chosen, "text", n))  # a repeated row's set stands twice, which changes nothing
-
-    # in each meeting one set is tried with all others
-    lead = met.groupBy("key").agg(F.min("h1").alias("a"))
-    pairs = written(met.join(lead, "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct())
-    tried = _verified(_possible(pairs, sets, num, den), sets, num, den)
-    label = written(components(tried.where("linked")))
+    wanted = written(ids.join(held, "h1").select("h1", F.col("rep").alias("doc_id")))
     alone = wanted.select("h1").distinct()
-    if sets.count() > alone.count():  # repeated rows
-        sets = written(sets.dropDuplicates(["h1"]))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    chosen = source.join(small(wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_semi")
+    nameless = not wanted.where("doc_id IS NULL").isEmpty()
+    if nameless:
+        chosen = chosen.union(source.where("doc_id IS NULL"))
+    sets = written(_candidate_sets(chosen, "text", n))
+    if nameless or sets.count() > alone.count():  # repeated rows, and rows of other sets
+        once = written(sets.join(alone, "h1", "left_semi").dropDuplicates(["h1"]))
+        discard(sets)
+        sets = once
+
+    # in each large meeting one set is tried with all others, so that less is left for the groups
+    large = written(met.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("a")).where(F.col("c") > BLOCK))
+    some = not large.isEmpty()
+    if some:
+        pairs = written(met.join(small(large.select("key", "a")), "key").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct())
+        tried = _verified(_possible(pairs, sets, num, den), sets, num, den)
+        label = written(components(tried.where("linked")))
+    else:
+        tried = docs.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+        label = docs.sparkSession.createDataFrame([], "node long, comp long")
     todo = met
-    large = met.groupBy("key").count().where(F.col("count") > BLOCK)
     # inside: larger meetings only, to link most before their blocks are compared
-    for step in ("forest", "all") if large.isEmpty() else ("inside", "forest", "all"):
+    for step in ("inside", "forest", "all") if some else ("forest", "all"):
         nodes = alone.join(label.withColumnRenamed("node", "h1"), "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
         found = written(_unlinked_pairs(todo, nodes, sets, tried, num, den, step == "all", step == "inside"))
         more = _verified(found.select("a", "b").distinct(), sets, num, den)
@@ -433,6 +471,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 break
             again = found.join(more.where("NOT linked"), ["a", "b"], "left_semi").select("key").distinct()
             todo = written(todo.join(again, "key", "left_semi"))
+        discard(found)
+    discard(sets)
     comp = label.join(held, label["node"] == held["h1"]).groupBy("comp").agg(F.min("rep").alias("lowest"))
     of_set = held.join(label, held["h1"] == label["node"], "left").join(comp, "comp", "left")
     of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"))
@@ -442,6 +482,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every row of ``documents``; nulls, ties and repeated rows as in near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
