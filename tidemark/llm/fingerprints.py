@@ -3,9 +3,10 @@
 A text is a sequence of tokens (runs of at most 16 non-space characters; one character each beyond
 U+2E7F). Of its k-token windows those are anchors whose smallest s-token substring, by hash, stands
 at the first or last place (closed syncmers): whether a window is an anchor depends on its own
-tokens only. The fingerprint is the ``size`` smallest anchor hashes (32 bits each, in hexadecimal),
-so that the share of equal hashes among the smallest of two fingerprints estimates the Jaccard
-similarity of their anchor sets.
+tokens only. The fingerprint of a text is all its anchors, in order, with the distance of each from
+the next. Fingerprints are matched by position: a link is an anchor, the next one and the number of
+tokens between them, so that a passage is matched wherever it stands, but its anchors in one order and
+at the same distances only. The likeness is the Jaccard similarity of the two sets of links.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 TOKEN = r"[^\x00-\x20⺀-￿]{1,16}|[⺀-￿]"
-MAX_BUCKETS = 512
-"""Most ranges of ids that neighbours are looked up in; the bounds of the ranges are literals of the plan."""
+RANGES = 4000
+"""Most ranges of ids that neighbours are looked up in; their bounds are one array literal of the plan. Ranges of more
+rows than ``per_range`` follow beyond that; Spark sorts each and spills what doesn't fit."""
 
 
 def _hashes(text: Column) -> Column:
@@ -31,9 +33,10 @@ def _shifted(a: Column, by: int) -> Column:
 def with_anchors(df: DataFrame, text: Column, name: str, k: int = 4, s: int = 2, positions: bool = False) -> DataFrame:
     """Add column ``name``: the anchors of ``text``, as hashes or as (pos, hash) with the window's first token number.
 
-    A text with fewer than k tokens has one anchor, its whole token sequence; without tokens it has none.
+    A text with fewer than k tokens has one anchor, its whole token sequence; without tokens it has none. A column
+    ``name`` that ``df`` has is replaced.
     """
-    h, g = f"__{name}_h", f"__{name}_g"
+    h, g = unused(df, f"{name}_h"), unused(df, f"{name}_g")
     df = df.withColumn(h, _hashes(text))
     # s-token substrings, shifted against each other so that one zip shows those of a window
     grams = F.col(h)
@@ -67,62 +70,67 @@ def with_anchors(df: DataFrame, text: Column, name: str, k: int = 4, s: int = 2,
 
 
 def syncmers(docs: DataFrame, text: str = "text", k: int = 4, s: int = 2) -> DataFrame:
-    """``docs`` plus ``anchors``: array of (pos, hash) for positional matching. Null texts count as empty."""
+    """``docs`` plus ``anchors``: array of (pos, hash) for positional matching. Null texts count as empty; repeated rows stay;
+    a column ``anchors`` that ``docs`` has is replaced."""
     return with_anchors(docs, F.coalesce(F.col(text), F.lit("")), "anchors", k, s, positions=True)
 
 
-def sketch(anchors: Column, size: int = 64) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(anchors)), 1, size)
+def links(anchors: Column) -> Column:
+    """One hash for each anchor (pos, hash): of it, the next anchor and the tokens between; the last one of itself alone."""
+    both = F.arrays_zip(anchors.alias("a"), _shifted(anchors, 1).alias("b"))
+    gap = lambda z: (z["b"]["pos"] - z["a"]["pos"]).cast("long")
+    return F.transform(both, lambda z: F.xxhash64(z["a"]["hash"], z["b"]["hash"], gap(z)))
 
 
-def likeness(a: Column, b: Column, size: int = 64) -> Column:
-    """Share of the smallest hashes of both sketches that both hold: 0 to 1; two empty sketches are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of links: 0 to 1; two empty ones are alike."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def printed(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def printed(anchors: Column) -> Column:
+    """All anchors in order, each as its hash (8 hexadecimal digits), a point and its distance from the one before."""
+    before = F.concat(F.array(F.lit(0)), F.transform(anchors, lambda x: x["pos"]))
+    both = F.slice(F.arrays_zip(anchors.alias("a"), before.alias("p")), 1, F.size(anchors))
+    word = lambda z: F.concat(F.lpad(F.lower(F.hex(z["a"]["hash"])), 8, "0"), F.lit("."), (z["a"]["pos"] - z["p"]).cast("string"))
+    return F.array_join(F.transform(both, word), ",")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], per_bucket: int = 4096) -> DataFrame:
-    """``df`` plus ``next_<column>``: the values of the next row in ascending ``key`` (nulls first, then ties in any
-    fixed order); after the last row the first.
+def with_next(df: DataFrame, key: str, columns: list[str], per_range: int = 4096) -> DataFrame:
+    """``df`` plus ``next_<column>``: the values of the next row in ascending ``key`` (nulls first, then ties by
+    ``columns``, equal rows in any order); after the last row the first. Columns of those names that ``df`` has are replaced.
 
     Rows are dealt to ranges of keys by quantile bounds. The first rows of a range go to the range
     before it too, so that one shuffle and a window in each range find every successor.
     """
-    n = df.select(key).count()
-    buckets = max(1, min(MAX_BUCKETS, n // per_bucket))
+    n = df.count()
+    ranges = max(1, min(RANGES, n // per_range))
     cuts: list = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        found = df.agg(F.percentile_approx(key, shares, 100 * buckets)).first()[0]
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
         cuts = sorted(set(found or []))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
-    if cuts:
-        bucket = F.when(F.col(key).isNull(), F.lit(0)).otherwise(bucket)
-    # smallest key of each range: at most MAX_BUCKETS rows
-    firsts = sorted(
-        (r.b, r.k, r.n) for r in df.select(bucket.alias("b"), F.col(key).alias("k")).groupBy("b").agg(F.min("k").alias("k"), (F.count("*") > F.count("k")).alias("n")).collect()
-    )
-    before = {b: firsts[i - 1][0] for i, (b, _, _) in enumerate(firsts)}
-    own = df.withColumn("__b", bucket)
-    extra = F.lit(None).cast("int")
-    for b, k, nulls in firsts:
-        same = F.col(key).isNull() if nulls else F.col(key) == F.lit(k)
-        extra = F.when((F.col("__b") == b) & same, F.lit(before[b])).otherwise(extra)
-    seat = F.when(extra.isNull(), F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("guest")))).otherwise(
-        F.array(
-            F.struct(F.col("__b").alias("b"), F.lit(False).alias("guest")), F.struct(extra.alias("b"), F.lit(True).alias("guest"))
-        )
-    )
-    dealt = own.withColumn("__seat", F.explode(seat)).withColumn("__g", F.col("__seat.guest")).withColumn("__b", F.col("__seat.b")).drop("__seat")
-    order = Window.partitionBy("__b").orderBy(F.col("__g"), F.col(key).asc_nulls_first(), *[F.col(c) for c in columns])
-    out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.where("NOT __g").drop("__g", "__b")
+    kind = df.select(key).schema[0].dataType
+    own = df.select(F.struct("*").alias("row"))
+    value = F.col("row")[key]
+    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
+    bucket = F.when(value.isNull() | F.lit(not cuts), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= value))).cast("int")
+    own = own.withColumn("at", bucket)
+    # smallest key of each range and whether it holds nulls: at most RANGES rows
+    firsts = {r[0]: (r[1], r[2]) for r in own.groupBy("at").agg(F.min(value), F.count("*") > F.count(value)).collect()}
+    held = sorted(firsts)
+    before = {b: held[i - 1] for i, b in enumerate(held)}
+    every = range(len(cuts) + 1)
+    least = F.array(*[F.lit(None if firsts.get(b, (None, 1))[1] else firsts[b][0]).cast(kind) for b in every])
+    nulls = F.array(*[F.lit(bool(firsts.get(b, (0, False))[1])) for b in every])
+    guest_of = F.array(*[F.lit(before.get(b, 0)) for b in every])
+    first = F.coalesce(F.get(least, F.col("at")) == value, F.lit(False)) | (value.isNull() & F.get(nulls, F.col("at")))
+    seat = lambda at, guest: F.struct(at.alias("at"), F.lit(guest).alias("guest"))
+    seats = F.when(first, F.array(seat(F.col("at"), False), seat(F.get(guest_of, F.col("at")), True))).otherwise(F.array(seat(F.col("at"), False)))
+    dealt = own.select("row", F.explode(seats).alias("seat")).select("row", "seat.at", "seat.guest")
+    order = Window.partitionBy("at").orderBy("guest", value.asc_nulls_first(), *[F.col("row")[c] for c in columns])
+    names = [f"next_{c}" for c in columns]
+    out = dealt.select("row", "guest", *[F.lead(F.col("row")[c]).over(order).alias(f"next_{c}") for c in columns])
+    return out.where("NOT guest").select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *names)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,21 +139,22 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts count as empty. Repeated doc_ids follow each other in a fixed order of their texts.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_anchors(docs, F.col("text"), "a").select("doc_id", "text", sketch(F.col("a")).alias("fp"))
-    pairs = with_next(own, "doc_id", ["text", "fp"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = pairs.select(
-        "doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp",
+    rows = with_next(docs, "doc_id", ["text"]).select(
+        "doc_id", "text", "next_text", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    done = with_anchors(edited, F.col("edited"), "a").select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", sketch(F.col("a")).alias("efp")
-    )
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256",
-        printed(F.col("fp")).alias("fingerprint"), printed(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    for source, name in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
+        rows = with_anchors(rows, F.col(source), name, positions=True)
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
+        *[links(F.col(c)).alias(c) for c in ("own", "changed", "following")],
+    )
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
 
 
