@@ -18,7 +18,9 @@ def plain(v):
         return "null"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float, decimal.Decimal)):
+    if isinstance(v, int) or isinstance(v, (float, decimal.Decimal)) and v == int(v):
+        return str(int(v))
+    if isinstance(v, (float, decimal.Decimal)):
         return f"{float(v):.5g}"
     if isinstance(v, datetime.datetime):
         return str(v)[:10]

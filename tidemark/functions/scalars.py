@@ -38,16 +38,19 @@ def role_flags(relationship: Column, title: Column) -> dict[str, Column]:
     flags = {
         "is_officer": letters.contains("officer"),
         "is_director": letters.contains("director"),
-        "is_ten_percent": letters.contains("owner"),
-        "is_ceo": t.rlike("chief executive|\\bceo\\b"),
-        "is_cfo": t.rlike("chief financial|\\bcfo\\b"),
-        "is_president": t.rlike("president") & ~t.rlike("vice|\\bvp\\b"),
+        "is_ten_percent": letters.contains("tenpercentowner"),
+        "is_other": letters.contains("other"),
+        "is_ceo": t.rlike(r"\bceo\b|chief executive"),
+        "is_cfo": t.rlike(r"\bcfo\b|chief financial"),
+        "is_coo": t.rlike(r"\bcoo\b|chief operating"),
+        "is_chair": t.rlike(r"\bchair(man|woman|person)?\b"),
+        "is_president": t.rlike(r"\bpresident\b") & ~t.rlike(r"vice|\bvp\b"),
     }
     return {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
 
 
 def role_precedence(flags: dict[str, Column]) -> Column:
-    top = flags["is_ceo"] | flags["is_cfo"] | flags["is_president"]
+    top = flags["is_ceo"] | flags["is_cfo"] | flags["is_coo"] | flags["is_chair"] | flags["is_president"]
     return (
         F.when(top, "top_executive").when(flags["is_officer"], "other_officer").when(flags["is_director"], "director")
         .when(flags["is_ten_percent"], "ten_percent_owner").otherwise("other")
@@ -89,4 +92,6 @@ def detect_format(text: Column) -> Column:
 
 
 def text_mention_flags(text: Column) -> dict[str, Column]:
-    return {"mentions_plan": F.coalesce(text.rlike("(?i)10b5-?1"), F.lit(False)), "mentions_private": F.coalesce(text.rlike("(?i)private(ly)?"), F.lit(False))}
+    """Mentions of a trading plan (spaces, hyphens and dashes between the parts) and of private deals (whole words)."""
+    found = {"mentions_plan": text.rlike(r"(?i)10b5[\s\-\u2013]*1"), "mentions_private": text.rlike(r"(?i)\bprivate(ly)?\b")}
+    return {k: F.coalesce(v, F.lit(False)) for k, v in found.items()}

@@ -19,8 +19,10 @@ def split_at(intervals: DataFrame, boundaries: DataFrame, key: str) -> DataFrame
 
 
 def coalesce_adjacent(intervals: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
-    """Merge rows of a key that follow each other without a gap and agree in ``attributes`` (null equals null)."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+    """Merge rows of a key that follow each other without a gap and agree in ``attributes`` (null equals null).
+
+    Rows of one interval come in the order of their attributes."""
+    w = Window.partitionBy(*keys).orderBy("start", "end", *attributes)
     same = F.coalesce(F.date_add(F.lag("end").over(w), 1) == F.col("start"), F.lit(False))
     for a in attributes:
         same = same & F.col(a).eqNullSafe(F.lag(a).over(w))
@@ -36,8 +38,9 @@ def close_history(history: DataFrame, keys: list[str], start: str = "start") ->
 
 
 def overlaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that start on or before the latest end of the rows before them."""
-    w = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    """Rows that start on or before the latest end of the rows before them; ties go by the remaining columns."""
+    rest = [c for c in intervals.columns if c not in (*keys, "start", "end")]
+    w = Window.partitionBy(*keys).orderBy("start", "end", *rest).rowsBetween(Window.unboundedPreceding, -1)
     return intervals.withColumn("_m", F.max("end").over(w)).where("start <= _m").drop("_m")
 
 
@@ -57,7 +60,7 @@ def active_link(rows: DataFrame, links: DataFrame, key: str, date: str, row_key:
 
 def tiles(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Parents whose children do not tile them exactly: (keys, ok)."""
-    w = Window.partitionBy(*keys).orderBy("start")
+    w = Window.partitionBy(*keys).orderBy("start", "end")
     c = children.withColumn("_gap", F.coalesce(F.date_add(F.lag("end").over(w), 1) != F.col("start"), F.lit(False)))
     g = c.groupBy(*keys).agg(F.min("start").alias("_a"), F.max("end").alias("_b"), F.bool_or("_gap").alias("_g"))
     j = parents.join(g, keys, "left")

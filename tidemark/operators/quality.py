@@ -19,6 +19,39 @@ def price_status(price: Column, low: Column, high: Column, tolerance: float = 0.
     )
 
 
+def transaction_flags(rows: DataFrame) -> DataFrame:
+    """``rows`` plus the transaction checks, each true or false, and ``status`` of the price against the day's range.
+
+    Needs transaction_code, acquired_disposed, filing_date, transaction_date, price, shares, low, high, cap_lag and adv.
+    A purchase must acquire and a sale dispose; an unknown filing lag counts as after filing; prices are compared
+    where price and bounds are positive only.
+    """
+    code, side, price, low, high = (F.col(c) for c in ("transaction_code", "acquired_disposed", "price", "low", "high"))
+    lag = F.datediff("filing_date", "transaction_date")
+    comparable = (price > 0) & (low > 0) & (high > 0)
+    known = lambda c, default=False: F.coalesce(c, F.lit(default))
+    checks = {
+        "direction": ~known(((code == "P") & (side == "A")) | ((code == "S") & (side == "D"))),
+        "after_filing": known(lag < 0, True),
+        "late": known(lag > 30),
+        "outside_range": known(comparable & ((price < 0.99 * low) | (price > 1.01 * high))),
+        "scale_error": known(comparable & ((price >= 10 * high) | (price <= low / 10))),
+        "large_trade": large_trade(F.abs("shares") * F.abs(price), F.col("cap_lag"), F.col("adv")),
+        "status": price_status(price, low, high),
+    }
+    return rows.withColumns(checks)
+
+
+def price_ranges(rows: DataFrame, price: str, low: str, high: str, wide_low: str, wide_high: str, tolerance: float = 0.01) -> DataFrame:
+    """``rows`` plus within_day, within_week, below_week, above_week and, below the wide range, the ratio to its low."""
+    p, down, up = F.col(price), 1 - tolerance, 1 + tolerance
+    below = p < down * F.col(wide_low)
+    return rows.withColumns({
+        "within_day": p.between(down * F.col(low), up * F.col(high)), "within_week": p.between(down * F.col(wide_low), up * F.col(wide_high)),
+        "below_week": below, "above_week": p > up * F.col(wide_high), "ratio_to_week_low": F.when(below, p / F.col(wide_low)),
+    })
+
+
 def ownership_continuity(rows: DataFrame, keys: list[str], order: list[str], event_date: str, direction: str, quantity: str, reported: str, tolerance: float = 1e-6) -> DataFrame:
     """``rows`` plus expected, difference and status of the running balance of each position key.
 
@@ -47,6 +80,6 @@ def ownership_continuity(rows: DataFrame, keys: list[str], order: list[str], eve
 
 def split_factor_between(rows: DataFrame, splits: DataFrame, key: str, prev: str, now: str, row_key: list[str]) -> DataFrame:
     """Product of the factors with prev < effective_date <= now."""
-    j = rows.join(splits, key, "left").where(F.col("effective_date").isNull() | F.lit(True))
+    j = rows.join(splits, key, "left")
     hit = (F.col("effective_date") > F.col(prev)) & (F.col("effective_date") <= F.col(now))
     return j.groupBy(*row_key).agg(F.product(F.when(hit, F.col("split_factor")).otherwise(F.lit(1.0))).alias("factor"))

@@ -64,7 +64,7 @@ def holm(df: DataFrame, p: str, key: str, by: list[str]) -> DataFrame:
 
 
 def newey_west(series: DataFrame, by: list[str], value: str, order: str, lags: int = 6) -> DataFrame:
-    """Mean and t of a time series per group: Bartlett weights, autocovariances divided by n."""
+    """Mean and t of a time series per group: Bartlett weights, autocovariances divided by n. Fewer than three values give no t."""
     from pyspark.sql import Window
 
     mean = series.join(series.groupBy(*by).agg(F.avg(value).alias("_m"), F.count(value).alias("_n")), by)
@@ -76,4 +76,4 @@ def newey_west(series: DataFrame, by: list[str], value: str, order: str, lags: i
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"_c{k}"), F.lit(0.0))
     out = d.groupBy(*by, "_m", "_n").agg((total / F.first("_n")).alias("_v"))
-    return out.select(*by, F.col("_n").alias("n"), F.col("_m").alias("mean"), F.when(F.col("_v") > 0, F.col("_m") / F.sqrt(F.col("_v") / F.col("_n"))).alias("t"))
+    return out.select(*by, F.col("_n").alias("n"), F.col("_m").alias("mean"), F.when((F.col("_v") > 0) & (F.col("_n") >= 3), F.col("_m") / F.sqrt(F.col("_v") / F.col("_n"))).alias("t"))

@@ -35,17 +35,19 @@ def p3(s, d):
 
 def roles(s, d):
     c = T(s, d, "customer")
-    rel = F.when(F.col("c_custkey") % 4 == 0, "Officer, Director").when(F.col("c_custkey") % 4 == 1, "Ten-Percent-Owner").when(F.col("c_custkey") % 4 == 2, "Director")
-    title = F.when(F.col("c_custkey") % 6 == 0, "Chief Executive Officer").when(F.col("c_custkey") % 6 == 2, "Vice President").when(F.col("c_custkey") % 6 == 4, "President & COO")
+    rel = F.when(F.col("c_custkey") % 4 == 0, "Officer, Director").when(F.col("c_custkey") % 4 == 1, "Ten-Percent-Owner").when(F.col("c_custkey") % 4 == 2, "Director, Other")
+    title = F.when(F.col("c_custkey") % 6 == 0, "Chief Executive Officer").when(F.col("c_custkey") % 6 == 2, "Vice President").when(F.col("c_custkey") % 6 == 3, "Chairwoman of the Board").when(F.col("c_custkey") % 6 == 4, "President & COO").when(F.col("c_custkey") % 6 == 5, "Chief Financial Officer")
     flags = S.role_flags(rel, title)
     return c.select("c_custkey", *[v.alias(k) for k, v in flags.items()], S.role_precedence(flags).alias("role"))
 
 
-ROLES_SQL = """r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Officer, Director' WHEN 1 THEN 'Ten-Percent-Owner' WHEN 2 THEN 'Director' END AS rel,
-  lower(coalesce(CASE c_custkey % 6 WHEN 0 THEN 'Chief Executive Officer' WHEN 2 THEN 'Vice President' WHEN 4 THEN 'President & COO' END, '')) AS t FROM customer),
+ROLES_SQL = """r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Officer, Director' WHEN 1 THEN 'Ten-Percent-Owner' WHEN 2 THEN 'Director, Other' END AS rel,
+  lower(coalesce(CASE c_custkey % 6 WHEN 0 THEN 'Chief Executive Officer' WHEN 2 THEN 'Vice President' WHEN 3 THEN 'Chairwoman of the Board' WHEN 4 THEN 'President & COO' WHEN 5 THEN 'Chief Financial Officer' END, '')) AS t FROM customer),
 f AS (SELECT c_custkey, coalesce(lower(rel) LIKE '%officer%', FALSE) AS is_officer, coalesce(lower(rel) LIKE '%director%', FALSE) AS is_director,
-  coalesce(lower(rel) LIKE '%owner%', FALSE) AS is_ten_percent, t LIKE '%chief executive%' AS is_ceo, t LIKE '%chief financial%' AS is_cfo, t LIKE '%president%' AND t NOT LIKE '%vice%' AS is_president FROM r),
-g AS (SELECT *, CASE WHEN is_ceo OR is_cfo OR is_president THEN 'top_executive' WHEN is_officer THEN 'other_officer' WHEN is_director THEN 'director'
+  coalesce(regexp_replace(lower(rel), '[^a-z]', '', 'g') LIKE '%tenpercentowner%', FALSE) AS is_ten_percent, coalesce(lower(rel) LIKE '%other%', FALSE) AS is_other,
+  regexp_matches(t, '\\bceo\\b|chief executive') AS is_ceo, regexp_matches(t, '\\bcfo\\b|chief financial') AS is_cfo, regexp_matches(t, '\\bcoo\\b|chief operating') AS is_coo,
+  regexp_matches(t, '\\bchair(man|woman|person)?\\b') AS is_chair, regexp_matches(t, '\\bpresident\\b') AND NOT regexp_matches(t, 'vice|\\bvp\\b') AS is_president FROM r),
+g AS (SELECT *, CASE WHEN is_ceo OR is_cfo OR is_coo OR is_chair OR is_president THEN 'top_executive' WHEN is_officer THEN 'other_officer' WHEN is_director THEN 'director'
   WHEN is_ten_percent THEN 'ten_percent_owner' ELSE 'other' END AS role FROM f)"""
 
 
@@ -110,8 +112,9 @@ def p18(s, d):
 
 
 def p19(s, d):
-    t = tx(s, d).groupBy("accession").agg(F.bool_or(F.col("transaction_code").isin("P", "S")).alias("has_trade"))
-    return t.select("accession", (~F.col("has_trade")).alias("without_transaction"))
+    """A form 4 needs a transaction, a form 3 (here: an amended filing) must have none."""
+    t = tx(s, d).groupBy("accession").agg(F.bool_or(F.col("transaction_code").isin("P", "S")).alias("traded"), F.bool_or("is_amendment").alias("form3"))
+    return t.select("accession", (~F.col("form3") & ~F.col("traded")).alias("form4_without_transaction"), (F.col("form3") & F.col("traded")).alias("form3_with_transaction"))
 
 
 def io10(s, d):
@@ -167,7 +170,7 @@ Q = {
     "p1_coerce": (p1, """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN round(c_acctbal, 6) END AS balance, CASE WHEN c_custkey % 3 <> 0 THEN make_date(2021, 2, CAST(c_custkey % 28 + 1 AS INT)) END AS day FROM customer"""),
     "p2_money_to_decimal": (p2, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS amount FROM orders"),
     "p3_normalize": (p3, """SELECT p_partkey, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS ticker, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') || '_class_a' AS security, p_name || ' ' || p_type AS clean FROM part"""),
-    "p4_role_flags": (lambda s, d: roles(s, d).drop("role"), f"WITH {ROLES_SQL} SELECT c_custkey, is_officer, is_director, is_ten_percent, is_ceo, is_cfo, is_president FROM g"),
+    "p4_role_flags": (lambda s, d: roles(s, d).drop("role"), f"WITH {ROLES_SQL} SELECT c_custkey, is_officer, is_director, is_ten_percent, is_other, is_ceo, is_cfo, is_coo, is_chair, is_president FROM g"),
     "p5_role_precedence": (lambda s, d: roles(s, d).select("c_custkey", "role"), f"WITH {ROLES_SQL} SELECT c_custkey, role FROM g"),
     "p6_seniority": (lambda s, d: roles(s, d).select("c_custkey", S.seniority(F.col("role")).alias("seniority")), f"WITH {ROLES_SQL} SELECT c_custkey, CASE WHEN role = 'top_executive' THEN 3 WHEN role IN ('other_officer', 'director') THEN 2 ELSE 1 END AS seniority FROM g"),
     "p7_trade_value": (p7, "SELECT DISTINCT accession, line_no, round(shares * price, 6) AS trade_value, CASE transaction_code WHEN 'P' THEN 1 WHEN 'S' THEN -1 END AS side, accession || ':' || line_no AS row_key, is_amendment FROM fx_transactions"),
@@ -184,7 +187,7 @@ Q = {
     "p16_winsorize": (p16, """SELECT security_id, session_no, round(CASE WHEN r IS NOT NULL THEN greatest(-0.9, least(2.0, r)) END, 6) AS daily, round(CASE WHEN r IS NOT NULL THEN greatest(-1, least(1, 10 * r)) END, 6) AS outcome
         FROM (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY session_no) - 1 AS r FROM fx_daily)"""),
     "p17_resolve_period": (p17, "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) - 6 AS week_start, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, last_day(o_orderdate) AS month_end, quarter(o_orderdate) AS quarter FROM orders"),
-    "p18_text_mention_flags": (p18, "SELECT source, bool_or(coalesce(regexp_matches(text, '(?i)10b5-?1'), FALSE)) AS mentions_plan, bool_or(coalesce(regexp_matches(text, '(?i)private(ly)?'), FALSE)) AS mentions_private, count(*) FILTER (WHERE regexp_matches(text, '(?i)secret')) AS n_secret FROM documents GROUP BY source"),
-    "p19_form_flags": (p19, "SELECT accession, NOT bool_or(transaction_code IN ('P', 'S')) AS without_transaction FROM fx_transactions GROUP BY accession"),
+    "p18_text_mention_flags": (p18, r"SELECT source, bool_or(coalesce(regexp_matches(text, '(?i)10b5[\s\-–]*1'), FALSE)) AS mentions_plan, bool_or(coalesce(regexp_matches(text, '(?i)\bprivate(ly)?\b'), FALSE)) AS mentions_private, count(*) FILTER (WHERE regexp_matches(text, '(?i)secret')) AS n_secret FROM documents GROUP BY source"),
+    "p19_form_flags": (p19, "SELECT accession, NOT bool_or(is_amendment) AND NOT bool_or(transaction_code IN ('P', 'S')) AS form4_without_transaction, bool_or(is_amendment) AND bool_or(transaction_code IN ('P', 'S')) AS form3_with_transaction FROM fx_transactions GROUP BY accession"),
 }
 QUERIES = {k: (f, with_views(q) if q else None) for k, (f, q) in Q.items()}

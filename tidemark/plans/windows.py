@@ -92,8 +92,9 @@ def w14(s, d):
 
 
 def w15(s, d):
-    g = tx(s, d).groupBy("owner_id", "issuer_id", F.year("transaction_date").cast("long").alias("year"), "shares").agg(F.countDistinct("accession").alias("accessions"), F.count("*").alias("n"))
-    return g.where("accessions > 1").select("owner_id", "issuer_id", "year", r6(F.col("shares"), "shares"), "accessions", "n")
+    t = tx(s, d).withColumn("owner_grp", F.col("owner_id") % 20).withColumn("price", F.floor(F.col("price") / 100))
+    g = t.groupBy("owner_grp", "issuer_id", "transaction_date", "shares", "price").agg(F.countDistinct("accession").alias("accessions"), F.count("*").alias("n"))
+    return g.where("accessions > 1").select("owner_grp", "issuer_id", "transaction_date", r6(F.col("shares"), "shares"), "price", "accessions", "n")
 
 
 def w16(s, d):
@@ -234,7 +235,7 @@ Q = {
     "w12_trailing_90_day_cluster": (lambda s, d: w11(s, d, 90), _w11_sql(90)),
     "w13_greedy_spacing": (w13, SPACED),
     "w14_drawdown": (w14, f"WITH {R}, c AS (SELECT security_id, session_no, exp(sum(ln(1 + r)) OVER (PARTITION BY security_id ORDER BY session_no)) AS cum FROM r WHERE r IS NOT NULL), m AS (SELECT *, max(cum) OVER (PARTITION BY security_id ORDER BY session_no) AS m FROM c) SELECT security_id, round(min(cum / m - 1), 6) AS max_drawdown FROM m GROUP BY 1"),
-    "w15_duplicate_across_filings": (w15, "SELECT owner_id, issuer_id, year(transaction_date) AS year, round(shares, 6) AS shares, count(DISTINCT accession) AS accessions, count(*) AS n FROM fx_transactions GROUP BY 1, 2, 3, shares HAVING count(DISTINCT accession) > 1"),
+    "w15_duplicate_across_filings": (w15, "SELECT owner_id % 20 AS owner_grp, issuer_id, transaction_date, round(shares, 6) AS shares, CAST(floor(price / 100) AS BIGINT) AS price, count(DISTINCT accession) AS accessions, count(*) AS n FROM fx_transactions GROUP BY 1, 2, 3, shares, 5 HAVING count(DISTINCT accession) > 1"),
     "w16_security_change": (w16, "SELECT owner_id, issuer_id, acquired_disposed, row_number() OVER (PARTITION BY owner_id, issuer_id ORDER BY min(transaction_date), acquired_disposed) > 1 AS changed FROM fx_transactions GROUP BY 1, 2, 3"),
     "w17_prefix_count_completeness": (w17, "WITH x AS (SELECT security_id, session_no, sum(CASE WHEN close < 1900 THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY session_no) AS bad FROM fx_daily) SELECT a.security_id, a.session_no, b.bad - a.bad AS invalid_on_path FROM x a JOIN x b ON a.security_id = b.security_id AND b.session_no = a.session_no + 5"),
     "w18_trailing_beta": (w18, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark), x AS (SELECT security_id, r.session_no, r, m FROM r JOIN b ON r.session_no = b.session_no WHERE r IS NOT NULL AND m IS NOT NULL), y AS (SELECT *, count(*) OVER w AS n, covar_samp(r, m) OVER w / var_samp(m) OVER w AS beta FROM x WINDOW w AS (PARTITION BY security_id ORDER BY session_no ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) SELECT security_id, session_no, round(CASE WHEN n >= 60 THEN beta END, 6) AS beta FROM y WHERE session_no % 20 = 0"),
