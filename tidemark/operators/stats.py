@@ -77,3 +77,111 @@ def newey_west(series: DataFrame, by: list[str], value: str, order: str, lags: i
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"_c{k}"), F.lit(0.0))
     out = d.groupBy(*by, "_m", "_n").agg((total / F.first("_n")).alias("_v"))
     return out.select(*by, F.col("_n").alias("n"), F.col("_m").alias("mean"), F.when((F.col("_v") > 0) & (F.col("_n") >= 3), F.col("_m") / F.sqrt(F.col("_v") / F.col("_n"))).alias("t"))
+
+
+COMPONENTS = ("two_way", "issuer", "quarter", "hc1")
+
+
+def floored(scored: DataFrame, by: list[str], first: str, second: str, k: int) -> DataFrame:
+    """Per group: n, clusters g1 and g2, and the largest of four variances of an estimate with ``k`` parameters.
+
+    ``scored`` holds ``_score``, each row's share in the estimate's error. The four are the two-way and the two one-way
+    clustered variances, each with G / (G - 1) * (n - 1) / (n - k), and the robust one with n / (n - k). ``source``
+    names the largest (the first of equals), ``status`` is ok, or says why there is no variance.
+    """
+    score = F.col("_score")
+    base = scored.groupBy(*by).agg(F.count("*").alias("n"), F.sum(score * score).alias("_ss"))
+    out = _joined([base, _cluster_var(scored, by, [first], score, "a"), _cluster_var(scored, by, [second], score, "b"), _cluster_var(scored, by, [first, second], score, "ab")], by)
+    n = F.col("n")
+    many = F.when(n > k, (n - 1) / (n - k))
+    parts = {"two_way": (F.col("v_a") + F.col("v_b") - F.col("v_ab")) * many, "issuer": F.col("v_a") * many, "quarter": F.col("v_b") * many, "hc1": F.col("_ss") * F.when(n > k, n / (n - k))}
+    out = out.withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_v", F.greatest(*[f"_{c}" for c in COMPONENTS]))
+    source = F.lit(None).cast("string")
+    for c in reversed(COMPONENTS):
+        source = F.when(F.col(f"_{c}") == F.col("_v"), c).otherwise(source)
+    few = (F.col("g_a") < 2) | (F.col("g_b") < 2)
+    status = F.when(n < 2, "too_few").when(few, "insufficient_clusters").when(~F.coalesce(F.col("_v") > 0, F.lit(False)), "degenerate_variance").otherwise("ok")
+    return out.select(*by, "n", F.col("g_a").alias("issuers"), F.col("g_b").alias("quarters"), F.when(status == "ok", F.sqrt("_v")).alias("se"), F.when(status == "ok", source).alias("source"), status.alias("status"))
+
+
+def floored_mean(df: DataFrame, by: list[str], value: str, first: str, second: str) -> DataFrame:
+    """Mean with the floored standard error, t and degrees of freedom. Null values take no part."""
+    known = df.where(F.col(value).isNotNull())
+    means = known.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("_n"))
+    scored = known.join(means, by).withColumn("_score", (F.col(value) - F.col("mean")) / F.col("_n"))
+    out = means.drop("_n").join(floored(scored, by, first, second, 1), by)
+    ok = F.col("status") == "ok"
+    return out.select(*by, "n", "issuers", "quarters", "mean", "se", "source", F.when(ok, F.col("mean") / F.col("se")).alias("t"), F.when(ok, F.least("issuers", "quarters") - 1).alias("df"), "status")
+
+
+def floored_contrast(df: DataFrame, by: list[str], value: str, arm: str, first: str, second: str) -> DataFrame:
+    """Mean of arm 1 less that of arm 0 with the floored standard error; df from the arm with the fewest clusters."""
+    known = df.where(F.col(value).isNotNull() & F.col(arm).isin(0, 1))
+    one, none = F.col(arm) == 1, F.col(arm) == 0
+    count = lambda c, a, n: F.countDistinct(F.when(a, F.col(c))).alias(n)
+    m = known.groupBy(*by).agg(
+        F.count_if(one).alias("n1"), F.count_if(none).alias("n0"), F.avg(F.when(one, F.col(value))).alias("_m1"), F.avg(F.when(none, F.col(value))).alias("_m0"),
+        count(first, one, "_f1"), count(first, none, "_f0"), count(second, one, "_s1"), count(second, none, "_s0"),
+    )
+    score = F.when(one, (F.col(value) - F.col("_m1")) / F.col("n1")).otherwise(-(F.col(value) - F.col("_m0")) / F.col("n0"))
+    out = m.join(floored(known.join(m, by).withColumn("_score", score), by, first, second, 2), by)
+    df_ = F.least("_f1", "_f0", "_s1", "_s0") - 1
+    status = F.when((F.col("n1") < 2) | (F.col("n0") < 2) | (df_ < 1), "insufficient_support").otherwise(F.col("status"))
+    ok, estimate = status == "ok", F.col("_m1") - F.col("_m0")
+    return out.select(*by, "n1", "n0", estimate.alias("estimate"), F.when(ok, F.col("se")).alias("se"), F.when(ok, F.col("source")).alias("source"), F.when(ok, estimate / F.col("se")).alias("t"), F.when(ok, df_).alias("df"), status.alias("status"))
+
+
+def controlled_mean(df: DataFrame, by: list[str], value: str, arm: str, controls: tuple[str, str], first: str, second: str, least: int = 10) -> DataFrame:
+    """Intercept of arm 1's values on two controls centred at arm 0's means, complete cases, floored standard error.
+
+    The normal equations of two regressors are solved from their moment sums; a row's share in the intercept's error is
+    its residual times 1 / n - zbar' S^-1 (z - zbar). Fewer than ``least`` rows in an arm, or collinear controls, give no estimate.
+    """
+    a, b = controls
+    known = df.where(F.col(value).isNotNull() & F.col(arm).isin(0, 1) & F.col(a).isNotNull() & F.col(b).isNotNull())
+    centre = known.groupBy(*by).agg(*[F.avg(F.when(F.col(arm) == 0, F.col(c))).alias(f"_c_{c}") for c in controls], F.count_if(F.col(arm) == 0).alias("n0"))
+    x = known.where(F.col(arm) == 1).join(centre, by).withColumns({"_x": F.col(a) - F.col(f"_c_{a}"), "_z": F.col(b) - F.col(f"_c_{b}"), "_y": F.col(value)})
+    m = x.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.avg("_x").alias("_mx"), F.avg("_z").alias("_mz"), F.avg("_y").alias("_my"),
+        *[F.covar_pop(p, q).alias(f"_s{p[1]}{q[1]}") for p, q in (("_x", "_x"), ("_x", "_z"), ("_z", "_z"), ("_x", "_y"), ("_z", "_y"))],
+    )
+    det = F.col("_sxx") * F.col("_szz") - F.col("_sxz") * F.col("_sxz")
+    m = m.withColumn("_det", F.when(det > 0, det))
+    m = m.withColumn("_bx", (F.col("_sxy") * F.col("_szz") - F.col("_szy") * F.col("_sxz")) / F.col("_det")).withColumn("_bz", (F.col("_szy") * F.col("_sxx") - F.col("_sxy") * F.col("_sxz")) / F.col("_det"))
+    m = m.withColumn("_b0", F.col("_my") - F.col("_bx") * F.col("_mx") - F.col("_bz") * F.col("_mz"))
+    rows = x.join(m, by)
+    dx, dz = F.col("_x") - F.col("_mx"), F.col("_z") - F.col("_mz")
+    pull = (F.col("_mx") * (F.col("_szz") * dx - F.col("_sxz") * dz) + F.col("_mz") * (F.col("_sxx") * dz - F.col("_sxz") * dx)) / F.col("_det")
+    residual = F.col("_y") - F.col("_b0") - F.col("_bx") * F.col("_x") - F.col("_bz") * F.col("_z")
+    out = floored(rows.withColumn("_score", residual * (1 - pull) / F.col("_n")), by, first, second, 3).join(m, by).join(centre, by)
+    few = (F.col("n") < least) | (F.col("n0") < least)
+    status = F.when(few, "insufficient_complete_cases").otherwise(F.col("status"))
+    ok = status == "ok"
+    shown = lambda c: F.when(ok, c)
+    return out.select(*by, "n", "n0", shown(F.col("_b0")).alias("intercept"), shown(F.col("se")).alias("se"), shown(F.col("source")).alias("source"), shown(F.col("_b0") / F.col("se")).alias("t"), shown(F.col("_bx")).alias("slope_1"), shown(F.col("_bz")).alias("slope_2"), status.alias("status"))
+
+
+def drawn(draw: Column, slot: Column, n: Column, seed: int) -> Column:
+    """A number from 0 to n - 1, the same in every engine: a linear congruence of draw and slot."""
+    z = (draw * 7919 + slot * 104729 + seed) * 1103515245 + 12345
+    return F.floor(F.pmod(z, F.lit(2147483648)) / 65536).cast("long") % n
+
+
+def multiplicities(names: DataFrame, name: str, draws: int, seed: int) -> DataFrame:
+    """(draw, name, w): how often each of the G rows of ``names`` is taken in G picks with replacement, for every draw.
+
+    The table is as large as draws x G, dealt by draw; rows not taken are left out.
+    """
+    from pyspark.sql import Window
+
+    numbered = names.select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias("k"))  # one row a cluster
+    size = numbered.agg(F.count("*").alias("_g"))
+    picks = names.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(size)).where("_g > 0")  # one row
+    picks = picks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    taken = picks.select("draw", drawn(F.col("draw"), F.col("slot"), F.col("_g"), seed).alias("k")).groupBy("draw", "k").agg(F.count("*").alias("w"))
+    return taken.join(numbered, "k").select("draw", name, "w")
+
+
+def block_multiplicities(blocks: int, draws: int, seed: int):
+    """Column expression builder for circular blocks of two: (draw, slot) -> the block number taken, slot 0 to blocks - 1."""
+    return lambda draw, slot: F.pmod(drawn(draw, F.floor(slot / 2), F.lit(blocks), seed) + slot % 2, F.lit(blocks))

@@ -146,15 +146,6 @@ def e24(s, d):
     return o.select("event_id", "entry_no", "end_no", F.round(100 * (1 + F.col("stock_return")), 4).alias("value_of_100"))
 
 
-def s3(s, d):
-    """Mean with the largest of the two-way, the issuer and the quarter variance."""
-    o = outcomes(s, d).withColumn("month", F.trunc("filing_date", "MM")).withColumn("quarter", F.trunc("filing_date", "QUARTER")).withColumn("row", F.col("event_id"))
-    two = stats.clustered_mean(o, ["horizon"], "excess_return", "security_id", "month").select("horizon", "n", "mean", F.col("se").alias("se_two"))
-    own = lambda c, n: stats.clustered_mean(o, ["horizon"], "excess_return", c, c).select("horizon", F.col("se").alias(n))
-    x = two.join(own("security_id", "se_issuer"), "horizon").join(own("quarter", "se_quarter"), "horizon")
-    return x.select("horizon", "n", r6(F.col("mean"), "mean"), r6(F.greatest("se_two", "se_issuer", "se_quarter"), "se"))
-
-
 def s12(s, d):
     q = with_r(s, d).groupBy("security_id", F.trunc("session_date", "QUARTER").alias("q")).agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("r"))
     g = q.groupBy("security_id").agg(F.count("r").alias("n"), r6(F.avg("r"), "mean"), r6(F.stddev_samp("r"), "vol"))
@@ -199,7 +190,6 @@ def q5(s, d):
     return a.groupBy(st.alias("status")).agg(F.count("*").alias("n"))
 
 
-OWN = lambda c: f"""{c}c AS (SELECT horizon, sum(q * q) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, {c}, sum(u) AS q FROM u GROUP BY 1, 2) GROUP BY 1)"""
 Q = {
     "p14_classify_security": (p14, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_size % 5 <> 0 THEN 'size' || (p_size % 5) ELSE 'UNCLASSIFIED' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'LINE' WHEN p_size % 5 <> 0 THEN 'SIZE' ELSE 'NO_CLASSIFICATION' END AS rule FROM part"),
     "j11_path_join": (j11, "WITH p AS (SELECT *, count(*) OVER (PARTITION BY security_id ORDER BY session_no) AS u FROM fx_daily) SELECT a.security_id, a.session_no, round(b.close / a.close - 1, 6) AS r3, b.u - a.u = 3 AS complete FROM p a JOIN p b ON a.security_id = b.security_id AND b.session_no = a.session_no + 3"),
@@ -224,7 +214,6 @@ Q = {
     "e15_purchase_day_attributes": (e15, "SELECT issuer_id, filing_date, round(sum(shares * price), 6) AS dollars, bool_or(owner_id % 4 = 0) AS senior FROM fx_transactions WHERE transaction_code = 'P' AND NOT is_amendment GROUP BY 1, 2"),
     "e16_conditioning_table": (e16, f"WITH {X1}, x AS (SELECT *, 'half' AS dim, CASE WHEN month(filing_date) <= 6 THEN 'H1' ELSE 'H2' END AS grp FROM x1 UNION ALL SELECT *, 'parity', CAST(year(filing_date) % 2 AS VARCHAR) FROM x1), {_mean_sql(['dim', 'grp', 'horizon'], 'x')} SELECT * FROM res"),
     "e24_example_trade_table": (e24, f"WITH {E1_SQL} SELECT event_id, entry_no, end_no, round(100 * (1 + stock_return), 4) AS value_of_100 FROM e1 WHERE horizon = 5 AND stock_return IS NOT NULL"),
-    "s3_floored_mean": (s3, f"WITH {X1}, x AS (SELECT *, date_trunc('quarter', filing_date) AS quarter FROM x1), {_mean_sql(['horizon'], 'x')}, {OWN('security_id')}, {OWN('quarter')} SELECT res.horizon, n, mean, round(greatest(res.se, sqrt(security_idc.v), sqrt(quarterc.v)), 6) AS se FROM res JOIN security_idc USING (horizon) JOIN quarterc USING (horizon)"),
     "s12_periodic_stats": (s12, f"WITH {R}, q AS (SELECT security_id, date_trunc('quarter', session_date) AS q, exp(sum(ln(1 + r))) - 1 AS r FROM r GROUP BY 1, 2) SELECT security_id, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS vol FROM q GROUP BY 1 HAVING count(r) >= 12"),
     "io4_normalize_archive": (io4, "WITH t AS (SELECT *, CAST(year(filing_date) AS VARCHAR) || 'Q' || quarter(filing_date) AS quarter FROM fx_transactions) SELECT 'submissions' AS table_name, quarter, count(DISTINCT accession) AS n FROM t GROUP BY 2 UNION ALL SELECT 'owners', quarter, count(DISTINCT accession || '|' || owner_id) FROM t GROUP BY 2 UNION ALL SELECT 'transactions', quarter, count(DISTINCT accession || '|' || line_no) FROM t GROUP BY 2"),
     "io5_normalize_all_archive": (io5, "SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('3', '4', '5')) GROUP BY 1"),
