@@ -8,10 +8,10 @@ its result is written and read again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, table, written
+from tidemark.llm.common import small, table, unused, written
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import packed_documents
@@ -20,7 +20,11 @@ from tidemark.llm.toxicity import train, with_scores
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't predict to be toxic. It is trained on the labelled ones among ``docs``."""
+    """Documents that the classifier doesn't predict to be toxic. It is trained on the labelled ones among ``docs``.
+
+    Null texts count as empty, repeated rows share one fate; without labelled rows of both classes, as in an empty
+    table, all stay.
+    """
     scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.where("predicted = 0").select(*docs.columns)
 
@@ -50,16 +54,28 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times (0, 1 or 2) as the mix takes it."""
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    mixed = mix(docs.select("doc_id", own.alias("h"), "source", "text"))
-    copies = mixed.select(F.col("doc.doc_id").alias("__id"), F.col("doc.h").alias("__h"), "copies").groupBy("__id", "__h").agg(F.max("copies").alias("__n"))
-    taken = docs.withColumn("__own", own).join(copies.where("__n > 0"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")))
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """Each document as many times (0, 1 or 2) as the mix takes it; of equal rows as many of each as the mix decides.
+
+    Null sources are a source, null texts have no words; an empty table stays empty. One plan at every size: decisions
+    and texts meet by a shuffle on a hash of id, source and text, in which the window over equal rows finds its rows too.
+    """
+    key, n, i = (unused(docs, c) for c in ("row_key", "row_number", "copy"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.coalesce("text", F.lit(""))))
+    mixed = mix(keyed.select(key, "doc_id", "source", "text"))
+    counts = mixed.groupBy(F.col(f"doc.{key}").alias(key)).agg(F.count_if(F.col("copies") == 2).alias("twice"), F.count_if(F.col("copies") >= 1).alias("taken"))
+    counts = counts.where("taken > 0").select(key, F.struct("twice", "taken").alias(n)).hint("merge")
+    rows = keyed.join(counts, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    copies = F.when(place <= F.col(n)["twice"], 2).when(place <= F.col(n)["taken"], 1).otherwise(0)
+    taken = rows.withColumn(n, copies).where(F.col(n) > 0)
+    return taken.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their places in sequences of 2048 tokens."""
+    """Token pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null texts are one piece of the end id; repeated rows are packed one by one; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -77,6 +93,7 @@ ORACLE_SQL = None  # a trained classifier, balanced sampling and a tokenizer: te
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``: the token pieces of what is kept."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
