@@ -61,3 +61,24 @@ def test_odd_rows(spark):
     empty = docs.where("doc_id = 99")
     for stage in (p.drop_near_duplicates, p.mask_secrets, p.mix_sources, p.pack_sequences):
         assert stage(spark, empty, "").collect() == []
+
+
+def test_mixing_repeated_rows(spark):
+    """Equal rows are taken as often as the mix decides for them together."""
+    rows = [(None, "w " * 200, "a", 1)] * 40 + [(i, f"x{i} " * (50 + i), "ab"[i % 2], 2) for i in range(60)] + [(7, None, "a", 3), (7, "", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key int")
+    out = p.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    mixed = p.mix(docs.select("doc_id", "source", "text"))
+    want = mixed.selectExpr("sum(taken)", "sum(copies)").first()
+    got = out.collect()
+    assert sum(len((r.text or "").split()) for r in got) == want[0] and len(got) == want[1]
+    assert set(got) <= set(docs.collect())
+
+
+def test_toxicity_stage_on_odd_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", "en", "s", 0)] * 2, docs.schema)
+    assert p.drop_toxic(spark, odd, folder).count() == 4
+    assert p.drop_toxic(spark, docs.where("doc_id < -5"), folder).collect() == []

@@ -298,7 +298,8 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
         give_back()
 
-    return sample.repartition(1).mapInArrow(run, "model binary").first()["model"]
+    fitted = sample.repartition(1).mapInArrow(run, "model binary").first()  # none where no labelled row was found
+    return fitted["model"] if fitted else pickle.dumps(None)
 
 
 def with_scores(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
