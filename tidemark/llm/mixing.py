@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 BLOCK = 4096
 LANDING = 14
@@ -130,7 +130,7 @@ def cube_sample(rows: DataFrame, group: str, share: str, size: str, key: str) ->
     blocks = rows.groupBy(group).agg(F.count("*").alias("__n")).select(
         F.col(group).alias("__g"), F.greatest(F.lit(1), F.ceil(F.col("__n") / BLOCK)).cast("long").alias("__blocks")
     )
-    now = rows.join(blocks, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    now = rows.join(small(blocks), F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
     now = now.withColumn("__block", F.pmod(F.xxhash64(key, size), F.col("__blocks"))).withColumn("__p", F.col(share).cast("double"))
     kinds = ", ".join(f"`{c}` {k}" for c, k in now.dtypes)
     done = None
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, group: str = "source", text: str = "text", key: str = "
     plan = docs.sparkSession.createDataFrame(
         [(s, sizes[s], float(t), t / sizes[s] if sizes[s] else 0.0) for s, t in goal.items()], "__s string, source_size long, target double, rate double"
     )
-    rows = sized.join(plan, F.col("__source").cast("string").eqNullSafe(F.col("__s")), "left").drop("__s")
+    rows = sized.join(small(plan, len(goal)), F.col("__source").cast("string").eqNullSafe(F.col("__s")), "left").drop("__s")
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("share", F.col("rate") - F.col("whole"))
     picked = cube_sample(rows, "__source", "share", "size", "__key")
     copies = (F.col("whole") + F.col("picked")).cast("int")
@@ -182,6 +182,7 @@ def mix(docs: DataFrame, group: str = "source", text: str = "text", key: str = "
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``; nulls as in mix, repeated rows are sampled one by one, an empty table gives no rows."""
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
