@@ -15,11 +15,14 @@ DRAWS = 199
 
 
 def rows(s, d):
-    """Complete outcomes with issuer, quarter, month and the arm: 1 where at least two owners bought that day."""
+    """Complete outcomes with issuer, quarter, month and the arm: 1 where at least two owners bought that day.
+
+    Means, scores and clusters each read them, so they are kept once made (in memory, else on disk; lost parts are made again).
+    """
     t = fx(s, d, "fx_transactions").where("transaction_code = 'P' AND NOT is_amendment")
     arms = t.groupBy(F.concat_ws("|", "issuer_id", F.col("filing_date").cast("string")).alias("event_id")).agg((F.countDistinct("owner_id") >= 2).cast("int").alias("arm"))
     o = outcomes(s, d).where("excess_return IS NOT NULL").withColumn("quarter", F.trunc("filing_date", "QUARTER")).withColumn("month", F.trunc("filing_date", "MM"))
-    return o.join(arms, "event_id").withColumn("y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "excess_return")))
+    return o.join(arms, "event_id").withColumn("y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "excess_return"))).persist()
 
 
 X = f"""{E1_SQL}, ar AS (SELECT issuer_id || '|' || CAST(filing_date AS VARCHAR(10)) AS event_id, CASE WHEN count(DISTINCT owner_id) >= 2 THEN 1 ELSE 0 END AS arm
@@ -68,16 +71,16 @@ def s5(s, d):
     o = rows(s, d)
     for back, n in ((1, "c1"), (5, "c5"), (25, "c25")):
         o = o.join(at(back, n), ["security_id", "entry_no"], "left")
-    o = o.withColumn("near", F.col("c1") / F.col("c5") - 1).withColumn("far", F.col("c5") / F.col("c25") - 1)
+    o = o.withColumn("near", F.col("c1") / F.col("c5") - 1).withColumn("far", F.col("c5") / F.col("c25") - 1).persist()
     x = stats.controlled_mean(o, ["horizon"], "y", "arm", ("near", "far"), "security_id", "quarter")
     return x.select("horizon", "n", "n0", *[r6(F.col(c), c) for c in ("intercept", "se", "t", "slope_1", "slope_2")], "source", "status")
 
 
 S5_SQL = f"""WITH {X}, pc AS (SELECT security_id, session_no, close FROM fx_daily WHERE close > 0),
-w AS (SELECT x.*, a.close / b.close - 1 AS near, b.close / c.close - 1 AS far FROM x JOIN pc a ON a.security_id = x.security_id AND a.session_no = entry_no - 1 JOIN pc b ON b.security_id = x.security_id AND b.session_no = entry_no - 5 JOIN pc c ON c.security_id = x.security_id AND c.session_no = entry_no - 25),
+w AS MATERIALIZED (SELECT x.*, a.close / b.close - 1 AS near, b.close / c.close - 1 AS far FROM x JOIN pc a ON a.security_id = x.security_id AND a.session_no = entry_no - 1 JOIN pc b ON b.security_id = x.security_id AND b.session_no = entry_no - 5 JOIN pc c ON c.security_id = x.security_id AND c.session_no = entry_no - 25),
 ce AS (SELECT horizon, avg(near) AS cn, avg(far) AS cf, count(*) AS n0 FROM w WHERE arm = 0 GROUP BY 1),
-v AS (SELECT w.horizon, security_id, quarter, y, near - cn AS x, far - cf AS z FROM w JOIN ce USING (horizon) WHERE arm = 1),
-mo AS (SELECT horizon, count(*) AS k, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS sxx, covar_pop(x, z) AS sxz, covar_pop(z, z) AS szz, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy FROM v GROUP BY 1),
+v AS MATERIALIZED (SELECT w.horizon, security_id, quarter, y, near - cn AS x, far - cf AS z FROM w JOIN ce USING (horizon) WHERE arm = 1),
+mo AS MATERIALIZED (SELECT horizon, count(*) AS k, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS sxx, covar_pop(x, z) AS sxz, covar_pop(z, z) AS szz, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy FROM v GROUP BY 1),
 m1 AS (SELECT *, sxx * szz - sxz * sxz AS det FROM mo), m2 AS (SELECT *, (sxy * szz - szy * sxz) / det AS bx, (szy * sxx - sxy * sxz) / det AS bz FROM m1),
 m3 AS (SELECT *, my - bx * mx - bz * mz AS b FROM m2),
 sc AS (SELECT horizon, security_id, quarter, (y - b - bx * x - bz * z) * (1 - (mx * (szz * (x - mx) - sxz * (z - mz)) + mz * (sxx * (z - mz) - sxz * (x - mx))) / det) / k AS s FROM v JOIN m3 USING (horizon)), {_floored_sql(3)},
