@@ -210,7 +210,7 @@ SELECT period, horizon, n1, n0, round(m1 - m0, 6) AS contrast, round(CASE WHEN k
 FROM mm LEFT JOIN k2 USING (period, horizon) LEFT JOIN k1 USING (period, horizon) LEFT JOIN k0 USING (period, horizon)"""
 
 Q = {
-    "s3_floored_mean": (s3, S3_SQL), "s4_floored_contrast": (s4, S4_SQL), "s5_controlled_mean": (s5, S5_SQL), "s8_block_bootstrap": (s8, S8_SQL), "s9_month_bootstrap_path": (s9, S9_SQL),
+    "s3_floored_mean": (s3, S3_SQL), "s4_floored_contrast": (s4, S4_SQL), "s8_block_bootstrap": (s8, S8_SQL), "s9_month_bootstrap_path": (s9, S9_SQL),
     "q16_input_contract": (q16, Q16_SQL), "e22_stage_firewall": (e22, E22_SQL), "e25_two_arms": (e25, E25_SQL),
 }
 QUERIES = {k: (f, with_views(q)) for k, (f, q) in Q.items()}
