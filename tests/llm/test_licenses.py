@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from tidemark.llm.licenses import ORACLE, PHRASES, license_hits, op1_license_scan
+from tidemark.llm.licenses import ORACLE, PHRASES, TEMPLATES, license_hits, op1_license_scan
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -59,6 +59,30 @@ def test_odd_texts(spark, tmp_path):
     assert rows.collect() == hits.collect() == []
 
 
+GPL3 = "This work is licensed under the GNU General Public License, version 3."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+
+
+@pytest.mark.parametrize("text,labels", [
+    (GPL3, {"gpl-3"}), (GPL3.replace("3", "2"), {"gpl-2"}), ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}), ("Licensed under CC BY 4.0", set()),
+    (LGPL, {"lgpl"}), (LGPL.replace("library", "program").replace("Lesser ", ""), {"gpl"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", set()),
+    ("x y z\n" * 30 + GPL3 + " w" * 500, {"gpl-3"}),
+])
+def test_siblings_are_told_apart(spark, text, labels):
+    _, hits = license_hits(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert {h.label for h in hits.collect()} == labels
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\n\n * ", "\n\n\n# "])
+def test_a_notice_is_found_however_it_is_wrapped(spark, gap):
+    words = next(body for label, body, *_ in TEMPLATES if label == "bsd").split()
+    text = "w " * 5000 + gap.join(words) + " v" * 5000
+    _, hits = license_hits(spark.createDataFrame([(1, text), (2, " and ".join(f"{w} a b" for w in words))], "doc_id long, text string"))
+    found = hits.collect()
+    assert {(h.label, h.containment) for h in found if h.start_word == 5000} == {("bsd", 1.0)} and len({h.row_id for h in found}) == 1
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_equals_sql(spark, sf):
     both(spark, f"/root/testdata/{sf}/documents.parquet", f"/root/testdata/{sf}")

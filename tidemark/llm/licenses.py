@@ -1,13 +1,16 @@
 """License scans: phrases, and an exact containment join of text blocks with license templates.
 
-DataFrame functions only. A block is a run of 1, 4 or 16 lines of one text. A template is found in a
-block when at least ``threshold`` of its distinct words stand in the block, in any order.
+DataFrame functions only. A template's blocks in a text are the runs of words that begin with one of its
+words and are ``STRETCH`` times as long as it, wherever lines break. It is found in a block when at least
+``threshold`` of its distinct words stand there, in any order, with all that tell it from its siblings and
+none that a sibling alone has.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,63 +19,82 @@ from .common import table, written
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Opening or notice sentences of public licenses, with the label each one stands for.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("gpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl-3", "This work is licensed under the GNU General Public License version 3"),
-    ("gpl-2", "This work is licensed under the GNU General Public License version 2"),
-    ("lgpl", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License"),
-    ("agpl", "This program is licensed under the terms of the GNU Affero General Public License"),
-    ("apache-2", "Licensed under the Apache License Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License You may obtain a copy of the License at apache org licenses"),
-    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY SA 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+# Opening or notice sentences of public licenses: the label each one stands for, the sentence,
+# words that must stand in the block and words that must not.
+TEMPLATES: tuple[tuple[str, str, str, str], ...] = (
+    ("gpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu", "lesser affero"),
+    ("gpl-3", "This work is licensed under the GNU General Public License version 3", "gnu 3", "lesser affero"),
+    ("gpl-2", "This work is licensed under the GNU General Public License version 2", "gnu 2", "lesser affero"),
+    ("lgpl", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License", "lesser", "affero"),
+    ("agpl", "This program is licensed under the terms of the GNU Affero General Public License", "affero", "lesser"),
+    ("apache-2", "Licensed under the Apache License Version 2.0", "apache 2", ""),
+    ("apache-2", "you may not use this file except in compliance with the License You may obtain a copy of the License at apache org licenses", "apache", ""),
+    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in the Software without restriction", "", ""),
+    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "", ""),
+    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee", ""),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla", ""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution", "noncommercial sharealike noderivatives noderivs nc sa nd"),
+    ("cc-by-nc", "Licensed under CC BY NC 4.0", "nc", "sa nd"),
+    ("cc-by-sa", "Licensed under CC BY SA 4.0", "sa", "nc nd"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
 )
-SPANS = (1, 4, 16)
+STRETCH = 1.5
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+@dataclass(frozen=True)
+class Form:
+    """A template as sets of words: ``need`` of ``words`` in a block of ``span`` words, all of ``must``, none of ``never``."""
+
+    label: str
+    words: tuple[str, ...]
+    need: int
+    span: int
+    must: tuple[str, ...]
+    never: tuple[str, ...]
+
+
+def template_forms(templates=TEMPLATES, threshold: float = 0.8, stretch: float = STRETCH) -> list[Form]:
+    cut = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    sets = lambda t: tuple(sorted(set(cut(t))))
+    return [
+        Form(label, sets(body), math.ceil(threshold * len(sets(body)) - 1e-9), math.ceil(stretch * len(cut(body))), sets(must), sets(never))
+        for label, body, must, never in templates
+    ]
+
+
 def _spaced(text: Column) -> Column:
-    """The words of a text, one space between them; empty without words."""
-    return F.trim(F.lower(F.regexp_replace(text, SEPARATORS, " ")))
+    """The words of a text, A-Z lowered, one space between them; empty without words."""
+    return F.trim(F.translate(F.regexp_replace(text, SEPARATORS, " "), UPPER, LOWER))
 
 
 def _words(spaced: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-def template_words(templates) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(re.findall(r"[0-9a-z]+", body.lower())))) for label, body in templates]
-
-
 def license_hits(
     docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """Return (rows, hits): ``rows`` is ``docs`` without ``text`` plus row_id, n_words and phrase places;
-    ``hits`` has one row per (row_id, block_start_line, block_lines, template, label, overlap, containment).
-
-    One pass over the text keeps, of each text that can hold a template at all, only the words that
-    templates use. Their document counts order them, rarest first. Blocks and templates then join on
-    prefix words: a block must share one of the first ``size - needed + 1`` words of the template,
-    have ``needed`` such words at least (length) and enough left behind the shared word in both
-    (position). Survivors are verified exactly. Null texts count as empty, repeated rows stay apart.
+    ``hits`` has one row per (row_id, start_word, block_words, template, label, overlap, containment), for every block.
+
+    One pass over the text keeps, of each text that can hold a template at all, the words that templates
+    use, with their places. Their document counts order them, rarest first. Words and templates then join on
+    prefix words: a block must hold one of the first ``size - need + 1`` words of the template. What stands
+    around a shared word, less than a block away, must hold ``need`` words (length), and as many that are
+    not before the shared one in the order (position). Blocks around survivors are verified exactly.
+    Null texts count as empty, repeated rows stay apart.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in docs.columns if c != text]
-    known = template_words(templates)
-    vocabulary = sorted({w for _, ws in known for w in ws})
-    needed = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in known]
-    in_use = F.array(*[F.lit(w) for w in vocabulary])
+    known = template_forms(templates, threshold)
+    vocabulary = sorted({w for f in known for w in (*f.words, *f.must, *f.never)})
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
 
-    first = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), body.alias("body"), _spaced(body).alias("spaced"))
-    first = first.select("doc", "body", F.concat(F.lit(" "), "spaced", F.lit(" ")).alias("padded"), _words(F.col("spaced")).alias("words"))
-    first = first.withColumn("used", F.array_intersect("words", in_use))
+    first = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), _spaced(body).alias("spaced"))
+    first = first.select("doc", F.concat(F.lit(" "), "spaced", F.lit(" ")).alias("padded"), _words(F.col("spaced")).alias("words"))
+    first = first.withColumn("used", F.array_intersect("words", listed(vocabulary)))
 
     def places(phrase: str) -> Column:
         w = phrase.split(" ")
@@ -89,13 +111,14 @@ def license_hits(
         ).otherwise(F.array().cast("array<int>"))
 
     may = F.lit(False)
-    for (_, ws), least in zip(known, needed):
-        may = may | (F.size(F.array_intersect("used", F.array(*[F.lit(w) for w in ws]))) >= least)
-    blocks = F.when(may, F.transform(F.split("body", "\n", -1), lambda line: F.array_intersect(_words(_spaced(line)), in_use)))
+    for f in known:
+        may = may | (F.size(F.array_intersect("used", listed(f.words))) >= f.need)
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     scanned = written(
         first.select(
             F.monotonically_increasing_id().alias("row_id"), "doc", F.size("words").cast("long").alias("n_words"),
-            *[places(p).alias(f"p{i}") for i, p in enumerate(phrases)], "used", blocks.alias("lines"),
+            *[places(p).alias(f"p{i}") for i, p in enumerate(phrases)], "used",
+            F.when(may, F.filter(placed, lambda x: x["w"].isin(vocabulary))).alias("placed"),
         )
     )
     # document counts of at most len(vocabulary) words
@@ -103,45 +126,44 @@ def license_hits(
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     ranks = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
 
-    held = scanned.where(F.col("lines").isNotNull()).select("row_id", "lines")
-
-    coded = held.withColumn("lines", F.transform("lines", lambda line: F.transform(line, lambda w: F.element_at(ranks, w))))
-
-    def runs(n: int) -> Column:
-        step = max(1, n // 2)
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step)), lambda i: (i == 0) | (i + (n - step) < F.size("lines"))
-        )
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                i.alias("at"), F.lit(n).alias("n"), F.sort_array(F.array_distinct(F.flatten(F.slice("lines", i + 1, n)))).alias("ids")
-            ),
-        )
+    forms, widest = [], max(f.span for f in known)
+    for t, f in enumerate(known):
+        ids = sorted(order[w] for w in f.words)
+        must, never = ([order[w] for w in ws] for ws in (f.must, f.never))
+        forms += [(i, t, f.label, f.need, f.span, ids, must, never) for i in ids[: len(ids) - f.need + 1]]  # prefix
+    side = docs.sparkSession.createDataFrame(
+        forms, "id int, template int, label string, need int, span int, tids array<int>, must array<int>, never array<int>"
+    )
+    prefixes = sorted({form[0] for form in forms})
 
-    least = min(needed)
-    cut = (
-        coded.select("row_id", F.explode(F.concat(*[runs(n) for n in SPANS])).alias("b"))
-        .select("row_id", "b.*")
-        .where(F.size("ids") >= least)  # length
+    coded = scanned.where(F.col("placed").isNotNull()).select(
+        "row_id", "n_words", F.transform("placed", lambda x: F.struct(x["at"].alias("at"), F.element_at(ranks, x["w"]).alias("id"))).alias("seen")
+    )
+    shared = F.filter(
+        F.transform("seen", lambda x, j: F.struct(x["at"].alias("at"), x["id"].alias("id"), j.alias("j"))), lambda x: x["id"].isin(prefixes)
+    )
+    around = F.slice("seen", F.greatest(F.lit(1), F.col("hit.j") + 2 - widest), 2 * widest - 1)  # places differ, so these hold a block each way
+    cut = coded.select("row_id", "n_words", "seen", F.explode(shared).alias("hit")).select(
+        "row_id", "n_words", F.col("hit.at").alias("at"), F.col("hit.id").alias("id"), around.alias("around")
+    )
+    near = cut.join(F.broadcast(side), "id").withColumn(  # as many rows as the templates have prefix words
+        "around", F.filter("around", lambda x: F.abs(x["at"] - F.col("at")) < F.col("span"))
     )
-    spark = docs.sparkSession
-    forms = []
-    for t, ((label, ws), need) in enumerate(zip(known, needed)):
-        ids = sorted(order[w] for w in ws)
-        forms += [(ids[i], t, label, i, len(ids), need, ids) for i in range(len(ids) - need + 1)]  # prefix
-    side = spark.createDataFrame(forms, "id int, template int, label string, tpos int, tsize int, need int, tids array<int>")
-    shared = F.size(F.array_intersect("ids", "tids"))
+    own = F.array_intersect("around.id", "tids")
+    near = near.where(F.size(own) >= F.col("need")).where(F.size(F.filter(own, lambda x: x >= F.col("id"))) >= F.col("need"))
+    starts = F.filter("around", lambda x: (x["at"] <= F.col("at")) & F.array_contains("tids", x["id"]))
+    block = F.filter("around", lambda x: (x["at"] >= F.col("start")) & (x["at"] < F.col("start") + F.col("span")))
     hits = (
-        cut.select("row_id", "at", "n", "ids", F.posexplode("ids").alias("bpos", "id"))
-        .join(F.broadcast(side), "id")  # as many rows as the templates have prefix words
-        .where(F.least(F.col("tsize") - F.col("tpos"), F.size("ids") - F.col("bpos")) >= F.col("need"))  # holds at the first shared word
-        .dropDuplicates(["row_id", "at", "n", "template"])
-        .withColumn("overlap", shared)
+        near.withColumn("start", F.explode(F.transform(starts, lambda x: x["at"])))
+        .dropDuplicates(["row_id", "template", "start", "id"])
+        .withColumn("block", F.transform(block, lambda x: x["id"]))
+        .withColumn("overlap", F.size(F.array_intersect("block", "tids")))
         .where("overlap >= need")
+        .where((F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
+        .dropDuplicates(["row_id", "template", "start"])
         .select(
-            "row_id", F.col("at").alias("block_start_line"), F.col("n").alias("block_lines"), "template", "label", "overlap",
-            (F.col("overlap") / F.col("tsize")).alias("containment"),
+            "row_id", F.col("start").alias("start_word"), F.least(F.col("span"), F.col("n_words") - F.col("start")).alias("block_words"),
+            "template", "label", "overlap", (F.col("overlap") / F.size("tids")).alias("containment"),
         )
     )
     rows = scanned.select("row_id", "doc", "n_words", *[f"p{i}" for i in range(len(phrases))])
@@ -151,7 +173,8 @@ def license_hits(
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: places of license phrases, labels of phrases and of matched templates, a score.
 
-    The score is 1 where a phrase stands, else the best containment of a matched template, else 0.
+    The score is 1 where a phrase stands, else the best containment of a matched template, else 0. Null texts count
+    as empty, repeated rows are scanned one by one, an empty table gives no rows.
     """
     rows, hits = license_hits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = hits.groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
@@ -172,10 +195,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = lambda t: f"regexp_extract_all(translate({t}, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    words = lambda t: f"regexp_extract_all(translate({t}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
     forms = ", ".join(
-        f"({t}, '{label}', {ws!r}, {math.ceil(0.8 * len(ws) - 1e-9)})" for t, (label, ws) in enumerate(template_words(TEMPLATES))
+        f"({t}, '{f.label}', {listed(f.words)}, {f.need}, {f.span}, {listed(f.must)}, {listed(f.never)})" for t, f in enumerate(template_forms())
     )
     at = ", ".join(
         "list_filter(range(0, len(words)), lambda i: "
@@ -186,15 +209,16 @@ def _oracle() -> str:
     every = "list_concat(list_concat(p0, p1), list_concat(p2, p3))"
     base = "list_filter([" + ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{v}' END" for i, v in enumerate(PHRASES.values())) + "], lambda x: x IS NOT NULL)"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
-w AS (SELECT rid, doc_id, body, {words("body")} AS words FROM d),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS words FROM documents),
 p AS (SELECT rid, doc_id, len(words) AS n_words, {at} FROM w),
-f(template, label, tw, need) AS (VALUES {forms}),
-l AS (SELECT rid, list_transform(string_split(body, chr(10)), lambda x: {words("x")}) AS ls FROM d),
-s AS (SELECT rid, ls, n, greatest(1, n // 2) AS step FROM l, (VALUES (1), (4), (16)) v(n)),
-b AS (SELECT rid, list_distinct(flatten(ls[i + 1:i + n])) AS bw
-      FROM (SELECT *, unnest(range(0, len(ls), step)) AS i FROM s) WHERE i = 0 OR i + n - step < len(ls)),
-h AS (SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b, f WHERE len(list_intersect(bw, tw)) >= need),
+f(template, label, tw, need, span, must, never) AS (VALUES {forms}),
+u AS (SELECT rid, words, list_distinct(words) AS dw FROM w),
+c AS (SELECT * FROM u, f WHERE len(list_intersect(dw, tw)) >= need),
+s AS (SELECT rid, label, tw, need, must, never, span, words,
+             unnest(list_filter(range(1, len(words) + 1), lambda i: list_contains(tw, words[i]))) AS i FROM c),
+b AS (SELECT rid, label, tw, need, must, never, list_distinct(words[i:i + span - 1]) AS bw FROM s),
+h AS (SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b
+      WHERE len(list_intersect(bw, tw)) >= need AND list_has_all(bw, must) AND NOT list_has_any(bw, never)),
 g AS (SELECT rid, list(DISTINCT label) AS found, max(c) AS c FROM h GROUP BY rid)
 SELECT doc_id, n_words, len({every}) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
        array_to_string(list_sort(list_distinct({base})), ',') AS base_labels,
