@@ -23,10 +23,9 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,block,leaf", [(10**6, 10**6, 128), (60, 3, 4)])
-def test_top_k_equals_brute_force(spark, monkeypatch, shard, block, leaf):
+@pytest.mark.parametrize("shard,leaf", [(10**6, 128), (60, 4), (20, 4)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, leaf):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     monkeypatch.setattr(topk, "LEAF", leaf)
     r = np.random.default_rng(0)
     rows = [(i, r.normal(0, 0.3, 6).round(2).tolist()) for i in range(400)]
@@ -38,6 +37,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, block, leaf):
     assert top_k(frame.where("vec_id < 0"), frame, 3).collect() == [] and top_k(frame, frame.where("vec_id < 0"), 3).collect() == []
 
 
+def test_scores_beyond_long_are_cut(spark):
+    rows = [(i, [1e12 * s, 1.0]) for i, s in enumerate([1, 2, 3, -1, -2])] + [(9, [1.8e305, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(frame, frame.where("vec_id = 0"), 4).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, 1 - 2**63), (0, 4, 4, 1 - 2**63)]
+
+
 def test_large_components(spark):
     rows = [(0, [3e9, 1.0]), (1, [1e3, 1e-3]), (2, [1e3, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

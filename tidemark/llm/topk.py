@@ -1,26 +1,31 @@
 """Exact top-k by inner product: ball-tree branch and bound in shards.
 
-Vectors are dealt to shards by a hash of their id; a task builds a ball tree over its shard and
-answers a block of queries, visiting nodes by falling upper bound q.c + |q| r and stopping where the
-bound falls below the k-th score so far. The shards of a first round share the k-th scores they find:
-the other shards start from them and so skip most of their nodes.
+Vectors are dealt to shards by a hash of their id; a task builds one ball tree over its shard and
+streams all queries past it, visiting nodes by falling upper bound q.c + |q| r and stopping where the
+bound falls below the k-th score so far. Shards are searched in rounds, each of some times as many as
+before it: a round starts from the k-th scores of all rounds before, and so skips most of its nodes.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 2048
 LEAF = 128
+ROUNDS = (1 / 16, 1 / 4, 1.0)
+"""Shares of all shards that are done after each round."""
 EXACT = 2.0**53
+LONG = 2**63 - 1
 
 
 class BallTree:
@@ -53,23 +58,25 @@ class BallTree:
         return b + 1e-9 * np.abs(b) + 1e-6
 
 
-def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Integer components floor(1024 x) as doubles, one row a vector, missing trailing components 0."""
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, out = pc.list_flatten(column).to_numpy(zero_copy_only=False), np.zeros((len(column), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return np.floor(out * 1024.0)
 
 
-def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: list[float | None], k: int):
+def whole(numbers: np.ndarray) -> np.ndarray:
+    return np.vectorize(int, otypes=[object])(numbers) if numbers.size else numbers.astype(object)
+
+
+def search(points: np.ndarray, tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: list[int | None], k: int):
     """Yield (query number, ids, scores) of the points that can be among each query's k best; ``floor`` is a k-th score
-    found elsewhere. Points whose id is the query's own take no part."""
-    tree, exact = BallTree(points), np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1] < EXACT
+    found elsewhere. Points whose id is the query's own take no part. Scores stop at the ends of 64 bits."""
+    exact = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * points.shape[1] < EXACT
+    bounds = np.maximum(np.nan_to_num(tree.bounds(queries), nan=np.inf, posinf=np.inf), -float(LONG))  # overflow: visit
     if not exact:  # beyond what doubles add exactly
-        points, queries = points.astype(object), queries.astype(object)
-        to_int = np.vectorize(int, otypes=[object])
-        points, queries = to_int(points), to_int(queries)
-    bounds = tree.bounds(queries.astype(float))
+        points, queries = whole(points), whole(queries)
     for i in range(len(queries)):
         least = -np.inf if floor[i] is None else floor[i]
         heap, best_i, best_s = [(-bounds[i, 0], 0)], np.empty(0, np.int64), np.empty(0, points.dtype)
@@ -84,6 +91,8 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
             a, b = tree.spans[node]
             at = tree.order[a:b]
             score = points[at] @ queries[i]
+            if not exact:
+                score = np.minimum(np.maximum(score, -LONG), LONG)
             keep = (score >= least) & (ids[at] != own[i])
             if not keep.any():
                 continue
@@ -92,61 +101,82 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
                 first = np.lexsort((best_i, -best_s))[:k]
                 best_i, best_s = best_i[first], best_s[first]
             if len(best_s) == k:
-                least = max(least, float(best_s.min()))
+                least = max(least, int(best_s.min()))
         yield i, best_i, best_s
 
 
+def answered(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (shard, kind): a tree over each shard's points (kind 0), then its queries (kind 1), batch by batch."""
+    now, parts, shard = None, [], None
+    for batch in batches:
+        of, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "kind"))
+        turns = np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1
+        for a, b in zip([0, *turns], [*turns, batch.num_rows]):
+            if b == a:
+                continue
+            rows = batch.slice(a, b - a)
+            ids, vectors = rows.column("id").to_numpy(), matrix(rows.column("v"), width)
+            if of[a] != shard:
+                now, parts, shard = None, [], of[a]
+            if kind[a] == 0:
+                parts.append((ids, vectors))
+                continue
+            if now is None and parts:
+                points = np.concatenate([p[1] for p in parts])
+                now, parts = (points, BallTree(points), np.concatenate([p[0] for p in parts])), []
+            if now is None:  # queries of an empty shard
+                continue
+            out: list[list] = [[], [], []]
+            for i, found, scores in search(*now, vectors, ids, rows.column("floor").to_pylist(), k):
+                out[0] += [int(ids[i])] * len(found)
+                out[1] += found.tolist()
+                out[2] += [int(s) for s in scores]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to smaller ids.
 
     Vectors (and queries) without an id, null, or with null or non-finite components take no part; of
     repeated query ids the smallest vector asks. Vectors of different length are filled up with zeros.
-    Rows with the query's id are its own and no candidates.
+    Rows with the query's id are its own and no candidates; repeated rows are candidates each. Scores beyond
+    64 bits count as the largest (or smallest) long. Empty tables give no rows.
     """
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 1024) != float("inf"))
     usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite)
     )
     points = usable(vectors)
     asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
     n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    m, wide = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards, blocks, width = -(-n // SHARD_ROWS) or 1, -(-m // QUERY_BLOCK) or 1, max(width, wide, 1)
-    kinds = "query_id long, vec_id long, score long"
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            own = right.column("id").to_numpy()
-            found = search(
-                matrix(left.column("v"), width), left.column("id").to_numpy(), matrix(right.column("v"), width), own, right.column("floor").to_pylist(), k
-            )
-            for i, ids, scores in found:
-                out[0] += [int(own[i])] * len(ids)
-                out[1] += ids.tolist()
-                out[2] += [int(s) for s in scores]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), out)})
-
-    shard = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards))
-    dealt = points.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    wide = asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    shards, width = -(-n // SHARD_ROWS) or 1, max(width, wide, 1)
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int"))
 
-    def answers(which: DataFrame, to: list[int], floor: DataFrame | None) -> DataFrame:
-        ask = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(to[0]).cast("long"), F.lit(to[1]).cast("long"))))
-        ask = ask.join(floor, "id", "left") if floor is not None else ask.withColumn("floor", F.lit(None).cast("double"))
-        return which.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(run, kinds)
+    def answers(a: int, b: int, floor: DataFrame) -> DataFrame:
+        held = dealt.where(F.col("shard").between(a, b - 1)).select("shard", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("long").alias("floor"))
+        ask = asked.join(floor, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(a), F.lit(b - 1))))
+        rows = held.unionByName(ask.select("shard", F.lit(1).alias("kind"), "id", "v", "floor"))
+        rows = rows.repartition(b - a, "shard").sortWithinPartitions("shard", "kind")
+        return rows.mapInArrow(lambda batches: answered(batches, width, k), "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = answers(dealt.where("shard = 0"), [0, 0], None)
-    if shards > 1:
-        found = written(found)
-        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
-        floor = kth.where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("s").cast("double").alias("floor"))
-        found = found.union(answers(dealt.where("shard > 0"), [1, shards - 1], floor))
+    ends = sorted({math.ceil(share * shards) for share in ROUNDS})
+    found = None
+    for a, b in zip([0, *ends], ends):
+        if found is None:
+            floor = asked.select("id", F.lit(None).cast("long").alias("floor")).limit(0)
+        else:  # the k-th best so far
+            placed = found.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+            floor = placed.select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        more = answers(a, b, floor)
+        more = more if b == shards else written(more)
+        found = more if found is None else found.union(more)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best candidates of each vector whose id is divisible by 100; nulls, ties and repeats as in ``top_k``."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
