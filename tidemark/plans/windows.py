@@ -109,13 +109,13 @@ def w17(s, d):
 
 
 def w18(s, d):
-    """Slope on the benchmark over the last 60 returns before each 20th session."""
+    """Slope on the benchmark over the last 252 returns before each session, from 60 returns on."""
     w = by("security_id").orderBy("session_no")
     b = fx(s, d, "fx_benchmark").withColumn("m", F.col("level") / F.lag("level").over(Window.orderBy("session_no")) - 1).select("session_no", "m")
     x = with_r(s, d).join(F.broadcast(b), "session_no").where("r IS NOT NULL AND m IS NOT NULL")
-    f = w.rowsBetween(-60, -1)
+    f = w.rowsBetween(-252, -1)
     x = x.withColumn("n", F.count("*").over(f)).withColumn("beta", F.covar_samp("r", "m").over(f) / F.var_samp("m").over(f))
-    return x.where("session_no % 20 = 0").select("security_id", "session_no", r6(F.when(F.col("n") >= 60, F.col("beta")), "beta"))
+    return x.select("security_id", "session_no", r6(F.when(F.col("n") >= 60, F.col("beta")), "beta"))
 
 
 def w20(s, d):
@@ -238,7 +238,7 @@ Q = {
     "w15_duplicate_across_filings": (w15, "SELECT owner_id % 20 AS owner_grp, issuer_id, transaction_date, round(shares, 6) AS shares, CAST(floor(price / 100) AS BIGINT) AS price, count(DISTINCT accession) AS accessions, count(*) AS n FROM fx_transactions GROUP BY 1, 2, 3, shares, 5 HAVING count(DISTINCT accession) > 1"),
     "w16_security_change": (w16, "SELECT owner_id, issuer_id, acquired_disposed, row_number() OVER (PARTITION BY owner_id, issuer_id ORDER BY min(transaction_date), acquired_disposed) > 1 AS changed FROM fx_transactions GROUP BY 1, 2, 3"),
     "w17_prefix_count_completeness": (w17, "WITH x AS (SELECT security_id, session_no, sum(CASE WHEN close < 1900 THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY session_no) AS bad FROM fx_daily) SELECT a.security_id, a.session_no, b.bad - a.bad AS invalid_on_path FROM x a JOIN x b ON a.security_id = b.security_id AND b.session_no = a.session_no + 5"),
-    "w18_trailing_beta": (w18, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark), x AS (SELECT security_id, r.session_no, r, m FROM r JOIN b ON r.session_no = b.session_no WHERE r IS NOT NULL AND m IS NOT NULL), y AS (SELECT *, count(*) OVER w AS n, covar_samp(r, m) OVER w / var_samp(m) OVER w AS beta FROM x WINDOW w AS (PARTITION BY security_id ORDER BY session_no ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) SELECT security_id, session_no, round(CASE WHEN n >= 60 THEN beta END, 6) AS beta FROM y WHERE session_no % 20 = 0"),
+    "w18_trailing_beta": (w18, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark), x AS (SELECT security_id, r.session_no, r, m FROM r JOIN b ON r.session_no = b.session_no WHERE r IS NOT NULL AND m IS NOT NULL), y AS (SELECT *, count(*) OVER w AS n, covar_samp(r, m) OVER w / var_samp(m) OVER w AS beta FROM x WINDOW w AS (PARTITION BY security_id ORDER BY session_no ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) SELECT security_id, session_no, round(CASE WHEN n >= 60 THEN beta END, 6) AS beta FROM y"),
     "w20_mode_month": (w20, "SELECT issuer_id, month(transaction_date) AS month, count(*) AS n FROM fx_transactions GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY issuer_id ORDER BY count(*) DESC, month(transaction_date)) = 1"),
     "a1_owner_count": (a1, "SELECT DISTINCT t.accession, line_no, issuer_id, owner_count FROM fx_transactions t JOIN (SELECT accession, count(DISTINCT owner_id) AS owner_count FROM fx_transactions GROUP BY 1) g ON g.accession = t.accession"),
     "a2_issuer_day_events": (a2, "SELECT issuer_id, filing_date, transaction_code, count(DISTINCT accession) AS filings, array_to_string(list_sort(list(DISTINCT line_no)), ',') AS lines FROM fx_transactions WHERE transaction_code IN ('P', 'S') GROUP BY 1, 2, 3"),
