@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat", "codes", "fingerprints", "jaccard", "licenses", "lines", "mixing", "packing", "secrets", "topk", "toxicity", "warc"]
+MODULES = ["chat", "codes", "fingerprints", "jaccard", "licenses", "lines", "mixing", "packing", "repair", "secrets", "topk", "toxicity", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
