@@ -2,8 +2,9 @@
 
 DataFrame functions only. A template's blocks in a text are the runs of words that begin with one of its
 words and are ``STRETCH`` times as long as it, wherever lines break. It is found in a block when at least
-``threshold`` of its distinct words stand there, in any order, with all that tell it from its siblings and
-none that a sibling alone has.
+``threshold`` of its distinct words stand there, in any order. Siblings share most words, so a block gives
+the template's label only if a run of words stands in it that tells the template from its siblings ("lesser general"):
+what else the block holds takes no label away, and a block under two licenses gives both.
 """
 
 from __future__ import annotations
@@ -19,24 +20,28 @@ from .common import table, written
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Opening or notice sentences of public licenses: the label each one stands for, the sentence,
-# words that must stand in the block and words that must not.
-TEMPLATES: tuple[tuple[str, str, str, str], ...] = (
-    ("gpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu", "lesser affero"),
-    ("gpl-3", "This work is licensed under the GNU General Public License version 3", "gnu 3", "lesser affero"),
-    ("gpl-2", "This work is licensed under the GNU General Public License version 2", "gnu 2", "lesser affero"),
-    ("lgpl", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License", "lesser", "affero"),
-    ("agpl", "This program is licensed under the terms of the GNU Affero General Public License", "affero", "lesser"),
-    ("apache-2", "Licensed under the Apache License Version 2.0", "apache 2", ""),
-    ("apache-2", "you may not use this file except in compliance with the License You may obtain a copy of the License at apache org licenses", "apache", ""),
-    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in the Software without restriction", "", ""),
-    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "", ""),
-    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee", ""),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla", ""),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution", "noncommercial sharealike noderivatives noderivs nc sa nd"),
-    ("cc-by-nc", "Licensed under CC BY NC 4.0", "nc", "sa nd"),
-    ("cc-by-sa", "Licensed under CC BY SA 4.0", "sa", "nc nd"),
-    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
+# Opening or notice sentences of public licenses: the label each one stands for, the sentence, and runs of
+# words that must stand in the block, as the sentence's siblings differ there; | parts alternatives, a comma several runs.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (
+    ("gpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general"),
+    ("gpl-3", "This work is licensed under the GNU General Public License version 3", "gnu general, 3"),
+    ("gpl-2", "This work is licensed under the GNU General Public License version 2", "gnu general, 2"),
+    ("lgpl", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License", "lesser general"),
+    ("lgpl", "This program is licensed under the terms of the GNU Lesser General Public License", "lesser general"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License", "lesser general"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License", "affero general"),
+    ("agpl", "This program is licensed under the terms of the GNU Affero General Public License", "affero general"),
+    ("apache-2", "Licensed under the Apache License Version 2.0", "apache, 2"),
+    ("apache-2", "you may not use this file except in compliance with the License You may obtain a copy of the License at apache org licenses", "apache"),
+    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in the Software without restriction", ""),
+    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
+    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution 4|attribution 3|attribution 2|attribution international|attribution license"),
+    ("cc-by-nc", "Licensed under CC BY NC 4.0", "by nc 4|by nc 3|by nc 2|by nc license"),
+    ("cc-by-sa", "Licensed under CC BY SA 4.0", "by sa 4|by sa 3|by sa 2|by sa license"),
+    ("cc-by-nc-sa", "Licensed under CC BY NC SA 4.0", "by nc sa"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 STRETCH = 1.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,22 +50,22 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Form:
-    """A template as sets of words: ``need`` of ``words`` in a block of ``span`` words, all of ``must``, none of ``never``."""
+    """A template as sets of words: ``need`` of ``words`` in a block of ``span`` words, and for the label one run of each of ``must``."""
 
     label: str
     words: tuple[str, ...]
     need: int
     span: int
-    must: tuple[str, ...]
-    never: tuple[str, ...]
+    must: tuple[tuple[str, ...], ...]
 
 
 def template_forms(templates=TEMPLATES, threshold: float = 0.8, stretch: float = STRETCH) -> list[Form]:
     cut = lambda t: re.findall(r"[0-9a-z]+", t.lower())
     sets = lambda t: tuple(sorted(set(cut(t))))
+    runs = lambda t: tuple(tuple(" ".join(cut(r)) for r in part.split("|")) for part in t.split(",") if part)
     return [
-        Form(label, sets(body), math.ceil(threshold * len(sets(body)) - 1e-9), math.ceil(stretch * len(cut(body))), sets(must), sets(never))
-        for label, body, must, never in templates
+        Form(label, sets(body), math.ceil(threshold * len(sets(body)) - 1e-9), math.ceil(stretch * len(cut(body))), runs(must))
+        for label, body, must in templates
     ]
 
 
@@ -77,7 +82,8 @@ def license_hits(
     docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """Return (rows, hits): ``rows`` is ``docs`` without ``text`` plus row_id, n_words and phrase places;
-    ``hits`` has one row per (row_id, start_word, block_words, template, label, overlap, containment), for every block.
+    ``hits`` has one row per (row_id, start_word, block_words, template, label, overlap, containment, own), for every
+    block that meets the threshold; ``own`` is false where the block has no run of words that is the template's own.
 
     One pass over the text keeps, of each text that can hold a template at all, the words that templates
     use, with their places. Their document counts order them, rarest first. Words and templates then join on
@@ -89,7 +95,7 @@ def license_hits(
     body = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in docs.columns if c != text]
     known = template_forms(templates, threshold)
-    vocabulary = sorted({w for f in known for w in (*f.words, *f.must, *f.never)})
+    vocabulary = sorted({w for f in known for w in (*f.words, *[w for runs in f.must for run in runs for w in run.split(" ")])})
     listed = lambda ws: F.array(*[F.lit(w) for w in ws])
 
     first = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), _spaced(body).alias("spaced"))
@@ -129,11 +135,9 @@ def license_hits(
     forms, widest = [], max(f.span for f in known)
     for t, f in enumerate(known):
         ids = sorted(order[w] for w in f.words)
-        must, never = ([order[w] for w in ws] for ws in (f.must, f.never))
-        forms += [(i, t, f.label, f.need, f.span, ids, must, never) for i in ids[: len(ids) - f.need + 1]]  # prefix
-    side = docs.sparkSession.createDataFrame(
-        forms, "id int, template int, label string, need int, span int, tids array<int>, must array<int>, never array<int>"
-    )
+        must = [[f" {' '.join(str(order[w]) for w in run.split(' '))} " for run in runs] for runs in f.must]
+        forms += [(i, t, f.label, f.need, f.span, ids, must) for i in ids[: len(ids) - f.need + 1]]  # prefix
+    side = docs.sparkSession.createDataFrame(forms, "id int, template int, label string, need int, span int, tids array<int>, must array<array<string>>")
     prefixes = sorted({form[0] for form in forms})
 
     coded = scanned.where(F.col("placed").isNotNull()).select(
@@ -153,17 +157,21 @@ def license_hits(
     near = near.where(F.size(own) >= F.col("need")).where(F.size(F.filter(own, lambda x: x >= F.col("id"))) >= F.col("need"))
     starts = F.filter("around", lambda x: (x["at"] <= F.col("at")) & F.array_contains("tids", x["id"]))
     block = F.filter("around", lambda x: (x["at"] >= F.col("start")) & (x["at"] < F.col("start") + F.col("span")))
+    # numbers of neighbouring words with a space between them, a bar where words are left out
+    step = lambda x, i: F.concat(F.when(F.get("block", i - 1)["at"] == x["at"] - 1, "").otherwise("| "), x["id"].cast("string"))
+    run = F.concat(F.lit(" "), F.array_join(F.transform("block", step), " "), F.lit(" "))
     hits = (
         near.withColumn("start", F.explode(F.transform(starts, lambda x: x["at"])))
         .dropDuplicates(["row_id", "template", "start", "id"])
-        .withColumn("block", F.transform(block, lambda x: x["id"]))
-        .withColumn("overlap", F.size(F.array_intersect("block", "tids")))
+        .withColumn("block", block)
+        .withColumn("overlap", F.size(F.array_intersect("block.id", "tids")))
         .where("overlap >= need")
-        .where((F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
+        .withColumn("run", run)
+        .withColumn("own", F.forall("must", lambda runs: F.exists(runs, lambda r: F.contains(F.col("run"), r))))
         .dropDuplicates(["row_id", "template", "start"])
         .select(
             "row_id", F.col("start").alias("start_word"), F.least(F.col("span"), F.col("n_words") - F.col("start")).alias("block_words"),
-            "template", "label", "overlap", (F.col("overlap") / F.size("tids")).alias("containment"),
+            "template", "label", "overlap", (F.col("overlap") / F.size("tids")).alias("containment"), "own",
         )
     )
     rows = scanned.select("row_id", "doc", "n_words", *[f"p{i}" for i in range(len(phrases))])
@@ -173,11 +181,11 @@ def license_hits(
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: places of license phrases, labels of phrases and of matched templates, a score.
 
-    The score is 1 where a phrase stands, else the best containment of a matched template, else 0. Null texts count
+    The score is 1 where a phrase stands, else the best containment of a template in a block, else 0. Null texts count
     as empty, repeated rows are scanned one by one, an empty table gives no rows.
     """
     rows, hits = license_hits(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    best = hits.groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    best = hits.groupBy("row_id").agg(F.collect_set(F.when(F.col("own"), F.col("label"))).alias("found"), F.max("containment").alias("containment"))
     columns = [f"p{i}" for i in range(len(PHRASES))]
     places = F.concat(*columns)
     base = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(columns, PHRASES.values())]))
@@ -198,7 +206,7 @@ def _oracle() -> str:
     words = lambda t: f"regexp_extract_all(translate({t}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
     forms = ", ".join(
-        f"({t}, '{f.label}', {listed(f.words)}, {f.need}, {f.span}, {listed(f.must)}, {listed(f.never)})" for t, f in enumerate(template_forms())
+        f"({t}, '{f.label}', {listed(f.words)}, {f.need}, {f.span}, [{', '.join(map(listed, f.must))}]::VARCHAR[][])" for t, f in enumerate(template_forms())
     )
     at = ", ".join(
         "list_filter(range(0, len(words)), lambda i: "
@@ -211,15 +219,15 @@ def _oracle() -> str:
     return f"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS words FROM documents),
 p AS (SELECT rid, doc_id, len(words) AS n_words, {at} FROM w),
-f(template, label, tw, need, span, must, never) AS (VALUES {forms}),
+f(template, label, tw, need, span, must) AS (VALUES {forms}),
 u AS (SELECT rid, words, list_distinct(words) AS dw FROM w),
 c AS (SELECT * FROM u, f WHERE len(list_intersect(dw, tw)) >= need),
-s AS (SELECT rid, label, tw, need, must, never, span, words,
+s AS (SELECT rid, label, tw, need, must, span, words,
              unnest(list_filter(range(1, len(words) + 1), lambda i: list_contains(tw, words[i]))) AS i FROM c),
-b AS (SELECT rid, label, tw, need, must, never, list_distinct(words[i:i + span - 1]) AS bw FROM s),
-h AS (SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS c FROM b
-      WHERE len(list_intersect(bw, tw)) >= need AND list_has_all(bw, must) AND NOT list_has_any(bw, never)),
-g AS (SELECT rid, list(DISTINCT label) AS found, max(c) AS c FROM h GROUP BY rid)
+b AS (SELECT rid, label, tw, need, must, list_distinct(words[i:i + span - 1]) AS bw, ' ' || array_to_string(words[i:i + span - 1], ' ') || ' ' AS run FROM s),
+h AS (SELECT rid, CASE WHEN len(list_filter(must, lambda g: len(list_filter(g, lambda p: contains(run, ' ' || p || ' '))) = 0)) = 0 THEN label END AS label,
+             len(list_intersect(bw, tw)) / len(tw) AS c FROM b WHERE len(list_intersect(bw, tw)) >= need),
+g AS (SELECT rid, coalesce(list(DISTINCT label) FILTER (label IS NOT NULL), []) AS found, max(c) AS c FROM h GROUP BY rid)
 SELECT doc_id, n_words, len({every}) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
        array_to_string(list_sort(list_distinct({base})), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat({base}, coalesce(found, [])))), ',') AS labels,
