@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from tests.llm.test_jaccard import brute
 from tests.llm.test_mixing import check as check_mix
@@ -82,3 +84,31 @@ def test_toxicity_stage_on_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", "en", "s", 0)] * 2, docs.schema)
     assert p.drop_toxic(spark, odd, folder).count() == 4
     assert p.drop_toxic(spark, docs.where("doc_id < -5"), folder).collect() == []
+
+
+def test_groups_without_id_keep_one_row(spark):
+    words = [f"w{i}" for i in range(200)]
+    whole, near = " ".join(words), " ".join(words[:90] + ["x"] + words[90:])
+    alone, beside = " ".join(f"v{i}" for i in range(100)), " ".join(f"v{i}" for i in range(101))
+    rows = [(1, whole), (None, near), (None, whole), (None, whole), (None, alone), (None, alone), (None, beside), (None, "far from all others here"), (None, None), (None, " \n"), (5, beside.replace("v", "u"))]
+    rows += [(None, "once more and again and so on")] * 200
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, t1 int, `group` int")
+    got = p.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert [k for k in kept if k[1] in (alone, beside)] in ([("None", alone)], [("None", beside)])
+    rest = [("1", whole), ("None", ""), ("None", " \n"), ("None", "far from all others here"), ("None", "once more and again and so on"), ("5", beside.replace("v", "u"))]
+    assert sorted(k for k in kept if k[1] not in (alone, beside)) == sorted(rest)
+
+
+def test_stages_with_clashing_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    names = ["score", "predicted", "scored_text", "own_print", "key", "print", "gaps", "tail", "group", "t1", "row_key", "row_number", "copy", "a.b", "__text", "row_id", "doc", "size", "n_shingles"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for _, stage in p.STAGES[:4]:
+        got, want = stage(spark, more, folder), stage(spark, docs, folder)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in want.collect()) and rows
+        assert all([r[c] for c in names] == list(range(len(names))) for r in rows)

@@ -43,7 +43,7 @@ def test_odd_rows(spark):
     right = [got[i].predicted == int(i >= 200) for i in range(300)]
     assert np.mean(right) > 0.95 and got[300].predicted == got[301].predicted == 0
     none = train(docs, labels.where("toxic = 0"))
-    assert {r.score for r in with_scores(docs, none).collect()} == {0.0}
+    assert {(r.score, r._score) for r in with_scores(docs, none).collect()} == {(1.0, 0.0)}  # the table's own column stays
     assert with_scores(docs.where("doc_id < 0"), none).collect() == []
     assert spark.range(1).select(held_out(F.lit(None).cast("long"))).first()[0] is False
     assert lowered(None) == b"  "

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, discard, give_back, slices, small, table, written
@@ -169,7 +169,8 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def set_digests(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2) per row; h1 and h2 stand for the shingle set."""
+    """(doc_id, n_shingles, h1, h2, t1, t2) per row; h1 and h2 stand for the shingle set, t1 and t2 for the text of a row
+    without id (else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -177,14 +178,21 @@ def set_digests(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
             s, counts = shingle_sets(_texts(batch), words, n)
             h = digests(s, counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                names=["doc_id", "n_shingles", "h1", "h2"],
+                [batch.column(0), pa.array(counts), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(2), batch.column(3)],
+                names=["doc_id", "n_shingles", "h1", "h2", "t1", "t2"],
             )
         del words
         give_back()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    nameless = [F.when(F.col(id_col).isNull(), h) for h in text_digest(F.col(text))]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), nameless[0].alias("t1"), nameless[1].alias("t2"))
+    return source.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, t1 long, t2 long")
+
+
+def text_digest(text: Column) -> list[Column]:
+    """128 bits of a text, null as an empty one."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(body), F.xxhash64(F.lit(17), body)]
 
 
 def _packed(k: np.ndarray) -> bytes:
@@ -419,12 +427,15 @@ def _unlinked(num: int, den: int, all_pairs: bool = False):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5, nameless: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links).
 
     Texts link when their sets of distinct n-word shingles have a Jaccard similarity of at least
     num / den. Null and wordless texts have an empty set and link with nothing. Rows with a null id
-    are returned and link like all others; a group without any id has component_id null. Repeated rows
+    are returned and link like all others; a group without any id has component_id null. With ``nameless``, rows also
+    have group (equal in a component, null without words) and, where they have no id, the digest t1, t2 of their text. Repeated rows
     are all returned. Sets are told apart by a 128-bit digest and compared under its first 64 bits.
     """
     rows = written(set_digests(docs, id_col, text, n))
@@ -437,11 +448,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     alone = wanted.select("h1").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chosen = source.join(small(wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_semi")
-    nameless = not wanted.where("doc_id IS NULL").isEmpty()
-    if nameless:
+    unnamed = not wanted.where("doc_id IS NULL").isEmpty()
+    if unnamed:
         chosen = chosen.union(source.where("doc_id IS NULL"))
     sets = written(_candidate_sets(chosen, "text", n))
-    if nameless or sets.count() > alone.count():  # repeated rows, and rows of other sets
+    if unnamed or sets.count() > alone.count():  # repeated rows, and rows of other sets
         once = written(sets.join(alone, "h1", "left_semi").dropDuplicates(["h1"]))
         discard(sets)
         sets = once
@@ -475,9 +486,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     discard(sets)
     comp = label.join(held, label["node"] == held["h1"]).groupBy("comp").agg(F.min("rep").alias("lowest"))
     of_set = held.join(label, held["h1"] == label["node"], "left").join(comp, "comp", "left")
-    of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"))
+    of_set = of_set.select("h1", "h2", F.coalesce("lowest", "rep").alias("component_id"), F.coalesce("comp", "h1").alias("group"))
+    marks = ["group", "t1", "t2"] if nameless else []
     return rows.join(of_set, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *marks
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import small, table, unused, written
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 IDENT = r"""(?i:user|username|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
@@ -116,24 +116,24 @@ def secret_spans(docs: DataFrame, text: str = "text", scope: int = 300) -> tuple
 def masked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans become one mark.
 
-    Rows with the same id (or none) and the same text are treated alike. Texts without spans stay as they are.
+    Rows with the same id (or none) and the same text are treated alike. Texts without spans, null and empty ones among
+    them, stay as they are; columns of any other name do; an empty table stays empty.
     """
-    print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows, spans = secret_spans(docs.select(F.col(id_col).alias("__id"), print_.alias("__h"), F.col(text).alias(text)), text)
+    own, key, print_, gaps, tail = (unused(docs, c) for c in ("own_print", "key", "print", "gaps", "tail"))
+    doc, whole = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    of_text = F.xxhash64(F.coalesce(whole, F.lit("")))
+    rows, spans = secret_spans(docs.select(doc.alias("key"), of_text.alias("print"), whole.alias("text")))
     order = Window.partitionBy("row_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     cuts = spans.select("row_id", "start", "end", F.coalesce(F.max("end").over(order), F.lit(0)).alias("open"))
-    gaps = cuts.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("open"), F.struct(F.col("open").alias("a"), F.col("start").alias("b"))))).alias("__gaps"),
-        F.max("end").alias("__tail"),
+    cut = cuts.groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("open"), F.struct(F.col("open").alias("a"), F.col("start").alias("b"))))).alias(gaps),
+        F.max("end").alias(tail),
     )
-    found = written(rows.join(gaps, "row_id").select(F.col("doc.__id").alias("__id"), F.col("doc.__h").alias("__h"), "__gaps", "__tail").dropDuplicates(["__id", "__h"]))
-    whole = F.col(text)
-    pieces = F.transform("__gaps", lambda g: F.substring(whole, g["a"].cast("int") + 1, (g["b"] - g["a"]).cast("int")))
-    new = F.array_join(F.concat(pieces, F.array(F.substring(whole, F.col("__tail").cast("int") + 1, F.length(whole)))), mark)
-    joined = docs.withColumn("__own", print_).join(
-        small(found), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")), "left"
-    )
-    return joined.select(*[F.when(F.col("__gaps").isNotNull(), new).otherwise(whole).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    found = written(rows.join(cut, "row_id").select(F.col("doc.key").alias(key), F.col("doc.print").alias(print_), gaps, tail).dropDuplicates([key, print_]))
+    pieces = F.transform(gaps, lambda g: F.substring(whole, g["a"].cast("int") + 1, (g["b"] - g["a"]).cast("int")))
+    new = F.array_join(F.concat(pieces, F.array(F.substring(whole, F.col(tail).cast("int") + 1, F.length(whole)))), mark)
+    joined = docs.withColumn(own, of_text).join(small(found), doc.eqNullSafe(F.col(key)) & (F.col(own) == F.col(print_)), "left")
+    return joined.select(*[F.when(F.col(gaps).isNotNull(), new).otherwise(whole).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

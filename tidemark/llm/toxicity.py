@@ -25,8 +25,9 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import give_back, slices, table
+from .common import give_back, slices, table, unused
 
 SAMPLE = {1: 2500, 0: 7500}
 """Most labelled rows of each class that the classifier is fitted on."""
@@ -274,7 +275,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> bytes:
-    """The model, pickled: fitted in one task on at most SAMPLE rows of each class, none of them held out."""
+    """The model, pickled: fitted in one task on at most SAMPLE rows of each class, none of them held out. An id counts
+    once, with the least of its texts, however many rows it has."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -287,6 +289,7 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
     sample = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
         .join(F.broadcast(picked), "doc_id")  # at most sum(SAMPLE) rows of two numbers
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # one row an id, so at most sum(SAMPLE)
         .select("text", "toxic")
     )
 
@@ -303,26 +306,27 @@ def train(docs: DataFrame, labels: DataFrame) -> bytes:
 
 
 def with_scores(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on). Null texts count as empty. Without a
-    model (no labelled rows of both classes) every score is 0."""
+    """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on), with underscores before these names where
+    ``docs`` has such columns. Null texts count as empty. Without a model (no labelled rows of both classes) every score is 0."""
+    names = [unused(docs, c) for c in ("score", "predicted")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    source = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(model)
         windows = Windows(fitted[0]) if fitted else None
-        for part in slices(batches, "__text"):
+        for part in slices(batches):
             score = np.zeros(part.num_rows)
             if windows:
-                x = windows.figures([lowered(t) for t in part.column(part.num_columns - 1).to_pylist()])
+                x = windows.figures([lowered(t) for t in part.column(1).to_pylist()])
                 score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ fitted[1], -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"]
+                [part.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["row", "score", "predicted"]
             )
         give_back()
 
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.select(*[f"`{c}`" for c in rest]).dtypes)
-    source = docs.select(*[f"`{c}`" for c in rest], F.col(text).alias("__text"))
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    scored = source.mapInArrow(run, StructType([source.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return scored.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("score").alias(names[0]), F.col("predicted").alias(names[1]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
