@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small, table, unused, written
-from tidemark.llm.jaccard import near_duplicates
+from tidemark.llm.jaccard import near_duplicates, text_digest
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.secrets import masked
@@ -26,31 +26,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, all stay.
     """
     scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where(F.col(unused(docs, "predicted")) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, one row of each doc_id.
+    """One row of each group of near duplicates: of the smallest doc_id; of a group without any id, of the least text digest.
 
-    Documents without words are nobody's duplicates. A row without doc_id goes if its text is known under one.
+    Documents without words are nobody's duplicates. Of rows that share an id one stays; rows without id go where their
+    group has one. An empty table stays empty.
     """
-    groups = written(near_duplicates(docs.select("doc_id", "text")))
+    names = [f"`{c}`" for c in docs.columns]
+    groups = written(near_duplicates(docs.select("doc_id", "text"), nameless=True))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not groups.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
-        known = F.xxhash64("text")
-        twins = docs.where("doc_id IS NOT NULL").select(known.alias("h")).distinct()
-        named = kept.where("doc_id IS NOT NULL")
-        kept = named.unionByName(kept.where("doc_id IS NULL").join(twins, known == twins["h"], "left_anti"))
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    kept = docs.where("doc_id IS NOT NULL").join(small(gone), "doc_id", "left_anti").select(*names)
+    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = groups.where("doc_id IS NULL")
+    if nameless.isEmpty():
         return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    t1, t2 = unused(docs, "t1"), unused(docs, "t2")
+    marked = docs.where("doc_id IS NULL").withColumns(dict(zip((t1, t2), text_digest(F.col("text")))))
+    one = nameless.where("component_id IS NULL AND group IS NOT NULL").groupBy("group").agg(F.min(F.struct("t1", "t2")).alias("t"))
+    one = one.select(F.col("t.t1").alias(t1), F.col("t.t2").alias(t2))
+    wordless = nameless.where("group IS NULL").select(F.col("t1").alias(t1), F.col("t2").alias(t2)).distinct()
+    first = marked.join(one, [t1, t2], "left_semi").dropDuplicates([t1, t2])
+    return kept.unionByName(first.unionByName(marked.join(wordless, [t1, t2], "left_semi")).select(*names))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked, n_chars as of the masked text."""
     clean = masked(docs)
-    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy(key))
     copies = F.when(place <= F.col(n)["twice"], 2).when(place <= F.col(n)["taken"], 1).otherwise(0)
     taken = rows.withColumn(n, copies).where(F.col(n) > 0)
-    return taken.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    return taken.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
