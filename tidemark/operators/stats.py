@@ -5,51 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import student
 
-def _cluster_var(df: DataFrame, by: list[str], cluster: list[str], score: Column, name: str) -> DataFrame:
-    sums = df.groupBy(*by, *cluster).agg(F.sum(score).alias("_s"))
-    g = F.count("*")
-    return sums.groupBy(*by).agg(g.alias(f"g_{name}"), (F.sum(F.col("_s") * F.col("_s")) * F.when(g > 1, g / (g - 1))).alias(f"v_{name}"))
 
+def _cells(known: DataFrame, by: list[str], value: str, first: str, second: str, *more: str) -> DataFrame:
+    """One row a pair of clusters (and values of ``more``): rows, their mean and the sum of squares about it. All that
+    follows reads these cells, so the rows themselves are aggregated once."""
+    own = known.groupBy(*by, first, second, *more)
+    return own.agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count("*")).alias("_w"))
 
-def _joined(parts: list[DataFrame], by: list[str]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, by) if by else out.crossJoin(p)  # without groups each side is one row
-    return out
+
+def _against(cells: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Cells beside their group's totals, one row a group; without groups the totals are a single row."""
+    return cells.join(totals, by) if by else cells.crossJoin(F.broadcast(totals))
+
+
+def _cluster_vars(scored: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """Per group: numbers of clusters g_a and g_b and the three variances v_a, v_b, v_ab of the sums of ``_s``, each
+    G / (G - 1) times the sum of squared cluster sums, null below two clusters. One pass, by grouping sets."""
+    sets = [[*by, first], [*by, second], [*by, first, second]]
+    sums = scored.groupingSets(sets, *by, first, second).agg(F.sum("_s").alias("_s"), F.grouping(first).alias("_no_a"), F.grouping(second).alias("_no_b"))
+    out = []
+    for name, which in (("a", F.col("_no_b") == 1), ("b", F.col("_no_a") == 1), ("ab", F.col("_no_a") + F.col("_no_b") == 0)):
+        g = F.count_if(which)
+        out += [g.alias(f"g_{name}"), F.when(g > 1, F.sum(F.when(which, F.col("_s") * F.col("_s"))) * g / (g - 1)).alias(f"v_{name}")]
+    return sums.groupBy(*by).agg(*out)
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    return left.join(right, by) if by else left.crossJoin(right)  # without groups each side is one row
+
+
+def inference(df: DataFrame, effect: str, se: str = "se", t: str = "t", degrees: str = "df") -> DataFrame:
+    """``df`` plus the two-sided p of ``t`` and a 95 % interval of ``effect``; null where there is no t or no degrees of
+    freedom. For result rows."""
+    half = student.critical(F.col(degrees)) * F.col(se)
+    with_p = df.withColumn("p", student.p_value(F.col(t), F.col(degrees))).withColumn("_half", half)
+    return with_p.withColumn("ci_low", F.col(effect) - F.col("_half")).withColumn("ci_high", F.col(effect) + F.col("_half")).drop("_half")
 
 
 def clustered_mean(df: DataFrame, by: list[str], value: str, first: str, second: str) -> DataFrame:
-    """Mean of ``value`` with two-way clustered standard error, t and degrees of freedom, per group of ``by``.
+    """Mean of ``value`` with two-way clustered standard error, t, degrees of freedom, p and interval, per group of ``by``.
 
-    V = V_first + V_second - V_both, each G / (G - 1) times the sum of squared cluster scores, not
-    below 0. Rows with null values take no part; df is the smaller number of clusters less one.
+    V = V_first + V_second - V_both, each G / (G - 1) times the sum of squared cluster scores, not below 0; no standard
+    error below two clusters of either kind. Rows with null values take no part; df is the smaller number of clusters less one.
     """
-    known = df.where(F.col(value).isNotNull())
-    means = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    scored = known.join(means, by) if by else known.crossJoin(means)
-    score = (F.col(value) - F.col("mean")) / F.col("n")
-    parts = [means, _cluster_var(scored, by, [first], score, "a"), _cluster_var(scored, by, [second], score, "b"), _cluster_var(scored, by, [first, second], score, "ab")]
-    out = _joined(parts, by)
-    v = F.greatest(F.lit(0.0), F.col("v_a") + F.col("v_b") - F.col("v_ab"))
-    out = out.withColumn("se", F.sqrt(v))
-    return out.select(*by, "n", "mean", "se", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("t"), (F.least("g_a", "g_b") - 1).alias("df"))
+    cells = _cells(df.where(F.col(value).isNotNull()), by, value, first, second)
+    n = F.sum("_n")
+    means = cells.groupBy(*by).agg(n.alias("n"), (F.sum(F.col("_n") * F.col("_m")) / n).alias("mean"))
+    scored = _against(cells, means, by).withColumn("_s", F.col("_n") * (F.col("_m") - F.col("mean")) / F.col("n"))
+    out = _joined(means, _cluster_vars(scored, by, first, second), by)
+    v = F.col("v_a") + F.col("v_b") - F.col("v_ab")
+    out = out.withColumn("se", F.sqrt(F.when(v < 0, 0.0).otherwise(v))).withColumn("df", F.least("g_a", "g_b") - 1)
+    out = out.withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
+    return inference(out, "mean").select(*by, "n", "mean", "se", "t", "df", "p", "ci_low", "ci_high")
 
 
 def clustered_contrast(df: DataFrame, by: list[str], value: str, arm: str, first: str, second: str) -> DataFrame:
-    """Mean of arm 1 less mean of arm 0 with two-way clustered standard error (each part G/(G-1) (N-1)/(N-2))."""
-    known = df.where(F.col(value).isNotNull() & F.col(arm).isNotNull())
-    m = known.groupBy(*by).agg(
-        F.count_if(F.col(arm) == 1).alias("n1"), F.count_if(F.col(arm) == 0).alias("n0"),
-        F.avg(F.when(F.col(arm) == 1, F.col(value))).alias("m1"), F.avg(F.when(F.col(arm) == 0, F.col(value))).alias("m0"),
-    )
-    scored = known.join(m, by) if by else known.crossJoin(m)
-    score = F.when(F.col(arm) == 1, (F.col(value) - F.col("m1")) / F.col("n1")).otherwise(-(F.col(value) - F.col("m0")) / F.col("n0"))
-    out = _joined([m, _cluster_var(scored, by, [first], score, "a"), _cluster_var(scored, by, [second], score, "b"), _cluster_var(scored, by, [first, second], score, "ab")], by)
+    """Mean of arm 1 less mean of arm 0 with two-way clustered standard error (each part G/(G-1) (N-1)/(N-2)), t, p, interval."""
+    cells = _cells(df.where(F.col(value).isNotNull() & F.col(arm).isin(0, 1)), by, value, first, second, arm)
+    m = _arms(cells, by, arm)
+    scored = _against(cells, m, by).withColumn("_s", _arm_score(arm))
+    out = _joined(m, _cluster_vars(scored, by, first, second), by)
     n = F.col("n1") + F.col("n0")
-    v = F.greatest(F.lit(0.0), (F.col("v_a") + F.col("v_b") - F.col("v_ab")) * (n - 1) / (n - 2))
-    out = out.withColumn("estimate", F.col("m1") - F.col("m0")).withColumn("se", F.sqrt(v))
-    return out.select(*by, "n1", "n0", "estimate", "se", F.when(F.col("se") > 0, F.col("estimate") / F.col("se")).alias("t"), (F.least("g_a", "g_b") - 1).alias("df"))
+    v = (F.col("v_a") + F.col("v_b") - F.col("v_ab")) * (n - 1) / (n - 2)
+    out = out.withColumn("estimate", F.col("m1") - F.col("m0")).withColumn("se", F.sqrt(F.when(v < 0, 0.0).otherwise(v))).withColumn("df", F.least("g_a", "g_b") - 1)
+    out = out.withColumn("t", F.when(F.col("se") > 0, F.col("estimate") / F.col("se")))
+    return inference(out, "estimate").select(*by, "n1", "n0", "estimate", "se", "t", "df", "p", "ci_low", "ci_high")
+
+
+def _arms(cells: DataFrame, by: list[str], arm: str, *more: Column) -> DataFrame:
+    """Rows and means of the two arms, one row a group."""
+    n = lambda a: F.sum(F.when(F.col(arm) == a, F.col("_n")).otherwise(0))
+    m = lambda a: F.sum(F.when(F.col(arm) == a, F.col("_n") * F.col("_m"))) / F.sum(F.when(F.col(arm) == a, F.col("_n")))
+    return cells.groupBy(*by).agg(n(1).alias("n1"), n(0).alias("n0"), m(1).alias("m1"), m(0).alias("m0"), *more)
+
+
+def _arm_score(arm: str) -> Column:
+    one = F.col("_n") * (F.col("_m") - F.col("m1")) / F.col("n1")
+    return F.when(F.col(arm) == 1, one).otherwise(-F.col("_n") * (F.col("_m") - F.col("m0")) / F.col("n0"))
 
 
 def holm(df: DataFrame, p: str, key: str, by: list[str]) -> DataFrame:
@@ -85,13 +119,12 @@ COMPONENTS = ("two_way", "issuer", "quarter", "hc1")
 def floored(scored: DataFrame, by: list[str], first: str, second: str, k: int) -> DataFrame:
     """Per group: n, clusters g1 and g2, and the largest of four variances of an estimate with ``k`` parameters.
 
-    ``scored`` holds ``_score``, each row's share in the estimate's error. The four are the two-way and the two one-way
-    clustered variances, each with G / (G - 1) * (n - 1) / (n - k), and the robust one with n / (n - k). ``source``
+    ``scored`` holds ``_n`` rows, their score ``_s`` and the sum of their squared scores ``_q``. The four are the two-way and the
+    two one-way clustered variances, each with G / (G - 1) * (n - 1) / (n - k), and the robust one with n / (n - k). ``source``
     names the largest (the first of equals), ``status`` is ok, or says why there is no variance.
     """
-    score = F.col("_score")
-    base = scored.groupBy(*by).agg(F.count("*").alias("n"), F.sum(score * score).alias("_ss"))
-    out = _joined([base, _cluster_var(scored, by, [first], score, "a"), _cluster_var(scored, by, [second], score, "b"), _cluster_var(scored, by, [first, second], score, "ab")], by)
+    base = scored.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_q").alias("_ss"))
+    out = _joined(base, _cluster_vars(scored, by, first, second), by)
     n = F.col("n")
     many = F.when(n > k, (n - 1) / (n - k))
     parts = {"two_way": (F.col("v_a") + F.col("v_b") - F.col("v_ab")) * many, "issuer": F.col("v_a") * many, "quarter": F.col("v_b") * many, "hc1": F.col("_ss") * F.when(n > k, n / (n - k))}
@@ -105,30 +138,33 @@ def floored(scored: DataFrame, by: list[str], first: str, second: str, k: int) -
 
 
 def floored_mean(df: DataFrame, by: list[str], value: str, first: str, second: str) -> DataFrame:
-    """Mean with the floored standard error, t and degrees of freedom. Null values take no part."""
-    known = df.where(F.col(value).isNotNull())
-    means = known.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("_n"))
-    scored = known.join(means, by).withColumn("_score", (F.col(value) - F.col("mean")) / F.col("_n"))
-    out = means.drop("_n").join(floored(scored, by, first, second, 1), by)
+    """Mean with the floored standard error, t, degrees of freedom, p and interval. Null values take no part."""
+    cells = _cells(df.where(F.col(value).isNotNull()), by, value, first, second)
+    means = cells.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("mean"), F.sum("_n").alias("_all"))
+    d = F.col("_m") - F.col("mean")
+    scored = _against(cells, means, by).withColumn("_s", F.col("_n") * d / F.col("_all")).withColumn("_q", (F.col("_w") + F.col("_n") * d * d) / (F.col("_all") * F.col("_all")))
+    out = _joined(means.drop("_all"), floored(scored, by, first, second, 1), by)
     ok = F.col("status") == "ok"
-    return out.select(*by, "n", "issuers", "quarters", "mean", "se", "source", F.when(ok, F.col("mean") / F.col("se")).alias("t"), F.when(ok, F.least("issuers", "quarters") - 1).alias("df"), "status")
+    out = out.withColumn("t", F.when(ok, F.col("mean") / F.col("se"))).withColumn("df", F.when(ok, F.least("issuers", "quarters") - 1))
+    return inference(out, "mean").select(*by, "n", "issuers", "quarters", "mean", "se", "source", "t", "df", "p", "ci_low", "ci_high", "status")
 
 
 def floored_contrast(df: DataFrame, by: list[str], value: str, arm: str, first: str, second: str) -> DataFrame:
-    """Mean of arm 1 less that of arm 0 with the floored standard error; df from the arm with the fewest clusters."""
-    known = df.where(F.col(value).isNotNull() & F.col(arm).isin(0, 1))
+    """Mean of arm 1 less that of arm 0 with the floored standard error, t, p and interval; df from the arm with the fewest clusters."""
+    cells = _cells(df.where(F.col(value).isNotNull() & F.col(arm).isin(0, 1)), by, value, first, second, arm)
     one, none = F.col(arm) == 1, F.col(arm) == 0
     count = lambda c, a, n: F.countDistinct(F.when(a, F.col(c))).alias(n)
-    m = known.groupBy(*by).agg(
-        F.count_if(one).alias("n1"), F.count_if(none).alias("n0"), F.avg(F.when(one, F.col(value))).alias("_m1"), F.avg(F.when(none, F.col(value))).alias("_m0"),
-        count(first, one, "_f1"), count(first, none, "_f0"), count(second, one, "_s1"), count(second, none, "_s0"),
-    )
-    score = F.when(one, (F.col(value) - F.col("_m1")) / F.col("n1")).otherwise(-(F.col(value) - F.col("_m0")) / F.col("n0"))
-    out = m.join(floored(known.join(m, by).withColumn("_score", score), by, first, second, 2), by)
+    m = _arms(cells, by, arm, count(first, one, "_f1"), count(first, none, "_f0"), count(second, one, "_s1"), count(second, none, "_s0"))
+    own = F.when(one, F.col("m1")).otherwise(F.col("m0"))
+    size = F.when(one, F.col("n1")).otherwise(F.col("n0"))
+    d = F.col("_m") - own
+    scored = _against(cells, m, by).withColumn("_s", _arm_score(arm)).withColumn("_q", (F.col("_w") + F.col("_n") * d * d) / (size * size))
+    out = _joined(m, floored(scored, by, first, second, 2), by)
     df_ = F.least("_f1", "_f0", "_s1", "_s0") - 1
     status = F.when((F.col("n1") < 2) | (F.col("n0") < 2) | (df_ < 1), "insufficient_support").otherwise(F.col("status"))
-    ok, estimate = status == "ok", F.col("_m1") - F.col("_m0")
-    return out.select(*by, "n1", "n0", estimate.alias("estimate"), F.when(ok, F.col("se")).alias("se"), F.when(ok, F.col("source")).alias("source"), F.when(ok, estimate / F.col("se")).alias("t"), F.when(ok, df_).alias("df"), status.alias("status"))
+    ok, estimate = status == "ok", F.col("m1") - F.col("m0")
+    out = out.select(*by, "n1", "n0", estimate.alias("estimate"), F.when(ok, F.col("se")).alias("se"), F.when(ok, F.col("source")).alias("source"), F.when(ok, estimate / F.col("se")).alias("t"), F.when(ok, df_).alias("df"), status.alias("status"))
+    return inference(out, "estimate").select(*by, "n1", "n0", "estimate", "se", "source", "t", "df", "p", "ci_low", "ci_high", "status")
 
 
 def controlled_mean(df: DataFrame, by: list[str], value: str, arm: str, controls: tuple[str, str], first: str, second: str, least: int = 10) -> DataFrame:
@@ -153,7 +189,9 @@ def controlled_mean(df: DataFrame, by: list[str], value: str, arm: str, controls
     dx, dz = F.col("_x") - F.col("_mx"), F.col("_z") - F.col("_mz")
     pull = (F.col("_mx") * (F.col("_szz") * dx - F.col("_sxz") * dz) + F.col("_mz") * (F.col("_sxx") * dz - F.col("_sxz") * dx)) / F.col("_det")
     residual = F.col("_y") - F.col("_b0") - F.col("_bx") * F.col("_x") - F.col("_bz") * F.col("_z")
-    out = floored(rows.withColumn("_score", residual * (1 - pull) / F.col("_n")), by, first, second, 3).join(m, by).join(centre, by)
+    score = residual * (1 - pull) / F.col("_n")
+    scored = rows.withColumn("_s", score).groupBy(*by, first, second).agg(F.count("*").alias("_n"), F.sum("_s").alias("_s"), F.sum(F.col("_s") * F.col("_s")).alias("_q"))
+    out = floored(scored, by, first, second, 3).join(m, by).join(centre, by)
     few = (F.col("n") < least) | (F.col("n0") < least)
     status = F.when(few, "insufficient_complete_cases").otherwise(F.col("status"))
     ok = status == "ok"

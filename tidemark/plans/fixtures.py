@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import stored
+
 VIEWS: dict[str, str] = {
     "fx_transactions": """
 SELECT l.l_orderkey AS accession, l.l_linenumber AS line_no, p.p_brand AS issuer_id,
@@ -75,13 +77,20 @@ def with_views(sql: str) -> str:
     return f"WITH {views}\n{sql}"
 
 
+STORED = ("fx_calendar", "fx_daily", "fx_benchmark")
+"""Aggregates that most queries read, much smaller than their input: written once a session."""
+
+
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the Parquet tables of ``sf_dir``."""
-    sql = with_views(f"SELECT * FROM {name}")
-    frames = {}
+    frames: dict[str, DataFrame] = {}
 
     def use(m: re.Match) -> str:
-        frames.setdefault(m[2], spark.read.parquet(f"{sf_dir}/{m[2]}.parquet"))
+        if m[2] not in frames:
+            frames[m[2]] = fx(spark, sf_dir, m[2]) if m[2] in VIEWS else spark.read.parquet(f"{sf_dir}/{m[2]}.parquet")
         return f"{m[1]} {{{m[2]}}}"
 
-    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(BASE)})\b", use, sql), **frames)
+    def make() -> DataFrame:
+        return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join([*VIEWS, *BASE])})\b", use, VIEWS[name]), **frames)
+
+    return stored(spark, sf_dir, name, make) if name in STORED else make()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import stats
+from ..sources.tables import stored
 from .fixtures import fx, with_views
+from .student_sql import critical_sql, p_sql
 from .study import E1_SQL, HORIZONS, outcomes
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -17,12 +19,16 @@ DRAWS = 199
 def rows(s, d):
     """Complete outcomes with issuer, quarter, month and the arm: 1 where at least two owners bought that day.
 
-    Means, scores and clusters each read them, so they are kept once made (in memory, else on disk; lost parts are made again).
+    Means, scores and clusters each read them, so they are written once a session.
     """
-    t = fx(s, d, "fx_transactions").where("transaction_code = 'P' AND NOT is_amendment")
-    arms = t.groupBy(F.concat_ws("|", "issuer_id", F.col("filing_date").cast("string")).alias("event_id")).agg((F.countDistinct("owner_id") >= 2).cast("int").alias("arm"))
-    o = outcomes(s, d).where("excess_return IS NOT NULL").withColumn("quarter", F.trunc("filing_date", "QUARTER")).withColumn("month", F.trunc("filing_date", "MM"))
-    return o.join(arms, "event_id").withColumn("y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "excess_return"))).persist()
+
+    def make():
+        t = fx(s, d, "fx_transactions").where("transaction_code = 'P' AND NOT is_amendment")
+        arms = t.groupBy(F.concat_ws("|", "issuer_id", F.col("filing_date").cast("string")).alias("event_id")).agg((F.countDistinct("owner_id") >= 2).cast("int").alias("arm"))
+        o = outcomes(s, d).where("excess_return IS NOT NULL").withColumn("quarter", F.trunc("filing_date", "QUARTER")).withColumn("month", F.trunc("filing_date", "MM"))
+        return o.join(arms, "event_id").withColumn("y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "excess_return")))
+
+    return stored(s, d, "event_rows", make)
 
 
 X = f"""{E1_SQL}, ar AS (SELECT issuer_id || '|' || CAST(filing_date AS VARCHAR(10)) AS event_id, CASE WHEN count(DISTINCT owner_id) >= 2 THEN 1 ELSE 0 END AS arm
@@ -43,25 +49,45 @@ fl AS (SELECT horizon, n, ga AS issuers, gb AS quarters, CASE WHEN status = 'ok'
   CASE WHEN status = 'ok' THEN CASE v WHEN two_way THEN 'two_way' WHEN issuer THEN 'issuer' WHEN quarter THEN 'quarter' ELSE 'hc1' END END AS source, status FROM p2)"""
 
 
+def s3_rows(s, d):
+    return stats.floored_mean(rows(s, d), ["horizon"], "y", "security_id", "quarter")
+
+
 def s3(s, d):
-    x = stats.floored_mean(rows(s, d), ["horizon"], "y", "security_id", "quarter")
-    return x.select("horizon", "n", "issuers", "quarters", r6(F.col("mean"), "mean"), r6(F.col("se"), "se"), "source", r6(F.col("t"), "t"), "df", "status")
+    return s3_rows(s, d).select("horizon", "n", "issuers", "quarters", r6(F.col("mean"), "mean"), r6(F.col("se"), "se"), "source", r6(F.col("t"), "t"), "df", *[r6(F.col(c), c) for c in ("p", "ci_low", "ci_high")], "status")
+
+
+S3 = f"""{X}, mn AS (SELECT horizon, avg(y) AS mean, count(*) AS k FROM x GROUP BY 1), sc AS (SELECT horizon, security_id, quarter, (y - mean) / k AS s FROM x JOIN mn USING (horizon)), {_floored_sql(1)},
+s3 AS (SELECT *, mean / se AS t, CASE WHEN status = 'ok' THEN least(issuers, quarters) - 1 END AS df FROM fl JOIN mn USING (horizon))"""
+S3_SQL = f"""WITH RECURSIVE {S3}, {critical_sql("s3")}
+SELECT horizon, n, issuers, quarters, round(mean, 6) AS mean, round(se, 6) AS se, source, round(t, 6) AS t, s3.df, round({p_sql("t", "s3.df")}, 6) AS p,
+  round(mean - c * se, 6) AS ci_low, round(mean + c * se, 6) AS ci_high, status FROM s3 LEFT JOIN crit ON crit.df = s3.df"""
+
+
+def s6(s, d):
+    """Holm's adjustment over the two-sided p of the floored means, all horizons one family; without a p, 1."""
+    x = s3_rows(s, d).select("horizon", F.coalesce("p", F.lit(1.0)).alias("p"), F.lit(0).alias("family"))
+    return stats.holm(x, "p", "horizon", ["family"]).select("horizon", r6(F.col("p"), "p"), r6(F.col("p_holm"), "p_holm"))
 
 
-S3_SQL = f"""WITH {X}, mn AS (SELECT horizon, avg(y) AS mean, count(*) AS k FROM x GROUP BY 1), sc AS (SELECT horizon, security_id, quarter, (y - mean) / k AS s FROM x JOIN mn USING (horizon)), {_floored_sql(1)}
-SELECT horizon, n, issuers, quarters, round(mean, 6) AS mean, round(se, 6) AS se, source, round(mean / se, 6) AS t, CASE WHEN status = 'ok' THEN least(issuers, quarters) - 1 END AS df, status FROM fl JOIN mn USING (horizon)"""
+S6_SQL = f"""WITH {S3}, p AS (SELECT horizon, coalesce({p_sql("t", "df")}, 1.0) AS p FROM s3),
+h AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, horizon) + 1) AS x FROM p)
+SELECT horizon, round(p, 6) AS p, round(least(1.0, max(x) OVER (ORDER BY p, horizon ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h"""
 
 
 def s4(s, d):
     x = stats.floored_contrast(rows(s, d), ["horizon"], "y", "arm", "security_id", "quarter")
-    return x.select("horizon", "n1", "n0", r6(F.col("estimate"), "estimate"), r6(F.col("se"), "se"), "source", r6(F.col("t"), "t"), "df", "status")
+    return x.select("horizon", "n1", "n0", r6(F.col("estimate"), "estimate"), r6(F.col("se"), "se"), "source", r6(F.col("t"), "t"), "df", *[r6(F.col(c), c) for c in ("p", "ci_low", "ci_high")], "status")
 
 
-S4_SQL = f"""WITH {X}, mn AS (SELECT horizon, count(*) FILTER (WHERE arm = 1) AS n1, count(*) FILTER (WHERE arm = 0) AS n0, avg(y) FILTER (WHERE arm = 1) AS m1, avg(y) FILTER (WHERE arm = 0) AS m0,
+S4_SQL = f"""WITH RECURSIVE {X}, mn AS (SELECT horizon, count(*) FILTER (WHERE arm = 1) AS n1, count(*) FILTER (WHERE arm = 0) AS n0, avg(y) FILTER (WHERE arm = 1) AS m1, avg(y) FILTER (WHERE arm = 0) AS m0,
   least(count(DISTINCT security_id) FILTER (WHERE arm = 1), count(DISTINCT security_id) FILTER (WHERE arm = 0), count(DISTINCT quarter) FILTER (WHERE arm = 1), count(DISTINCT quarter) FILTER (WHERE arm = 0)) - 1 AS df FROM x GROUP BY 1),
 sc AS (SELECT horizon, security_id, quarter, CASE arm WHEN 1 THEN (y - m1) / n1 ELSE -(y - m0) / n0 END AS s FROM x JOIN mn USING (horizon)), {_floored_sql(2)},
-z AS (SELECT *, CASE WHEN n1 < 2 OR n0 < 2 OR df < 1 THEN 'insufficient_support' ELSE status END AS st FROM mn JOIN fl USING (horizon))
-SELECT horizon, n1, n0, round(m1 - m0, 6) AS estimate, CASE WHEN st = 'ok' THEN round(se, 6) END AS se, CASE WHEN st = 'ok' THEN source END AS source, CASE WHEN st = 'ok' THEN round((m1 - m0) / se, 6) END AS t, CASE WHEN st = 'ok' THEN df END AS df, st AS status FROM z"""
+z AS (SELECT *, CASE WHEN n1 < 2 OR n0 < 2 OR df < 1 THEN 'insufficient_support' ELSE status END AS st FROM mn JOIN fl USING (horizon)),
+s4 AS (SELECT horizon, n1, n0, m1 - m0 AS estimate, st AS status, CASE WHEN st = 'ok' THEN se END AS se, CASE WHEN st = 'ok' THEN source END AS source, CASE WHEN st = 'ok' THEN (m1 - m0) / se END AS t, CASE WHEN st = 'ok' THEN df END AS df FROM z),
+{critical_sql("s4")}
+SELECT horizon, n1, n0, round(estimate, 6) AS estimate, round(se, 6) AS se, source, round(t, 6) AS t, s4.df, round({p_sql("t", "s4.df")}, 6) AS p,
+  round(estimate - c * se, 6) AS ci_low, round(estimate + c * se, 6) AS ci_high, status FROM s4 LEFT JOIN crit ON crit.df = s4.df"""
 
 
 def s5(s, d):
@@ -71,7 +97,7 @@ def s5(s, d):
     o = rows(s, d)
     for back, n in ((1, "c1"), (5, "c5"), (25, "c25")):
         o = o.join(at(back, n), ["security_id", "entry_no"], "left")
-    o = o.withColumn("near", F.col("c1") / F.col("c5") - 1).withColumn("far", F.col("c5") / F.col("c25") - 1).persist()
+    o = o.withColumn("near", F.col("c1") / F.col("c5") - 1).withColumn("far", F.col("c5") / F.col("c25") - 1)
     x = stats.controlled_mean(o, ["horizon"], "y", "arm", ("near", "far"), "security_id", "quarter")
     return x.select("horizon", "n", "n0", *[r6(F.col(c), c) for c in ("intercept", "se", "t", "slope_1", "slope_2")], "source", "status")
 
@@ -210,7 +236,7 @@ SELECT period, horizon, n1, n0, round(m1 - m0, 6) AS contrast, round(CASE WHEN k
 FROM mm LEFT JOIN k2 USING (period, horizon) LEFT JOIN k1 USING (period, horizon) LEFT JOIN k0 USING (period, horizon)"""
 
 Q = {
-    "s3_floored_mean": (s3, S3_SQL), "s4_floored_contrast": (s4, S4_SQL), "s8_block_bootstrap": (s8, S8_SQL), "s9_month_bootstrap_path": (s9, S9_SQL),
+    "s3_floored_mean": (s3, S3_SQL), "s4_floored_contrast": (s4, S4_SQL), "s5_controlled_mean": (s5, S5_SQL), "s6_holm": (s6, S6_SQL), "s8_block_bootstrap": (s8, S8_SQL), "s9_month_bootstrap_path": (s9, S9_SQL),
     "q16_input_contract": (q16, Q16_SQL), "e22_stage_firewall": (e22, E22_SQL), "e25_two_arms": (e25, E25_SQL),
 }
 QUERIES = {k: (f, with_views(q)) for k, (f, q) in Q.items()}

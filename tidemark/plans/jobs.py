@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals
 from ..sources import files
+from ..sources.tables import scratch
 from ..streaming import jobs
 from .fixtures import fx, with_views
 
 
 def io3(s, d):
-    path = files.scratch(s, "tsv")
+    path = scratch(s, "tsv")
     o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"), F.lit('say "hi"').alias("note"))
     o.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", nullValue="")
     return files.read_tsv(s, path, ["o_orderkey", "priority", "note"])
@@ -39,7 +40,7 @@ def io11(s, d):
 
 def io13(s, d):
     i = fx(s, d, "fx_intervals").withColumnsRenamed({"effective_start": "start", "effective_end": "end"})
-    m = files.write_validated(s, {"intervals": i, "issuers": i.select("issuer_id").distinct()}, {"ordered": i.where("start > end"), "no_overlap": intervals.overlaps(i.where("security_id % 10 < 9"), ["issuer_id"])}, files.scratch(s, "published"))
+    m = files.write_validated(s, {"intervals": i, "issuers": i.select("issuer_id").distinct()}, {"ordered": i.where("start > end"), "no_overlap": intervals.overlaps(i.where("security_id % 10 < 9"), ["issuer_id"])}, scratch(s, "published"))
     return m.select("table_name", "n_rows")
 
 

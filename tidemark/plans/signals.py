@@ -104,12 +104,6 @@ def s10(s, d):
     return stats.newey_west(monthly(s, d).where("r IS NOT NULL"), ["security_id"], "r", "month").select("security_id", "n", r6(F.col("mean"), "mean"), r6(F.col("t"), "t"))
 
 
-def s6(s, d):
-    g = with_r(s, d).groupBy("security_id").agg(F.round(F.abs(F.avg("r")) / 10, 8).alias("p"))
-    g = g.withColumn("family", F.substring("security_id", 7, 1))
-    return stats.holm(g, "p", "security_id", ["family"]).select("security_id", r6(F.col("p_holm"), "p_holm"))
-
-
 def s11(s, d):
     b = fx(s, d, "fx_benchmark").withColumn("m", F.col("level") / F.lag("level").over(Window.orderBy("session_no")) - 1).select("session_no", "m")
     x = with_r(s, d).join(F.broadcast(b), "session_no").where("r IS NOT NULL AND m IS NOT NULL")
@@ -172,7 +166,6 @@ Q = {
         x AS (SELECT r.session_no, r, sum(coalesce(w, 0)) OVER k AS o, sum(coalesce(abs(w), 0)) OVER k AS g FROM r LEFT JOIN e ON e.security_id = r.security_id AND e.session_no = r.session_no WINDOW k AS (PARTITION BY r.security_id ORDER BY r.session_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
         SELECT session_no, round(sum(g), 6) AS gross, round(sum(o * r) / sum(g), 6) AS day_return FROM x WHERE r IS NOT NULL AND g > 0 GROUP BY 1"""),
     "e20_issuer_excluded_benchmark": (e20, f"WITH {R}, g AS (SELECT session_no, sum(r) AS s, count(r) AS n FROM r GROUP BY 1) SELECT security_id, r.session_no, round(CASE WHEN n - (r IS NOT NULL)::INT > 0 THEN (s - coalesce(r, 0)) / (n - (r IS NOT NULL)::INT) END, 6) AS others_mean FROM r JOIN g USING (session_no)"),
-    "s6_holm": (s6, f"WITH {R}, p AS (SELECT security_id, substr(security_id, 7, 1) AS f, round(abs(avg(r)) / 10, 8) AS p FROM r GROUP BY 1), x AS (SELECT *, p * (count(*) OVER (PARTITION BY f) - row_number() OVER (PARTITION BY f ORDER BY p, security_id) + 1) AS x FROM p) SELECT security_id, round(least(1, max(x) OVER (PARTITION BY f ORDER BY p, security_id ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM x"),
     "s7_cluster_bootstrap": (s7, f"WITH {X1}, c AS (SELECT security_id, sum(y) AS x, count(*) AS n, row_number() OVER (ORDER BY security_id) - 1 AS k FROM x1 WHERE horizon = 1 GROUP BY 1), g AS (SELECT count(*) AS g FROM c), d AS (SELECT draw, CAST(floor((((draw * 7919 + slot * 104729 + 12345)::HUGEINT * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % g AS k FROM g, range(199) a(draw), range((SELECT g FROM g)) b(slot)), m AS (SELECT draw, sum(x) / sum(n) AS m FROM d JOIN c USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m"),
     "s10_newey_west": (s10, f"WITH {R}, m AS (SELECT security_id, date_trunc('month', session_date) AS month, avg(r) AS r FROM r GROUP BY 1, 2 HAVING avg(r) IS NOT NULL), a AS (SELECT security_id, count(*) AS n, avg(r) AS mu FROM m GROUP BY 1), d AS (SELECT m.security_id, month, r - mu AS d, n, mu FROM m JOIN a USING (security_id)), v AS (SELECT security_id, n, mu, (sum(d * d) + sum(2 * (" + " + ".join(f"{(7 - k) / 7!r} * coalesce(l{k}, 0)" for k in range(1, 7)) + "))) / n AS v FROM (SELECT *, " + ", ".join(f"d * lag(d, {k}) OVER (PARTITION BY security_id ORDER BY month) AS l{k}" for k in range(1, 7)) + " FROM d) GROUP BY 1, 2, 3) SELECT security_id, n, round(mu, 6) AS mean, round(CASE WHEN v > 0 AND n >= 3 THEN mu / sqrt(v / n) END, 6) AS t FROM v"),
     "s11_perf_stats": (s11, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark) SELECT security_id, count(*) AS n, round(exp(sum(ln(1 + r)) * 52 / count(*)) - 1, 6) AS cagr, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m), 6) AS alpha, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS hit FROM r JOIN b ON b.session_no = r.session_no WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1"),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import returns, stats
 from ..operators.calendar import next_session
+from ..sources.tables import stored
 from .fixtures import fx, with_views
+from .student_sql import critical_sql, p_sql
 
 HORIZONS = [1, 2, 3, 5]
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -36,7 +38,9 @@ def events(spark, d, code="P"):
 
 
 def outcomes(spark, d):
-    return returns.event_returns(events(spark, d), fx(spark, d, "fx_daily"), fx(spark, d, "fx_benchmark"), fx(spark, d, "fx_calendar"), HORIZONS)
+    """Event returns at all horizons, written once a session: most statistics read them."""
+    make = lambda: returns.event_returns(events(spark, d), fx(spark, d, "fx_daily"), fx(spark, d, "fx_benchmark"), fx(spark, d, "fx_calendar"), HORIZONS)
+    return stored(spark, d, "event_returns", make)
 
 
 def e1(spark, d):
@@ -47,36 +51,40 @@ def e1(spark, d):
 
 def s1(spark, d):
     o = outcomes(spark, d).withColumn("month", F.trunc("filing_date", "MM"))
-    return stats.clustered_mean(o, ["horizon"], "excess_return", "security_id", "month").select("horizon", "n", *r6("mean", "se", "t"), F.col("df").cast("long").alias("df"))
+    return stats.clustered_mean(o, ["horizon"], "excess_return", "security_id", "month").select("horizon", "n", *r6("mean", "se", "t", "p", "ci_low", "ci_high"), F.col("df").cast("long").alias("df"))
 
 
-S1_SQL = f"""WITH {E1_SQL},
+S1_SQL = f"""WITH RECURSIVE {E1_SQL},
 x AS (SELECT horizon, security_id, date_trunc('month', filing_date) AS month, excess_return AS y FROM e1 WHERE excess_return IS NOT NULL),
 m AS (SELECT horizon, count(*) AS n, avg(y) AS mean FROM x GROUP BY 1),
 u AS (SELECT x.horizon, security_id, month, (y - mean) / n AS u FROM x JOIN m ON x.horizon = m.horizon),
 a AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, security_id, sum(u) AS s FROM u GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, month, sum(u) AS s FROM u GROUP BY 1, 2) GROUP BY 1),
 c AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, security_id, month, sum(u) AS s FROM u GROUP BY 1, 2, 3) GROUP BY 1),
-r AS (SELECT m.horizon, n, mean, sqrt(greatest(0, a.v + b.v - c.v)) AS se, least(a.g, b.g) - 1 AS df FROM m JOIN a USING (horizon) JOIN b USING (horizon) JOIN c USING (horizon))
-SELECT horizon, n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t, df FROM r"""
+r AS (SELECT m.horizon, n, mean, sqrt(greatest(0, a.v + b.v - c.v)) AS se, least(a.g, b.g) - 1 AS df FROM m JOIN a USING (horizon) JOIN b USING (horizon) JOIN c USING (horizon)),
+rt AS (SELECT *, mean / se AS t FROM r), {critical_sql("rt")}
+SELECT horizon, n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 6) AS t, rt.df, round({p_sql("t", "rt.df")}, 6) AS p,
+  round(mean - c * se, 6) AS ci_low, round(mean + c * se, 6) AS ci_high FROM rt LEFT JOIN crit ON crit.df = rt.df"""
 
 
 def s2(spark, d):
     o = outcomes(spark, d).withColumn("month", F.trunc("filing_date", "MM")).withColumn("arm", (F.substring("security_id", 7, 3).cast("int") % 2).cast("int"))
     return stats.clustered_contrast(o, ["horizon"], "excess_return", "arm", "security_id", "month").select(
-        "horizon", "n1", "n0", *r6("estimate", "se", "t"), F.col("df").cast("long").alias("df")
+        "horizon", "n1", "n0", *r6("estimate", "se", "t", "p", "ci_low", "ci_high"), F.col("df").cast("long").alias("df")
     )
 
 
-S2_SQL = f"""WITH {E1_SQL},
+S2_SQL = f"""WITH RECURSIVE {E1_SQL},
 x AS (SELECT horizon, security_id, date_trunc('month', filing_date) AS month, excess_return AS y, CAST(substr(security_id, 7) AS INT) % 2 AS arm FROM e1 WHERE excess_return IS NOT NULL),
 m AS (SELECT horizon, count(*) FILTER (WHERE arm = 1) AS n1, count(*) FILTER (WHERE arm = 0) AS n0, avg(y) FILTER (WHERE arm = 1) AS m1, avg(y) FILTER (WHERE arm = 0) AS m0 FROM x GROUP BY 1),
 u AS (SELECT x.horizon, security_id, month, CASE WHEN arm = 1 THEN (y - m1) / n1 ELSE -(y - m0) / n0 END AS u FROM x JOIN m ON x.horizon = m.horizon),
 a AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, security_id, sum(u) AS s FROM u GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, month, sum(u) AS s FROM u GROUP BY 1, 2) GROUP BY 1),
 c AS (SELECT horizon, count(*) AS g, sum(s * s) * count(*) / (count(*) - 1) AS v FROM (SELECT horizon, security_id, month, sum(u) AS s FROM u GROUP BY 1, 2, 3) GROUP BY 1),
-r AS (SELECT m.horizon, n1, n0, m1 - m0 AS estimate, sqrt(greatest(0, (a.v + b.v - c.v) * (n1 + n0 - 1) / (n1 + n0 - 2))) AS se, least(a.g, b.g) - 1 AS df FROM m JOIN a USING (horizon) JOIN b USING (horizon) JOIN c USING (horizon))
-SELECT horizon, n1, n0, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 6) AS t, df FROM r"""
+r AS (SELECT m.horizon, n1, n0, m1 - m0 AS estimate, sqrt(greatest(0, (a.v + b.v - c.v) * (n1 + n0 - 1) / (n1 + n0 - 2))) AS se, least(a.g, b.g) - 1 AS df FROM m JOIN a USING (horizon) JOIN b USING (horizon) JOIN c USING (horizon)),
+rt AS (SELECT *, estimate / se AS t FROM r), {critical_sql("rt")}
+SELECT horizon, n1, n0, round(estimate, 6) AS estimate, round(se, 6) AS se, round(t, 6) AS t, rt.df, round({p_sql("t", "rt.df")}, 6) AS p,
+  round(estimate - c * se, 6) AS ci_low, round(estimate + c * se, 6) AS ci_high FROM rt LEFT JOIN crit ON crit.df = rt.df"""
 
 
 def j9(spark, d):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +15,6 @@ PROPOSED = """issuerInfo STRUCT<issuerCik: STRING, issuerName: STRING>,
 securitiesInformation ARRAY<STRUCT<securitiesClassTitle: STRING, noOfUnitsSold: STRING, planAdoptionDate: ARRAY<STRING>>>, _corrupt_record STRING"""
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}/{uuid.uuid4().hex}"
-
-
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated text with a header, every value text; empty fields are empty strings, bad lines errors."""
     schema = ", ".join(f"`{c}` STRING" for c in columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..sources.files import scratch
+from ..sources.tables import scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
