@@ -34,18 +34,18 @@ def interval_candidates(rows: DataFrame, intervals: DataFrame, key: str, date: s
     return rows.withColumn("_m", number(F.col(date))).join(spans, [key, "_m"]).where(inside).drop("_m")
 
 
-def latest_interval(rows: DataFrame, intervals: DataFrame, key: str, date: str, row_key: list[str], start: str, end: str, ties: list[Column]) -> DataFrame:
+def latest_interval(rows: DataFrame, intervals: DataFrame, key: str, date: str, row_key: list[str], start: str, end: str, ties: list[Column], months: int = 12) -> DataFrame:
     """The latest-starting containing interval of each row."""
     w = Window.partitionBy(*row_key).orderBy(F.desc(start), *ties)
-    found = interval_candidates(rows, intervals, key, date, start, end)
+    found = interval_candidates(rows, intervals, key, date, start, end, months)
     return found.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def pit_map(rows: DataFrame, intervals: DataFrame, key: str, date: str, row_key: list[str], security: str, start: str, end: str, pit: str) -> DataFrame:
+def pit_map(rows: DataFrame, intervals: DataFrame, key: str, date: str, row_key: list[str], security: str, start: str, end: str, pit: str, months: int = 12) -> DataFrame:
     """One row per ``row_key``: its security, or null with the reason (no_match, ambiguous).
 
     If any containing interval is point-in-time only those count; exactly one security must remain."""
-    found = interval_candidates(rows, intervals, key, date, start, end)
+    found = interval_candidates(rows, intervals, key, date, start, end, months)
     any_pit = F.bool_or(pit).over(Window.partitionBy(*row_key))
     used = found.withColumn("_pit", any_pit).where(~F.col("_pit") | F.col(pit)).groupBy(*row_key).agg(F.collect_set(security).alias("_s"))
     out = rows.select(*row_key).distinct().join(used, row_key, "left")

@@ -52,32 +52,6 @@ def price_ranges(rows: DataFrame, price: str, low: str, high: str, wide_low: str
     })
 
 
-def ownership_continuity(rows: DataFrame, keys: list[str], order: list[str], event_date: str, direction: str, quantity: str, reported: str, tolerance: float = 1e-6) -> DataFrame:
-    """``rows`` plus expected, difference and status of the running balance of each position key.
-
-    Rows come in the order of availability. A row moves the state unless its event date lies before
-    the latest one that an earlier row brought (LATE). expected = last position that moved the state
-    + acquired - disposed. BASELINE: nothing before; RESET: no quantity or direction; SKIP: no
-    reported position; else PASS or FLAG. Two windows replace the state machine: the running maximum
-    of event dates, and the last position among the rows that moved the state.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    known = F.col(reported).isNotNull() & F.col(event_date).isNotNull()
-    out = rows.withColumn("_max", F.max(F.when(known, F.col(event_date))).over(before))
-    late = F.coalesce(F.col(event_date) < F.col("_max"), F.lit(False))
-    out = out.withColumn("_late", late).withColumn("_moves", known & ~late)
-    out = out.withColumn("_last", F.last(F.when(F.col("_moves"), F.col(reported)), ignorenulls=True).over(before))
-    sign = F.when(F.col(direction) == "A", 1).when(F.col(direction) == "D", -1)
-    out = out.withColumn("expected", F.when(~F.col("_late"), F.col("_last") + sign * F.col(quantity)))
-    out = out.withColumn("difference", F.col(reported) - F.col("expected"))
-    status = (
-        F.when(F.col("_late"), "LATE").when(F.col(reported).isNull(), "SKIP").when(F.col("_last").isNull(), "BASELINE")
-        .when(sign.isNull() | F.col(quantity).isNull(), "RESET").when(F.abs("difference") <= tolerance, "PASS").otherwise("FLAG")
-    )
-    return out.withColumn("status", status).drop("_max", "_late", "_moves", "_last")
-
-
 def split_factor_between(rows: DataFrame, splits: DataFrame, key: str, prev: str, now: str, row_key: list[str]) -> DataFrame:
     """Product of the factors with prev < effective_date <= now."""
     j = rows.join(splits, key, "left")

@@ -36,8 +36,9 @@ def trailing_distinct(df: DataFrame, key: str, day: str, actor: str, days: int,
     return df.join(total, [key, day])
 
 
-def greedy_spacing(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:
-    """(keys, pos): the first position of each key and then each that is at least ``gap`` after the last one kept.
+def greedy_spacing(df: DataFrame, keys: list[str], pos: str, gap: int | Column) -> DataFrame:
+    """(keys, pos): the first position of each key and then each that is at least ``gap`` (a number, or one of the keys) after
+    the last one kept.
 
     Order-dependent, so a key's distinct positions are folded in one array; they are bounded by the
     number of sessions."""

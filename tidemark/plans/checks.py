@@ -101,7 +101,8 @@ def flagged(s, d):
     day = market(s, d).withColumnRenamed("session", "week")
     t = tx(s, d).withColumn("week", F.date_trunc("week", "transaction_date").cast("date")).join(day, ["issuer_id", "week"], "left")
     dup = t.groupBy("owner_id", "issuer_id", "transaction_date", "shares", "price").agg((F.countDistinct("accession") > 1).alias("is_duplicate"))
-    t = t.join(dup, ["owner_id", "issuer_id", "transaction_date", "shares", "price"])
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"dup.{c}")) for c in ("owner_id", "issuer_id", "transaction_date", "shares", "price")]  # a missing price is a price like others
+    t = t.alias("t").join(dup.alias("dup"), same).select("t.*", "is_duplicate")
     return Q_.transaction_flags(t).select("accession", "line_no", "transaction_code", "price", "shares", "status", *FLAG_NAMES)
 
 
@@ -116,7 +117,7 @@ f AS (SELECT accession, line_no, transaction_code, price, shares, NOT coalesce((
   CASE WHEN low IS NULL THEN 'no_data' WHEN price < low * 0.99 THEN 'below' WHEN price > high * 1.01 THEN 'above' ELSE 'pass' END AS status, k > 1 AS is_duplicate
   FROM fx_transactions t LEFT JOIN m p ON p.security_id = t.issuer_id AND p.session_date = date_trunc('week', t.transaction_date)
   JOIN (SELECT owner_id AS o, issuer_id AS i, transaction_date AS td, shares AS sh, price AS pr, count(DISTINCT accession) AS k FROM fx_transactions GROUP BY 1, 2, 3, 4, 5) g
-    ON g.o = t.owner_id AND g.i = t.issuer_id AND g.td = t.transaction_date AND g.sh = t.shares AND g.pr = t.price)"""
+    ON g.o IS NOT DISTINCT FROM t.owner_id AND g.i IS NOT DISTINCT FROM t.issuer_id AND g.td IS NOT DISTINCT FROM t.transaction_date AND g.sh IS NOT DISTINCT FROM t.shares AND g.pr IS NOT DISTINCT FROM t.price)"""
 
 
 def q1(s, d):
@@ -153,24 +154,6 @@ def q3(s, d):
     return x.join(end, ["security_id", "session_no"]).select("security_id", "session_no", ((F.col("e5") - F.col("ext")) > 0).alias("extreme"))
 
 
-def q8(s, d):
-    x = Q_.ownership_continuity(fx(s, d, "fx_positions"), ["issuer_id", "owner_grp"], ["seq"], "event_date", "acquired_disposed", "shares", "reported_after")
-    return x.select("issuer_id", "owner_grp", "seq", r6(F.col("expected"), "expected"), r6(F.col("difference"), "difference"), "status")
-
-
-Q8_SQL = """m AS (SELECT *, max(event_date) OVER (PARTITION BY issuer_id, owner_grp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM fx_positions),
-l AS (SELECT *, coalesce(event_date < mx, FALSE) AS late FROM m),
-p AS (SELECT *, last_value(CASE WHEN NOT late THEN reported_after END IGNORE NULLS) OVER (PARTITION BY issuer_id, owner_grp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l),
-e AS (SELECT *, CASE WHEN NOT late THEN prev + CASE acquired_disposed WHEN 'A' THEN shares ELSE -shares END END AS expected FROM p),
-q8 AS (SELECT issuer_id, owner_grp, seq, round(expected, 6) AS expected, round(reported_after - expected, 6) AS difference,
-  CASE WHEN late THEN 'LATE' WHEN prev IS NULL THEN 'BASELINE' WHEN abs(reported_after - expected) <= 1e-6 THEN 'PASS' ELSE 'FLAG' END AS status FROM e)"""
-
-
-def q14(s, d):
-    m = F.when(F.col("status") == "PASS", "consistent").when(F.col("status") == "BASELINE", "first_observation").when(F.col("status") == "FLAG", "inconsistent").otherwise("not_comparable")
-    return q8(s, d).groupBy(m.alias("audit")).agg(F.count("*").alias("n"))
-
-
 def q7(s, d):
     t = tx(s, d)
     total = F.col("shares") * F.col("price") + F.when(F.col("accession") % 9 == 0, 1.0).otherwise(0.0)
@@ -206,10 +189,8 @@ Q = {
         SELECT transaction_code, count(*) AS n, count(*) FILTER (WHERE price BETWEEN 0.99 * low AND 1.01 * high) AS n_within_day, count(*) FILTER (WHERE price BETWEEN 0.99 * wl AND 1.01 * wh) AS n_within_week,
         count(*) FILTER (WHERE price < 0.99 * wl) AS n_below_week, count(*) FILTER (WHERE price > 1.01 * wh) AS n_above_week, round(avg(CASE WHEN price < 0.99 * wl THEN price / wl END), 6) AS ratio_to_week_low FROM x GROUP BY 1"""),
     "q7_value_check": (q7, "SELECT accession % 9 <> 0 AS ok, count(*) AS n FROM fx_transactions GROUP BY 1"),
-    "q8_ownership_continuity": (q8, f"WITH {Q8_SQL} SELECT * FROM q8"),
     "q10_split_factor_between": (q10, """WITH s AS (SELECT issuer_id, filing_date AS e, 1.0::DOUBLE + count(*) AS f FROM fx_transactions WHERE shares = 50 AND line_no = 1 GROUP BY 1, 2) SELECT i.issuer_id, i.security_id, round(coalesce(sum(ln(f)), 0), 6) AS log_factor FROM fx_intervals i LEFT JOIN s ON s.issuer_id = i.issuer_id AND e > effective_start AND e <= effective_end GROUP BY 1, 2"""),
     "q12_position_key": (q12, "SELECT DISTINCT accession, line_no, lower(issuer_id) || '|' || owner_id || '|nonderiv|common_stock|' || acquired_disposed AS position_key FROM fx_transactions"),
-    "q14_continuity_audit": (q14, f"WITH {Q8_SQL} SELECT CASE status WHEN 'PASS' THEN 'consistent' WHEN 'BASELINE' THEN 'first_observation' WHEN 'FLAG' THEN 'inconsistent' ELSE 'not_comparable' END AS audit, count(*) AS n FROM q8 GROUP BY 1"),
     "q15_universe_invariants": (q15, f"WITH {IV}, m AS (SELECT *, max(b) OVER (PARTITION BY issuer_id ORDER BY a, b, security_id, pit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM iv) SELECT 'unique_id' AS check_name, count(*) AS violations FROM (SELECT 1 FROM iv GROUP BY security_id, a HAVING count(*) > 1) UNION ALL SELECT 'no_overlap', count(*) FROM m WHERE a <= m UNION ALL SELECT 'ordered', count(*) FROM iv WHERE a > b UNION ALL SELECT 'tiled', 0"),
     "a10_summarize_price_checks": (a10, f"WITH {FLAGS} SELECT transaction_code, round(avg(CASE WHEN status = 'pass' THEN 1 ELSE 0 END), 6) AS pass_share, round(quantile_cont(CASE WHEN status IN ('below', 'above') THEN price END, 0.5), 6) AS median_failing FROM f GROUP BY 1"),
     "a20_flag_summary": (a20, f"WITH {FLAGS}, u AS (SELECT unnest({[*FLAG_NAMES]}) AS check_name, unnest([{', '.join(FLAG_NAMES)}]) AS hit FROM f) SELECT check_name, count(*) AS n, count(*) FILTER (WHERE hit) AS flagged, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 6) AS pct FROM u GROUP BY 1"),

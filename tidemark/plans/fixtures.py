@@ -53,6 +53,46 @@ FROM (SELECT issuer_id, owner_id % 20 AS owner_grp, accession, line_no, transact
              CAST(row_number() OVER (PARTITION BY issuer_id, owner_id % 20
                ORDER BY filing_date, accession, line_no, transaction_date, shares, price, acquired_disposed) AS INT) AS seq
       FROM fx_transactions) t""",
+    "fx_submissions": """
+SELECT o_orderkey AS accession, CAST(o_orderdate AS DATE) AS filing_date,
+       CASE WHEN o_orderkey % 4 <> 0 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS period_of_report,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN '4/A' ELSE '4' END AS form,
+       'Brand#' || CAST(1 + o_custkey % 5 AS VARCHAR(10)) || CAST(1 + CAST(floor(o_custkey / 5) AS BIGINT) % 5 AS VARCHAR(10)) AS issuer_id,
+       o_custkey AS owner_id
+FROM orders""",
+    "fx_owners": """
+SELECT accession, owner_id AS owner_cik FROM fx_submissions
+UNION ALL SELECT accession, owner_id + 1 FROM fx_submissions WHERE accession % 9 = 0""",
+    "fx_lines": """
+SELECT accession, line_no, l_linenumber, shares, trans_code, side, row_kind, tab, filing_date, form,
+       accession * 1000 + line_no AS row_id, CASE WHEN line_no % 10 <> 9 THEN filing_date - (40 - line_no) + CASE WHEN accession % 11 = 0 THEN -400 ELSE 0 END END AS trans_date,
+       sum(CASE WHEN row_kind = 'holding' THEN 0 WHEN side = 'A' THEN shares ELSE -shares END)
+         OVER (PARTITION BY owner_id, issuer_id, tab ORDER BY filing_date, accession, line_no ROWS UNBOUNDED PRECEDING)
+         + CASE WHEN accession % 7 = 0 THEN 1 ELSE 0 END AS balance,
+       CASE WHEN form = '4/A' AND accession % 3 <> 0 THEN lag(accession * 1000 + line_no) OVER (PARTITION BY owner_id, issuer_id, tab, line_no ORDER BY filing_date, accession) END AS amends_row_id
+FROM (SELECT l.l_orderkey AS accession, CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_shipdate, l.l_quantity, l.l_extendedprice, l.l_partkey, l.l_suppkey) AS INT) AS line_no,
+             l.l_linenumber, l.l_quantity AS shares, CASE l.l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'M' END AS trans_code, CASE l.l_linestatus WHEN 'F' THEN 'A' ELSE 'D' END AS side,
+             CASE WHEN l.l_returnflag = 'N' AND l.l_linenumber % 2 = 0 THEN 'holding' ELSE 'transaction' END AS row_kind, CASE WHEN l.l_linenumber % 3 = 0 THEN 'derivative' ELSE 'non_derivative' END AS tab,
+             s.filing_date, s.form, s.owner_id, s.issuer_id
+      FROM lineitem l JOIN fx_submissions s ON l.l_orderkey = s.accession) x""",
+    "fx_nonderiv_transactions": """
+SELECT accession, line_no, row_id, amends_row_id, 'Common Stock' AS security_title, CASE WHEN accession % 13 <> 0 THEN balance END AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership,
+       trans_date, trans_code, CASE WHEN accession % 23 <> 0 THEN shares END AS trans_shares, side AS trans_acquired_disp_cd
+FROM fx_lines WHERE row_kind = 'transaction' AND tab = 'non_derivative'""",
+    "fx_nonderiv_holdings": """
+SELECT accession, line_no, row_id, amends_row_id, 'Common Stock' AS security_title, balance AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership
+FROM fx_lines WHERE row_kind = 'holding' AND tab = 'non_derivative'""",
+    "fx_deriv_transactions": """
+SELECT accession, line_no, row_id, amends_row_id, 'Stock Option' AS security_title, balance AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership,
+       trans_date, trans_code, shares AS trans_shares, side AS trans_acquired_disp_cd, shares / 10 AS conv_exercise_price
+FROM fx_lines WHERE row_kind = 'transaction' AND tab = 'derivative'""",
+    "fx_deriv_holdings": """
+SELECT accession, line_no, row_id, amends_row_id, 'Stock Option' AS security_title, balance AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership, shares / 10 AS conv_exercise_price
+FROM fx_lines WHERE row_kind = 'holding' AND tab = 'derivative'""",
+    "fx_splits": """
+SELECT issuer_id, filing_date AS effective_date, 2.0 AS split_factor
+FROM (SELECT issuer_id, filing_date, row_number() OVER (PARTITION BY issuer_id, date_trunc('year', filing_date) ORDER BY filing_date, accession) AS k FROM fx_submissions) x
+WHERE k = 20""",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 _USE = re.compile(r"\b(FROM|JOIN)\s+(fx_\w+)", re.I)

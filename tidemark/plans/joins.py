@@ -45,7 +45,7 @@ def j5(s, d):
     """Audit of the mapping with a tie-break on the ticker."""
     days, iv = issuer_days(s, d), fx(s, d, "fx_intervals")
     key = ["issuer_id", "filing_date"]
-    c = J.interval_candidates(days, iv, "issuer_id", "filing_date", "effective_start", "effective_end").withColumn("mine", F.col("security_id") % 10 == 9)
+    c = J.interval_candidates(days, iv, "issuer_id", "filing_date", "effective_start", "effective_end", months=12).withColumn("mine", F.col("security_id") % 10 == 9)
     g = c.groupBy(*key).agg(F.countDistinct("security_id").alias("k"), F.count_if("mine").alias("m"))
     out = days.join(g, key, "left")
     st = F.when(F.col("k").isNull(), "no_match").when(F.col("k") == 1, "unique").when(F.col("m") == 1, "ticker").otherwise("ambiguous_share_class")
@@ -55,7 +55,7 @@ def j5(s, d):
 def j6(s, d):
     days = issuer_days(s, d)
     pit = fx(s, d, "fx_intervals").where("is_point_in_time").select("issuer_id", "effective_start", "effective_end")
-    inside = J.interval_candidates(days, pit, "issuer_id", "filing_date", "effective_start", "effective_end").select("issuer_id", "filing_date").distinct().withColumn("in_universe", F.lit(True))
+    inside = J.interval_candidates(days, pit, "issuer_id", "filing_date", "effective_start", "effective_end", months=12).select("issuer_id", "filing_date").distinct().withColumn("in_universe", F.lit(True))
     return days.join(inside, ["issuer_id", "filing_date"], "left").select("issuer_id", "filing_date", F.coalesce("in_universe", F.lit(False)).alias("in_universe"))
 
 

@@ -161,13 +161,6 @@ def a9(s, d):
     return with_r(s, d).groupBy("security_id").agg(F.count("r").alias("n"), r6(F.avg("r"), "mean"), r6(F.expr("percentile(r, 0.5)"), "median"), r6(F.avg((F.col("r") > 0).cast("int")), "hit_rate"))
 
 
-def a11(s, d):
-    p = fx(s, d, "fx_positions").select(F.when(F.col("reported_after") < 0, "short").otherwise("long").alias("status"), F.year("filing_date").cast("long").alias("year"), "acquired_disposed")
-    one = lambda dim: p.groupBy("status", *dim).agg(F.count("*").alias("n"))
-    g = one([]).unionByName(one(["year"]), True).unionByName(one(["acquired_disposed"]), True).withColumn("dim", F.coalesce(F.col("year").cast("string"), "acquired_disposed", F.lit("all")))
-    return g.select("status", "dim", "n", r6(100.0 * F.col("n") / F.sum("n").over(by("dim")), "pct"))
-
-
 def a12(s, d):
     q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
     x = with_r(s, d).agg(F.expr(f"percentile(r, array({', '.join(map(str, q))}))").alias("p"))
@@ -248,7 +241,6 @@ Q = {
     "a7_firm_month_demand": (a7, "WITH g AS (SELECT issuer_id, CAST(date_trunc('month', filing_date) AS DATE) AS month, count(DISTINCT owner_id) FILTER (WHERE transaction_code = 'P') AS buyers, count(DISTINCT owner_id) FILTER (WHERE transaction_code = 'S') AS sellers, round(coalesce(sum(shares) FILTER (WHERE transaction_code = 'P'), 0) - coalesce(sum(shares) FILTER (WHERE transaction_code = 'S'), 0), 6) AS conv_net FROM fx_transactions GROUP BY 1, 2) SELECT *, round((buyers - sellers) / greatest(1, buyers + sellers), 6) AS breadth FROM g"),
     "a8_period_returns": (a8, f"WITH {R}, x AS (SELECT security_id, date_trunc('month', session_date) AS month, sum(ln(1 + r)) AS l FROM r GROUP BY 1, 2), p AS (SELECT security_id, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS month FROM x GROUP BY 1) SELECT p.security_id, CAST(p.month AS DATE) AS month, round(exp(coalesce(l, 0)) - 1, 6) AS r FROM p LEFT JOIN x ON x.security_id = p.security_id AND x.month = p.month"),
     "a9_summary_stats": (a9, f"WITH {R} SELECT security_id, count(r) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(avg(CASE WHEN r > 0 THEN 1 WHEN r IS NOT NULL THEN 0 END), 6) AS hit_rate FROM r GROUP BY 1"),
-    "a11_continuity_summary": (a11, "WITH p AS (SELECT CASE WHEN reported_after < 0 THEN 'short' ELSE 'long' END AS status, CAST(year(filing_date) AS VARCHAR) AS year, acquired_disposed AS ad FROM fx_positions) SELECT status, dim, sum(n) AS n, round(100.0 * sum(n) / sum(sum(n)) OVER (PARTITION BY dim), 6) AS pct FROM (SELECT status, 'all' AS dim, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT status, year, count(*) FROM p GROUP BY 1, 2 UNION ALL SELECT status, ad, count(*) FROM p GROUP BY 1, 2) GROUP BY 1, 2"),
     "a12_quantile_distribution": (a12, f"WITH {R} SELECT q, round(v, 6) AS value FROM (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q, unnest(quantile_cont(r, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])) AS v FROM r)"),
     "a13_concentration": (a13, "WITH t AS (SELECT issuer_id, sum(shares * price) AS v, count(*) AS n FROM fx_transactions WHERE transaction_code = 'P' GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY v DESC, issuer_id) AS k FROM t) SELECT round(sum(v) FILTER (WHERE k > 5) / sum(n) FILTER (WHERE k > 5), 6) AS mean_without_top5, round(sum(v) FILTER (WHERE k <= 10) / sum(v), 6) AS top10_share FROM k"),
     "a17_quantile_describe": (a17, "SELECT transaction_code, count(*) AS n, round(avg(l), 6) AS mean, round(stddev_samp(l), 6) AS std, round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.9), 6) AS p90, round(quantile_cont(l, 0.95), 6) AS p95, round(quantile_cont(l, 0.99), 6) AS p99 FROM (SELECT *, CAST(filing_date - transaction_date AS DOUBLE) AS l FROM fx_transactions) GROUP BY 1"),
