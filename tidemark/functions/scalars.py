@@ -95,3 +95,33 @@ def text_mention_flags(text: Column) -> dict[str, Column]:
     """Mentions of a trading plan (spaces, hyphens and dashes between the parts) and of private deals (whole words)."""
     found = {"mentions_plan": text.rlike(r"(?i)10b5[\s\-\u2013]*1"), "mentions_private": text.rlike(r"(?i)\bprivate(ly)?\b")}
     return {k: F.coalesce(v, F.lit(False)) for k, v in found.items()}
+
+
+# Codes of the classification standards
+BIOTECH_GICS, PHARMA_GICS, BIOTECH_SIC, PHARMA_SIC = "35201010", "35202010", 2836, 2834
+
+
+def classification(gics: Column, crsp_sic: Column, compustat_sic: Column) -> dict[str, Column]:
+    """Columns classification_source, _code and _rule, is_biotech and is_pharma: GICS decides where present, else the CRSP SIC, else
+    Compustat's (0 counts as missing of both; a Compustat 0 stays as code)."""
+    code = F.when(F.trim(gics) != "", F.trim(gics))
+    own = F.nullif(crsp_sic.cast("int"), F.lit(0))
+    comp = compustat_sic.cast("int")
+    sic = F.coalesce(own, comp)
+    rule = (
+        F.when(code == BIOTECH_GICS, "GICS_STRICT_BIOTECH_EXACT").when(code == PHARMA_GICS, "GICS_PHARMA_EXACT").when(code.isNotNull(), "GICS_OTHER")
+        .when(sic == BIOTECH_SIC, "SIC_2836_FALLBACK").when(sic == PHARMA_SIC, "SIC_2834_FALLBACK").when(sic.isNotNull(), "SIC_OTHER_FALLBACK").otherwise("NO_CLASSIFICATION")
+    )
+    source = F.when(code.isNotNull(), "GICS").when(own.isNotNull(), "CRSP_SIC").when(comp.isNotNull() & (comp != 0), "COMPUSTAT_SIC").otherwise("UNCLASSIFIED")
+    return {
+        "classification_source": source, "classification_code": F.coalesce(code, sic.cast("string")), "classification_rule": rule,
+        "is_biotech": rule.isin("GICS_STRICT_BIOTECH_EXACT", "SIC_2836_FALLBACK"), "is_pharma": rule.isin("GICS_PHARMA_EXACT", "SIC_2834_FALLBACK"),
+    }
+
+
+def ranked(column: str, values: list[str]) -> Column:
+    """Place of a column's value among ``values``, 9 for any other or none."""
+    out = F.lit(9)
+    for i, v in reversed(list(enumerate(values))):
+        out = F.when(F.col(column) == v, i).otherwise(out)
+    return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import classification, ranked
+from .joins import asof
+
 OPEN = "2100-01-01"
 
 
@@ -74,3 +77,55 @@ def violations(checks: dict[str, DataFrame]) -> DataFrame:
         row = bad.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
         out = row if out is None else out.union(row)
     return out
+
+
+def history_value(segments: DataFrame, history: DataFrame, value: str) -> DataFrame:
+    """``segments`` plus ``value`` of ``history`` (security_id, gvkey, value, start, end) on the segment's first day.
+
+    History of the segment's own (security_id, gvkey) counts if there is any, else that without gvkey; the latest start on or
+    before the day decides, and nothing holds after its end.
+    """
+    key = lambda g: F.concat_ws("|", F.col("security_id").cast("string"), F.coalesce(g, F.lit("")))
+    known = history.select(key(F.col("gvkey")).alias("_key"), F.col("start").alias("_since"), F.col("end").alias("_until"), F.col(value).alias("_value"))
+    own = segments.withColumn("_own", key(F.col("gvkey")))
+    own = own.join(known.select(F.col("_key").alias("_own")).distinct().withColumn("_has", F.lit(True)), "_own", "left")
+    own = own.withColumn("_key", F.when(F.col("_has"), F.col("_own")).otherwise(key(F.lit(None).cast("string")))).drop("_own", "_has")
+    found = asof(own, known, "_key", "start", "_since", ["_until", "_value"])
+    holds = F.col("asof__until").isNull() | (F.col("start") <= F.col("asof__until"))
+    return found.withColumn(value, F.when(holds, F.col("asof__value"))).select(*segments.columns, value)
+
+
+def classified_intervals(membership: DataFrame, gics: DataFrame, sic: DataFrame, links: DataFrame) -> DataFrame:
+    """Membership (security_id, start, end, crsp_sic) cut wherever a code or a link changes, classified, and merged again.
+
+    Codes are (security_id, gvkey, gics_code or compustat_sic, start, end or null); links (security_id, gvkey, cik, cik_source,
+    linkprim, linktype, start, end). A segment's link is the best-ranked one on its first day (historical identifiers, then primary
+    links, then link types); equally ranked links of different companies are ambiguous and give none, and without a link no
+    code by gvkey counts. What each segment was told by stays beside it, so only segments that agree in all of it are merged.
+    """
+    days = None
+    for h in (gics, sic, links):
+        own = h.select("security_id", F.explode(F.array("start", F.date_add("end", 1))).alias("boundary")).where("boundary IS NOT NULL")
+        days = own if days is None else days.unionByName(own)
+    cut = split_at(membership, days, "security_id")
+    order = [ranked("cik_source", ["crsp.comphist_hcik"]), ranked("linkprim", ["P", "C"]), ranked("linktype", ["LC", "LU", "LS"])]
+    named = links.withColumnsRenamed({"start": "_from", "end": "_upto"}).withColumn("_rank", F.struct(*[o.alias(f"r{i}") for i, o in enumerate(order)]))
+    active = cut.select("security_id", "start").join(named, "security_id").where("start >= _from AND start <= _upto")
+    best = active.withColumn("_r", F.rank().over(Window.partitionBy("security_id", "start").orderBy("_rank"))).where("_r = 1")
+    company = F.struct("gvkey", "cik", "cik_source", "linkprim", "linktype")
+    one = best.groupBy("security_id", "start").agg(F.count_distinct(F.struct("gvkey", "cik")).alias("_k"), F.min(company).alias("_link"))
+    seg = cut.join(one, ["security_id", "start"], "left")
+    link = F.when(F.col("_k") == 1, F.col("_link"))
+    seg = seg.withColumn("identifier_match_status", F.when(F.col("_k").isNull(), "UNMATCHED").when(F.col("_k") > 1, "AMBIGUOUS").otherwise("MATCHED"))
+    seg = seg.withColumns({c: link[c] for c in ("gvkey", "cik", "cik_source", "linkprim", "linktype")}).drop("_k", "_link")
+    historical = F.coalesce(F.col("cik").isNotNull() & (F.col("cik_source") == "crsp.comphist_hcik"), F.lit(False))
+    source = F.when(F.col("cik").isNull(), "MISSING").when(historical, "POINT_IN_TIME").when(F.col("cik_source") == "comp.company_current", "CURRENT_FALLBACK").otherwise("UNVERIFIED_SOURCE")
+    seg = seg.withColumns({"cik_is_point_in_time": historical, "cik_match_status": source})
+    linked = F.col("identifier_match_status") == "MATCHED"
+    for h, c in ((gics, "gics_code"), (sic, "compustat_sic")):
+        seg = history_value(seg, h, c).withColumn(c, F.when(linked, F.col(c)))
+    seg = seg.withColumns(classification(F.col("gics_code"), F.col("crsp_sic"), F.col("compustat_sic")))
+    rest = [c for c in seg.columns if c not in ("security_id", "start", "end")]
+    merged = coalesce_adjacent(seg, ["security_id"], rest)
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    return merged.withColumn("interval_id", F.concat_ws(":", F.col("security_id").cast("string"), day("start"), day("end")))

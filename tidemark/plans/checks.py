@@ -180,7 +180,6 @@ Q = {
     "t6_prepare_links": (t6, f"""WITH {IV}, l AS (SELECT DISTINCT issuer_id, security_id, CASE WHEN security_id % 4 <> 0 THEN a ELSE DATE '1900-01-01' END AS start, CASE WHEN security_id % 3 <> 0 THEN b ELSE DATE '2100-01-01' END AS "end" FROM iv) SELECT * FROM l WHERE start <= "end" """),
     "t7_overlap_check": (t7, f"""WITH {IV}, m AS (SELECT *, max(b) OVER (PARTITION BY issuer_id ORDER BY a, b, security_id, pit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM iv) SELECT issuer_id, security_id, a AS start, b AS "end" FROM m WHERE a <= m"""),
     "t10_effective_month": (t10, "SELECT DISTINCT transaction_date, CAST(date_trunc('month', transaction_date) + INTERVAL 1 MONTH AS DATE) AS effective_from FROM fx_transactions"),
-    "t12_interval_coverage": (t12, f"WITH {IV} SELECT issuer_id, security_id, TRUE AS ok FROM iv"),
     "q1_transaction_flags": (q1, f"WITH {FLAGS} SELECT transaction_code, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{c}" for c in FLAG_NAMES) + f", count(*) FILTER (WHERE {' OR '.join(FLAG_NAMES)}) AS n_any FROM f GROUP BY 1"),
     "q2_large_trade": (q2, "WITH x AS (SELECT *, lag(cap) OVER w AS cl, avg(close * volume) OVER (PARTITION BY security_id ORDER BY session_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS al FROM fx_daily WINDOW w AS (PARTITION BY security_id ORDER BY session_no)) SELECT security_id, session_no, coalesce(close * volume > 0.01 * (cl * 10), FALSE) OR coalesce(close * volume > al, FALSE) AS large FROM x"),
     "q3_event_market_flags": (q3, "WITH r AS (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY session_no) - 1 AS r FROM fx_daily), x AS (SELECT *, sum(CASE WHEN abs(r) > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY session_no) AS e FROM r) SELECT a.security_id, a.session_no, b.e - a.e > 0 AS extreme FROM x a JOIN x b ON a.security_id = b.security_id AND b.session_no = a.session_no + 5"),

@@ -89,6 +89,27 @@ FROM fx_lines WHERE row_kind = 'transaction' AND tab = 'derivative'""",
     "fx_deriv_holdings": """
 SELECT accession, line_no, row_id, amends_row_id, 'Stock Option' AS security_title, balance AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership, shares / 10 AS conv_exercise_price
 FROM fx_lines WHERE row_kind = 'holding' AND tab = 'derivative'""",
+    "fx_filing_years": """
+SELECT issuer_id, CAST(date_trunc('year', filing_date) AS DATE) AS year, min(filing_date) AS first_filing, count(*) AS filings FROM fx_submissions GROUP BY 1, 2""",
+    "fx_members": """
+SELECT security_id, effective_start AS start_date, effective_end AS end_date, CASE security_id % 4 WHEN 0 THEN 2836 WHEN 1 THEN 0 WHEN 2 THEN 7372 END AS crsp_sic
+FROM fx_intervals""",
+    "fx_gics": """
+SELECT i.security_id, CASE WHEN i.security_id % 3 <> 0 THEN 'G' || CAST(i.security_id AS VARCHAR(12)) END AS gvkey,
+       CASE filings % 3 WHEN 0 THEN '35201010' WHEN 1 THEN '35202010' ELSE '40101010' END AS gics_code, first_filing AS start_date,
+       CASE WHEN filings % 5 = 0 THEN first_filing + 200 END AS end_date
+FROM fx_intervals i JOIN fx_filing_years y ON y.issuer_id = i.issuer_id WHERE i.security_id % 7 <> 0""",
+    "fx_sic": """
+SELECT i.security_id, CASE WHEN i.security_id % 2 <> 0 THEN 'G' || CAST(i.security_id AS VARCHAR(12)) END AS gvkey,
+       CASE filings % 4 WHEN 0 THEN 2836 WHEN 1 THEN 2834 ELSE 3841 END AS compustat_sic, first_filing + 31 AS start_date,
+       CASE WHEN filings % 6 = 0 THEN first_filing + 300 END AS end_date
+FROM fx_intervals i JOIN fx_filing_years y ON y.issuer_id = i.issuer_id""",
+    "fx_links": """
+SELECT i.security_id, 'G' || CAST(i.security_id + CASE WHEN y.filings % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR(12)) AS gvkey, CASE WHEN i.security_id % 6 <> 0 THEN 1000 + i.security_id END AS cik,
+       CASE WHEN y.filings % 2 = 0 THEN 'crsp.comphist_hcik' WHEN y.filings % 3 <> 0 THEN 'comp.company_current' END AS cik_source,
+       CASE y.filings % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE 'J' END AS linkprim, CASE y.filings % 4 WHEN 0 THEN 'LC' WHEN 1 THEN 'LU' ELSE 'LS' END AS linktype,
+       first_filing - 60 AS start_date, first_filing + CAST(y.filings % 500 AS INT) AS end_date
+FROM fx_intervals i JOIN fx_filing_years y ON y.issuer_id = i.issuer_id""",
     "fx_splits": """
 SELECT issuer_id, filing_date AS effective_date, 2.0 AS split_factor
 FROM (SELECT issuer_id, filing_date, row_number() OVER (PARTITION BY issuer_id, date_trunc('year', filing_date) ORDER BY filing_date, accession) AS k FROM fx_submissions) x

@@ -19,14 +19,6 @@ tx = lambda s, d: fx(s, d, "fx_transactions")
 by = lambda *k: Window.partitionBy(*k)
 
 
-def p14(s, d):
-    """First known code decides: product line, else size code (0 is missing), else price band."""
-    p = T(s, d, "part")
-    size = F.nullif(F.col("p_size") % 5, F.lit(0))
-    line = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))
-    return p.select("p_partkey", F.coalesce(line, F.concat(F.lit("size"), size), F.lit("UNCLASSIFIED")).alias("class"), F.when(line.isNotNull(), "LINE").when(size.isNotNull(), "SIZE").otherwise("NO_CLASSIFICATION").alias("rule"))
-
-
 def j11(s, d):
     p = returns.valid_levels(fx(s, d, "fx_daily"), "security_id", "close").select("security_id", "session_no", "close", "ok_upto")
     e = p.select("security_id", (F.col("session_no") - 3).alias("session_no"), F.col("close").alias("c3"), F.col("ok_upto").alias("u3"))
@@ -191,7 +183,6 @@ def q5(s, d):
 
 
 Q = {
-    "p14_classify_security": (p14, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_size % 5 <> 0 THEN 'size' || (p_size % 5) ELSE 'UNCLASSIFIED' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'LINE' WHEN p_size % 5 <> 0 THEN 'SIZE' ELSE 'NO_CLASSIFICATION' END AS rule FROM part"),
     "j11_path_join": (j11, "WITH p AS (SELECT *, count(*) OVER (PARTITION BY security_id ORDER BY session_no) AS u FROM fx_daily) SELECT a.security_id, a.session_no, round(b.close / a.close - 1, 6) AS r3, b.u - a.u = 3 AS complete FROM p a JOIN p b ON a.security_id = b.security_id AND b.session_no = a.session_no + 3"),
     "j15_classification_history": (j15, """WITH h AS (SELECT DISTINCT issuer_id, CAST(date_trunc('year', filing_date) AS DATE) AS a FROM fx_transactions WHERE line_no = 1 AND shares > 45), e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY issuer_id ORDER BY a) - 1, DATE '2100-01-01') AS b FROM h)
         SELECT i.issuer_id, security_id, CAST(greatest(effective_start, a) AS DATE) AS start, CAST(least(effective_end, b) AS DATE) AS "end" FROM fx_intervals i JOIN e ON e.issuer_id = i.issuer_id WHERE a <= effective_end AND effective_start <= b"""),
