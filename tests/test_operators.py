@@ -1,13 +1,16 @@
 """Hand-checked cases."""
 
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars
-from tidemark.operators import intervals, joins, quality, returns, signals, stats, windows
+from tidemark.functions import scalars, student
+from tidemark.operators import continuity as C
+from tidemark.operators import intervals, joins, quality, returns, selection, signals, stats, windows
 from tidemark.operators.calendar import business_days, next_session
 from tidemark.sources import files
 
@@ -61,14 +64,110 @@ def test_business_days(spark):
 def test_silent_owner_with_late_sale(spark):
     sales = frame(spark, [(1, 9, D("2019-05-03"), D("2019-05-05")), (1, 9, D("2020-05-03"), D("2020-05-05")), (1, 9, D("2021-05-03"), D("2021-06-10"))], "o int, i int, sold date, filed date")
     at = frame(spark, [(2021, 5, D("2021-06-02"))], "year int, month int, available_on date")
-    assert [tuple(r) for r in signals.silent_owners(sales, "o", "i", "sold", "filed", at).collect()] == [(1, 9, 2021, 5, "SSN", True)]
+    assert [tuple(r) for r in signals.silent_owners(sales, "o", "i", "sold", "filed", at).collect()] == [(1, 9, 2021, 5, D("2021-06-02"), "SSN", True)]
+
+
+def position_rows(spark, rows):
+    """(id, replaces, day available, event day, kind, side, shares, reported, amendment, owner status)"""
+    names = ["owner_row_id", "amends_owner_row_id", "available_at", "event_date", "row_kind", "acquired_disposed", "shares", "reported", "is_amendment", "owner_attribution_status"]
+    full = [(*[D(f"2020-01-{r[i]:02d}") if i in (2, 3) and r[i] else r[i] for i in range(10)], "b", 1, "t", "c", "D", r[2] or 0, n) for n, r in enumerate(rows)]
+    schema = "owner_row_id string, amends_owner_row_id string, available_at date, event_date date, row_kind string, acquired_disposed string, shares double, reported double, is_amendment boolean, owner_attribution_status string, issuer_id string, owner_id int, `table` string, security_title string, direct_or_indirect string, accession int, line_no int"
+    assert names == [x.split()[0] for x in schema.split(", ")[:10]]
+    return frame(spark, full, schema)
+
+
+ONE = "single_owner"
+
+
+def test_amendment_chains(spark):
+    row = lambda i, to, day, am=True, status=ONE: (i, to, day, 1, "transaction", "A", 1.0, 1.0, am, status)
+    rows = position_rows(spark, [
+        row("o", None, 1, False), row("a", "o", 2), row("b", "a", 3), row("c", "b", 4),  # a chain of three
+        row("late", "o", 5), row("same day", "p", 6), row("p", None, 6, False), row("x", "y", 7), row("y", "x", 7), row("far", "x", 8),  # the second of two; not earlier; a cycle
+        row("q", None, 1, False), row("joint", "q", 9, status=C.JOINT), row("twice", None, 1, False), row("twice", None, 1, False), row("z", "twice", 9), row(None, "q", 9), row("none", None, 9),
+        row("unknown day", None, None, False),
+    ])
+    got = {r.owner_row_id: (r.amendment_status, r.record_active, r.superseded_by) for r in C.resolve_amendments(rows).collect()}
+    link, no = "explicit_row_link", ("unresolved_quarantined", False, None)
+    assert got["o"] == ("original", False, "a") and got["a"] == (link, False, "b") and got["b"] == (link, False, "c") and got["c"] == (link, True, None)
+    assert all(got[i] == no for i in ("late", "same day", "x", "y", "far", "joint", "z", None, "none"))
+    assert got["p"] == got["q"] == got["twice"] == ("original", True, None) and got["unknown day"] == ("not_available", False, None)
+    then = {r.owner_row_id: (r.amendment_status, r.record_active) for r in C.resolve_amendments(rows, D("2020-01-03")).collect()}
+    assert then["b"] == (link, True) and then["a"] == (link, False) and then["c"] == ("not_available", False) and then["p"][0] == "not_available"
+
+
+def test_long_amendment_chain(spark):
+    rows = position_rows(spark, [(str(i), str(i - 1) if i else None, i + 1, 1, "holding", None, None, 1.0, i > 0, ONE) for i in range(25)])
+    got = C.resolve_amendments(rows).where("record_active").collect()
+    assert [(r.owner_row_id, r.amendment_status) for r in got] == [("24", "explicit_row_link")]
+
+
+CONTINUITY = [  # row, status, difference
+    (("1", None, 1, 1, "transaction", "A", 100.0, 100.0, False, ONE), "BASELINE_NO_PRIOR", None),
+    (("2", None, 2, 2, "transaction", "D", 40.0, 60.0, False, ONE), "PASS", 0.0),
+    (("3", None, 3, 1, "transaction", "A", 5.0, 7.0, False, ONE), "NOT_TESTABLE_LATE_DISCLOSURE", None),
+    (("4", None, 4, 4, "transaction", "A", 10.0, 70.0, False, ONE), "PASS", 0.0),
+    (("5", None, 5, 5, "transaction", "D", 40.0, 999.0, False, ONE), "FLAG_REVIEW_UNADJUSTED", 969.0),
+    (("6", "5", 6, 5, "transaction", "D", 40.0, 30.0, True, ONE), "AMENDMENT_BASELINE_RESET", None),
+    (("7", None, 7, 7, "holding", None, None, 30.0, False, ONE), "PASS", 0.0),
+    (("8", "5", 8, 5, "transaction", "D", 1.0, 1.0, True, ONE), "SKIP_AMENDMENT", None),  # 6 was first
+    (("9", "2", 9, 2, "transaction", "D", 40.0, 60.0, True, ONE), "REVIEW_AMENDMENT_INTERVENING_STATE", None),
+    (("10", None, 10, 10, "transaction", "A", 1.0, 31.0, False, "joint_owner_unallocated"), "NOT_TESTABLE_OWNER_ATTRIBUTION", None),
+    (("11", None, 11, 11, "transaction", "A", 1.0, None, False, ONE), "NOT_TESTABLE_MISSING_POSITION", None),
+    (("12", None, 12, 14, "transaction", "A", 5.0, 65.0, False, ONE), "PASS", 0.0),  # after a split of two for one on the 13th
+    (("13", None, 13, 15, "transaction", None, None, 5.0, False, ONE), "RESET_BASELINE_MISSING_TRANSACTION", None),
+    (("14", None, 14, None, "transaction", "A", 1.0, 6.0, False, ONE), "NOT_TESTABLE_MISSING_DATE", None),
+    (("15", None, 15, 21, "transaction", "A", 1.0, 7.0, False, ONE), "FLAG_REVIEW", -9.0),  # three for one on the 20th
+]
 
 
 def test_continuity(spark):
-    rows = [("k", 1, D("2020-01-01"), "A", 100.0, 100.0), ("k", 2, D("2020-01-02"), "D", 40.0, 60.0), ("k", 3, D("2019-12-01"), "A", 5.0, 7.0), ("k", 4, D("2020-01-03"), "A", 10.0, 70.0), ("k", 5, D("2020-01-04"), "D", 40.0, 999.0), ("k", 6, D("2020-01-05"), None, None, 5.0), ("k", 7, D("2020-01-06"), "A", 1.0, None)]
-    x = quality.ownership_continuity(frame(spark, rows, "k string, seq int, d date, ad string, q double, after double"), ["k"], ["seq"], "d", "ad", "q", "after")
-    got = {r.seq: (r.status, r.difference) for r in x.collect()}
-    assert [got[i][0] for i in range(1, 8)] == ["BASELINE", "PASS", "LATE", "PASS", "FLAG", "RESET", "SKIP"] and got[5][1] == 969.0
+    rows = C.resolve_amendments(position_rows(spark, [r for r, *_ in CONTINUITY]))
+    splits = frame(spark, [("b", D("2020-01-13"), 2.0), ("b", D("2020-01-20"), 3.0), ("other", D("2020-01-01"), 9.0)], "issuer_id string, effective_date date, split_factor double")
+    got = {r.owner_row_id: (r.status, r.difference) for r in C.ownership_continuity(rows, splits).collect()}
+    for (row, status, difference) in CONTINUITY:
+        assert got[row[0]] == (status, difference), row[0]
+
+
+def test_student_t():
+    """Two-sided 5 %, 1 % and 0.1 % points of printed tables, to their last digit."""
+    table = {1: (12.7062, 63.6567, 636.6192), 2: (4.3027, 9.9248, 31.5991), 5: (2.5706, 4.0321, 6.8688), 10: (2.2281, 3.1693, 4.5869), 30: (2.0423, 2.7500, 3.6460), 120: (1.9799, 2.6174, 3.3735)}
+    for df, points in table.items():
+        for level, t in zip((0.95, 0.99, 0.999), points):
+            assert student.two_sided_quantile(level, np.array([df]))[0] == pytest.approx(t, abs=6e-5)
+    # closed forms at 1 and 2 degrees of freedom, and the finite sum at others
+    for t in (0.0, 0.1, 0.8, 2.5, 30.0, 4000.0):
+        assert student.p_two_sided([t], [1])[0] == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9, abs=1e-12)
+        assert student.p_two_sided([t], [2])[0] == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-8, abs=1e-12)
+        for df in (4, 50, 300, 1000):
+            c2 = df / (df + t * t)
+            term, total = 1.0, 0.0
+            for j in range(df // 2):
+                total, term = total + term, term * c2 * (2 * j + 1) / (2 * j + 2)
+            assert student.p_two_sided([-t], [df])[0] == pytest.approx(1 - math.sqrt(1 - c2) * total, abs=1e-9)
+    assert math.isnan(student.p_two_sided([float("nan")], [3])[0]) and math.isnan(student.two_sided_quantile(0.95, [0])[0])
+
+
+def test_selection_stops_without_a_survivor(spark):
+    """Returns that turn against the cells chosen on train: nothing is tried on test."""
+    r = random.Random(4)
+    rows = []
+    for i in range(30):
+        for q in range(24):
+            day = dt.date(2000 + q // 4, 1 + 3 * (q % 4), 1 + i % 27)
+            for h in (1, 2):
+                y = r.gauss(0.03 if q < 12 else -0.03, 0.02)
+                rows.append((f"s{i}", day, 10 * q + i % 3, h, y, day, dt.date(day.year, day.month, 1), 2, 1 + i % 3))
+    schema = "security_id string, filing_date date, entry_no int, horizon int, excess_return double, exit_date date, quarter date, buyers_7 int, buyers_14 int"
+    cells = selection.arms(frame(spark, rows, schema), (7, 14), (2, 3))
+    stages = {"train": ("2000-01-01", "2002-12-31"), "validation": ("2003-01-01", "2004-06-30"), "test": ("2004-07-01", "2005-12-31")}
+    got = selection.select_once(cells, stages).collect()
+    train = [x for x in got if x.stage == "train"]
+    assert len(train) == 12 and sum(x.chosen for x in train) == 3 and {x.stage for x in got} == {"train", "validation"}  # buyers_7 never reaches 3
+    assert all(not x.chosen for x in got if x.stage == "validation")
+    assert all(x.duplicate for x in train if x.est == "wins100") and all(x.p_holm >= x.p for x in train)
+    turned = selection.select_once(cells.withColumn("excess_return", F.abs("excess_return")), stages).collect()
+    assert [x.chosen for x in turned if x.stage == "test"] == [True]
 
 
 def test_spacing_equals_loop(spark):

@@ -46,7 +46,8 @@ def select_once(rows: DataFrame, stages: dict[str, tuple[str, str]]) -> DataFram
     those with t above 0 and one-sided p below ONE_SIDED stay, and the largest t is tried on test; if none stays nothing is
     tried. ``chosen`` means: goes on to the next stage, on test: significant and above 0.
     """
-    place = Window.orderBy(F.desc_nulls_last("t"), "est", "w", "k", "horizon")  # one row a cell
+    by_t = F.round("t", 9).desc_nulls_last()  # equal samples tie, whatever order their rows were summed in
+    place = Window.orderBy(by_t, "est", "w", "k", "horizon")  # one row a cell
     same = Window.partitionBy("w", "k", "horizon", "n", F.round("mean", 12), F.round("se", 12)).orderBy("place")
     fit = fitted(stage_sample(rows, *stages["train"])).withColumn("place", F.row_number().over(place)).withColumn("duplicate", F.row_number().over(same) > 1)
     fit = fit.withColumn("_p", F.coalesce("p", F.lit(1.0))).withColumn("_all", F.lit(1)).withColumn("_key", F.format_string("%05d|%05d|%05d|%s", "w", "k", "horizon", "est"))
@@ -61,7 +62,7 @@ def select_once(rows: DataFrame, stages: dict[str, tuple[str, str]]) -> DataFram
         fit = fitted(stage_sample(cells, *stages[stage])).join(wanted, CELL)
         if stage == "validation":
             good = F.coalesce((F.col("status") == "ok") & (F.col("t") > 0) & (F.col("p_one") < ONE_SIDED), F.lit(False))
-            best = F.row_number().over(Window.orderBy(good.desc(), F.desc_nulls_last("t"), "place")) == 1
+            best = F.row_number().over(Window.orderBy(good.desc(), by_t, "place")) == 1
             fit = fit.withColumn("chosen", good & best)
         else:
             fit = fit.withColumn("chosen", F.coalesce((F.col("status") == "ok") & (F.col("p") < TWO_SIDED) & (F.col("mean") > 0), F.lit(False)))

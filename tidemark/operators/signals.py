@@ -30,13 +30,14 @@ def silent_owners(sales: DataFrame, owner: str, issuer: str, sold: str, filed: s
     c = back(1).join(back(2), ["owner", "issuer", "month", "year"]).join(F.broadcast(at), ["year", "month"])
     c = c.where("filed1 <= available_on AND filed2 <= available_on").join(back(0), ["owner", "issuer", "month", "year"], "left")
     sells = F.coalesce(F.col("filed0") <= F.col("available_on"), F.lit(False))
-    return c.select("owner", "issuer", "year", "month", F.when(sells, "SSS").otherwise("SSN").alias("state"), (F.col("filed0").isNotNull() & ~sells).alias("late"))
+    return c.select("owner", "issuer", "year", "month", "available_on", F.when(sells, "SSS").otherwise("SSN").alias("state"), (F.col("filed0").isNotNull() & ~sells).alias("late"))
 
 
-def seller_class(sales: DataFrame, owner: str, issuer: str, sold: str, filed: str, years: list[int]) -> DataFrame:
-    """As of 1 January: sold in each of three prior years by filings known then; a common month is routine, none opportunistic."""
-    y = sales.sparkSession.createDataFrame([(v,) for v in years], "year int")
-    j = sales.join(F.broadcast(y), (F.col(filed) < F.make_date("year", F.lit(1), F.lit(1))) & (F.year(sold) < F.col("year")) & (F.year(sold) >= F.col("year") - 3))
+def seller_class(sales: DataFrame, owner: str, issuer: str, sold: str, filed: str, last_year: int) -> DataFrame:
+    """As of 1 January: sold in each of three prior years by filings known then; a common month is routine, none opportunistic.
+
+    A sale counts for the three years after it, up to ``last_year``, so rows meet years without a join."""
+    j = sales.withColumn("year", F.explode(F.sequence(F.year(sold) + 1, F.year(sold) + 3))).where((F.col("year") <= last_year) & (F.col(filed) < F.make_date("year", F.lit(1), F.lit(1))))
     m = lambda n: F.collect_set(F.when(F.year(sold) == F.col("year") - n, F.month(sold)))
     g = j.groupBy(F.col(owner).alias("owner"), F.col(issuer).alias("issuer"), "year").agg(m(1).alias("m1"), m(2).alias("m2"), m(3).alias("m3"))
     full = (F.size("m1") > 0) & (F.size("m2") > 0) & (F.size("m3") > 0)

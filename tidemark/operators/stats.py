@@ -114,6 +114,8 @@ def newey_west(series: DataFrame, by: list[str], value: str, order: str, lags: i
 
 
 COMPONENTS = ("two_way", "issuer", "quarter", "hc1")
+NEAR = 1e-9
+"""Variances that differ by less than this share are equal: sums depend on the order of rows."""
 
 
 def floored(scored: DataFrame, by: list[str], first: str, second: str, k: int) -> DataFrame:
@@ -131,7 +133,7 @@ def floored(scored: DataFrame, by: list[str], first: str, second: str, k: int) -
     out = out.withColumns({f"_{c}": v for c, v in parts.items()}).withColumn("_v", F.greatest(*[f"_{c}" for c in COMPONENTS]))
     source = F.lit(None).cast("string")
     for c in reversed(COMPONENTS):
-        source = F.when(F.col(f"_{c}") == F.col("_v"), c).otherwise(source)
+        source = F.when(F.col(f"_{c}") >= F.col("_v") * (1 - NEAR), c).otherwise(source)
     few = (F.col("g_a") < 2) | (F.col("g_b") < 2)
     status = F.when(n < 2, "too_few").when(few, "insufficient_clusters").when(~F.coalesce(F.col("_v") > 0, F.lit(False)), "degenerate_variance").otherwise("ok")
     return out.select(*by, "n", F.col("g_a").alias("issuers"), F.col("g_b").alias("quarters"), F.when(status == "ok", F.sqrt("_v")).alias("se"), F.when(status == "ok", source).alias("source"), status.alias("status"))

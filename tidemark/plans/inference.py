@@ -46,7 +46,7 @@ p0 AS (SELECT b0.horizon, n, ca.g AS ga, cb.g AS gb, (ca.v + cb.v - cc.v) * m AS
 p1 AS (SELECT *, greatest(two_way, issuer, quarter, hc1) AS v FROM p0),
 p2 AS (SELECT *, CASE WHEN n < 2 THEN 'too_few' WHEN ga < 2 OR gb < 2 THEN 'insufficient_clusters' WHEN NOT coalesce(v > 0, FALSE) THEN 'degenerate_variance' ELSE 'ok' END AS status FROM p1),
 fl AS (SELECT horizon, n, ga AS issuers, gb AS quarters, CASE WHEN status = 'ok' THEN sqrt(v) END AS se,
-  CASE WHEN status = 'ok' THEN CASE v WHEN two_way THEN 'two_way' WHEN issuer THEN 'issuer' WHEN quarter THEN 'quarter' ELSE 'hc1' END END AS source, status FROM p2)"""
+  CASE WHEN status = 'ok' THEN CASE WHEN two_way >= v * (1 - 1e-9) THEN 'two_way' WHEN issuer >= v * (1 - 1e-9) THEN 'issuer' WHEN quarter >= v * (1 - 1e-9) THEN 'quarter' ELSE 'hc1' END END AS source, status FROM p2)"""
 
 
 def s3_rows(s, d):

@@ -32,12 +32,6 @@ def j15(s, d):
     return J.overlap_join(i, h, "issuer_id")
 
 
-def a5(s, d):
-    g = tx(s, d).where("transaction_code = 'S'").withColumn("c", F.when(F.col("owner_id") % 3 == 0, "opportunistic").when(F.col("owner_id") % 3 == 1, "routine").otherwise("unclassified"))
-    x = g.groupBy("issuer_id", "filing_date").agg(*[F.countDistinct(F.when(F.col("c") == c, F.col("owner_id"))).alias(c) for c in ("opportunistic", "routine", "unclassified")])
-    return x.withColumn("day_class", F.when(F.col("opportunistic") > 0, "opportunistic").when(F.col("routine") > 0, "routine").otherwise("unclassified"))
-
-
 def a14(s, d):
     o = outcomes(s, d).withColumn("month", F.trunc("filing_date", "MM")).withColumn("year", F.year("filing_date").cast("long"))
     return stats.clustered_mean(o, ["year", "horizon"], "excess_return", "security_id", "month").select("year", "horizon", "n", r6(F.col("mean"), "mean"), r6(F.col("se"), "se"))
@@ -186,7 +180,6 @@ Q = {
     "j11_path_join": (j11, "WITH p AS (SELECT *, count(*) OVER (PARTITION BY security_id ORDER BY session_no) AS u FROM fx_daily) SELECT a.security_id, a.session_no, round(b.close / a.close - 1, 6) AS r3, b.u - a.u = 3 AS complete FROM p a JOIN p b ON a.security_id = b.security_id AND b.session_no = a.session_no + 3"),
     "j15_classification_history": (j15, """WITH h AS (SELECT DISTINCT issuer_id, CAST(date_trunc('year', filing_date) AS DATE) AS a FROM fx_transactions WHERE line_no = 1 AND shares > 45), e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY issuer_id ORDER BY a) - 1, DATE '2100-01-01') AS b FROM h)
         SELECT i.issuer_id, security_id, CAST(greatest(effective_start, a) AS DATE) AS start, CAST(least(effective_end, b) AS DATE) AS "end" FROM fx_intervals i JOIN e ON e.issuer_id = i.issuer_id WHERE a <= effective_end AND effective_start <= b"""),
-    "a5_seller_class_issuer_day": (a5, "WITH g AS (SELECT issuer_id, filing_date, count(DISTINCT owner_id) FILTER (WHERE owner_id % 3 = 0) AS opportunistic, count(DISTINCT owner_id) FILTER (WHERE owner_id % 3 = 1) AS routine, count(DISTINCT owner_id) FILTER (WHERE owner_id % 3 = 2) AS unclassified FROM fx_transactions WHERE transaction_code = 'S' GROUP BY 1, 2) SELECT *, CASE WHEN opportunistic > 0 THEN 'opportunistic' WHEN routine > 0 THEN 'routine' ELSE 'unclassified' END AS day_class FROM g"),
     "a14_per_year_tables": (a14, f"WITH {X1}, x AS (SELECT *, year(filing_date) AS year FROM x1), {_mean_sql(['year', 'horizon'], 'x')} SELECT * FROM res"),
     "a15_attrition_counts": (a15, f"WITH {E1_SQL} SELECT horizon, count(*) AS events, count(*) FILTER (WHERE delisted) AS delisted, count(*) FILTER (WHERE partial_path) AS partial, count(excess_return) AS used FROM e1 GROUP BY 1"),
     "a16_coverage": (a16, f"WITH {E1_SQL} SELECT horizon, round(avg(CASE WHEN stock_return IS NOT NULL THEN 1 ELSE 0 END), 6) AS complete_share FROM e1 GROUP BY 1"),

@@ -53,7 +53,7 @@ def _stage_sql(stage: str, cells: str) -> str:
 {stage}_v AS (SELECT m.*, a.g AS issuers, b.g AS quarters, (a.v + b.v - c.v) AS v1, a.v AS v2, b.v AS v3, h * CASE WHEN n > 1 THEN n / (n - 1) END AS v4
   FROM {stage}_m m JOIN {stage}_a a USING (w, k, horizon, est) JOIN {stage}_b b USING (w, k, horizon, est) JOIN {stage}_c c USING (w, k, horizon, est) JOIN {stage}_h USING (w, k, horizon, est)),
 {stage}_z AS (SELECT *, greatest(v1, v2, v3, v4) AS v, CASE WHEN n < 2 THEN 'too_few' WHEN issuers < 2 OR quarters < 2 THEN 'insufficient_clusters' WHEN NOT coalesce(greatest(v1, v2, v3, v4) > 0, FALSE) THEN 'degenerate_variance' ELSE 'ok' END AS status FROM {stage}_v),
-{stage}_t AS (SELECT *, CASE WHEN status = 'ok' THEN sqrt(v) END AS se, CASE WHEN status = 'ok' THEN CASE v WHEN v1 THEN 'two_way' WHEN v2 THEN 'issuer' WHEN v3 THEN 'quarter' ELSE 'hc1' END END AS source,
+{stage}_t AS (SELECT *, CASE WHEN status = 'ok' THEN sqrt(v) END AS se, CASE WHEN status = 'ok' THEN CASE WHEN v1 >= v * (1 - 1e-9) THEN 'two_way' WHEN v2 >= v * (1 - 1e-9) THEN 'issuer' WHEN v3 >= v * (1 - 1e-9) THEN 'quarter' ELSE 'hc1' END END AS source,
   CASE WHEN status = 'ok' THEN mean / sqrt(v) END AS t, CASE WHEN status = 'ok' THEN least(issuers, quarters) - 1 END AS df FROM {stage}_z),
 fit_{stage} AS MATERIALIZED (SELECT *, CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END AS p_one FROM (SELECT *, {p_sql('t', 'df')} AS p FROM {stage}_t))"""
 
@@ -66,13 +66,13 @@ bw AS (SELECT a.issuer_id, a.filing_date, count(DISTINCT b.owner_id) FILTER (WHE
 arm AS MATERIALIZED (SELECT e1.*, session_date AS exit_date, g.w, g.k FROM e1 JOIN bw ON bw.issuer_id = security_id AND bw.filing_date = e1.filing_date LEFT JOIN fx_calendar ON session_no = end_no
   JOIN (VALUES (7, 2), (7, 3), (14, 2), (14, 3)) g(w, k) ON CASE g.w WHEN 7 THEN b7 ELSE b14 END >= g.k),
 allc AS (SELECT DISTINCT w, k, horizon FROM arm), {_stage_sql('train', 'allc')},
-pl AS (SELECT *, row_number() OVER (ORDER BY t DESC NULLS LAST, est, w, k, horizon) AS place FROM fit_train),
+pl AS (SELECT *, row_number() OVER (ORDER BY round(t, 9) DESC NULLS LAST, est, w, k, horizon) AS place FROM fit_train),
 du AS (SELECT *, row_number() OVER (PARTITION BY w, k, horizon, n, round(mean, 12), round(se, 12) ORDER BY place) > 1 AS duplicate,
   coalesce(p, 1.0) * (count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1.0), w, k, horizon, est) + 1) AS hx FROM pl),
 tr AS MATERIALIZED (SELECT *, least(1.0, max(hx) OVER (ORDER BY coalesce(p, 1.0), w, k, horizon, est ROWS UNBOUNDED PRECEDING)) AS p_holm,
   NOT duplicate AND status = 'ok' AND sum((NOT duplicate AND status = 'ok')::INT) OVER (ORDER BY place) <= 3 AS chosen FROM du),
 c1 AS MATERIALIZED (SELECT w, k, horizon, est, place FROM tr WHERE chosen), {_stage_sql('validation', 'c1')},
-va AS MATERIALIZED (SELECT *, good AND row_number() OVER (ORDER BY good DESC, t DESC NULLS LAST, place) = 1 AS chosen
+va AS MATERIALIZED (SELECT *, good AND row_number() OVER (ORDER BY good DESC, round(t, 9) DESC NULLS LAST, place) = 1 AS chosen
   FROM (SELECT f.*, place, coalesce(status = 'ok' AND t > 0 AND p_one < 0.10, FALSE) AS good FROM fit_validation f JOIN c1 USING (w, k, horizon, est))),
 c2 AS MATERIALIZED (SELECT w, k, horizon, est, place FROM va WHERE chosen), {_stage_sql('test', 'c2')},
 te AS (SELECT f.*, place, coalesce(status = 'ok' AND p < 0.05 AND mean > 0, FALSE) AS chosen FROM fit_test f JOIN c2 USING (w, k, horizon, est))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import returns, signals, stats
-from ..operators.calendar import business_days
 from .fixtures import fx, with_views
 from .study import E1_SQL, outcomes
 from .windows import R, with_r
@@ -32,29 +31,6 @@ def e10(s, d):
     return buys.unionByName(sells).groupBy("signal", F.year("filing_date").cast("long").alias("year")).agg(F.count("*").alias("n"))
 
 
-def available(s):
-    b = business_days("1994-12-01", "2004-12-31", s)
-    ends = s.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'2003-12-01', INTERVAL 1 MONTH)) AS month")
-    m = ends.select("month", F.add_months("month", 1).alias("next"))
-    n = m.join(b, F.col("day") >= F.col("next")).groupBy("month").agg(F.sort_array(F.collect_list("day"))[1].alias("available_on"))
-    return n.select(F.year("month").alias("year"), F.month("month").alias("month"), "available_on")
-
-
-def e11(s, d):
-    used = tx(s, d).select(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month")).distinct()
-    return available(s).join(used, ["year", "month"]).select(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "available_on")
-
-
-def e12(s, d):
-    x = tx(s, d).where("transaction_code = 'S'").withColumn("grp", F.col("owner_id") % 20)
-    return signals.silent_owners(x, "grp", "issuer_id", "transaction_date", "filing_date", available(s))
-
-
-def e14(s, d):
-    x = tx(s, d).where("transaction_code = 'S'").withColumn("grp", F.col("owner_id") % 50)
-    return signals.seller_class(x, "grp", "issuer_id", "transaction_date", "filing_date", [1998, 1999, 2000, 2001])
-
-
 def e17(s, d):
     g = tx(s, d).where("transaction_code = 'P'").groupBy("issuer_id", "filing_date").agg(F.avg("price").alias("p"), F.sum("shares").alias("v"), F.countDistinct("owner_id").alias("k"), F.min(F.col("owner_id") % 5).alias("o"))
     return g.select("issuer_id", "filing_date", signals.conviction_score(F.col("p") < 1800, F.col("v") > 40, F.col("k") >= 2, F.col("o") == 0).cast("long").alias("score"))
@@ -153,11 +129,6 @@ Q = {
     "e6_evaluate_periods": (e6, f"WITH {X1}, x AS (SELECT *, CASE WHEN year(filing_date) <= 1998 THEN 'early' ELSE 'late' END AS period FROM x1 WHERE year(filing_date) BETWEEN 1995 AND 2005), {_mean_sql(['period', 'horizon'], 'x')} SELECT * FROM res"),
     "e8_prior_years_terciles": (e8, f"WITH {E8_SQL} SELECT * FROM e8"),
     "e10_signals": (e10, f"WITH {E8_SQL}, a AS (SELECT 'S1' AS signal, filing_date FROM e8 WHERE tercile = 1 UNION ALL SELECT 'S2', filing_date FROM e8 UNION ALL SELECT 'S3', filing_date FROM (SELECT DISTINCT issuer_id, filing_date FROM fx_transactions WHERE transaction_code = 'S' AND NOT is_amendment)) SELECT signal, year(filing_date) AS year, count(*) AS n FROM a GROUP BY 1, 2"),
-    "e11_availability_date": (e11, None),
-    "e12_owner_months": (e12, None),
-    "e14_seller_decisions": (e14, """WITH x AS (SELECT *, owner_id % 50 AS grp FROM fx_transactions WHERE transaction_code = 'S'), g AS (SELECT grp AS owner, issuer_id AS issuer, y AS year, coalesce(list(DISTINCT month(transaction_date)) FILTER (WHERE year(transaction_date) = y - 1), []) AS m1, coalesce(list(DISTINCT month(transaction_date)) FILTER (WHERE year(transaction_date) = y - 2), []) AS m2, coalesce(list(DISTINCT month(transaction_date)) FILTER (WHERE year(transaction_date) = y - 3), []) AS m3
-        FROM x JOIN (VALUES (1998), (1999), (2000), (2001)) v(y) ON filing_date < make_date(y, 1, 1) AND year(transaction_date) BETWEEN y - 3 AND y - 1 GROUP BY 1, 2, 3)
-        SELECT owner, issuer, year, CASE WHEN len(m1) = 0 OR len(m2) = 0 OR len(m3) = 0 THEN 'unclassified' WHEN len(list_intersect(list_intersect(m1, m2), m3)) > 0 THEN 'routine' ELSE 'opportunistic' END AS seller_class FROM g"""),
     "e17_conviction_score": (e17, f"WITH {E17_SQL} SELECT * FROM e17"),
     "e18_cross_sectional_long_short": (e18, f"""WITH {R}, {E17_SQL}, sc AS (SELECT issuer_id, date_trunc('month', filing_date) AS month, sum(score) AS score FROM e17 GROUP BY 1, 2), c AS (SELECT month, quantile_cont(score, 1.0 / 3) AS c0, quantile_cont(score, 2.0 / 3) AS c1, count(*) AS firms, count(DISTINCT score) AS k FROM sc GROUP BY 1),
         mr AS (SELECT security_id AS issuer_id, date_trunc('month', session_date) AS m2, exp(sum(ln(1 + r))) - 1 AS r FROM r GROUP BY 1, 2), x AS (SELECT sc.*, c0, c1, mr.r FROM sc JOIN c USING (month) JOIN mr ON mr.issuer_id = sc.issuer_id AND mr.m2 = sc.month + INTERVAL 1 MONTH WHERE firms >= 6 AND k >= 3)

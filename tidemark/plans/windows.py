@@ -134,12 +134,6 @@ def a4(s, d):
     return t.select("issuer_id", "filing_date", b.alias("bucket"))
 
 
-def a6(s, d):
-    t = tx(s, d).where("transaction_code = 'S'").groupBy("issuer_id", F.trunc("transaction_date", "MM").alias("month"))
-    g = t.agg(F.countDistinct("owner_id").alias("owners"), F.count_if(F.col("filing_date") <= F.col("transaction_date")).alias("ssn"), F.count_if(F.datediff("filing_date", "transaction_date") > 30).alias("late"))
-    return g.withColumn("state", F.when(F.col("ssn") > 0, "SSN").otherwise("SSS"))
-
-
 def a7(s, d):
     p, q = F.col("transaction_code") == "P", F.col("transaction_code") == "S"
     g = tx(s, d).groupBy("issuer_id", F.trunc("filing_date", "MM").alias("month")).agg(
@@ -237,7 +231,6 @@ Q = {
     "a2_issuer_day_events": (a2, "SELECT issuer_id, filing_date, transaction_code, count(DISTINCT accession) AS filings, array_to_string(list_sort(list(DISTINCT line_no)), ',') AS lines FROM fx_transactions WHERE transaction_code IN ('P', 'S') GROUP BY 1, 2, 3"),
     "a3_sum_min_count": (a3, "SELECT accession, round(sum(CASE WHEN line_no % 4 <> 0 THEN shares * price END), 6) AS value, round(coalesce(sum(CASE WHEN line_no % 4 <> 0 THEN shares * price END), sum(shares)), 6) AS value_or_shares FROM fx_transactions GROUP BY 1"),
     "a4_role_bucket": (a4, "WITH g AS (SELECT issuer_id, filing_date, bool_or(owner_id % 4 = 0) AS a, bool_or(owner_id % 4 = 1) AS b, bool_or(owner_id % 4 = 2) AS c FROM fx_transactions GROUP BY 1, 2) SELECT issuer_id, filing_date, CASE WHEN a THEN 'senior_executive' WHEN b AND NOT c THEN 'director' WHEN c AND NOT b THEN 'owner' END AS bucket FROM g"),
-    "a6_firm_month_states": (a6, "WITH g AS (SELECT issuer_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month, count(DISTINCT owner_id) AS owners, count(*) FILTER (WHERE filing_date <= transaction_date) AS ssn, count(*) FILTER (WHERE filing_date - transaction_date > 30) AS late FROM fx_transactions WHERE transaction_code = 'S' GROUP BY 1, 2) SELECT *, CASE WHEN ssn > 0 THEN 'SSN' ELSE 'SSS' END AS state FROM g"),
     "a7_firm_month_demand": (a7, "WITH g AS (SELECT issuer_id, CAST(date_trunc('month', filing_date) AS DATE) AS month, count(DISTINCT owner_id) FILTER (WHERE transaction_code = 'P') AS buyers, count(DISTINCT owner_id) FILTER (WHERE transaction_code = 'S') AS sellers, round(coalesce(sum(shares) FILTER (WHERE transaction_code = 'P'), 0) - coalesce(sum(shares) FILTER (WHERE transaction_code = 'S'), 0), 6) AS conv_net FROM fx_transactions GROUP BY 1, 2) SELECT *, round((buyers - sellers) / greatest(1, buyers + sellers), 6) AS breadth FROM g"),
     "a8_period_returns": (a8, f"WITH {R}, x AS (SELECT security_id, date_trunc('month', session_date) AS month, sum(ln(1 + r)) AS l FROM r GROUP BY 1, 2), p AS (SELECT security_id, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS month FROM x GROUP BY 1) SELECT p.security_id, CAST(p.month AS DATE) AS month, round(exp(coalesce(l, 0)) - 1, 6) AS r FROM p LEFT JOIN x ON x.security_id = p.security_id AND x.month = p.month"),
     "a9_summary_stats": (a9, f"WITH {R} SELECT security_id, count(r) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(avg(CASE WHEN r > 0 THEN 1 WHEN r IS NOT NULL THEN 0 END), 6) AS hit_rate FROM r GROUP BY 1"),
