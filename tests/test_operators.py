@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, student
 from tidemark.operators import continuity as C
-from tidemark.operators import intervals, joins, quality, returns, selection, signals, stats, windows
+from tidemark.operators import intervals, joins, quality, quantiles, returns, selection, signals, stats, windows
 from tidemark.operators.calendar import business_days, next_session
 from tidemark.sources import files
 
@@ -261,3 +261,25 @@ def test_write_validated_refuses(spark, tmp_path):
     with pytest.raises(ValueError):
         files.write_validated(spark, {"t": df}, {"none": df}, f"file://{tmp_path}")
     assert files.write_validated(spark, {"t": df}, {"none": df.where("id < 0")}, f"file://{tmp_path}").first().n_rows == 3
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 64])
+def test_earlier_quantiles_equal_numpy(spark, buckets):
+    r = random.Random(buckets)
+    rows = [(p, r.choice([None, 5.0, 5.0, 5.0, float("nan"), r.gauss(0, 1), r.gauss(0, 1e6)])) for p in (3, 1, 7, 9, 9, 12) for _ in range(r.randint(1, 80))] + [(20, None)]
+    got = {x.p: (x.n, x.quantiles) for x in quantiles.earlier_quantiles(frame(spark, rows, "p int, v double"), "p", "v", [0.0, 1 / 3, 0.5, 1.0], buckets=buckets).collect()}
+    want = {}
+    for p in {p for p, _ in rows}:
+        v = [x for q, x in rows if q < p and x is not None and not math.isnan(x)]
+        if v:
+            want[p] = (len(v), list(np.quantile(v, [0.0, 1 / 3, 0.5, 1.0])))
+    assert set(got) == set(want) and 20 in got
+    for p, (n, q) in want.items():
+        assert got[p][0] == n and got[p][1] == pytest.approx(q, rel=1e-9, abs=1e-12)
+    assert quantiles.earlier_quantiles(frame(spark, [], "p int, v double"), "p", "v", [0.5]).collect() == []
+
+
+def test_prior_year_terciles_have_no_inequality_join(spark):
+    e = frame(spark, [(D(f"{2000 + i % 4}-01-0{1 + i % 9}"), float(i)) for i in range(60)], "filing_date date, v double")
+    plan = signals.prior_years_terciles(e, "filing_date", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import earlier_quantiles
+
 
 def prior_years_terciles(events: DataFrame, date: str, value: str, out: str = "tercile") -> DataFrame:
     """Tercile of each event by the 1/3 and 2/3 quantiles of all strictly earlier years; ties go low; null in the first year.
 
     Breakpoints are one row per year, so they are joined back by broadcast."""
-    y = F.year(date)
-    known = events.where(F.col(value).isNotNull()).select(y.alias("_y"), F.col(value).alias("_v"))
-    years = events.select(y.alias("_year")).distinct()
-    cuts = years.join(known, F.col("_y") < F.col("_year")).groupBy("_year").agg(F.expr("percentile(_v, array(1/3D, 2/3D))").alias("_c"))
-    j = events.withColumn("_year", y).join(F.broadcast(cuts), "_year", "left")
+    yearly = events.withColumn("_year", F.year(date))
+    cuts = earlier_quantiles(yearly, "_year", value, [1 / 3, 2 / 3]).select("_year", F.col("quantiles").alias("_c"))
+    j = yearly.join(F.broadcast(cuts), "_year", "left")
     t = F.when(F.col("_c").isNull() | F.col(value).isNull(), None).when(F.col(value) <= F.col("_c")[0], 1).when(F.col(value) <= F.col("_c")[1], 2).otherwise(3)
     return j.withColumn(out, t).drop("_year", "_c")
 

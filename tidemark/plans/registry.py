@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["study", "projections", "joins", "windows", "checks", "signals", "jobs", "more", "inference", "continuity", "selection", "universe", "sellers"]
+MODULES = ["study", "projections", "joins", "windows", "checks", "signals", "jobs", "more", "inference", "continuity", "selection", "universe", "sellers", "paths"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
+from ..operators.quantiles import earlier_quantiles, overall_quantiles
 from .fixtures import fx, with_views
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -62,11 +63,10 @@ def w9(s, d):
 
 
 def w10(s, d):
-    """Expanding median by date: the cut-off of a day uses strictly earlier days only."""
-    days = tx(s, d).where("transaction_code = 'P' AND price > 2100").select("filing_date", "price")
-    dates = days.select(F.trunc("filing_date", "MM").alias("month")).distinct()
-    x = dates.join(days, F.trunc("filing_date", "MM") < F.col("month")).groupBy("month").agg(F.count("*").alias("n"), F.expr("percentile(price, 0.5)").alias("m"))
-    return x.select("month", "n", r6(F.when(F.col("n") >= 500, F.col("m")), "cutoff"))
+    """Expanding median by month: the cut-off of a month uses strictly earlier months only, and at least 500 prices."""
+    days = tx(s, d).where("transaction_code = 'P'").select(F.trunc("filing_date", "MM").alias("month"), "price")
+    x = earlier_quantiles(days, "month", "price", [0.5])
+    return x.select("month", "n", r6(F.when(F.col("n") >= 500, F.get("quantiles", F.lit(0))), "cutoff"))
 
 
 def w11(s, d, days=14, code="P"):
@@ -157,8 +157,7 @@ def a9(s, d):
 
 def a12(s, d):
     q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    x = with_r(s, d).agg(F.expr(f"percentile(r, array({', '.join(map(str, q))}))").alias("p"))
-    return x.select(F.posexplode("p").alias("i", "v")).select(F.get(F.array(*[F.lit(v) for v in q]), F.col("i")).alias("q"), r6(F.col("v"), "value"))
+    return overall_quantiles(with_r(s, d), "r", q).select("q", r6(F.col("value"), "value"))
 
 
 def a13(s, d):
@@ -217,7 +216,7 @@ Q = {
     "w6_split_events": (w6, "WITH t AS (SELECT issuer_id, CAST(date_trunc('year', transaction_date) AS DATE) AS year, round(avg(shares)) AS f FROM fx_transactions GROUP BY 1, 2), p AS (SELECT *, lag(f) OVER (PARTITION BY issuer_id ORDER BY year) AS p FROM t) SELECT issuer_id, year, round(p / f, 6) AS factor FROM p WHERE abs(f - p) > 1e-8 + 1e-5 * abs(p)"),
     "w7_change_points": (w7, "WITH c AS (SELECT security_id, session_no, CAST(floor(close / 100) AS BIGINT) AS code FROM fx_daily), p AS (SELECT *, lag(code) OVER w AS p, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY security_id ORDER BY session_no)) SELECT security_id, session_no, code FROM p WHERE n = 1 OR code IS DISTINCT FROM p"),
     "w9_dedupe_keep_last": (w9, "SELECT accession, line_no, transaction_date, round(shares, 6) AS shares FROM fx_transactions QUALIFY row_number() OVER (PARTITION BY accession, line_no ORDER BY transaction_date DESC, shares DESC, price DESC, issuer_id, transaction_code) = 1"),
-    "w10_expanding_median": (w10, "WITH d AS (SELECT filing_date, price FROM fx_transactions WHERE transaction_code = 'P' AND price > 2100), m AS (SELECT DISTINCT CAST(date_trunc('month', filing_date) AS DATE) AS month FROM d) SELECT month, count(*) AS n, round(CASE WHEN count(*) >= 500 THEN quantile_cont(price, 0.5) END, 6) AS cutoff FROM m JOIN d ON date_trunc('month', filing_date) < month GROUP BY month"),
+    "w10_expanding_median": (w10, "WITH d AS (SELECT filing_date, price FROM fx_transactions WHERE transaction_code = 'P' AND price IS NOT NULL), m AS (SELECT DISTINCT CAST(date_trunc('month', filing_date) AS DATE) AS month FROM d) SELECT month, count(*) AS n, round(CASE WHEN count(*) >= 500 THEN quantile_cont(price, 0.5) END, 6) AS cutoff FROM m JOIN d ON date_trunc('month', filing_date) < month GROUP BY month"),
     "w11_trailing_distinct_actors": (w11, _w11_sql(14)),
     "w12_trailing_90_day_cluster": (lambda s, d: w11(s, d, 90), _w11_sql(90)),
     "w13_greedy_spacing": (w13, SPACED),
