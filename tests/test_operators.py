@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, student
 from tidemark.operators import continuity as C
-from tidemark.operators import intervals, joins, quality, quantiles, returns, selection, signals, stats, windows
+from tidemark.operators import intervals, joins, paths, quality, quantiles, returns, selection, signals, stats, windows
 from tidemark.operators.calendar import business_days, next_session
 from tidemark.sources import files
+from tidemark.streaming import jobs
 
 D = lambda s: dt.date.fromisoformat(s)
 
@@ -283,3 +284,36 @@ def test_prior_year_terciles_have_no_inequality_join(spark):
     e = frame(spark, [(D(f"{2000 + i % 4}-01-0{1 + i % 9}"), float(i)) for i in range(60)], "filing_date date, v double")
     plan = signals.prior_years_terciles(e, "filing_date", "v")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    """Later files on the same folder join what was folded before; a batch that runs again counts nothing twice."""
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    schema = "k int, v int, failed boolean"
+    parts = [[(1, 1, False), (2, 1, True)], [(1, 2, True), (2, 2, True)], [(2, 3, False), (3, 1, True)]]
+    for part in parts:
+        frame(spark, part, schema).coalesce(1).write.mode("append").parquet(source)
+        out = jobs.incremental_upsert(spark.readStream.schema(schema).parquet(source), "k", "v", "failed", folder)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 1, "done"), (2, 3, 3, "done"), (3, 1, None, "failed")]
+    last = jobs.versions(spark, f"{folder}/table")
+    assert len(last) == 2 and last[-1].endswith("v000002")
+
+
+def test_streaming_continuity_equals_the_batch_check(spark, tmp_path):
+    rows = C.resolve_amendments(position_rows(spark, [r for r, *_ in CONTINUITY]))
+    splits = frame(spark, [("b", D("2020-01-13"), 2.0), ("b", D("2020-01-20"), 3.0)], "issuer_id string, effective_date date, split_factor double")
+    for a, b in ((1, 4), (5, 5), (6, 11), (12, 31)):  # restarted three times, once between a row and its amendment
+        rows.where(f"dayofmonth(available_at) BETWEEN {a} AND {b}").write.mode("append").parquet(f"file://{tmp_path}/in")
+        out = jobs.streaming_continuity(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), splits, f"file://{tmp_path}/s")
+    got = {r.owner_row_id: (r.status, r.difference) for r in out.collect()}
+    assert got == {row[0]: (status, difference) for row, status, difference in CONTINUITY}
+
+
+def test_held_excess_states(spark):
+    panel = frame(spark, [("a", D("2021-01-01") + dt.timedelta(days=i), None if i == 0 else -1.0 if i == 7 else 0.1, 5.0) for i in range(9)], "security_id string, session_date date, r double, lag_cap double")
+    bench = frame(spark, [(D("2021-01-01") + dt.timedelta(days=i), 0.0) for i in range(20)], "session_date date, r double")
+    p, b = paths.numbered(panel, "security_id", "session_date", "r", F.col("lag_cap")), paths.numbered(bench, None, "session_date", "r")
+    ev = frame(spark, [("ok", "a", D("2020-12-31")), ("same day", "a", D("2021-01-01")), ("wiped out", "a", D("2021-01-04")), ("past the data", "a", D("2021-01-06")), ("none left", "a", D("2021-01-09")), ("unknown", "z", D("2021-01-01"))], "event_id string, security_id string, filing_date date")
+    got = {r.event_id: (r.status, r.excess and round(r.excess, 9)) for r in paths.held_excess(ev, p, b, "security_id", "filing_date", "session_date", 3).collect()}
+    gain = round(1.1**3 - 1, 9)
+    assert got == {"ok": ("ok", gain), "same day": ("ok", gain), "wiped out": ("ok", -1.0), "past the data": ("calendar_right_censored", None), "none left": ("missing_entry_close", None), "unknown": ("missing_entry_close", None)}

@@ -8,6 +8,7 @@ from ..operators import intervals
 from ..sources import files
 from ..sources.tables import scratch
 from ..streaming import jobs
+from .continuity import Q as Q8
 from .fixtures import fx, with_views
 
 
@@ -50,8 +51,10 @@ Q = {
     "io11_sgml_header_fields": (io11, "SELECT CAST(o_orderkey AS VARCHAR) AS accession, '4' AS form, o_custkey || ',77' AS owners FROM orders"),
     "io13_write_validated": (io13, "SELECT 'intervals' AS table_name, count(*) AS n_rows FROM fx_intervals UNION ALL SELECT 'issuers', count(DISTINCT issuer_id) FROM fx_intervals"),
     "st1_incremental_upsert": (jobs.st1, "SELECT user_id, count(*) AS attempts, max(event_id) FILTER (WHERE event_type <> 'error') AS done_version, CASE WHEN max(event_id) FILTER (WHERE event_type <> 'error') IS NULL THEN 'failed' ELSE 'done' END AS status FROM events GROUP BY 1"),
-    "st2_streaming_continuity": (jobs.st2, None),
+    "st2_streaming_continuity": (jobs.st2, Q8["q8_ownership_continuity"][1]),
     "st3_as_of_snapshot": (jobs.st3, "SELECT user_id, event_id, event_type FROM events WHERE ts <= '2024-01-15 00:00:00' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
-    "st4_trailing_actor_alert": (jobs.st4, None),
+    "st4_trailing_actor_alert": (jobs.st4, """WITH e AS (SELECT event_type, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE ts IS NOT NULL),
+        w AS (SELECT event_type, user_id, CAST(CAST(ts AS DATE) - CAST(unnest(range(7)) AS INT) AS TIMESTAMP) AS start FROM e)
+        SELECT event_type, start, start + INTERVAL 7 DAY AS "end", count(DISTINCT user_id) AS actors FROM w WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 2"""),
 }
 QUERIES = {k: (f, with_views(q) if q else None) for k, (f, q) in Q.items()}

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: incremental upsert, running balance per key, trailing distinct actors."""
+"""Structured Streaming jobs: incremental upsert, the balance check of positions, trailing distinct actors."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.continuity import POSITION, STEP_COLUMNS, Position, continuity_step, with_splits
+from ..plans.fixtures import fx
 from ..sources.tables import scratch
 
 
@@ -23,56 +25,71 @@ def finish(query) -> None:
         query.stop()
 
 
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Published versions of a table, oldest first: folders v000000, v000001, ... that were written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = sorted(f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
+    return [v for v in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{v}/_SUCCESS"))]
+
+
 def incremental_upsert(stream: DataFrame, key: str, version: str, failed: str, folder: str) -> DataFrame:
     """Fold a stream into one row per key: the latest successful version, attempts, and whether a failure stands.
 
-    Each batch is merged with the table so far (latest per key) and published as a new folder, so a
-    batch that runs again after a lost executor replaces its own output only.
+    Each batch is merged with the newest version published by an earlier batch and published as its own, so a
+    batch that runs again, in this run or after a restart on the same ``folder``, replaces its own output only and
+    counts no row twice. Versions older than the two newest are deleted.
     """
     spark = stream.sparkSession
-    state = {"path": None}
+    table = f"{folder}/table"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         own = batch.groupBy(key).agg(F.count("*").alias("attempts"), F.max(F.when(~F.col(failed), F.col(version))).alias("done_version"), F.max(version).alias("last_version"))
-        if state["path"]:
-            own = own.unionByName(spark.read.parquet(state["path"]))
+        path = f"{table}/v{batch_id:06d}"
+        before = [v for v in versions(spark, table) if v.rpartition("/")[2] < f"v{batch_id:06d}"]
+        if before:
+            own = own.unionByName(spark.read.parquet(before[-1]))
         out = own.groupBy(key).agg(F.sum("attempts").alias("attempts"), F.max("done_version").alias("done_version"), F.max("last_version").alias("last_version"))
-        path = f"{folder}/v{batch_id:06d}"
         out.write.mode("overwrite").parquet(path)
-        state["path"] = path
+        for old in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     finish(stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
-    out = spark.read.parquet(state["path"])
+    out = spark.read.parquet(versions(spark, table)[-1])
     return out.select(key, "attempts", "done_version", F.when(F.col("done_version").isNull(), "failed").otherwise("done").alias("status"))
 
 
-def streaming_continuity(stream: DataFrame, key: str, at: str, order: str, value: str, folder: str) -> DataFrame:
-    """Status of each row against the last position of its key: BASELINE, UP, DOWN, or NOT_TESTABLE_LATE_DISCLOSURE for a
-    row that is older than the position (which it can't overwrite). State: position and time, kept for good."""
+STATE = "position double, event_day int, splits double, row_id string"
+CHECKED = "owner_row_id string, factor double, expected double, difference double, status string"
+
+
+def streaming_continuity(rows: DataFrame, splits: DataFrame, folder: str, keys: list[str] = POSITION, tolerance: float = 1e-6) -> DataFrame:
+    """The balance check of ``operators.continuity`` over a stream of resolved rows: the same step, its position kept as state.
+
+    Rows of one batch are taken in the order of the batch check; batches must come in the order of availability. State
+    and output survive a restart on the same ``folder``. Returns all results published so far.
+    """
+    order = ["available_at", "accession", "event_day", "line_no", "owner_row_id"]
 
-    def step(k, pdfs, state):
-        last = state.get if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values(order, kind="stable")
+    def step(key, pdfs, state):
+        now = Position(*[None if pd.isna(v) else v for v in state.get]) if state.exists else None
+        batch = pd.concat(list(pdfs)).sort_values(order, na_position="last", kind="stable")
         out = []
-        for o, t, v in zip(rows[order], rows[at], rows[value]):
-            stamp = t.value // 1000
-            if last is None:
-                status, last = "BASELINE", (v, stamp)
-            elif stamp < last[1]:
-                status = "NOT_TESTABLE_LATE_DISCLOSURE"
-            else:
-                status, last = ("UP" if v >= last[0] else "DOWN"), (v, stamp)
-            out.append((k[0], o, status))
-        state.update(last)
-        yield pd.DataFrame(out, columns=[key, order, "status"])
-
-    known = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull()).select(key, order, at, value)
-    out = known.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, {order} long, status string", "position double, at long", "append", GroupStateTimeout.NoTimeout
-    )
+        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            now, found = continuity_step(now, row, tolerance)
+            out.append((row["owner_row_id"], *found))
+        if now is not None:
+            state.update(tuple(now))
+        yield pd.DataFrame(out, columns=["owner_row_id", "factor", "expected", "difference", "status"])
+
+    ready = with_splits(rows, splits).select(*keys, "available_at", "accession", "line_no", "event_day", "splits", *STEP_COLUMNS)
+    out = ready.groupBy(*keys).applyInPandasWithState(step, CHECKED, STATE, "append", GroupStateTimeout.NoTimeout)
     query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True)
     finish(query.start())
-    return stream.sparkSession.read.schema(f"{key} long, {order} long, status string").parquet(f"{folder}/out")
+    return rows.sparkSession.read.schema(CHECKED).parquet(f"{folder}/out")
 
 
 def trailing_actor_alerts(stream: DataFrame, group: str, at: str, actor: str, days: int, least: int, folder: str) -> DataFrame:
@@ -91,7 +108,15 @@ def st1(spark, d):
 
 
 def st2(spark, d):
-    return streaming_continuity(table_stream(spark, d, "events"), "user_id", "ts", "event_id", "value", scratch(spark, "st2"))
+    """Two runs on one folder, as if restarted: filings up to a day, then the others."""
+    from ..plans.continuity import resolved
+
+    rows, splits, folder = resolved(spark, d), fx(spark, d, "fx_splits"), scratch(spark, "st2")
+    day = F.lit("1998-06-30").cast("date")
+    for part in (F.col("available_at") <= day, ~F.coalesce(F.col("available_at") <= day, F.lit(False))):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        out = streaming_continuity(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), splits, folder)
+    return out.select("owner_row_id", *[F.round(c, 6).alias(c) for c in ("factor", "expected", "difference")], "status")
 
 
 def st4(spark, d):
