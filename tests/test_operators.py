@@ -12,7 +12,7 @@ from tidemark.functions import scalars, student
 from tidemark.operators import continuity as C
 from tidemark.operators import intervals, joins, paths, quality, quantiles, returns, selection, signals, stats, windows
 from tidemark.operators.calendar import business_days, next_session
-from tidemark.sources import files
+from tidemark.sources import files, lake
 from tidemark.streaming import jobs
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -317,3 +317,22 @@ def test_held_excess_states(spark):
     got = {r.event_id: (r.status, r.excess and round(r.excess, 9)) for r in paths.held_excess(ev, p, b, "security_id", "filing_date", "session_date", 3).collect()}
     gain = round(1.1**3 - 1, 9)
     assert got == {"ok": ("ok", gain), "same day": ("ok", gain), "wiped out": ("ok", -1.0), "past the data": ("calendar_right_censored", None), "none left": ("missing_entry_close", None), "unknown": ("missing_entry_close", None)}
+
+
+def test_lake_reads_changed_quarters_only(spark, tmp_path):
+    root, at = f"file://{tmp_path}/lake", f"file://{tmp_path}/manifest"
+    rows = [(i, "4" if i % 3 else "4/A", D(f"{2019 + i % 2}-0{1 + i % 9}-10")) for i in range(40)] + [(99, "4", None)]
+    lake.write_quarters(frame(spark, rows, "accession int, form string, filing_date date"), "filing_date", root)
+    plan = lake.scan_partitioned(spark, root, 2020, 2020, ["accession"])._jdf.queryExecution().executedPlan().toString()
+    filters = plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    assert "2020" in filters and lake.scan_partitioned(spark, root, 2020, 2020, ["accession"]).count() == 20
+    first, read = lake.update_manifest(spark, root, at, "form")
+    before = {(r.year, r.quarter, r.kind): (r.n, r.digest) for r in first.collect()}
+    assert sum(n for n, _ in before.values()) == 41 and (0, 0) in read and len(read) == 7
+    assert lake.update_manifest(spark, root, at, "form")[1] == []
+    lake.write_quarters(frame(spark, [(100, "4", D("2020-01-10"))], "accession int, form string, filing_date date"), "filing_date", root)
+    after, read = lake.update_manifest(spark, root, at, "form")
+    assert read == [(2020, 1)]
+    counts = {(r.quarter, r.kind): r.n for r in lake.quarter_counts(after).collect()}
+    assert counts["total", "4"] + counts["total", "4/A"] == 42 and counts["2020Q1", "4"] == sum(n for (y, q, k), (n, _) in before.items() if (y, q, k) == (2020, 1, "4")) + 1
+    assert lake.update_manifest(spark, root, at, "form")[1] == []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals
-from ..sources import files
+from ..sources import files, lake
 from ..sources.tables import scratch
 from ..streaming import jobs
 from .continuity import Q as Q8
@@ -19,6 +19,32 @@ def io3(s, d):
     return files.read_tsv(s, path, ["o_orderkey", "priority", "note"])
 
 
+def filings(s, d, until=None):
+    """A new lake of all submissions, or of those filed until a day."""
+    root = scratch(s, "lakes")
+    rows = fx(s, d, "fx_submissions").select("accession", "issuer_id", "owner_id", "form", "filing_date")
+    lake.write_quarters(rows if until is None else rows.where(F.col("filing_date") <= F.lit(until).cast("date")), "filing_date", root)
+    return root, rows
+
+
+def io1(s, d):
+    """Two years of a lake: the folders of the others aren't opened."""
+    root, _ = filings(s, d)
+    return lake.scan_partitioned(s, root, 1996, 1997, ["accession", "form", "filing_date"])
+
+
+def io6(s, d):
+    """The manifest of a lake that grows: a second run reads only the quarters that are new."""
+    day = "1999-12-31"
+    root, rows = filings(s, d, day)
+    first, seen = lake.update_manifest(s, root, f"{root}-manifest", "form")
+    lake.write_quarters(rows.where(F.col("filing_date") > F.lit(day).cast("date")), "filing_date", root)
+    manifest, again = lake.update_manifest(s, root, f"{root}-manifest", "form")
+    if set(seen) & set(again):
+        raise ValueError("an unchanged quarter was read again")
+    return lake.quarter_counts(manifest)
+
+
 def io8(s, d):
     t = fx(s, d, "fx_transactions").where("line_no = 1").select("accession", "issuer_id", "owner_id", "transaction_code", "shares")
     x = F.concat(
@@ -47,6 +73,9 @@ def io13(s, d):
 
 Q = {
     "io3_read_tsv": (io3, """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '' END AS priority, 'say "hi"' AS note FROM orders"""),
+    "io1_scan_partitioned": (io1, "SELECT accession, form, filing_date FROM fx_submissions WHERE year(filing_date) BETWEEN 1996 AND 1997"),
+    "io6_manifest": (io6, """WITH q AS (SELECT CAST(year(filing_date) AS VARCHAR) || 'Q' || quarter(filing_date) AS quarter, form AS kind FROM fx_submissions)
+        SELECT coalesce(quarter, 'total') AS quarter, kind, count(*) AS n FROM q GROUP BY GROUPING SETS ((quarter, kind), (kind))"""),
     "io8_bulk_parse_xml": (io8, "SELECT accession, 'ok' AS parse_status, '4' AS form, CAST(regexp_extract(issuer_id, '([0-9]+)', 1) AS BIGINT) AS issuer_cik, owner_id AS owner_cik, transaction_code, round(shares, 6) AS shares FROM fx_transactions WHERE line_no = 1"),
     "io11_sgml_header_fields": (io11, "SELECT CAST(o_orderkey AS VARCHAR) AS accession, '4' AS form, o_custkey || ',77' AS owners FROM orders"),
     "io13_write_validated": (io13, "SELECT 'intervals' AS table_name, count(*) AS n_rows FROM fx_intervals UNION ALL SELECT 'issuers', count(DISTINCT issuer_id) FROM fx_intervals"),

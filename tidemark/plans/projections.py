@@ -128,12 +128,6 @@ def io12(s, d):
     return p.select("page_id", "sha", "host", (F.row_number().over(w) == 1).alias("is_latest"))
 
 
-def io6(s, d):
-    t = tx(s, d).select(F.concat(F.year("filing_date"), F.lit("Q"), F.quarter("filing_date")).alias("quarter"), "transaction_code")
-    g = t.groupingSets([["quarter", "transaction_code"], ["transaction_code"]], "quarter", "transaction_code").agg(F.count("*").alias("n"))
-    return g.select(F.coalesce("quarter", F.lit("total")).alias("quarter"), "transaction_code", "n")
-
-
 def io7(s, d):
     o = T(s, d, "orders")
     line = F.when(F.col("o_orderkey") % 11 == 0, "broken line").otherwise(F.concat_ws("|", "o_custkey", F.lit("NAME INC"), F.lit("4"), F.col("o_orderdate").cast("date"), F.concat(F.lit("edgar/data/"), "o_custkey", F.lit("/"), "o_orderkey", F.lit(".txt"))))
@@ -151,17 +145,9 @@ def io2(s, d):
     return x.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("p_brand").alias("security"), "day", r6(F.col("l_extendedprice"), "price"))
 
 
-def io1(s, d):
-    o = T(s, d, "orders").where(F.col("o_orderdate").between("1996-01-01", "1997-12-31"))
-    return o.groupBy(F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter")).agg(F.count("*").alias("n"))
-
-
 Q = {
-    "io1_scan_partitioned": (io1, "SELECT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, count(*) AS n FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1997-12-31' GROUP BY 1, 2"),
     "io2_scan_yearly_panel": (io2, """SELECT p_brand AS security, CAST(l_shipdate AS DATE) AS day, round(l_extendedprice, 6) AS price FROM lineitem JOIN part ON l_partkey = p_partkey
         WHERE p_size <= 10 AND l_shipdate < '2000-01-01' QUALIFY row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_quantity DESC) = 1"""),
-    "io6_manifest": (io6, """WITH q AS (SELECT CAST(year(filing_date) AS VARCHAR) || 'Q' || quarter(filing_date) AS quarter, transaction_code FROM fx_transactions)
-        SELECT coalesce(quarter, 'total') AS quarter, transaction_code, count(*) AS n FROM q GROUP BY GROUPING SETS ((quarter, transaction_code), (transaction_code))"""),
     "io7_parse_master_index": (io7, """SELECT o_custkey AS cik, '4' AS form, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderkey % 11 <> 0
         QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_orderdate) = 1"""),
     "io10_detect_format": (io10, """SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty' WHEN h LIKE '%<ownershipdocument%' THEN 'ownership_xml' WHEN h LIKE '%<xml%' THEN 'xml_wrapper'
@@ -176,7 +162,7 @@ Q = {
     "p7_trade_value": (p7, "SELECT DISTINCT accession, line_no, round(shares * price, 6) AS trade_value, CASE transaction_code WHEN 'P' THEN 1 WHEN 'S' THEN -1 END AS side, accession || ':' || line_no AS row_key, is_amendment FROM fx_transactions"),
     "p8_assign_row_ids": (p8, """SELECT accession, line_no, e AS economic_id, sha256(e || '|' || owner_id) AS owner_row_id FROM (SELECT DISTINCT accession, line_no, owner_id, sha256(accession || '|nonderiv|' || line_no) AS e FROM fx_transactions)"""),
     "p9_event_date_fallback": (p9, "SELECT accession, line_no, transaction_date, CASE WHEN line_no % 3 <> 0 THEN transaction_date ELSE filing_date END AS event_date FROM (SELECT DISTINCT accession, line_no, transaction_date, filing_date FROM fx_transactions)"),
-    "p10_available_at": (p10, None),
+    "p10_available_at": (p10, "SELECT o_orderkey, epoch_us((CAST(o_orderdate AS DATE) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND) AT TIME ZONE 'America/New_York') AS available_us FROM orders"),
     "p11_eligible_filings": (p11, """SELECT accession, line_no, issuer_id, owner_id, filing_date, transaction_date, transaction_code, round(shares, 6) AS shares FROM fx_transactions
         WHERE NOT is_amendment AND transaction_code IN ('P', 'S') AND filing_date BETWEEN '1996-01-01' AND '1999-12-31'
         QUALIFY row_number() OVER (PARTITION BY accession, line_no ORDER BY transaction_date DESC, shares DESC, price DESC, issuer_id, owner_id, transaction_code) = 1"""),
