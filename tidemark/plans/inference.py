@@ -102,8 +102,8 @@ def s5(s, d):
     return x.select("horizon", "n", "n0", *[r6(F.col(c), c) for c in ("intercept", "se", "t", "slope_1", "slope_2")], "source", "status")
 
 
-S5_SQL = f"""WITH {X}, pc AS (SELECT security_id, session_no, close FROM fx_daily WHERE close > 0),
-w AS MATERIALIZED (SELECT x.*, a.close / b.close - 1 AS near, b.close / c.close - 1 AS far FROM x JOIN pc a ON a.security_id = x.security_id AND a.session_no = entry_no - 1 JOIN pc b ON b.security_id = x.security_id AND b.session_no = entry_no - 5 JOIN pc c ON c.security_id = x.security_id AND c.session_no = entry_no - 25),
+S5_SQL = f"""WITH {X}, xm AS MATERIALIZED (SELECT * FROM x), pc AS MATERIALIZED (SELECT security_id || ':' || session_no AS k, close FROM fx_daily WHERE close > 0),
+w AS MATERIALIZED (SELECT x.*, a.close / b.close - 1 AS near, b.close / c.close - 1 AS far FROM xm x JOIN pc a ON a.k = x.security_id || ':' || (entry_no - 1) JOIN pc b ON b.k = x.security_id || ':' || (entry_no - 5) JOIN pc c ON c.k = x.security_id || ':' || (entry_no - 25)),
 ce AS (SELECT horizon, avg(near) AS cn, avg(far) AS cf, count(*) AS n0 FROM w WHERE arm = 0 GROUP BY 1),
 v AS MATERIALIZED (SELECT w.horizon, security_id, quarter, y, near - cn AS x, far - cf AS z FROM w JOIN ce USING (horizon) WHERE arm = 1),
 mo AS MATERIALIZED (SELECT horizon, count(*) AS k, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS sxx, covar_pop(x, z) AS sxz, covar_pop(z, z) AS szz, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy FROM v GROUP BY 1),
