@@ -240,9 +240,19 @@ def test_parsers(spark):
     rows = files.parse_ownership(docs).collect()
     assert sorted((r.line_no, r.owner_cik, float(r.shares)) for r in rows if r.id == 1) == [(i, o, i + 1.5) for i in range(3) for o in (7, 8)]
     assert {r.id: r.parse_status for r in rows} == {1: "ok", 2: "error", 3: "empty", 4: "empty", 5: "no_rows"}
-    sale = "<x><issuerInfo><issuerCik>5</issuerCik></issuerInfo>" + "".join(f"<securitiesInformation><securitiesClassTitle>c{i}</securitiesClassTitle><planAdoptionDate>a</planAdoptionDate><planAdoptionDate>b</planAdoptionDate></securitiesInformation>" for i in (1, 2)) + "</x>"
-    got = files.parse_proposed_sales(frame(spark, [(1, sale)], "id int, xml string")).orderBy("block_no").collect()
-    assert [(r.title, r.plan_dates, r.issuer_cik) for r in got] == [("c1", "a|b", 5), ("c2", "a|b", 5)]
+    sale = """<?xml version='1.0'?><edgarSubmission><formData><issuerInfo>
+      <issuerCik>0000001234</issuerCik><issuerName>Example Bio</issuerName>
+      <nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold>Jane Doe</nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold>
+      <relationshipsToIssuer><relationshipToIssuer>Officer</relationshipToIssuer></relationshipsToIssuer>
+      </issuerInfo><securitiesInformation><securitiesClassTitle>Common Stock</securitiesClassTitle>
+      <noOfUnitsSold>1200</noOfUnitsSold><aggregateMarketValue>60000</aggregateMarketValue>
+      <approxSaleDate>05/15/2024</approxSaleDate><brokerOrMarketmakerDetails><name>Broker LLC</name></brokerOrMarketmakerDetails>
+      </securitiesInformation><is10b5OnePlan>true</is10b5OnePlan><dateOfAdoptionOfTradingPlan>01/02/2024</dateOfAdoptionOfTradingPlan>
+      </formData></edgarSubmission>"""
+    got = files.parse_proposed_sales(frame(spark, [(1, sale), (2, None), (3, "<other/>")], "id int, xml string")).orderBy("id").collect()
+    assert (got[0].issuer_cik, got[0].filer, got[0].units, got[0].market_value, got[0].sale_date, got[0].broker) == (1234, "Jane Doe", 1200, 60000, D("2024-05-15"), "Broker LLC")
+    assert got[0].plan_10b5_1 == "is10b5OnePlan=true | dateOfAdoptionOfTradingPlan=01/02/2024" and got[0].relationship_to_issuer == "Officer"
+    assert [r.parse_status for r in got] == ["ok", "empty", "error"]
     text = "<ACCEPTANCE-DATETIME>20210705170000\nACCESSION NUMBER: 1-2-3\nREPORTING-OWNER:\nCENTRAL INDEX KEY: 0009"
     f = files.sgml_header_fields(F.lit(text))
     r = spark.range(1).select(*[v.alias(k) for k, v in f.items()]).first()

@@ -45,17 +45,81 @@ def io6(s, d):
     return lake.quarter_counts(manifest)
 
 
+def el(name: str, *inside):
+    return F.concat(F.lit(f"<{name}>"), *[F.lit(i) if isinstance(i, str) else i.cast("string") for i in inside], F.lit(f"</{name}>"))
+
+
+def ownership_documents(s, d):
+    """A document per filing, of all its lines and owners; some are empty, cut off, without owners or without lines."""
+    v = lambda name, *c: el(name, el("value", *c))
+    odd = F.col("accession") % 17
+    line = lambda tag: el(
+        tag, v("securityTitle", F.when(F.col("tab") == "derivative", "Option &amp; Warrant").otherwise("Common Stock")),
+        F.when(F.col("row_kind") == "transaction", F.concat(
+            el("transactionDate", el("value", F.coalesce(F.col("trans_date").cast("string"), F.lit("n/a"))), F.when(odd == 5, '<footnoteId id="F1"/><footnoteId id="F9"/>').otherwise("")), el("transactionCoding", el("transactionCode", F.col("trans_code"))),
+            el("transactionAmounts", v("transactionShares", F.col("shares")), v("transactionAcquiredDisposedCode", F.col("side"))),
+        )).otherwise(""),
+        el("postTransactionAmounts", el("sharesOwnedFollowingTransaction", el("value", F.col("balance")), F.when(odd == 5, "<footnoteId id='F2'/>").otherwise(""))),
+    )
+    tags = {(t, k): f"{p}{k.capitalize()}" for t, p in (("non_derivative", "nonDerivative"), ("derivative", "derivative")) for k in ("transaction", "holding")}
+    node = F.coalesce(*[F.when((F.col("tab") == t) & (F.col("row_kind") == k), line(tag)) for (t, k), tag in tags.items()])
+    lines = fx(s, d, "fx_lines").select("accession", "line_no", "tab", node.alias("node")).groupBy("accession").agg(F.sort_array(F.collect_list(F.struct("line_no", "tab", "node"))).alias("l"))
+    owner = el("reportingOwner", el("reportingOwnerId", el("rptOwnerCik", F.col("owner_cik"))), el("reportingOwnerRelationship", el("isDirector", F.when(F.col("owner_cik") % 2 == 0, "true").otherwise("0")), el("isOfficer", F.when(F.col("owner_cik") % 3 == 0, "1").otherwise(""))))
+    owners = fx(s, d, "fx_owners").groupBy("accession").agg(F.array_join(F.sort_array(F.collect_list(owner)), "").alias("owners"))
+    part = lambda t: F.array_join(F.transform(F.filter("l", lambda x: x["tab"] == t), lambda x: x["node"]), "")
+    whole = el(
+        "ownershipDocument", el("documentType", F.col("form")), el("issuer", el("issuerCik", F.regexp_extract("issuer_id", "([0-9]+)", 1))), F.when(odd == 3, "").otherwise(F.col("owners")),
+        F.when(odd == 4, "").otherwise(F.concat(el("nonDerivativeTable", part("non_derivative")), el("derivativeTable", part("derivative")))),
+        "<footnotes><footnote id='F2'>second\n note</footnote><footnote id='F1'>first &lt;note&gt;</footnote></footnotes>",
+    )
+    text = F.when(odd == 1, "").when(odd == 2, F.substring(whole, 1, 60)).otherwise(whole)
+    return fx(s, d, "fx_submissions").join(lines, "accession").join(owners, "accession").select("accession", text.alias("xml"))
+
+
 def io8(s, d):
-    t = fx(s, d, "fx_transactions").where("line_no = 1").select("accession", "issuer_id", "owner_id", "transaction_code", "shares")
-    x = F.concat(
-        F.lit("<ownershipDocument><documentType>4</documentType><issuer><issuerCik>"), F.regexp_extract("issuer_id", "([0-9]+)", 1),
-        F.lit("</issuerCik></issuer><reportingOwner><reportingOwnerId><rptOwnerCik>"), "owner_id",
-        F.lit("</rptOwnerCik></reportingOwnerId></reportingOwner><nonDerivativeTable><nonDerivativeTransaction><transactionCoding><transactionCode>"), "transaction_code",
-        F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), "shares",
-        F.lit("</value></transactionShares></transactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"),
+    p = files.parse_ownership(ownership_documents(s, d))
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return p.select(
+        "accession", "parse_status", "row_kind", F.col("table").alias("table_name"), "form", "issuer_cik", "owner_cik", "owner_attribution_status", "is_director", "is_officer", "security_title", "transaction_date", "transaction_code", "acquired_disposed",
+        number("shares"), number("shares_owned_following"), "footnote_ids", "footnotes",
     )
-    p = files.parse_ownership(t.select("accession", x.alias("xml")))
-    return p.select("accession", "parse_status", "form", "issuer_cik", "owner_cik", "transaction_code", F.round(F.col("shares").cast("double"), 6).alias("shares"))
+
+
+IO8_SQL = """WITH b AS (SELECT s.accession, s.form, accession % 17 AS odd, CAST(regexp_extract(issuer_id, '([0-9]+)', 1) AS BIGINT) AS issuer_cik FROM fx_submissions s WHERE accession IN (SELECT accession FROM fx_lines)),
+o AS (SELECT b.*, owner_cik, k FROM b LEFT JOIN (SELECT accession, owner_cik, count(*) OVER (PARTITION BY accession) AS k FROM fx_owners) w ON w.accession = b.accession AND odd NOT IN (1, 2, 3)),
+g AS (SELECT *, odd IN (1, 2) AS gone, CASE odd WHEN 1 THEN 'empty' WHEN 2 THEN 'error' WHEN 4 THEN 'no_rows' ELSE 'ok' END AS parse_status FROM o)
+SELECT g.accession, parse_status, coalesce(row_kind, 'no_rows') AS row_kind, tab AS table_name, CASE WHEN NOT gone THEN g.form END AS form, CASE WHEN NOT gone THEN issuer_cik END AS issuer_cik, owner_cik,
+  CASE WHEN k = 1 THEN 'single_owner' WHEN k > 1 THEN 'joint_owner_unallocated' ELSE 'unknown_owner' END AS owner_attribution_status, coalesce(owner_cik % 2 = 0, FALSE) AS is_director, coalesce(owner_cik % 3 = 0, FALSE) AS is_officer,
+  CASE tab WHEN 'derivative' THEN 'Option & Warrant' WHEN 'non_derivative' THEN 'Common Stock' END AS security_title, CASE WHEN row_kind = 'transaction' THEN trans_date END AS transaction_date,
+  CASE WHEN row_kind = 'transaction' THEN trans_code END AS transaction_code, CASE WHEN row_kind = 'transaction' THEN side END AS acquired_disposed, round(CASE WHEN row_kind = 'transaction' THEN shares END, 6) AS shares, round(balance, 6) AS shares_owned_following,
+  CASE WHEN odd <> 5 OR row_kind IS NULL THEN '' WHEN row_kind = 'transaction' THEN 'F1|F9|F2' ELSE 'F2' END AS footnote_ids, CASE WHEN odd <> 5 OR row_kind IS NULL THEN '' WHEN row_kind = 'transaction' THEN 'first <note> | second note' ELSE 'second note' END AS footnotes
+FROM g LEFT JOIN fx_lines l ON l.accession = g.accession AND odd NOT IN (1, 2, 4)"""
+
+
+def io9(s, d):
+    """Proposed sales: a block per sale of each filing; some documents stand in other text, some have no block, some plans."""
+    odd = F.col("accession") % 7
+    block = el(
+        "securitiesInformation", el("securitiesClassTitle", "Common"), el("noOfUnitsSold", F.col("shares")), el("aggregateMarketValue", F.col("shares") * 10), el("approxSaleDate", F.date_format("filing_date", "MM/dd/yyyy")),
+        el("brokerOrMarketmakerDetails", el("name", F.concat(F.lit("Broker "), F.col("line_no").cast("string")))),
+    )
+    sales = fx(s, d, "fx_lines").where("trans_code = 'S'").groupBy("accession").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", block.alias("b")))), lambda x: x["b"]), "").alias("blocks"))
+    info = el("issuerInfo", el("issuerCik", F.regexp_extract("issuer_id", "([0-9]+)", 1)), el("issuerName", "Bio &amp; Co"), el("nameOfPersonForWhoseAccountTheSecuritiesAreToBeSold", F.concat(F.lit("Owner "), F.col("owner_id").cast("string"))), "<relationshipsToIssuer><relationshipToIssuer>Officer</relationshipToIssuer><relationshipToIssuer>Director</relationshipToIssuer></relationshipsToIssuer>")
+    plan = F.when(odd == 3, "<is10b5OnePlan>true</is10b5OnePlan><planAdoptionDate>a</planAdoptionDate><planAdoptionDate>b</planAdoptionDate><planAdoptionDate>a</planAdoptionDate>").otherwise("")
+    whole = el("edgarSubmission", el("formData", info, F.coalesce(F.when(odd != 4, F.col("blocks")), F.lit("")), plan))
+    text = F.when(odd == 1, F.concat(F.lit("<SEC-DOCUMENT> header\n<XML>"), whole, F.lit("</XML> trailer"))).when(odd == 2, "no form").when(odd == 5, "").otherwise(whole)
+    docs = fx(s, d, "fx_submissions").join(sales, "accession").select("accession", text.alias("xml"))
+    p = files.parse_proposed_sales(docs)
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return p.select("accession", "parse_status", F.col("block_no").cast("long").alias("block_no"), "issuer_cik", "issuer_name", "filer", "relationship_to_issuer", "title", number("units"), number("market_value"), "sale_date", "broker", "plan_10b5_1")
+
+
+IO9_SQL = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY line_no) - 1 AS block_no FROM fx_lines WHERE trans_code = 'S'),
+b AS (SELECT accession, accession % 7 AS odd, accession % 7 IN (2, 5) AS gone, issuer_id, owner_id, filing_date FROM fx_submissions WHERE accession IN (SELECT accession FROM l))
+SELECT b.accession, CASE odd WHEN 2 THEN 'error' WHEN 5 THEN 'empty' WHEN 4 THEN 'no_rows' ELSE 'ok' END AS parse_status, block_no, CASE WHEN NOT gone THEN CAST(regexp_extract(issuer_id, '([0-9]+)', 1) AS BIGINT) END AS issuer_cik,
+  CASE WHEN NOT gone THEN 'Bio & Co' END AS issuer_name, CASE WHEN NOT gone THEN 'Owner ' || owner_id END AS filer, CASE WHEN gone THEN '' ELSE 'Officer | Director' END AS relationship_to_issuer, CASE WHEN block_no IS NOT NULL THEN 'Common' END AS title,
+  round(shares, 6) AS units, round(shares * 10, 6) AS market_value, CASE WHEN block_no IS NOT NULL THEN b.filing_date END AS sale_date, 'Broker ' || line_no AS broker, CASE odd WHEN 3 THEN 'is10b5OnePlan=true | planAdoptionDate=a | planAdoptionDate=b' ELSE '' END AS plan_10b5_1
+FROM b LEFT JOIN l ON l.accession = b.accession AND odd NOT IN (2, 4, 5)"""
 
 
 def io11(s, d):
@@ -76,7 +140,8 @@ Q = {
     "io1_scan_partitioned": (io1, "SELECT accession, form, filing_date FROM fx_submissions WHERE year(filing_date) BETWEEN 1996 AND 1997"),
     "io6_manifest": (io6, """WITH q AS (SELECT CAST(year(filing_date) AS VARCHAR) || 'Q' || quarter(filing_date) AS quarter, form AS kind FROM fx_submissions)
         SELECT coalesce(quarter, 'total') AS quarter, kind, count(*) AS n FROM q GROUP BY GROUPING SETS ((quarter, kind), (kind))"""),
-    "io8_bulk_parse_xml": (io8, "SELECT accession, 'ok' AS parse_status, '4' AS form, CAST(regexp_extract(issuer_id, '([0-9]+)', 1) AS BIGINT) AS issuer_cik, owner_id AS owner_cik, transaction_code, round(shares, 6) AS shares FROM fx_transactions WHERE line_no = 1"),
+    "io8_bulk_parse_xml": (io8, IO8_SQL),
+    "io9_bulk_parse_proposed_sales": (io9, IO9_SQL),
     "io11_sgml_header_fields": (io11, "SELECT CAST(o_orderkey AS VARCHAR) AS accession, '4' AS form, o_custkey || ',77' AS owners FROM orders"),
     "io13_write_validated": (io13, "SELECT 'intervals' AS table_name, count(*) AS n_rows FROM fx_intervals UNION ALL SELECT 'issuers', count(DISTINCT issuer_id) FROM fx_intervals"),
     "st1_incremental_upsert": (jobs.st1, "SELECT user_id, count(*) AS attempts, max(event_id) FILTER (WHERE event_type <> 'error') AS done_version, CASE WHEN max(event_id) FILTER (WHERE event_type <> 'error') IS NULL THEN 'failed' ELSE 'done' END AS status FROM events GROUP BY 1"),
