@@ -37,6 +37,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, leaf):
     assert top_k(frame.where("vec_id < 0"), frame, 3).collect() == [] and top_k(frame, frame.where("vec_id < 0"), 3).collect() == []
 
 
+def test_queries_visit_only_balls_that_can_matter(spark, monkeypatch):
+    """Clusters far apart, one vector repeated in a third of the rows: all found, and few shards asked."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    r = np.random.default_rng(2)
+    rows = [(i, (np.eye(12)[i % 12] * 4 + r.normal(0, 0.02, 12)).round(3).tolist()) for i in range(1200)]
+    rows += [(5000 + i, (np.eye(12)[3] * 4).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = []
+    real = topk.written
+    monkeypatch.setattr(topk, "written", lambda df: asked.append(real(df)) or asked[-1])
+    got = top_k(frame, frame.where("vec_id % 100 = 0 AND vec_id < 1200"), 5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, [x for x in rows if x[0] % 100 == 0 and x[0] < 1200], 5)
+    pairs = sum(a.count() for a in asked if "floor" in a.columns)
+    shards = max(a.agg({"shard": "max"}).first()[0] or 0 for a in asked if "shard" in a.columns) + 1
+    assert shards >= 30 and pairs < 12 * shards / 2
+
+
 def test_scores_beyond_long_are_cut(spark):
     rows = [(i, [1e12 * s, 1.0]) for i, s in enumerate([1, 2, 3, -1, -2])] + [(9, [1.8e305, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -1,15 +1,15 @@
 """Exact top-k by inner product: ball-tree branch and bound in shards.
 
-Vectors are dealt to shards by a hash of their id; a task builds one ball tree over its shard and
-streams all queries past it, visiting nodes by falling upper bound q.c + |q| r and stopping where the
-bound falls below the k-th score so far. Shards are searched in rounds, each of some times as many as
-before it: a round starts from the k-th scores of all rounds before, and so skips most of its nodes.
+Vectors are dealt to shards by the top levels of one ball tree, built on a sample: a shard is a ball too, with its
+radius over all its vectors. A task builds the lower levels over its shard and streams queries past
+them, visiting nodes by falling upper bound q.c + |q| r and stopping where the bound falls below the k-th
+score so far. Every query begins in the shard of the highest bound; later rounds start from the k-th
+scores of all rounds before and send a query only to shards whose bound reaches its own.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 SHARD_ROWS = 16_384
 LEAF = 128
-ROUNDS = (1 / 16, 1 / 4, 1.0)
-"""Shares of all shards that are done after each round."""
+ROUNDS = (1, 8, None)
+"""How many of its best balls a query may have visited after each round; at last all that its k-th score doesn't rule out."""
+SAMPLE_PER_BALL = 64
+SAMPLE_VALUES = 1 << 22
+"""Components of sampled vectors on the driver at most. The sample decides where balls lie, never what is found."""
 EXACT = 2.0**53
 LONG = 2**63 - 1
 
@@ -58,6 +61,81 @@ class BallTree:
         return b + 1e-9 * np.abs(b) + 1e-6
 
 
+class Balls:
+    """The top levels: the largest part of a sample is split at the mean of its widest component, which falls between
+    clusters, until there are as many leaves as asked for."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.splits: list[tuple[int, float, int, int] | None] = [None]
+        parts = [(0, np.arange(len(sample)))]
+        while len(parts) < leaves:
+            at = max(range(len(parts)), key=lambda i: len(parts[i][1]))
+            node, rows = parts[at]
+            own = sample[rows]
+            spread = own.max(axis=0) - own.min(axis=0) if len(own) > 1 else np.zeros(1)
+            if not (np.isfinite(spread).all() and spread.any()):
+                break  # nothing left to tell apart
+            d = int(spread.argmax())
+            cut = float(own[:, d].mean())
+            low = own[:, d] <= cut
+            if low.all():
+                low = own[:, d] < cut
+                cut = float(own[low, d].max())
+            left, right = len(self.splits), len(self.splits) + 1
+            self.splits[node] = (d, cut, left, right)
+            self.splits += [None, None]
+            parts[at : at + 1] = [(left, rows[low]), (right, rows[~low])]
+        self.leaf = {node: i for i, (node, _) in enumerate(parts)}
+        self.centers = np.stack([sample[rows].mean(axis=0) if len(rows) else np.zeros(sample.shape[1]) for _, rows in parts])
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        out, stack = np.zeros(len(points), np.int32), [(0, np.arange(len(points)))]
+        while stack:
+            node, rows = stack.pop()
+            if self.splits[node] is None:
+                out[rows] = self.leaf[node]
+            elif len(rows):
+                d, cut, left, right = self.splits[node]
+                low = points[rows, d] <= cut
+                stack += [(left, rows[low]), (right, rows[~low])]
+        return out
+
+    def distances(self, points: np.ndarray, ball: np.ndarray) -> np.ndarray:
+        return np.sqrt(((points - self.centers[ball]) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
+
+
+def placed(batches: Iterator[pa.RecordBatch], width: int, balls: Balls) -> Iterator[pa.RecordBatch]:
+    """Ball of each vector and its distance from the centre."""
+    for batch in batches:
+        points = matrix(batch.column(1), width)
+        with np.errstate(all="ignore"):
+            ball = balls.of(points)
+            far = balls.distances(points, ball)
+        columns = [batch.column(0), batch.column(1), pa.array(ball), pa.array(np.where(np.isnan(far), np.inf, far))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "ball", "far"])
+
+
+def visits(batches: Iterator[pa.RecordBatch], width: int, balls: Balls, radii: np.ndarray, held: list[range], a: int, b: int | None) -> Iterator[pa.RecordBatch]:
+    """(shard, id, v, floor): the a-th to b-th best balls of each query, of those whose bound reaches its k-th score."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            queries = matrix(part.column(1), width)
+            with np.errstate(all="ignore"):
+                bound = queries @ balls.centers.T + np.sqrt((queries**2).sum(axis=1))[:, None] * radii
+                bound = np.nan_to_num(bound + 1e-9 * np.abs(bound) + 1e-6, nan=np.inf, posinf=np.inf)
+            bound = np.maximum(bound, -float(LONG))  # scores stop there
+            order = np.argsort(-bound, axis=1, kind="stable")[:, a:b]
+            row, shard = [], []
+            for i, floor in enumerate(part.column(2).to_pylist()):
+                for c in order[i].tolist():
+                    if floor is not None and bound[i, c] < floor:
+                        break
+                    row += [i] * len(held[c])
+                    shard += held[c]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.take(pa.array(row, pa.int64())).columns], names=["shard", "id", "v", "floor"])
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Integer components floor(1024 x) as doubles, one row a vector, missing trailing components 0."""
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -150,28 +228,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
     n, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     wide = asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    shards, width = -(-n // SHARD_ROWS) or 1, max(width, wide, 1)
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int"))
+    width, leaves = max(width, wide, 1), -(-n // SHARD_ROWS) or 1
+    if leaves > 1:
+        some = min(SAMPLE_PER_BALL * leaves, max(2 * leaves, SAMPLE_VALUES // width))
+        sample = points.orderBy(F.xxhash64("id"), "id", "v").limit(some).select("v").toArrow()
+        balls = Balls(matrix(sample.column("v").combine_chunks(), width), leaves)
+    else:
+        balls = Balls(np.zeros((1, width)), 1)
+    kind = "array<double>"
+    dealt = written(points.mapInArrow(lambda rows: placed(rows, width, balls), f"id long, v {kind}, ball int, far double"))
+    found_balls = {r.ball: (r.n, r.far) for r in dealt.groupBy("ball").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a ball
+    # a ball of very many vectors, as of copies of one, is several shards
+    radii, held, shards, rows = np.full(len(balls.centers), -np.inf), [], 0, []
+    for i in range(len(balls.centers)):
+        count, radius = found_balls.get(i, (0, -np.inf))
+        parts = -(-count // SHARD_ROWS)
+        radii[i] = radius
+        held.append(range(shards, shards + parts))
+        rows.append((i, shards, max(parts, 1)))
+        shards += parts
+    seats = points.sparkSession.createDataFrame(rows, "ball int, first int, parts int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts"))).cast("int")
+    dealt = dealt.join(small(seats, len(rows)), "ball").select(shard.alias("shard"), "id", "v")
 
-    def answers(a: int, b: int, floor: DataFrame) -> DataFrame:
-        held = dealt.where(F.col("shard").between(a, b - 1)).select("shard", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("long").alias("floor"))
-        ask = asked.join(floor, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(a), F.lit(b - 1))))
-        rows = held.unionByName(ask.select("shard", F.lit(1).alias("kind"), "id", "v", "floor"))
-        rows = rows.repartition(b - a, "shard").sortWithinPartitions("shard", "kind")
-        return rows.mapInArrow(lambda batches: answered(batches, width, k), "query_id long, vec_id long, score long")
+    def answers(a: int, b: int | None, floor: DataFrame) -> DataFrame:
+        ask = asked.join(floor, "id", "left").select("id", "v", "floor")
+        ask = written(ask.mapInArrow(lambda rows: visits(rows, width, balls, radii, held, a, b), f"shard int, id long, v {kind}, floor long"))
+        visited = ask.select("shard").distinct()
+        own = dealt.join(small(visited), "shard", "left_semi").select("shard", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("long").alias("floor"))
+        both = own.unionByName(ask.select("shard", F.lit(1).alias("kind"), "id", "v", "floor"))
+        both = both.repartitionById(max(shards, 1), "shard").sortWithinPartitions("shard", "kind")  # the shard's number is its partition
+        return written(both.mapInArrow(lambda batches: answered(batches, width, k), "query_id long, vec_id long, score long"))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ends = sorted({math.ceil(share * shards) for share in ROUNDS})
-    found = None
-    for a, b in zip([0, *ends], ends):
+    found, before = None, 0
+    for upto in ROUNDS:
         if found is None:
             floor = asked.select("id", F.lit(None).cast("long").alias("floor")).limit(0)
         else:  # the k-th best so far
-            placed = found.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
-            floor = placed.select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-        more = answers(a, b, floor)
-        more = more if b == shards else written(more)
+            ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+            floor = ranked.select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        more = answers(before, upto, floor)
         found = more if found is None else found.union(more)
+        if upto is None or upto >= len(balls.centers):
+            break
+        before = upto
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
