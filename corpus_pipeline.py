@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, table, unused, written
+from tidemark.llm.common import discard, small, table, unused, written
 from tidemark.llm.jaccard import near_duplicates, text_digest
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import packed_documents
@@ -99,10 +99,13 @@ ORACLE_SQL = None  # a trained classifier, balanced sampling and a tokenizer: te
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``: the token pieces of what is kept."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over ``documents``: the token pieces of what is kept. A stage's table goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
