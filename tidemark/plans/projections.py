@@ -139,15 +139,16 @@ def io7(s, d):
 
 
 def io2(s, d):
+    """The last row of each security and day; the panel's years are pruned by the date filter."""
     w = Window.partitionBy("p_brand", "day").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("l_partkey"), F.desc("l_quantity"))
-    x = T(s, d, "lineitem").join(F.broadcast(T(s, d, "part").where("p_size <= 10").select("p_partkey", "p_brand")), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.withColumn("day", F.col("l_shipdate").cast("date")).where("day < DATE'2000-01-01'")
+    lines = T(s, d, "lineitem").where("l_shipdate < TIMESTAMP'2000-01-01'")
+    x = lines.join(T(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("day", F.col("l_shipdate").cast("date"))
     return x.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("p_brand").alias("security"), "day", r6(F.col("l_extendedprice"), "price"))
 
 
 Q = {
     "io2_scan_yearly_panel": (io2, """SELECT p_brand AS security, CAST(l_shipdate AS DATE) AS day, round(l_extendedprice, 6) AS price FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE p_size <= 10 AND l_shipdate < '2000-01-01' QUALIFY row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_quantity DESC) = 1"""),
+        WHERE l_shipdate < '2000-01-01' QUALIFY row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_quantity DESC) = 1"""),
     "io7_parse_master_index": (io7, """SELECT o_custkey AS cik, '4' AS form, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderkey % 11 <> 0
         QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_orderdate) = 1"""),
     "io10_detect_format": (io10, """SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty' WHEN h LIKE '%<ownershipdocument%' THEN 'ownership_xml' WHEN h LIKE '%<xml%' THEN 'xml_wrapper'

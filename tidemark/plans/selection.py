@@ -8,7 +8,7 @@ from ..operators import returns, selection, windows
 from ..sources.tables import stored
 from .fixtures import fx, with_views
 from .student_sql import p_sql
-from .study import E1_SQL, events
+from .study import at_horizons, events
 
 GRID_HORIZONS = [1, 2, 3, 5, 8, 13, 21]
 WINDOWS, LEAST = (7, 14), (2, 3)
@@ -59,7 +59,7 @@ fit_{stage} AS MATERIALIZED (SELECT *, CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2
 
 
 _SHOWN = "w, k, horizon, est, n, issuers, quarters, source, df, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 6) AS t, round(p, 6) AS p, round(p_one, 6) AS p_one"
-E21_SQL = f"""WITH RECURSIVE {E1_SQL.replace("(VALUES (1), (2), (3), (5)) h(h)", "(VALUES " + ", ".join(f"({h})" for h in GRID_HORIZONS) + ") h(h)")},
+E21_SQL = f"""WITH RECURSIVE {at_horizons(GRID_HORIZONS)},
 bu AS (SELECT DISTINCT issuer_id, filing_date, owner_id FROM fx_transactions WHERE transaction_code = 'P' AND NOT is_amendment),
 bw AS (SELECT a.issuer_id, a.filing_date, count(DISTINCT b.owner_id) FILTER (WHERE b.filing_date >= a.filing_date - 6) AS b7, count(DISTINCT b.owner_id) AS b14
   FROM (SELECT DISTINCT issuer_id, filing_date FROM bu) a JOIN bu b ON b.issuer_id = a.issuer_id AND b.filing_date BETWEEN a.filing_date - 13 AND a.filing_date GROUP BY 1, 2),
@@ -79,4 +79,14 @@ te AS (SELECT f.*, place, coalesce(status = 'ok' AND p < 0.05 AND mean > 0, FALS
 SELECT 'train' AS stage, {_SHOWN}, round(p_holm, 6) AS p_holm, place, duplicate, chosen, status FROM tr
 UNION ALL SELECT 'validation', {_SHOWN}, NULL, place, NULL, chosen, status FROM va UNION ALL SELECT 'test', {_SHOWN}, NULL, place, NULL, chosen, status FROM te"""
 
-QUERIES = {"e21_selection": (e21, with_views(E21_SQL))}
+def w13(s, d):
+    """The spaced sample of the train stage, of every cell: exits inside the stage, known returns."""
+    x = selection.stage_sample(selection.arms(grid_rows(s, d), WINDOWS, LEAST), *STAGES["train"])
+    return x.select("w", "k", "horizon", "security_id", "filing_date", "entry_no", "exit_date", F.round("excess_return", 6).alias("excess_return"))
+
+
+W13_SQL = f"""{E21_SQL[:E21_SQL.index(",\ntrain_x AS")]}
+SELECT r.w, r.k, r.horizon, r.security_id, r.filing_date, r.entry_no, r.exit_date, round(r.excess_return, 6) AS excess_return FROM train_r r
+JOIN train_s s ON s.w = r.w AND s.k = r.k AND s.horizon = r.horizon AND s.security_id = r.security_id AND s.entry_no = r.entry_no WHERE r.exit_date <= DATE '{STAGES["train"][1]}' AND r.excess_return IS NOT NULL"""
+
+QUERIES = {"e21_selection": (e21, with_views(E21_SQL)), "w13_greedy_spacing": (w13, with_views(W13_SQL))}

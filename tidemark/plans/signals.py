@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import returns, signals, stats
 from .fixtures import fx, with_views
-from .study import E1_SQL, outcomes
+from .study import E1_SQL, at_horizons, events, outcomes
 from .windows import R, with_r
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -52,8 +52,14 @@ def e2(s, d):
     return with_r(s, d).select("security_id", "session_no", r6(F.exp(F.sum(F.ln(1 + F.col("r"))).over(w)) - 1, "forward_21"))
 
 
+PATH = range(1, 64)
+
+
 def e5(s, d):
-    return outcomes(s, d).groupBy("horizon").agg(F.count("excess_return").alias("n"), r6(F.avg("excess_return"), "mean_excess"))
+    """Average excess path over 63 sessions: a running mean of complete paths at each horizon, from 0 at entry."""
+    o = returns.event_returns(events(s, d), fx(s, d, "fx_daily"), fx(s, d, "fx_benchmark"), fx(s, d, "fx_calendar"), [*PATH])
+    path = o.groupBy("horizon").agg(F.count("excess_return").alias("n"), r6(F.avg("excess_return"), "mean_excess"))
+    return path.unionByName(events(s, d).agg(F.lit(0).alias("horizon"), F.count("*").alias("n"), F.lit(0.0).alias("mean_excess")))
 
 
 def e6(s, d):
@@ -86,12 +92,25 @@ def s11(s, d):
     return x.groupBy("security_id").agg(F.count("*").alias("n"), r6(F.exp(F.sum(F.ln(1 + F.col("r"))) * 52 / F.count("*")) - 1, "cagr"), r6(F.stddev_samp("r") * 52**0.5, "vol"), r6(F.regr_slope("r", "m"), "beta"), r6(F.regr_intercept("r", "m"), "alpha"), r6(F.avg((F.col("r") > 0).cast("int")), "hit"))
 
 
+HALVES = "1998-07-01"
+
+
 def s13(s, d):
-    o = outcomes(s, d).where("horizon = 1 AND excess_return IS NOT NULL")
+    """How far a mean hangs on few issuers or on one half of the time: leave-one-issuer-out range, the largest issuer's share of events,
+    the means before and from a declared day, the issuer bootstrap's interval, and a flag for each."""
+    o = outcomes(s, d).where("horizon = 1 AND excess_return IS NOT NULL").withColumn("late", F.col("filing_date") >= F.lit(HALVES).cast("date"))
     c = o.groupBy("security_id").agg(F.sum("excess_return").alias("x"), F.count("*").alias("n"))
-    t = c.agg(F.sum("x").alias("total_x"), F.sum("n").alias("total_n"))
-    loo = c.crossJoin(F.broadcast(t)).where("total_n > n").withColumn("m", (F.col("total_x") - F.col("x")) / (F.col("total_n") - F.col("n")))  # t is one row
-    return loo.agg(r6(F.min("m"), "lowest"), r6(F.max("m"), "highest"), r6(F.max(F.col("n") / F.col("total_n")), "largest_share"))
+    half = lambda late: F.avg(F.when(F.col("late") == late, F.col("excess_return")))
+    t = o.agg(F.sum("excess_return").alias("total_x"), F.count("*").alias("total_n"), half(False).alias("h1"), half(True).alias("h2"))
+    one = c.join(F.broadcast(t)).where("total_n > n").withColumn("m", (F.col("total_x") - F.col("x")) / (F.col("total_n") - F.col("n")))  # t is one row
+    g = one.agg(F.min("m").alias("lowest"), F.max("m").alias("highest"), F.max(F.col("n") / F.col("total_n")).alias("largest_share"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), (F.first("total_x") / F.first("total_n")).alias("mean"))
+    g = g.join(F.broadcast(s7(s, d)))  # one row each
+    sign = lambda a, b: F.signum(a) != F.signum(b)
+    return g.select(
+        *[r6(F.col(x), x) for x in ("mean", "lowest", "highest", "largest_share")], r6(F.col("h1"), "mean_before"), r6(F.col("h2"), "mean_from"), "low", "high",
+        (~((F.col("low") > 0) | (F.col("high") < 0))).alias("interval_includes_zero"), (sign("lowest", "mean") | sign("highest", "mean")).alias("one_issuer_changes_sign"),
+        (F.col("largest_share") > 0.1).alias("one_issuer_above_10_pct"), F.when(F.col("h1").isNotNull() & F.col("h2").isNotNull(), sign("h1", "h2")).alias("halves_differ"),
+    )
 
 
 def s7(s, d):
@@ -103,7 +122,7 @@ def s7(s, d):
     draws = s.range(199).withColumnRenamed("id", "draw").crossJoin(F.broadcast(g)).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("G") - 1).cast("int"))))
     z = (F.col("draw") * 7919 + F.col("slot") * 104729 + 12345) * 1103515245 + 12345
     draws = draws.withColumn("k", (F.floor(F.pmod(z, F.lit(2147483648)) / 65536) % F.col("G")).cast("int"))
-    m = draws.join(F.broadcast(c), "k").groupBy("draw").agg((F.sum("x") / F.sum("n")).alias("m"))
+    m = draws.join(c, "k").groupBy("draw").agg((F.sum("x") / F.sum("n")).alias("m"))
     return m.agg(r6(F.expr("percentile(m, 0.025)"), "low"), r6(F.expr("percentile(m, 0.975)"), "high"), F.count("*").alias("draws"))
 
 
@@ -123,9 +142,10 @@ res AS (SELECT {g}, n, round(mean, 6) AS mean, round(sqrt(greatest(0, ca.v + cb.
 
 X1 = f"{E1_SQL}, x1 AS (SELECT *, date_trunc('month', filing_date) AS month, excess_return AS y FROM e1 WHERE excess_return IS NOT NULL)"
 E17_SQL = "g17 AS (SELECT issuer_id, filing_date, avg(price) AS p, sum(shares) AS v, count(DISTINCT owner_id) AS k, min(owner_id % 5) AS o FROM fx_transactions WHERE transaction_code = 'P' GROUP BY 1, 2), e17 AS (SELECT issuer_id, filing_date, (p < 1800)::INT + (v > 40)::INT + (k >= 2)::INT + (o = 0)::INT AS score FROM g17)"
+S7_SQL = f"WITH {X1}, c AS (SELECT security_id, sum(y) AS x, count(*) AS n, row_number() OVER (ORDER BY security_id) - 1 AS k FROM x1 WHERE horizon = 1 GROUP BY 1), g AS (SELECT count(*) AS g FROM c), d AS (SELECT draw, CAST(floor((((draw * 7919 + slot * 104729 + 12345)::HUGEINT * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % g AS k FROM g, range(199) a(draw), range((SELECT g FROM g)) b(slot)), m AS (SELECT draw, sum(x) / sum(n) AS m FROM d JOIN c USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m"
 Q = {
     "e2_forward_return": (e2, f"WITH {R} SELECT security_id, session_no, round(exp(sum(ln(1 + r)) OVER (PARTITION BY security_id ORDER BY session_no ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)) - 1, 6) AS forward_21 FROM r"),
-    "e5_cumulative_average_path": (e5, f"WITH {E1_SQL} SELECT horizon, count(excess_return) AS n, round(avg(excess_return), 6) AS mean_excess FROM e1 GROUP BY 1"),
+    "e5_cumulative_average_path": (e5, f"WITH {at_horizons(PATH)} SELECT horizon, count(excess_return) AS n, round(avg(excess_return), 6) AS mean_excess FROM e1 GROUP BY 1 UNION ALL SELECT 0, count(*), 0.0 FROM ev"),
     "e6_evaluate_periods": (e6, f"WITH {X1}, x AS (SELECT *, CASE WHEN year(filing_date) <= 1998 THEN 'early' ELSE 'late' END AS period FROM x1 WHERE year(filing_date) BETWEEN 1995 AND 2005), {_mean_sql(['period', 'horizon'], 'x')} SELECT * FROM res"),
     "e8_prior_years_terciles": (e8, f"WITH {E8_SQL} SELECT * FROM e8"),
     "e10_signals": (e10, f"WITH {E8_SQL}, a AS (SELECT 'S1' AS signal, filing_date FROM e8 WHERE tercile = 1 UNION ALL SELECT 'S2', filing_date FROM e8 UNION ALL SELECT 'S3', filing_date FROM (SELECT DISTINCT issuer_id, filing_date FROM fx_transactions WHERE transaction_code = 'S' AND NOT is_amendment)) SELECT signal, year(filing_date) AS year, count(*) AS n FROM a GROUP BY 1, 2"),
@@ -137,10 +157,13 @@ Q = {
         x AS (SELECT r.session_no, r, sum(coalesce(w, 0)) OVER k AS o, sum(coalesce(abs(w), 0)) OVER k AS g FROM r LEFT JOIN e ON e.security_id = r.security_id AND e.session_no = r.session_no WINDOW k AS (PARTITION BY r.security_id ORDER BY r.session_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
         SELECT session_no, round(sum(g), 6) AS gross, round(sum(o * r) / sum(g), 6) AS day_return FROM x WHERE r IS NOT NULL AND g > 0 GROUP BY 1"""),
     "e20_issuer_excluded_benchmark": (e20, f"WITH {R}, g AS (SELECT session_no, sum(r) AS s, count(r) AS n FROM r GROUP BY 1) SELECT security_id, r.session_no, round(CASE WHEN n - (r IS NOT NULL)::INT > 0 THEN (s - coalesce(r, 0)) / (n - (r IS NOT NULL)::INT) END, 6) AS others_mean FROM r JOIN g USING (session_no)"),
-    "s7_cluster_bootstrap": (s7, f"WITH {X1}, c AS (SELECT security_id, sum(y) AS x, count(*) AS n, row_number() OVER (ORDER BY security_id) - 1 AS k FROM x1 WHERE horizon = 1 GROUP BY 1), g AS (SELECT count(*) AS g FROM c), d AS (SELECT draw, CAST(floor((((draw * 7919 + slot * 104729 + 12345)::HUGEINT * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % g AS k FROM g, range(199) a(draw), range((SELECT g FROM g)) b(slot)), m AS (SELECT draw, sum(x) / sum(n) AS m FROM d JOIN c USING (k) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m"),
+    "s7_cluster_bootstrap": (s7, S7_SQL),
     "s10_newey_west": (s10, f"WITH {R}, m AS (SELECT security_id, date_trunc('month', session_date) AS month, avg(r) AS r FROM r GROUP BY 1, 2 HAVING avg(r) IS NOT NULL), a AS (SELECT security_id, count(*) AS n, avg(r) AS mu FROM m GROUP BY 1), d AS (SELECT m.security_id, month, r - mu AS d, n, mu FROM m JOIN a USING (security_id)), v AS (SELECT security_id, n, mu, (sum(d * d) + sum(2 * (" + " + ".join(f"{(7 - k) / 7!r} * coalesce(l{k}, 0)" for k in range(1, 7)) + "))) / n AS v FROM (SELECT *, " + ", ".join(f"d * lag(d, {k}) OVER (PARTITION BY security_id ORDER BY month) AS l{k}" for k in range(1, 7)) + " FROM d) GROUP BY 1, 2, 3) SELECT security_id, n, round(mu, 6) AS mean, round(CASE WHEN v > 0 AND n >= 3 THEN mu / sqrt(v / n) END, 6) AS t FROM v"),
     "s11_perf_stats": (s11, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark) SELECT security_id, count(*) AS n, round(exp(sum(ln(1 + r)) * 52 / count(*)) - 1, 6) AS cagr, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m), 6) AS alpha, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS hit FROM r JOIN b ON b.session_no = r.session_no WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1"),
-    "s13_fragility": (s13, f"WITH {X1}, c AS (SELECT security_id, sum(y) AS x, count(*) AS n FROM x1 WHERE horizon = 1 GROUP BY 1), t AS (SELECT sum(x) AS tx, sum(n) AS tn FROM c) SELECT round(min((tx - x) / (tn - n)), 6) AS lowest, round(max((tx - x) / (tn - n)), 6) AS highest, round(max(n / tn), 6) AS largest_share FROM c, t WHERE tn > n"),
+    "s13_fragility": (s13, S7_SQL.replace(" SELECT round(quantile_cont(m, 0.025), 6) AS low", f""", t AS (SELECT sum(y) AS tx, count(*) AS tn, avg(y) FILTER (filing_date < DATE '{HALVES}') AS h1, avg(y) FILTER (filing_date >= DATE '{HALVES}') AS h2 FROM x1 WHERE horizon = 1),
+        l AS (SELECT min((tx - x) / (tn - n)) AS lowest, max((tx - x) / (tn - n)) AS highest, max(n / tn) AS largest_share FROM c, t WHERE tn > n), b AS (SELECT round(quantile_cont(m, 0.025), 6) AS low""") + """)
+        SELECT round(tx / tn, 6) AS mean, round(lowest, 6) AS lowest, round(highest, 6) AS highest, round(largest_share, 6) AS largest_share, round(h1, 6) AS mean_before, round(h2, 6) AS mean_from, low, high, NOT (low > 0 OR high < 0) AS interval_includes_zero,
+        sign(lowest) <> sign(tx / tn) OR sign(highest) <> sign(tx / tn) AS one_issuer_changes_sign, largest_share > 0.1 AS one_issuer_above_10_pct, CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN sign(h1) <> sign(h2) END AS halves_differ FROM t, l, b"""),
     "s14_robustness": (s14, f"WITH {X1}, x AS (SELECT 'official' AS run, * FROM x1 UNION ALL SELECT 'robust', * FROM x1 WHERE abs(y) < 0.5), {_mean_sql(['run', 'horizon'], 'x')} SELECT * FROM res"),
 }
 QUERIES = {k: (f, with_views(q) if q else None) for k, (f, q) in Q.items()}

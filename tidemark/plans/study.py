@@ -32,6 +32,11 @@ e1 AS (SELECT event_id, security_id, filing_date, horizon, entry_no, end_no,
       coalesce(fits AND term, FALSE) AS delisted, coalesce(fits AND NOT (path AND NOT term), FALSE) AS partial_path FROM j)"""
 
 
+def at_horizons(horizons) -> str:
+    """The SQL of event returns at other horizons."""
+    return E1_SQL.replace("(VALUES (1), (2), (3), (5)) h(h)", "(VALUES " + ", ".join(f"({h})" for h in horizons) + ") h(h)")
+
+
 def events(spark, d, code="P"):
     t = fx(spark, d, "fx_transactions").where((F.col("transaction_code") == code) & ~F.col("is_amendment"))
     return t.select(F.concat_ws("|", "issuer_id", F.col("filing_date").cast("string")).alias("event_id"), F.col("issuer_id").alias("security_id"), "filing_date").distinct()

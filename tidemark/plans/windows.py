@@ -80,12 +80,6 @@ def _w11_sql(days):
         SELECT k.issuer_id, k.filing_date, count(DISTINCT owner_id) AS buyers, CASE WHEN count(DISTINCT owner_id) >= 2 THEN 'clustered' ELSE 'solo' END AS arm FROM k JOIN b ON b.issuer_id = k.issuer_id AND b.filing_date BETWEEN k.filing_date - {days - 1} AND k.filing_date GROUP BY 1, 2"""
 
 
-def w13(s, d):
-    t = tx(s, d).where("transaction_code = 'P' AND NOT is_amendment AND shares > 45")
-    t = t.withColumn("pos", F.datediff("filing_date", F.lit("1995-01-01").cast("date"))).withColumn("arm", F.col("line_no") % 2)
-    return W.greedy_spacing(t, ["issuer_id", "arm"], "pos", 5)
-
-
 def w14(s, d):
     x = with_r(s, d).where("r IS NOT NULL").withColumn("cum", F.exp(F.sum(F.ln(1 + F.col("r"))).over(by("security_id").orderBy("session_no"))))
     return W.drawdown(x, ["security_id"], "session_no", "cum").groupBy("security_id").agg(r6(F.min("drawdown"), "max_drawdown"))
@@ -204,9 +198,6 @@ def o3(s, d):
     return g.withColumn("k", F.row_number().over(by("issuer_id").orderBy(F.desc("v"), "owner_id"))).where("k <= 3").select("issuer_id", "owner_id", "k", r6(F.col("v"), "v"))
 
 
-SPACED = """WITH RECURSIVE b AS (SELECT DISTINCT issuer_id, line_no % 2 AS arm, filing_date - DATE '1995-01-01' AS pos FROM fx_transactions WHERE transaction_code = 'P' AND NOT is_amendment AND shares > 45),
-c AS (SELECT issuer_id, arm, min(pos) AS pos FROM b GROUP BY 1, 2 UNION ALL SELECT c.issuer_id, c.arm, (SELECT min(pos) FROM b WHERE b.issuer_id = c.issuer_id AND b.arm = c.arm AND b.pos >= c.pos + 5) FROM c WHERE c.pos IS NOT NULL)
-SELECT issuer_id, arm, pos FROM c WHERE pos IS NOT NULL"""
 Q = {
     "w1_total_return_index": (w1, f"WITH {R} SELECT security_id, session_no, round(CASE WHEN r > -1 THEN sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY security_id ORDER BY session_no) END, 6) AS log_level FROM r"),
     "w2_lagged_cap": (w2, "SELECT security_id, session_no, round(abs(lag(cap) OVER (PARTITION BY security_id ORDER BY session_no) * 1000), 6) AS lag_cap FROM fx_daily"),
@@ -219,7 +210,6 @@ Q = {
     "w10_expanding_median": (w10, "WITH d AS (SELECT filing_date, price FROM fx_transactions WHERE transaction_code = 'P' AND price IS NOT NULL), m AS (SELECT DISTINCT CAST(date_trunc('month', filing_date) AS DATE) AS month FROM d) SELECT month, count(*) AS n, round(CASE WHEN count(*) >= 500 THEN quantile_cont(price, 0.5) END, 6) AS cutoff FROM m JOIN d ON date_trunc('month', filing_date) < month GROUP BY month"),
     "w11_trailing_distinct_actors": (w11, _w11_sql(14)),
     "w12_trailing_90_day_cluster": (lambda s, d: w11(s, d, 90), _w11_sql(90)),
-    "w13_greedy_spacing": (w13, SPACED),
     "w14_drawdown": (w14, f"WITH {R}, c AS (SELECT security_id, session_no, exp(sum(ln(1 + r)) OVER (PARTITION BY security_id ORDER BY session_no)) AS cum FROM r WHERE r IS NOT NULL), m AS (SELECT *, max(cum) OVER (PARTITION BY security_id ORDER BY session_no) AS m FROM c) SELECT security_id, round(min(cum / m - 1), 6) AS max_drawdown FROM m GROUP BY 1"),
     "w15_duplicate_across_filings": (w15, "SELECT owner_id % 20 AS owner_grp, issuer_id, transaction_date, round(shares, 6) AS shares, CAST(floor(price / 100) AS BIGINT) AS price, count(DISTINCT accession) AS accessions, count(*) AS n FROM fx_transactions GROUP BY 1, 2, 3, shares, 5 HAVING count(DISTINCT accession) > 1"),
     "w16_security_change": (w16, "SELECT owner_id, issuer_id, acquired_disposed, row_number() OVER (PARTITION BY owner_id, issuer_id ORDER BY min(transaction_date), acquired_disposed) > 1 AS changed FROM fx_transactions GROUP BY 1, 2, 3"),
