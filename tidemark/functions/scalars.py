@@ -81,13 +81,19 @@ def holding_fraction(shares: Column, after: Column, side: Column, cap: float = 1
     return F.when(before > 0, F.least(F.lit(cap), shares / before))
 
 
-def detect_format(text: Column) -> Column:
-    """Class of a document by content markers in fixed precedence."""
-    head = F.lower(F.substring(text, 1, 8000))
+def detect_format(text: Column, name: Column | None = None) -> Column:
+    """Class of a document by its first bytes, by markers in its first 8000 characters in fixed precedence, by the ending of
+    its name, and at last by a legacy form's title anywhere."""
+    body = F.coalesce(text, F.lit(""))
+    head = F.lower(F.substring(body, 1, 8000))
+    named = F.coalesce(F.lower(name).rlike(r"\.html?$"), F.lit(False)) if name is not None else F.lit(False)
+    has = lambda *marks: [head.contains(m) for m in marks]
+    envelope, docs, kind = has("<sec-document", "<document>", "<type>")
+    blocks, units, form144, issuer = has("securitiesinformation", "noofunitssold", "<submissiontype>144", "issuerinfo")
     return (
-        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(head.contains("<ownershipdocument"), "ownership_xml")
-        .when(head.contains("<xml"), "xml_wrapper").when(head.rlike("<html|<!doctype html"), "html").when(head.contains("<sec-header"), "sgml")
-        .otherwise("text")
+        F.when(F.trim(body) == "", "empty").when(F.startswith(body, F.lit("%PDF-")), "pdf").when(envelope | (docs & kind), "submission")
+        .when(head.rlike(r"<(?:\w+:)?ownershipdocument\b"), "ownership_xml").when(blocks | units | form144 | issuer, "proposed_sale_xml")
+        .when(head.contains("<!doctype html") | head.contains("<html") | named, "rendered_html").when(F.upper(body).contains("STATEMENT OF CHANGES IN BENEFICIAL OWNERSHIP"), "legacy_text").otherwise("unknown")
     )
 
 

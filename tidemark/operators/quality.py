@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import asof
+
 
 def large_trade(value: Column, cap_lag: Column, adv_lag: Column, share: float = 0.01) -> Column:
     return F.coalesce(value > share * cap_lag, F.lit(False)) | F.coalesce(value > adv_lag, F.lit(False))
@@ -57,3 +59,45 @@ def split_factor_between(rows: DataFrame, splits: DataFrame, key: str, prev: str
     j = rows.join(splits, key, "left")
     hit = (F.col("effective_date") > F.col(prev)) & (F.col("effective_date") <= F.col(now))
     return j.groupBy(*row_key).agg(F.product(F.when(hit, F.col("split_factor")).otherwise(F.lit(1.0))).alias("factor"))
+
+
+def price_ladder(rows: DataFrame, market: DataFrame, key: str, date: str, price: str, comparable: Column, parsed: Column | None = None, days: int = 7) -> DataFrame:
+    """``rows`` plus status, matched window and signed distance of the price from the window's nearest bound.
+
+    Windows, narrowest first: the day itself; the observations next to it on either side, each at most ``days`` days away, with the day;
+    the week from Monday to Sunday. A price passes in the first window that holds it, bounds included, else it is flagged against the widest
+    one that has any. Only bounds that are finite, above 0 and in order count; an observation without such bounds still is the
+    nearest one. ``market`` has (key, day, low, high), one row a day. Rows that can't be compared say why, in the order in which they
+    are checked; ``parsed`` is false where the document wasn't read whole.
+    """
+    good = (F.col("low") > 0) & (F.col("high") >= F.col("low")) & (F.col("high") < float("inf")) & ~F.isnan("high")
+    m = market.select(F.col(key).alias("_k"), F.col("day").alias("_day"), *[F.when(good, F.col(c)).alias(f"_{c}") for c in ("low", "high")])
+    asked = rows.select(F.col(key).alias("_k"), F.col(date).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL").distinct()
+    near = asof(asked, m, "_k", "_t", "_day", ["_low", "_high"], strict=True, tolerance=days).withColumnsRenamed({"asof__low": "b_low", "asof__high": "b_high"}).drop("asof__day")
+    near = asof(near, m, "_k", "_t", "_day", ["_low", "_high"], strict=True, tolerance=days, forward=True).withColumnsRenamed({"asof__low": "f_low", "asof__high": "f_high"}).drop("asof__day")
+    near = near.join(m.select("_k", F.col("_day").alias("_t"), F.col("_low").alias("x_low"), F.col("_high").alias("x_high")), ["_k", "_t"], "left")
+    monday = lambda c: F.date_trunc("week", c).cast("date")
+    weeks = m.groupBy("_k", monday("_day").alias("_week")).agg(F.min("_low").alias("w_low"), F.max("_high").alias("w_high"))
+    near = near.withColumn("_week", monday("_t")).join(weeks, ["_k", "_week"], "left").drop("_week")
+    near = near.withColumns({"a_low": F.least("b_low", "x_low", "f_low"), "a_high": F.greatest("b_high", "x_high", "f_high")})
+    j = rows.join(near, (rows[key] == near["_k"]) & (rows[date] == near["_t"]), "left")
+    p, windows = F.col(price), (("exact_day", "x", "EXACT"), ("adjacent_trading_days", "a", "ADJACENT"), ("calendar_week", "w", "WEEKLY"))
+    inside = lambda w: F.coalesce(p.between(F.col(f"{w}_low"), F.col(f"{w}_high")), F.lit(False))
+    found, passed = F.lit(None).cast("string"), {"x": "PASS_EXACT_DAY_RANGE", "a": "PASS_ADJACENT_DAY_RANGE", "w": "PASS_WEEKLY_RANGE"}
+    for name, w, _ in windows:  # the widest with bounds
+        found = F.when(F.col(f"{w}_low").isNotNull(), name).otherwise(found)
+    for name, w, _ in reversed(windows):
+        found = F.when(inside(w), name).otherwise(found)
+    status = (
+        F.when(~parsed, "NOT_TESTABLE_PARSE_STATUS") if parsed is not None else F.when(F.lit(False), "")
+    ).when(~F.coalesce(comparable, F.lit(False)), "NOT_MARKET_COMPARABLE").when(p.isNull(), "NO_REPORTED_PRICE").when(p <= 0, "NONPOSITIVE_REPORTED_PRICE")
+    status = status.when(F.col(date).isNull(), "NO_TRANSACTION_DATE").when(F.col(key).isNull(), "NO_SECURITY_IDENTIFIER").when(found.isNull(), "NO_MARKET_DATA")
+    for _, w, _ in windows:
+        status = status.when(inside(w), passed[w])
+    for name, _, label in windows:
+        status = status.when(F.col("_found") == name, f"FLAG_OUTSIDE_{label}_RANGE")
+    j = j.withColumn("_found", found).withColumn("status", status)
+    compared = F.col("status").startswith("PASS") | F.col("status").startswith("FLAG")
+    bound = lambda side: F.coalesce(*[F.when(F.col("_found") == name, F.col(f"{w}_{side}")) for name, w, _ in windows])
+    distance = F.when(p < bound("low"), p - bound("low")).when(p > bound("high"), p - bound("high")).otherwise(0.0)
+    return j.withColumn("matched", F.when(compared, F.col("_found"))).withColumn("distance", F.when(compared, distance)).select(*[rows[c] for c in rows.columns], "status", "matched", "distance")

@@ -89,6 +89,9 @@ FROM fx_lines WHERE row_kind = 'transaction' AND tab = 'derivative'""",
     "fx_deriv_holdings": """
 SELECT accession, line_no, row_id, amends_row_id, 'Stock Option' AS security_title, balance AS shrs_ownd_folwng_trans, 'D' AS direct_indirect_ownership, shares / 10 AS conv_exercise_price
 FROM fx_lines WHERE row_kind = 'holding' AND tab = 'derivative'""",
+    "fx_days": """
+SELECT p.p_brand AS issuer_id, CAST(l.l_shipdate AS DATE) AS day, CASE WHEN count(*) % 7 <> 3 THEN min(l.l_extendedprice / l.l_quantity) END AS low, max(l.l_extendedprice / l.l_quantity) AS high
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber % 2 = 0 GROUP BY 1, 2""",
     "fx_filing_years": """
 SELECT issuer_id, CAST(date_trunc('year', filing_date) AS DATE) AS year, min(filing_date) AS first_filing, count(*) AS filings FROM fx_submissions GROUP BY 1, 2""",
     "fx_members": """

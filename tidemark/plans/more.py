@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import joins as J
-from ..operators import returns, signals, stats
+from ..operators import quality, returns, signals, stats
 from .fixtures import fx, with_views
 from .signals import X1, _mean_sql
 from .study import E1_SQL, outcomes
@@ -167,13 +167,30 @@ def io14(s, d):
 
 
 def q5(s, d):
-    """Exact week, else the nearest observation within 30 days on either side, else no data."""
-    t = tx(s, d).where("transaction_code = 'P'").select(F.col("issuer_id").alias("security_id"), "transaction_date", "price").distinct()
-    px = fx(s, d, "fx_daily").select("security_id", "session_date", "low", "high")
-    a = J.asof(t, px, "security_id", "transaction_date", "session_date", ["low", "high"], tolerance=30)
-    ok = F.col("price").between(F.col("asof_low") * 0.99, F.col("asof_high") * 1.01)
-    st = F.when(F.col("asof_low").isNull(), "no_data").when(ok & (F.datediff("transaction_date", "asof_session_date") < 7), "week_pass").when(ok, "near_pass").otherwise("flag")
-    return a.groupBy(st.alias("status")).agg(F.count("*").alias("n"))
+    """Prices against the ranges of the other lines' days; some lack price, date or issuer, some weren't read whole."""
+    a = F.col("accession")
+    t = tx(s, d).select(
+        "accession", "transaction_code", F.when(a % 41 != 0, F.col("issuer_id")).alias("issuer_id"), F.when(a % 37 != 0, F.col("transaction_date")).alias("transaction_date"),
+        F.when(a % 31 == 0, -F.col("price")).when(a % 29 != 0, F.col("price")).alias("price"),
+    )
+    x = quality.price_ladder(t, fx(s, d, "fx_days"), "issuer_id", "transaction_date", "price", F.col("transaction_code").isin("P", "S"), a % 43 != 0)
+    return x.groupBy("transaction_code", "status", "matched").agg(F.count("*").alias("n"), r6(F.sum("distance"), "distance"))
+
+
+Q5_SQL = """WITH t AS (SELECT accession, transaction_code, CASE WHEN accession % 41 <> 0 THEN issuer_id END AS k, CASE WHEN accession % 37 <> 0 THEN transaction_date END AS t, CASE WHEN accession % 31 = 0 THEN -price WHEN accession % 29 <> 0 THEN price END AS p FROM fx_transactions),
+m AS MATERIALIZED (SELECT issuer_id AS k, day, CASE WHEN low > 0 AND high >= low THEN low END AS lo, CASE WHEN low > 0 AND high >= low THEN high END AS hi FROM fx_days),
+w AS (SELECT k, date_trunc('week', day) AS week, min(lo) AS wl, max(hi) AS wh FROM m GROUP BY 1, 2),
+q AS (SELECT DISTINCT k, t FROM t WHERE k IS NOT NULL AND t IS NOT NULL),
+n AS (SELECT q.k, q.t, x.lo AS xl, x.hi AS xh, wl, wh, least(x.lo, CASE WHEN q.t - b.day <= 7 THEN b.lo END, CASE WHEN f.day - q.t <= 7 THEN f.lo END) AS al, greatest(x.hi, CASE WHEN q.t - b.day <= 7 THEN b.hi END, CASE WHEN f.day - q.t <= 7 THEN f.hi END) AS ah
+  FROM q LEFT JOIN m x ON x.k = q.k AND x.day = q.t LEFT JOIN w ON w.k = q.k AND w.week = date_trunc('week', q.t) ASOF LEFT JOIN m b ON b.k = q.k AND b.day < q.t ASOF LEFT JOIN m f ON f.k = q.k AND f.day > q.t),
+j AS (SELECT t.*, xl, xh, al, ah, wl, wh, coalesce(p BETWEEN xl AND xh, FALSE) AS ix, coalesce(p BETWEEN al AND ah, FALSE) AS ia, coalesce(p BETWEEN wl AND wh, FALSE) AS iw FROM t LEFT JOIN n ON n.k = t.k AND n.t = t.t),
+z AS (SELECT *, CASE WHEN ix THEN 'exact_day' WHEN ia THEN 'adjacent_trading_days' WHEN iw THEN 'calendar_week' WHEN wl IS NOT NULL THEN 'calendar_week' WHEN al IS NOT NULL THEN 'adjacent_trading_days' WHEN xl IS NOT NULL THEN 'exact_day' END AS f FROM j),
+s AS (SELECT *, CASE WHEN accession % 43 = 0 THEN 'NOT_TESTABLE_PARSE_STATUS' WHEN transaction_code NOT IN ('P', 'S') THEN 'NOT_MARKET_COMPARABLE' WHEN p IS NULL THEN 'NO_REPORTED_PRICE' WHEN p <= 0 THEN 'NONPOSITIVE_REPORTED_PRICE'
+    WHEN t IS NULL THEN 'NO_TRANSACTION_DATE' WHEN k IS NULL THEN 'NO_SECURITY_IDENTIFIER' WHEN f IS NULL THEN 'NO_MARKET_DATA' WHEN ix THEN 'PASS_EXACT_DAY_RANGE' WHEN ia THEN 'PASS_ADJACENT_DAY_RANGE' WHEN iw THEN 'PASS_WEEKLY_RANGE'
+    WHEN f = 'exact_day' THEN 'FLAG_OUTSIDE_EXACT_RANGE' WHEN f = 'adjacent_trading_days' THEN 'FLAG_OUTSIDE_ADJACENT_RANGE' ELSE 'FLAG_OUTSIDE_WEEKLY_RANGE' END AS status,
+    CASE f WHEN 'exact_day' THEN xl WHEN 'adjacent_trading_days' THEN al ELSE wl END AS lo, CASE f WHEN 'exact_day' THEN xh WHEN 'adjacent_trading_days' THEN ah ELSE wh END AS hi FROM z),
+d AS (SELECT transaction_code, status, CASE WHEN status LIKE 'PASS%' OR status LIKE 'FLAG%' THEN f END AS matched, CASE WHEN status LIKE 'PASS%' OR status LIKE 'FLAG%' THEN CASE WHEN p < lo THEN p - lo WHEN p > hi THEN p - hi ELSE 0.0 END END AS x FROM s)
+SELECT transaction_code, status, matched, count(*) AS n, round(sum(x), 6) AS distance FROM d GROUP BY 1, 2, 3"""
 
 
 Q = {
@@ -204,7 +221,6 @@ Q = {
     "io14_export_events": (io14, "WITH d AS (SELECT DISTINCT issuer_id, filing_date FROM fx_transactions WHERE transaction_code = 'P' AND NOT is_amendment) SELECT 'S2' AS signal, d.issuer_id, filing_date, security_id FROM d JOIN fx_intervals i ON i.issuer_id = d.issuer_id AND filing_date BETWEEN effective_start AND effective_end QUALIFY row_number() OVER (PARTITION BY d.issuer_id, filing_date ORDER BY effective_start DESC, security_id DESC) = 1"),
     "io15_extract_security_history": (io15, "SELECT issuer_id, security_id, effective_start, effective_end FROM fx_intervals WHERE is_point_in_time AND effective_start <= '1999-12-31' AND effective_end >= '1997-06-01'"),
     "io16_pull_daily": (io16, "SELECT year(session_date) AS year, count(*) AS n, count(DISTINCT security_id) AS securities FROM fx_daily WHERE security_id LIKE 'Brand#1%' GROUP BY 1"),
-    "q5_price_status_ladder": (q5, """WITH t AS (SELECT DISTINCT issuer_id AS security_id, transaction_date, price FROM fx_transactions WHERE transaction_code = 'P'), a AS (SELECT t.*, session_date, low, high FROM t ASOF LEFT JOIN fx_daily p ON p.security_id = t.security_id AND t.transaction_date >= p.session_date)
-        SELECT CASE WHEN low IS NULL OR transaction_date - session_date > 30 THEN 'no_data' WHEN price BETWEEN low * 0.99 AND high * 1.01 THEN CASE WHEN transaction_date - session_date < 7 THEN 'week_pass' ELSE 'near_pass' END ELSE 'flag' END AS status, count(*) AS n FROM a GROUP BY 1"""),
+    "q5_price_status_ladder": (q5, Q5_SQL),
 }
 QUERIES = {k: (f, with_views(q) if q else None) for k, (f, q) in Q.items()}

@@ -118,8 +118,15 @@ def p19(s, d):
 
 
 def io10(s, d):
-    x = T(s, d, "pages").select("page_id", S.detect_format(F.col("html")).alias("format"))
-    return x
+    """Pages as they are, and wrapped as other kinds of documents."""
+    i, h = F.col("page_id") % 8, F.coalesce("html", F.lit(""))
+    wrap = lambda a, b="": F.concat(F.lit(a), h, F.lit(b))
+    doc = (
+        F.when(i == 1, wrap("%PDF-1.4 ")).when(i == 2, wrap("<DOCUMENT>\n<TYPE>4\n")).when(i == 3, wrap("<x:ownershipDocument a='1'>")).when(i == 4, wrap("<edgarSubmission><issuerInfo>"))
+        .when(i == 5, F.translate(h, "<", "")).when(i == 6, F.concat(F.translate(h, "<", ""), F.lit(" Statement of Changes in Beneficial Ownership"))).otherwise(F.col("html"))
+    )
+    name = F.when(F.col("page_id") % 3 == 0, "a.HTM").otherwise("a.txt")
+    return T(s, d, "pages").select("page_id", S.detect_format(doc, name).alias("format"))
 
 
 def io12(s, d):
@@ -151,8 +158,12 @@ Q = {
         WHERE l_shipdate < '2000-01-01' QUALIFY row_number() OVER (PARTITION BY p_brand, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, l_quantity DESC) = 1"""),
     "io7_parse_master_index": (io7, """SELECT o_custkey AS cik, '4' AS form, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderkey % 11 <> 0
         QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_orderdate) = 1"""),
-    "io10_detect_format": (io10, """SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty' WHEN h LIKE '%<ownershipdocument%' THEN 'ownership_xml' WHEN h LIKE '%<xml%' THEN 'xml_wrapper'
-        WHEN h LIKE '%<html%' OR h LIKE '%<!doctype html%' THEN 'html' WHEN h LIKE '%<sec-header%' THEN 'sgml' ELSE 'text' END AS format FROM (SELECT *, lower(substr(html, 1, 8000)) AS h FROM pages)"""),
+    "io10_detect_format": (io10, """WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRUE ELSE FALSE END AS named, CASE page_id % 8 WHEN 1 THEN '%PDF-1.4 ' || coalesce(html, '') WHEN 2 THEN '<DOCUMENT>' || chr(10) || '<TYPE>4' || chr(10) || coalesce(html, '')
+        WHEN 3 THEN '<x:ownershipDocument a=''1''>' || coalesce(html, '') WHEN 4 THEN '<edgarSubmission><issuerInfo>' || coalesce(html, '') WHEN 5 THEN replace(coalesce(html, ''), '<', '') WHEN 6 THEN replace(coalesce(html, ''), '<', '') || ' Statement of Changes in Beneficial Ownership' ELSE coalesce(html, '') END AS t FROM pages),
+        h AS (SELECT *, lower(substr(t, 1, 8000)) AS h FROM d)
+        SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN t LIKE '\\%PDF-%' ESCAPE '\\' THEN 'pdf' WHEN contains(h, '<sec-document') OR (contains(h, '<document>') AND contains(h, '<type>')) THEN 'submission' WHEN regexp_matches(h, '<(?:\\w+:)?ownershipdocument\\b') THEN 'ownership_xml'
+          WHEN contains(h, 'securitiesinformation') OR contains(h, 'noofunitssold') OR contains(h, '<submissiontype>144') OR contains(h, 'issuerinfo') THEN 'proposed_sale_xml' WHEN contains(h, '<!doctype html') OR contains(h, '<html') OR named THEN 'rendered_html'
+          WHEN contains(upper(t), 'STATEMENT OF CHANGES IN BENEFICIAL OWNERSHIP') THEN 'legacy_text' ELSE 'unknown' END AS format FROM h"""),
     "io12_content_versions": (io12, """SELECT page_id, sha256(html) AS sha, host, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) = 1 AS is_latest FROM (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)"""),
     "p1_coerce": (p1, """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN round(c_acctbal, 6) END AS balance, CASE WHEN c_custkey % 3 <> 0 THEN make_date(2021, 2, CAST(c_custkey % 28 + 1 AS INT)) END AS day FROM customer"""),
     "p2_money_to_decimal": (p2, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS amount FROM orders"),
