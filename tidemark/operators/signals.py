@@ -57,9 +57,9 @@ def calendar_time_portfolio(daily: DataFrame, entries: DataFrame, key: str, no:
     return g.select(no, "gross", (F.col("_x") / F.col("gross")).alias("day_return"))
 
 
-def issuer_excluded_mean(df: DataFrame, day: str, value: str) -> DataFrame:
-    """``df`` plus the mean of the other rows of its day; null for a day with one known value."""
-    g = df.groupBy(day).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+def issuer_excluded_mean(df: DataFrame, day: str, value: str, coverage: float = 0.0) -> DataFrame:
+    """``df`` plus the mean of the other rows of its day; null for a day with one known value, or of which less than ``coverage`` are known."""
+    g = df.groupBy(day).agg(F.sum(value).alias("_s"), F.when(F.count(value) >= coverage * F.count("*"), F.count(value)).alias("_n"))
     own = F.coalesce(F.col(value), F.lit(0.0))
     n = F.col("_n") - F.col(value).isNotNull().cast("int")
     return df.join(g, day).withColumn("others_mean", F.when(n > 0, (F.col("_s") - own) / n)).drop("_s", "_n")

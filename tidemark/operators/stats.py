@@ -113,6 +113,36 @@ def newey_west(series: DataFrame, by: list[str], value: str, order: str, lags: i
     return out.select(*by, F.col("_n").alias("n"), F.col("_m").alias("mean"), F.when((F.col("_v") > 0) & (F.col("_n") >= 3), F.col("_m") / F.sqrt(F.col("_v") / F.col("_n"))).alias("t"))
 
 
+def perf_stats(series: DataFrame, by: list[str], date: str, r: str, bench: str, freq: int, least: int = 20) -> DataFrame:
+    """Performance of return series, one row per group of at least ``least`` known returns (above -1) with benchmark returns beside them.
+
+    Growth is annualised over ``freq`` periods; volatility, Sharpe ratio, Newey-West t, hit rate and the fit on the benchmark use
+    compounded months, of which those without returns count as 0, as does a missing benchmark return. The fit needs more than 12 months;
+    alpha's t takes the residuals' standard deviation over the root of their number. The drawdown is along the single returns.
+    """
+    from pyspark.sql import Window
+
+    x = series.where(F.col(r).isNotNull()).select(*by, date, F.log1p(r).alias("_l"), F.log1p(F.coalesce(bench, F.lit(0.0))).alias("_b"))
+    run = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_cum", F.sum("_l").over(run)).withColumn("_top", F.max("_cum").over(run))
+    whole = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_l").alias("_all"), F.min(F.exp(F.col("_cum") - F.col("_top")) - 1).alias("max_drawdown"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))
+    whole = whole.where(F.col("n") >= least)
+    months = whole.select(*by, F.explode(F.sequence(F.trunc("first_day", "MM"), F.trunc("last_day", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    sums = x.groupBy(*by, F.trunc(date, "MM").alias("_month")).agg(F.sum("_l").alias("_l"), F.sum("_b").alias("_b"))
+    m = months.join(sums, [*by, "_month"], "left").select(*by, "_month", F.expm1(F.coalesce("_l", F.lit(0.0))).alias("_s"), F.expm1(F.coalesce("_b", F.lit(0.0))).alias("_m"))
+    fit = F.count("*") > 12
+    of_months = m.groupBy(*by).agg(
+        F.count("*").alias("months"), (F.stddev_samp("_s") * 12**0.5).alias("ann_vol"), (F.avg("_s") * 12).alias("_mean"), F.avg((F.col("_s") > 0).cast("int")).alias("hit_month"),
+        F.when(fit, F.regr_slope("_s", "_m")).alias("beta"), F.when(fit, F.regr_intercept("_s", "_m")).alias("_a"), (F.stddev_samp("_s") * F.sqrt(1 - F.regr_r2("_s", "_m")) / F.sqrt(F.count("*"))).alias("_e"),
+    )
+    nw = newey_west(m.select(*by, "_month", "_s"), by, "_s", "_month").select(*by, F.col("t").alias("t_nw"))
+    out = whole.join(of_months, by).join(nw, by, "left")
+    return out.select(
+        *by, "n", "months", (F.exp(F.col("_all") * freq / F.col("n")) - 1).alias("cagr"), "ann_vol", F.when(F.col("ann_vol") > 0, F.col("_mean") / F.col("ann_vol")).alias("sharpe"), "t_nw", "max_drawdown", "hit_month",
+        "beta", (F.pow(1 + F.col("_a"), 12) - 1).alias("alpha_ann"), F.when(F.col("_e") > 0, F.col("_a") / F.col("_e")).alias("alpha_t"), "first_day", "last_day",
+    )
+
+
 COMPONENTS = ("two_way", "issuer", "quarter", "hc1")
 NEAR = 1e-9
 """Variances that differ by less than this share are equal: sums depend on the order of rows."""

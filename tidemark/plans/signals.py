@@ -43,7 +43,7 @@ def e19(s, d):
 
 
 def e20(s, d):
-    return signals.issuer_excluded_mean(with_r(s, d), "session_no", "r").select("security_id", "session_no", r6(F.col("others_mean"), "others_mean"))
+    return signals.issuer_excluded_mean(with_r(s, d), "session_no", "r", 0.99).select("security_id", "session_no", r6(F.col("others_mean"), "others_mean"))
 
 
 def e2(s, d):
@@ -75,7 +75,10 @@ def e18(s, d):
     x = sc.join(F.broadcast(c), "month").where("firms >= 6 AND k >= 3").withColumn("m2", F.add_months("month", 1)).join(m, ["issuer_id", "m2"])
     hi, lo = F.col("score") >= F.col("c")[1], F.col("score") <= F.col("c")[0]
     g = x.groupBy("month").agg(F.count_if(hi).alias("n_long"), F.count_if(lo).alias("n_short"), F.avg(F.when(hi, F.col("r"))).alias("a"), F.avg(F.when(lo, F.col("r"))).alias("b"))
-    return g.where("n_long >= 2 AND n_short >= 2").select("month", "n_long", "n_short", r6(F.col("a") - F.col("b"), "long_short"))
+    w = Window.orderBy("session_no")  # one row a session
+    bench = fx(s, d, "fx_benchmark").withColumn("l", F.ln(F.col("level") / F.lag("level").over(w))).groupBy(F.trunc("session_date", "MM").alias("m2")).agg((F.exp(F.sum("l")) - 1).alias("bench"))
+    legs = g.where("n_long >= 2 AND n_short >= 2").withColumn("m2", F.add_months("month", 1)).join(F.broadcast(bench), "m2", "left")
+    return legs.select("month", "n_long", "n_short", r6(F.col("a") - F.col("b"), "long_short"), r6(F.col("a") - F.col("bench"), "long_excess"))
 
 
 def monthly(s, d):
@@ -87,9 +90,11 @@ def s10(s, d):
 
 
 def s11(s, d):
-    b = fx(s, d, "fx_benchmark").withColumn("m", F.col("level") / F.lag("level").over(Window.orderBy("session_no")) - 1).select("session_no", "m")
-    x = with_r(s, d).join(F.broadcast(b), "session_no").where("r IS NOT NULL AND m IS NOT NULL")
-    return x.groupBy("security_id").agg(F.count("*").alias("n"), r6(F.exp(F.sum(F.ln(1 + F.col("r"))) * 52 / F.count("*")) - 1, "cagr"), r6(F.stddev_samp("r") * 52**0.5, "vol"), r6(F.regr_slope("r", "m"), "beta"), r6(F.regr_intercept("r", "m"), "alpha"), r6(F.avg((F.col("r") > 0).cast("int")), "hit"))
+    """Weekly series against the benchmark."""
+    b = fx(s, d, "fx_benchmark").withColumn("m", F.col("level") / F.lag("level").over(Window.orderBy("session_no")) - 1).select("session_no", "m")  # one row a session
+    x = with_r(s, d).join(F.broadcast(b), "session_no", "left")
+    p = stats.perf_stats(x, ["security_id"], "session_date", "r", "m", 52)
+    return p.select("security_id", "n", "months", *[r6(F.col(c), c) for c in ("cagr", "ann_vol", "sharpe", "t_nw", "max_drawdown", "hit_month", "beta", "alpha_ann", "alpha_t")], "first_day", "last_day")
 
 
 HALVES = "1998-07-01"
@@ -152,14 +157,26 @@ Q = {
     "e17_conviction_score": (e17, f"WITH {E17_SQL} SELECT * FROM e17"),
     "e18_cross_sectional_long_short": (e18, f"""WITH {R}, {E17_SQL}, sc AS (SELECT issuer_id, date_trunc('month', filing_date) AS month, sum(score) AS score FROM e17 GROUP BY 1, 2), c AS (SELECT month, quantile_cont(score, 1.0 / 3) AS c0, quantile_cont(score, 2.0 / 3) AS c1, count(*) AS firms, count(DISTINCT score) AS k FROM sc GROUP BY 1),
         mr AS (SELECT security_id AS issuer_id, date_trunc('month', session_date) AS m2, exp(sum(ln(1 + r))) - 1 AS r FROM r GROUP BY 1, 2), x AS (SELECT sc.*, c0, c1, mr.r FROM sc JOIN c USING (month) JOIN mr ON mr.issuer_id = sc.issuer_id AND mr.m2 = sc.month + INTERVAL 1 MONTH WHERE firms >= 6 AND k >= 3)
-        SELECT CAST(month AS DATE) AS month, count(*) FILTER (WHERE score >= c1) AS n_long, count(*) FILTER (WHERE score <= c0) AS n_short, round(avg(r) FILTER (WHERE score >= c1) - avg(r) FILTER (WHERE score <= c0), 6) AS long_short FROM x GROUP BY month HAVING count(*) FILTER (WHERE score >= c1) >= 2 AND count(*) FILTER (WHERE score <= c0) >= 2"""),
+, bm AS (SELECT date_trunc('month', session_date) AS m2, exp(sum(ln(level / pv))) - 1 AS bench FROM (SELECT session_date, level, lag(level) OVER (ORDER BY session_no) AS pv FROM fx_benchmark) GROUP BY 1),
+        lg AS (SELECT CAST(month AS DATE) AS month, count(*) FILTER (WHERE score >= c1) AS n_long, count(*) FILTER (WHERE score <= c0) AS n_short, avg(r) FILTER (WHERE score >= c1) AS a, avg(r) FILTER (WHERE score <= c0) AS b FROM x GROUP BY month HAVING count(*) FILTER (WHERE score >= c1) >= 2 AND count(*) FILTER (WHERE score <= c0) >= 2)
+        SELECT month, n_long, n_short, round(a - b, 6) AS long_short, round(a - bench, 6) AS long_excess FROM lg LEFT JOIN bm ON bm.m2 = month + INTERVAL 1 MONTH"""),
     "e19_calendar_time_portfolio": (e19, f"""WITH {R}, e AS (SELECT issuer_id AS security_id, session_no, sum(CASE transaction_code WHEN 'P' THEN 1.0 ELSE -1.0 END) AS w FROM fx_transactions JOIN fx_calendar ON session_date = CAST(date_trunc('week', filing_date) AS DATE) WHERE transaction_code IN ('P', 'S') AND shares > 48 GROUP BY 1, 2),
         x AS (SELECT r.session_no, r, sum(coalesce(w, 0)) OVER k AS o, sum(coalesce(abs(w), 0)) OVER k AS g FROM r LEFT JOIN e ON e.security_id = r.security_id AND e.session_no = r.session_no WINDOW k AS (PARTITION BY r.security_id ORDER BY r.session_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
         SELECT session_no, round(sum(g), 6) AS gross, round(sum(o * r) / sum(g), 6) AS day_return FROM x WHERE r IS NOT NULL AND g > 0 GROUP BY 1"""),
-    "e20_issuer_excluded_benchmark": (e20, f"WITH {R}, g AS (SELECT session_no, sum(r) AS s, count(r) AS n FROM r GROUP BY 1) SELECT security_id, r.session_no, round(CASE WHEN n - (r IS NOT NULL)::INT > 0 THEN (s - coalesce(r, 0)) / (n - (r IS NOT NULL)::INT) END, 6) AS others_mean FROM r JOIN g USING (session_no)"),
+    "e20_issuer_excluded_benchmark": (e20, f"WITH {R}, g AS (SELECT session_no, sum(r) AS s, count(r) AS n, count(*) AS k FROM r GROUP BY 1) SELECT security_id, r.session_no, round(CASE WHEN n - (r IS NOT NULL)::INT > 0 AND n >= 0.99 * k THEN (s - coalesce(r, 0)) / (n - (r IS NOT NULL)::INT) END, 6) AS others_mean FROM r JOIN g USING (session_no)"),
     "s7_cluster_bootstrap": (s7, S7_SQL),
     "s10_newey_west": (s10, f"WITH {R}, m AS (SELECT security_id, date_trunc('month', session_date) AS month, avg(r) AS r FROM r GROUP BY 1, 2 HAVING avg(r) IS NOT NULL), a AS (SELECT security_id, count(*) AS n, avg(r) AS mu FROM m GROUP BY 1), d AS (SELECT m.security_id, month, r - mu AS d, n, mu FROM m JOIN a USING (security_id)), v AS (SELECT security_id, n, mu, (sum(d * d) + sum(2 * (" + " + ".join(f"{(7 - k) / 7!r} * coalesce(l{k}, 0)" for k in range(1, 7)) + "))) / n AS v FROM (SELECT *, " + ", ".join(f"d * lag(d, {k}) OVER (PARTITION BY security_id ORDER BY month) AS l{k}" for k in range(1, 7)) + " FROM d) GROUP BY 1, 2, 3) SELECT security_id, n, round(mu, 6) AS mean, round(CASE WHEN v > 0 AND n >= 3 THEN mu / sqrt(v / n) END, 6) AS t FROM v"),
-    "s11_perf_stats": (s11, f"WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark) SELECT security_id, count(*) AS n, round(exp(sum(ln(1 + r)) * 52 / count(*)) - 1, 6) AS cagr, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m), 6) AS alpha, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS hit FROM r JOIN b ON b.session_no = r.session_no WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1"),
+    "s11_perf_stats": (s11, f"""WITH {R}, b AS (SELECT session_no, level / lag(level) OVER (ORDER BY session_no) - 1 AS m FROM fx_benchmark),
+        x AS (SELECT security_id, session_date AS dt, ln(1 + r) AS l, ln(1 + coalesce(m, 0)) AS bl, sum(ln(1 + r)) OVER w AS cum FROM r LEFT JOIN b ON b.session_no = r.session_no WHERE r IS NOT NULL WINDOW w AS (PARTITION BY security_id ORDER BY session_date)),
+        y AS (SELECT *, exp(cum - max(cum) OVER (PARTITION BY security_id ORDER BY dt)) - 1 AS dd FROM x),
+        w AS (SELECT security_id, count(*) AS n, exp(sum(l) * 52 / count(*)) - 1 AS cagr, min(dd) AS dd, min(dt) AS first_day, max(dt) AS last_day FROM y GROUP BY 1 HAVING count(*) >= 20),
+        mo AS (SELECT security_id, CAST(unnest(generate_series(date_trunc('month', first_day)::TIMESTAMP, date_trunc('month', last_day)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM w),
+        ms AS (SELECT mo.security_id, mo.month, exp(coalesce(l, 0)) - 1 AS s, exp(coalesce(bl, 0)) - 1 AS m FROM mo LEFT JOIN (SELECT security_id, date_trunc('month', dt) AS month, sum(l) AS l, sum(bl) AS bl FROM x GROUP BY 1, 2) q ON q.security_id = mo.security_id AND q.month = mo.month),
+        g AS (SELECT security_id, count(*) AS months, stddev_samp(s) * sqrt(12) AS vol, avg(s) AS mu, avg((s > 0)::INT) AS hit, CASE WHEN count(*) > 12 THEN regr_slope(s, m) END AS beta, CASE WHEN count(*) > 12 THEN regr_intercept(s, m) END AS a, stddev_samp(s) * sqrt(1 - regr_r2(s, m)) / sqrt(count(*)) AS e FROM ms GROUP BY 1),
+        dv AS (SELECT ms.security_id, month, s - mu AS d FROM ms JOIN g USING (security_id)),
+        nw AS (SELECT security_id, (sum(d * d) + sum(2 * ({" + ".join(f"{(7 - k) / 7!r} * coalesce(l{k}, 0)" for k in range(1, 7))}))) / count(*) AS v FROM (SELECT *, {", ".join(f"d * lag(d, {k}) OVER (PARTITION BY security_id ORDER BY month) AS l{k}" for k in range(1, 7))} FROM dv) GROUP BY 1)
+        SELECT w.security_id, n, months, round(cagr, 6) AS cagr, round(vol, 6) AS ann_vol, round(CASE WHEN vol > 0 THEN mu * 12 / vol END, 6) AS sharpe, round(CASE WHEN v > 0 AND months >= 3 THEN mu / sqrt(v / months) END, 6) AS t_nw, round(dd, 6) AS max_drawdown, round(hit, 6) AS hit_month,
+          round(beta, 6) AS beta, round(pow(1 + a, 12) - 1, 6) AS alpha_ann, round(CASE WHEN e > 0 THEN a / e END, 6) AS alpha_t, first_day, last_day FROM w JOIN g USING (security_id) JOIN nw USING (security_id)"""),
     "s13_fragility": (s13, S7_SQL.replace(" SELECT round(quantile_cont(m, 0.025), 6) AS low", f""", t AS (SELECT sum(y) AS tx, count(*) AS tn, avg(y) FILTER (filing_date < DATE '{HALVES}') AS h1, avg(y) FILTER (filing_date >= DATE '{HALVES}') AS h2 FROM x1 WHERE horizon = 1),
         l AS (SELECT min((tx - x) / (tn - n)) AS lowest, max((tx - x) / (tn - n)) AS highest, max(n / tn) AS largest_share FROM c, t WHERE tn > n), b AS (SELECT round(quantile_cont(m, 0.025), 6) AS low""") + """)
         SELECT round(tx / tn, 6) AS mean, round(lowest, 6) AS lowest, round(highest, 6) AS highest, round(largest_share, 6) AS largest_share, round(h1, 6) AS mean_before, round(h2, 6) AS mean_from, low, high, NOT (low > 0 OR high < 0) AS interval_includes_zero,
