@@ -106,3 +106,26 @@ def test_codebook_digest(spark):
     books = plain(rows)[2]
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     assert {r.codebooks_sha256 for r in op11_vector_codes(spark, "/root/testdata/sf0.001").collect()} == {digest}
+
+
+def test_jobs_do_not_grow_with_shuffle_partitions(spark):
+    df = spark.createDataFrame([(i, [math.sin(i * j) for j in range(16)]) for i in range(60)], "vec_id long, embedding array<double>").repartition(3)
+    confs = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {c: spark.conf.get(c) for c in confs}
+
+    def fitted(partitions):
+        group = f"codes of {partitions}"
+        spark.conf.set(confs[0], partitions)
+        spark.sparkContext.setJobGroup(group, group)
+        books, _ = fit_codebooks(df)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), [b.tolist() for b in books]
+
+    try:
+        spark.conf.set(confs[1], "false")
+        few, many = fitted(2), fitted(60)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert few == many and 0 < few[0] < 60

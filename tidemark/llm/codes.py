@@ -168,7 +168,8 @@ def fit_codebooks(
         found = kept.select("v").mapInArrow(lambda rows: sums(rows, width, held), "part int, entry int, n long, sums array<decimal(38,0)>")
         found = found.select("part", "entry", "n", F.posexplode_outer("sums").alias("place", "s")).groupBy("part", "entry", "place")
         books = [b.copy() for b in held]
-        for r in found.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toLocalIterator():  # parts x entries x part length rows
+        # parts x entries x part length rows, by one job (an iterator takes one a shuffle partition)
+        for r in found.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
             if r.place is not None:
                 books[r.part][r.entry, r.place] = int(r.s) // r.n
     return books, width
