@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from tidemark.llm.chat import EXTRA, MarkedTurns, format_chats, locate, located_by_tails, op7_chat_format
+from tidemark.llm.chat import EXTRA, MarkedTurns, format_chats, locate, located_by_prefixes, located_by_tails, op7_chat_format
 
 
 def test_query_equals_brute_force(spark):
@@ -102,3 +102,39 @@ def test_long_conversations_are_linear():
     assert [whole[c:d] for *_, c, d in spans] == [x for _, x in turns]
     tail = Appending(99_999)
     assert located_by_tails(tail, turns) is None
+
+
+def test_rewriting_that_is_taken_back_is_found(spark):
+    class Wavering(MarkedTurns):  # rewrites what it has put out at one number of turns only, against its own promise
+        def __init__(self, turn):
+            self.turn = turn
+
+        def __call__(self, turns):
+            return ("!" if len(turns) == self.turn else "") + super().__call__(turns)
+
+    frame = spark.createDataFrame([(1, k, *t) for k, t in enumerate(TURNS)], "conv_id long, turn long, role string, text string")
+    for turn in (3, 5, 6):
+        (row,) = format_chats(frame, Wavering(turn)).collect()
+        whole, spans, rewritten = plain_locate(Wavering(turn), TURNS)
+        assert row.rewritten and rewritten and row.formatted == whole
+        assert [tuple(s)[1:5] for s in row.spans] == spans
+    for turn in range(2, len(TURNS) + 1):
+        assert located_by_prefixes(Wavering(turn), TURNS) == plain_locate(Wavering(turn), TURNS)
+
+
+def test_template_keeps_nothing_of_other_conversations():
+    t = MarkedTurns()
+    plain = lambda turns: "".join(t.added([], turn) for turn in turns)
+    for turns in (TURNS, TURNS[::-1], [], TURNS[:3] + TURNS[:1], TURNS * 3, TURNS[:2]):
+        assert located_by_prefixes(t, turns) == plain_locate(plain, turns)
+        for n in (len(turns), 1, 2, len(turns) - 1, 0):
+            assert t(turns[:n]) == plain(turns[:n]) and t([*turns[:n], ("a", "b")]) == plain([*turns[:n], ("a", "b")])
+
+
+def test_every_prefix_of_a_long_conversation():
+    turns = [("user", "Say it again."), ("assistant", "Again and again.")] * 5_000
+    render = Appending()
+    began = time.time()
+    whole, spans, rewritten = located_by_prefixes(render, turns)
+    assert time.time() - began < 20 and not rewritten and render.renders == 1 + 4 * len(turns)
+    assert [whole[c:d] for *_, c, d in spans] == [x for _, x in turns]

@@ -3,8 +3,7 @@
 A template is any function from a list of (role, text) turns to a string. Rendering successive
 prefixes and comparing consecutive outputs gives each turn's span; an output that doesn't begin with
 the one before shows a template that rewrites history. Two probe texts show where a turn's own text
-begins inside its span, an empty one how long it is. Templates that only append can say what each turn adds;
-then prefixes of 1, 2, 4, ... turns are rendered to check it, and the work is linear.
+begins inside its span, an empty one how long it is. ``format_chats`` renders every prefix, of any template.
 """
 
 from __future__ import annotations
@@ -26,8 +25,9 @@ EXTRA = r"\### Assistant: </turn> ok"
 
 class MarkedTurns:
     """``### Role: text </turn>`` and a line feed per turn. A backslash before \\, # and < (and : in roles) keeps control
-    strings out of roles and texts, reversibly."""
+    strings out of roles and texts, reversibly. What the leading turns of the last call gave is kept for the next one."""
 
+    known: tuple[Turns, str] = ([], "")
     TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.S)
 
     @staticmethod
@@ -42,7 +42,14 @@ class MarkedTurns:
         return f"### {self.escape(turn[0]).replace(':', chr(92) + ':')}: {self.escape(turn[1])} </turn>\n"
 
     def __call__(self, turns: Turns) -> str:
-        return "".join([self.added([], turn) for turn in turns])
+        head, said = self.known
+        if turns[: len(head)] != head:
+            head, said = [], ""
+        upto = max(len(head), len(turns) - 1)
+        if upto > len(head):
+            said += "".join([self.added([], turn) for turn in turns[len(head) : upto]])
+            self.known = turns[:upto], said
+        return said + "".join([self.added([], turn) for turn in turns[upto:]])
 
     def parse(self, formatted: str) -> Turns:
         out, at = [], 0
@@ -68,7 +75,7 @@ def common_prefix(a: str, b: str, known: int = 0) -> int:
 
 
 def located_by_tails(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int, int, int]]] | None:
-    """What ``locate`` finds, from the tails that ``render.added`` promises; None if a rendered prefix belies them.
+    """Output and spans, from the tails that ``render.added`` promises; None if a rendered prefix belies them.
 
     Prefixes of 1, 2, 4, 8, ... turns and the whole are rendered and compared, so all renders together are about twice
     the whole one and the work is linear in the conversation.
@@ -91,17 +98,12 @@ def located_by_tails(render: Callable[[Turns], str], turns: Turns) -> tuple[str,
     return "".join(parts), out
 
 
-def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def located_by_prefixes(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(whole output, span of each turn and of its text, rewritten?). Spans are (start, end, text start, text end).
 
-    A template that only appends can say so by a method ``added(turns before, turn)``, the text that a turn adds: it is
-    checked against rendered prefixes, and the work is linear. Of any other, and of one whose promise fails, every
-    prefix is rendered, so the work grows with the square of the number of turns.
+    The template is a black box: every prefix is rendered and compared with the one before, and the last turn of each
+    is rendered with probe texts, so the work grows with the square of the number of turns.
     """
-    if hasattr(render, "added"):
-        found = located_by_tails(render, turns)
-        if found is not None:
-            return *found, False
     out, rewritten = [], False
     before = render([])
     for i, (role, _) in enumerate(turns):
@@ -110,13 +112,24 @@ def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tupl
         start = len(before) if now.startswith(before) else common_prefix(before, now)
         rewritten |= start < len(before)
         a, b = render([*head, (role, "A")]), render([*head, (role, "B")])
-        inner = common_prefix(a, b, start if a[:start] == b[:start] else 0)
+        inner = common_prefix(a, b, start if a.startswith(before) and b.startswith(before) else 0)
         length = len(now) - len(render([*head, (role, "")]))
         out.append((start, len(now), inner, inner + length))
         before = now
     return before, out, rewritten
 
 
+def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+    """What ``located_by_prefixes`` finds, in linear time for templates that are trusted; for direct calls, ``format_chats`` doesn't use it.
+
+    A template that only appends can say so by a method ``added(turns before, turn)``, the text that a turn adds. That is
+    checked at few prefixes only: a template that rewrites and takes it back between them is not found out. Of a template
+    without it, and of one whose promise fails, every prefix is rendered.
+    """
+    found = located_by_tails(render, turns) if hasattr(render, "added") else None
+    return located_by_prefixes(render, turns) if found is None else (*found, False)
+
+
 def format_chats(
     turns: DataFrame, render: Callable[[Turns], str] | None = None, loss_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
@@ -124,7 +137,8 @@ def format_chats(
 
     Turns come in the order of turn, role and text, nulls first; null texts and roles count as empty;
     repeated rows are turns of their own; null conv_ids are one conversation. Rows reach a task sorted
-    and are formatted one conversation at a time: a task holds one conversation, never a partition.
+    and are formatted one conversation at a time: a task holds one conversation, never a partition. Spans come from
+    rendering every prefix, whatever the template.
     """
     render = render or MarkedTurns()
 
@@ -134,7 +148,7 @@ def format_chats(
 
         def finish(conv, held: Turns) -> None:
             nonlocal size
-            whole, spans, rewritten = locate(render, held)
+            whole, spans, rewritten = located_by_prefixes(render, held)
             listed = [
                 {"role": r, "start": a, "end": b, "text_start": c, "text_end": d, "loss": r in loss_roles} for (r, _), (a, b, c, d) in zip(held, spans)
             ]
