@@ -12,8 +12,8 @@ from tidemark.functions import scalars, student
 from tidemark.operators import continuity as C
 from tidemark.operators import intervals, joins, paths, quality, quantiles, returns, selection, signals, stats, windows
 from tidemark.operators.calendar import business_days, next_session
-from tidemark.plans import inference, study
-from tidemark.sources import files, lake
+from tidemark.plans import continuity, inference, study
+from tidemark.sources import files, lake, tables
 from tidemark.streaming import jobs
 
 D = lambda s: dt.date.fromisoformat(s)
@@ -385,3 +385,40 @@ def test_lake_reads_changed_quarters_only(spark, tmp_path):
     counts = {(r.quarter, r.kind): r.n for r in lake.quarter_counts(after).collect()}
     assert counts["total", "4"] + counts["total", "4/A"] == 42 and counts["2020Q1", "4"] == sum(n for (y, q, k), (n, _) in before.items() if (y, q, k) == (2020, 1, "4")) + 1
     assert lake.update_manifest(spark, root, at, "form")[1] == []
+
+
+def shuffle_files(spark):
+    """Shuffle files that Spark holds, waited for while they are being deleted."""
+    import time
+
+    held = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    for _ in range(20):
+        now = held()
+        time.sleep(0.25)
+        if now == held():
+            break
+    return now
+
+
+@pytest.fixture(scope="module")
+def own_folder(tmp_path_factory):
+    """A shared folder of these tests, so that stored tables are made anew, once."""
+    path = tmp_path_factory.mktemp("shared")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tables, "shared_dir", lambda s: f"file://{path}")
+        yield path
+
+
+def left_behind(spark, folder, query):
+    """Shuffle files and passing tables that remain when the tables of ``query`` have been made."""
+    before = shuffle_files(spark)
+    query(spark, SMALL)
+    passing = [p.name for p in (folder / "tables").iterdir() if len(p.name) == 32]  # named tables are stored for the session
+    return shuffle_files(spark) - before, passing
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_continuity_rows_leave_only_their_table(spark, own_folder):
+    assert left_behind(spark, own_folder, continuity.rows) == (0, [])

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..sources.tables import written
+from ..sources.tables import discard, few, written
 from .joins import pit_map
 
 POSITION = ["issuer_id", "owner_id", "table", "security_title", "direct_or_indirect"]
@@ -25,6 +26,12 @@ def continuity_rows(submissions: DataFrame, owners: DataFrame, sources: list[tup
     other is joint. The event date is the transaction's, else the period's, else the filing's. The security is the issuer's on
     that date if exactly one is known, point-in-time intervals first. ``owner_row_id`` names line and owner.
     """
+    rows = owner_rows(submissions, owners, sources)
+    return with_security(rows, security_days(rows, intervals))
+
+
+def owner_rows(submissions: DataFrame, owners: DataFrame, sources: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """The rows of ``continuity_rows`` without their security. Filings are independent of each other."""
     lines = None
     for frame, kind, table in sources:
         own = frame.withColumns({"row_kind": F.lit(kind), "table": F.lit(table)})
@@ -34,15 +41,23 @@ def continuity_rows(submissions: DataFrame, owners: DataFrame, sources: list[tup
     named = owners.join(counted, "accession").select("accession", F.col("owner_cik").alias("owner_id"), status.alias("owner_attribution_status"))
     rows = lines.join(submissions.select("accession", "filing_date", "period_of_report", "form", "issuer_id"), "accession").join(named, "accession", "left")
     identity = lambda c: F.concat_ws(":", c, F.coalesce(F.col("owner_id").cast("string"), F.lit("")))
-    rows = rows.select(
+    return rows.select(
         "accession", "line_no", "row_kind", "table", "security_title", F.col("direct_indirect_ownership").alias("direct_or_indirect"), "issuer_id", "owner_id", "owner_attribution_status",
         F.coalesce("trans_date", "period_of_report", "filing_date").alias("event_date"), "filing_date", F.col("filing_date").alias("available_at"),
         F.col("trans_code").alias("transaction_code"), F.col("trans_shares").alias("shares"), F.col("trans_acquired_disp_cd").alias("acquired_disposed"), F.col("shrs_ownd_folwng_trans").alias("reported"),
         F.endswith(F.coalesce("form", F.lit("")), F.lit("/A")).alias("is_amendment"), identity("row_id").alias("owner_row_id"), F.when(F.col("amends_row_id").isNotNull(), identity("amends_row_id")).alias("amends_owner_row_id"),
     )
+
+
+def security_days(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(issuer_id, event_date, security_id): one row a day on which an issuer has rows."""
     days = rows.select("issuer_id", "event_date").distinct()
     mapped = pit_map(days, intervals, "issuer_id", "event_date", ["issuer_id", "event_date"], "security_id", "effective_start", "effective_end", "is_point_in_time", months=12)
-    return rows.join(mapped.select("issuer_id", "event_date", "security_id"), ["issuer_id", "event_date"], "left")
+    return mapped.select("issuer_id", "event_date", "security_id")
+
+
+def with_security(rows: DataFrame, days: DataFrame) -> DataFrame:
+    return rows.join(days, ["issuer_id", "event_date"], "left")
 
 
 def resolve_amendments(rows: DataFrame, as_of=None, keys: list[str] = POSITION) -> DataFrame:
@@ -54,14 +69,27 @@ def resolve_amendments(rows: DataFrame, as_of=None, keys: list[str] = POSITION)
     a row can win, so links are paths; a path holds if it begins at an original, which pointers find in as many rounds as
     the logarithm of the longest one.
     """
+    return with_amendments(rows, amendment_links(rows, as_of, keys), as_of)
+
+
+def _live(as_of) -> Column:
     live = F.col("available_at").isNotNull()
-    if as_of is not None:
-        live = live & (F.col("available_at") <= F.lit(as_of))
-    unique = rows.where("owner_row_id IS NOT NULL").groupBy("owner_row_id").agg(
+    return live if as_of is None else live & (F.col("available_at") <= F.lit(as_of))
+
+
+def _status(as_of) -> Column:
+    return F.when(~_live(as_of), "not_available").when(~F.col("is_amendment"), "original").when(F.col("_held"), "explicit_row_link").otherwise("unresolved_quarantined")
+
+
+def amendment_links(rows: DataFrame, as_of=None, keys: list[str] = POSITION) -> DataFrame:
+    """(parent, child) of all replacements that hold at ``as_of``. Of ``rows`` only those that amend or are amended are grouped by id."""
+    amending = rows.where(_live(as_of) & F.col("is_amendment") & F.col("amends_owner_row_id").isNotNull() & F.coalesce(F.col("owner_attribution_status") == "single_owner", F.lit(False)))
+    amending = amending.select(F.col("owner_row_id").alias("child"), F.col("amends_owner_row_id").alias("parent"), "available_at", *keys)
+    named = amending.select(F.explode(F.array("child", "parent")).alias("owner_row_id")).distinct()
+    unique = rows.join(named, "owner_row_id", "left_semi").groupBy("owner_row_id").agg(
         F.count("*").alias("_k"), F.min("available_at").alias("_at"), F.bool_or("is_amendment").alias("_am"), *[F.min(c).alias(f"_{c}") for c in keys]
     ).where("_k = 1")
-    amending = rows.where(live & F.col("is_amendment") & F.col("amends_owner_row_id").isNotNull() & F.coalesce(F.col("owner_attribution_status") == "single_owner", F.lit(False)))
-    amending = amending.select(F.col("owner_row_id").alias("child"), F.col("amends_owner_row_id").alias("parent"), "available_at", *keys)
+    unique = written(unique)
     amending = amending.join(unique.select(F.col("owner_row_id").alias("child")), "child", "left_semi")
     fits = F.col("_at") < F.col("available_at")
     for c in keys:
@@ -69,23 +97,38 @@ def resolve_amendments(rows: DataFrame, as_of=None, keys: list[str] = POSITION)
     links = amending.join(unique.withColumnRenamed("owner_row_id", "parent"), "parent").where(fits)
     won = written(links.groupBy("parent").agg(F.min(F.struct("available_at", "child")).alias("w")).select("parent", F.col("w.child").alias("child")))
     heads = won.select("child", F.col("parent").alias("head"))
+    made = []
     for _ in range(ROUNDS):  # each head becomes its head's head
         up = heads.select(F.col("child").alias("head"), F.col("head").alias("_up"))
         heads = written(heads.join(up, "head", "left").select("child", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("moved")))
+        discard(*made)
+        made = [heads]
         if heads.where("moved").isEmpty():
             break
         heads = heads.drop("moved")
     original = unique.where("NOT _am").select(F.col("owner_row_id").alias("head"))
-    held = won.join(heads.join(original, "head", "left_semi").select("child"), "child", "left_semi")
-    held = written(held)
+    held = written(won.join(heads.join(original, "head", "left_semi").select("child"), "child", "left_semi"))
+    discard(unique, won, *made)
+    return held.select("parent", "child")
+
+
+def with_amendments(rows: DataFrame, held: DataFrame, as_of=None) -> DataFrame:
+    """``rows`` plus amendment_status, record_active and superseded_by, from the replacements that hold."""
     out = rows.join(held.select(F.col("child").alias("owner_row_id"), F.lit(True).alias("_held")), "owner_row_id", "left")
     out = out.join(held.select(F.col("parent").alias("owner_row_id"), F.col("child").alias("superseded_by")), "owner_row_id", "left")
-    status = F.when(~live, "not_available").when(~F.col("is_amendment"), "original").when(F.col("_held"), "explicit_row_link").otherwise("unresolved_quarantined")
-    out = out.withColumn("amendment_status", status)
+    out = out.withColumn("amendment_status", _status(as_of))
     active = F.col("amendment_status").isin("original", "explicit_row_link") & F.col("superseded_by").isNull()
     return out.withColumn("record_active", active).select(*rows.columns, "amendment_status", "record_active", "superseded_by")
 
 
+def with_status(rows: DataFrame, held: DataFrame, as_of=None) -> DataFrame:
+    """``rows`` plus amendment_status alone: only amendments meet ``held``, the other rows aren't shuffled."""
+    amends = F.coalesce(F.col("is_amendment"), F.lit(True))
+    linked = rows.where(amends).join(held.select(F.col("child").alias("owner_row_id"), F.lit(True).alias("_held")), "owner_row_id", "left")
+    others = rows.where(~amends).withColumn("_held", F.lit(None).cast("boolean"))
+    return others.unionByName(linked).withColumn("amendment_status", _status(as_of)).drop("_held")
+
+
 class Position(NamedTuple):
     position: float
     event_day: int
@@ -135,48 +178,108 @@ def continuity_step(state: Position | None, row: dict, tolerance: float) -> tupl
 
 
 STEP_COLUMNS = ["row_kind", "shares", "acquired_disposed", "reported", "is_amendment", "amendment_status", "owner_attribution_status", "owner_row_id", "amends_owner_row_id"]
+ORDER = ["available_at", "accession", "event_day", "line_no"]
+CHECKED = "owner_row_id string, factor double, expected double, difference double, status string"
+STATE = ["event_day", "splits", "reported", "owner_row_id"]
+"""Where a row holds a position instead: its fields lie in these columns."""
 
 
 def with_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """``rows`` plus ``event_day`` and ``splits``, the product of the issuer's factors up to the event date.
 
-    The splits of an issuer are few; their running products are looked up by date in one sorted array, so no row meets them all.
+    The splits of an issuer are few; their running products are looked up by date in one sorted array, so no row meets them
+    all. Few arrays are broadcast.
     """
     order = Window.partitionBy("issuer_id").orderBy("effective_date").rowsBetween(Window.unboundedPreceding, 0)
     daily = splits.groupBy("issuer_id", "effective_date").agg(F.product("split_factor").alias("_f"))
     running = daily.withColumn("_p", F.product("_f").over(order))
     listed = running.groupBy("issuer_id").agg(F.sort_array(F.collect_list(F.struct("effective_date", "_p"))).alias("_splits"))
+    if few(daily) is not daily:  # as many splits as all arrays hold
+        listed = F.broadcast(listed)
     known = F.filter("_splits", lambda s: s["effective_date"] <= F.col("event_date"))
     out = rows.join(listed, "issuer_id", "left").withColumn("_known", known)
     product = F.when(F.size("_known") > 0, F.element_at("_known", -1)["_p"]).otherwise(1.0)
     return out.withColumn("splits", F.coalesce(product, F.lit(1.0))).withColumn("event_day", F.unix_date("event_date")).drop("_splits", "_known")
 
 
+def step_rows(rows: DataFrame, splits: DataFrame, keys: list[str] = POSITION) -> DataFrame:
+    """What the step needs of resolved rows, with their key and order."""
+    return with_splits(rows, splits).select(*keys, *ORDER, "splits", *STEP_COLUMNS, F.lit(False).alias("is_state"))
+
+
+def _values(column: pa.Array) -> list:
+    """A column's values, None where null, several times faster than ``to_pylist`` for plain types."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_boolean(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    out = column.fill_null(0).to_numpy().tolist()
+    for i in column.is_null().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+        out[i] = None
+    return out
+
+
+def pass_rows(ready: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Rows of ``step_rows`` through the step, key by key; a row that ``is_state`` holds its key's position before them.
+
+    Returns the columns of the result of every row and, with ``is_state`` set, every key's last position in the form in
+    which it is read. Rows reach a task sorted and pass one by one, so a key of any length takes no more memory than another.
+    """
+    order = [*[F.col(c).asc_nulls_first() for c in keys], F.desc("is_state"), *[F.col(c).asc_nulls_last() for c in ORDER], F.col("owner_row_id").asc_nulls_last()]
+    ready = ready.repartition(*keys).sortWithinPartitions(*order).select(*keys, "event_day", "splits", *STEP_COLUMNS, "is_state")
+    results = [f.name for f in StructType.fromDDL(CHECKED)]
+    held = [*keys, *[c for c in STATE if c != "owner_row_id"]]
+    row_names = ["event_day", "splits", *STEP_COLUMNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kinds = None, None, None
+
+        def table(out: list[tuple], ended: list[tuple]) -> pa.RecordBatch:
+            """Results, then positions (key, event_day, splits, reported, owner_row_id) of keys that have ended."""
+            n, m = len(out), len(ended)
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if n else [[]] * 5, [pa.string(), *[pa.float64()] * 3, pa.string()])]
+            ids, *numbers = columns
+            blank = lambda k: pa.nulls(m, k)
+            join = lambda x, y: pa.concat_arrays([x, y])
+            whole = [join(ids, pa.array([e[1].row_id for e in ended], pa.string())), *[join(c, blank(c.type)) for c in numbers]]
+            whole += [join(pa.nulls(n, k), pa.array([e[0][i] for e in ended], k)) for i, k in enumerate(kinds[: len(keys)])]
+            whole += [join(pa.nulls(n, k), pa.array([getattr(e[1], f) for e in ended], k)) for f, k in zip(("event_day", "splits", "position"), kinds[len(keys) :])]
+            return pa.RecordBatch.from_arrays([*whole, pa.array([False] * n + [True] * m, pa.bool_())], names=[*results, *held, "is_state"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in held]
+            columns = {c: _values(batch.column(c)) for c in batch.schema.names}
+            out, ended = [], []
+            for key, was, values in zip(zip(*[columns[c] for c in keys]), columns["is_state"], zip(*[columns[c] for c in row_names])):
+                if key != now:
+                    if state is not None:
+                        ended.append((now, state))
+                    now, state = key, None
+                row = dict(zip(row_names, values))
+                if was:
+                    state = Position(row["reported"], row["event_day"], row["splits"], row["owner_row_id"])
+                else:
+                    state, found = continuity_step(state, row, tolerance)
+                    out.append((row["owner_row_id"], *found))
+            yield table(out, ended)
+        if state is not None:
+            yield table([], [(now, state)])
+
+    schema = StructType([*StructType.fromDDL(CHECKED), *[StructField(c, ready.schema[c].dataType) for c in held], ready.schema["is_state"]])
+    return ready.mapInArrow(run, schema)
+
+
 def ownership_continuity(rows: DataFrame, splits: DataFrame, keys: list[str] = POSITION, tolerance: float = 1e-6) -> DataFrame:
     """(owner_row_id, factor, expected, difference, status) of resolved rows, each against its position before it.
 
     Rows come by availability, accession, event date and line. A late disclosure, a joint owner, an unlinked amendment or a
     missing position leaves the position as it is; a linked amendment replaces it only if nothing came between. The state is
-    one position a key: rows reach a task sorted and pass one by one, so a key of any length takes no more memory than
-    another.
+    one position a key.
     """
-    order = [*[F.col(c).asc_nulls_first() for c in keys], F.col("available_at").asc_nulls_last(), "accession", F.col("event_date").asc_nulls_last(), "line_no", "owner_row_id"]
-    ready = with_splits(rows, splits).repartition(*keys).sortWithinPartitions(*order)
-    ready = ready.select(F.struct(*keys).alias("_key"), "event_day", "splits", *STEP_COLUMNS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["_key"] != now:
-                    now, state = row["_key"], None
-                state, found = continuity_step(state, row, tolerance)
-                out.append((row["owner_row_id"], *found))
-            kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["owner_row_id", "factor", "expected", "difference", "status"])
-
-    return ready.mapInArrow(run, "owner_row_id string, factor double, expected double, difference double, status string")
+    return pass_rows(step_rows(rows, splits, keys), keys, tolerance).where("NOT is_state").select(*[f.name for f in StructType.fromDDL(CHECKED)])
 
 
 def continuity_audit(rows: DataFrame, checked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import stored
+from ..sources.tables import PARTS, discard, part_of, stored, written
 
 VIEWS: dict[str, str] = {
     "fx_transactions": """
@@ -141,20 +141,34 @@ def with_views(sql: str) -> str:
     return f"WITH {views}\n{sql}"
 
 
-STORED = ("fx_calendar", "fx_daily", "fx_benchmark")
+STORED = ("fx_calendar", "fx_daily", "fx_benchmark", "fx_splits")
 """Aggregates that most queries read, much smaller than their input: written once a session."""
 
 
-def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables of ``sf_dir``."""
-    frames: dict[str, DataFrame] = {}
+def lines_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of fx_lines as a table for the caller to discard. Its inner select is written first, then the windows over
+    it part by part, as owner and issuer partition both: shuffle files of one step are gone before the next."""
+    outer, _, inner = VIEWS["fx_lines"].partition("FROM (")
+    numbered = written(_view(spark, sf_dir, inner.rpartition(")")[0], {}))
+    lines = written(spark.sql(f"{outer} FROM {{x}}", x=numbered.where(part_of(k, "owner_id", "issuer_id"))) for k in range(PARTS))
+    discard(numbered)
+    return lines
+
+
+def fx(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view over the Parquet tables of ``sf_dir``; views that are ``given`` are taken as they are."""
+    if name in STORED and not given:
+        return stored(spark, sf_dir, name, lambda: _view(spark, sf_dir, VIEWS[name], {}))
+    return _view(spark, sf_dir, VIEWS[name], given)
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, given: dict[str, DataFrame]) -> DataFrame:
+    frames = dict(given)
 
     def use(m: re.Match) -> str:
         if m[2] not in frames:
             frames[m[2]] = fx(spark, sf_dir, m[2]) if m[2] in VIEWS else spark.read.parquet(f"{sf_dir}/{m[2]}.parquet")
         return f"{m[1]} {{{m[2]}}}"
 
-    def make() -> DataFrame:
-        return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join([*VIEWS, *BASE])})\b", use, VIEWS[name]), **frames)
-
-    return stored(spark, sf_dir, name, make) if name in STORED else make()
+    text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join([*VIEWS, *BASE])})\b", use, sql)
+    return spark.sql(text, **{n: f for n, f in frames.items() if f"{{{n}}}" in text})
