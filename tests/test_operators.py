@@ -427,3 +427,8 @@ def test_continuity_rows_leave_only_their_table(spark, own_folder):
 def test_balance_check_leaves_only_its_table(spark, own_folder):
     assert left_behind(spark, own_folder, continuity.checked) == (0, [])
     assert (own_folder / "tables" / "continuity_checked").exists()
+
+
+def test_amendments_leave_only_their_table(spark, own_folder):
+    assert left_behind(spark, own_folder, continuity.q11) == (0, [])
+    assert not list((own_folder / "tables").glob("resolved_*"))  # no second copy of the rows
