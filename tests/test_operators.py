@@ -432,3 +432,8 @@ def test_balance_check_leaves_only_its_table(spark, own_folder):
 def test_amendments_leave_only_their_table(spark, own_folder):
     assert left_behind(spark, own_folder, continuity.q11) == (0, [])
     assert not list((own_folder / "tables").glob("resolved_*"))  # no second copy of the rows
+
+
+def test_audit_leaves_only_its_table(spark, own_folder):
+    assert left_behind(spark, own_folder, continuity.q14) == (0, [])
+    assert (own_folder / "tables" / "continuity_audited").exists()
