@@ -437,3 +437,10 @@ def test_amendments_leave_only_their_table(spark, own_folder):
 def test_audit_leaves_only_its_table(spark, own_folder):
     assert left_behind(spark, own_folder, continuity.q14) == (0, [])
     assert (own_folder / "tables" / "continuity_audited").exists()
+
+
+def test_summary_reads_the_audit(spark, own_folder):
+    continuity.q14(spark, SMALL)
+    made = sorted(p.name for p in (own_folder / "tables").glob("*/*"))
+    assert left_behind(spark, own_folder, continuity.a11) == (0, [])
+    assert sorted(p.name for p in (own_folder / "tables").glob("*/*")) == made and list((own_folder / "tables" / "continuity_audited").iterdir())
