@@ -444,3 +444,34 @@ def test_summary_reads_the_audit(spark, own_folder):
     made = sorted(p.name for p in (own_folder / "tables").glob("*/*"))
     assert left_behind(spark, own_folder, continuity.a11) == (0, [])
     assert sorted(p.name for p in (own_folder / "tables").glob("*/*")) == made and list((own_folder / "tables" / "continuity_audited").iterdir())
+
+
+def test_streaming_continuity_from_batches_without_positions(spark, tmp_path):
+    """The first batch leaves no position; a later one has a key that an earlier one knows, and one that it doesn't."""
+    day = lambda i, *r: (str(i), None, i, i, *r, False)
+    sent = [
+        [(*day(1, "transaction", "A", 1.0, 1.0), C.JOINT)],
+        [(*day(2, "holding", None, None, 5.0), ONE)],
+        [(*day(3, "transaction", "A", 2.0, 7.0), C.JOINT)],
+        [(*day(4, "transaction", "D", 1.0, 4.0), ONE), (*day(5, "transaction", "A", 3.0, 8.0), ONE)],
+    ]
+    splits = frame(spark, [], "issuer_id string, effective_date date, split_factor double")
+    for rows in sent:
+        rows = C.resolve_amendments(position_rows(spark, rows))
+        rows.write.mode("append").parquet(f"file://{tmp_path}/in")
+        out = jobs.streaming_continuity(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), splits, f"file://{tmp_path}/s")
+    got = {r.owner_row_id: (r.status, r.difference) for r in out.collect()}
+    joint = ("NOT_TESTABLE_OWNER_ATTRIBUTION", None)
+    assert got == {"1": joint, "2": ("BASELINE_HOLDING", None), "3": joint, "4": ("PASS", 0.0), "5": ("FLAG_REVIEW_UNADJUSTED", 1.0)}
+    kept = [p.parent.name for p in (tmp_path / "s" / "out").glob("batch=*/is_state=true")]
+    assert sorted(kept) == ["batch=2", "batch=3"]
+
+
+def test_streaming_continuity_by_the_pass_over_sorted_rows(spark, tmp_path):
+    """No pandas frame a key: all keys of a task go through one pass."""
+    rows = C.resolve_amendments(position_rows(spark, [r for r, *_ in CONTINUITY]))
+    plan = C.pass_rows(C.step_rows(rows, frame(spark, [], "issuer_id string, effective_date date, split_factor double")), C.POSITION, 1e-6)
+    rows.write.parquet(f"file://{tmp_path}/in")
+    jobs.streaming_continuity(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), frame(spark, [], "issuer_id string, effective_date date, split_factor double"), f"file://{tmp_path}/s")
+    state = spark.read.parquet(f"file://{tmp_path}/s/out/batch=0/is_state=true")
+    assert {*state.columns, "is_state"} == set(plan.columns) and state.count() == 1

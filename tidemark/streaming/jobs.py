@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.continuity import POSITION, STEP_COLUMNS, Position, continuity_step, with_splits
+from ..operators.continuity import CHECKED, POSITION, pass_rows, step_rows
 from ..plans.fixtures import fx
-from ..sources.tables import scratch
+from ..sources.tables import PARTS, part_of, save, scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,34 +60,42 @@ def incremental_upsert(stream: DataFrame, key: str, version: str, failed: str, f
     return out.select(key, "attempts", "done_version", F.when(F.col("done_version").isNull(), "failed").otherwise("done").alias("status"))
 
 
-STATE = "position double, event_day int, splits double, row_id string"
-CHECKED = "owner_row_id string, factor double, expected double, difference double, status string"
-
-
 def streaming_continuity(rows: DataFrame, splits: DataFrame, folder: str, keys: list[str] = POSITION, tolerance: float = 1e-6) -> DataFrame:
-    """The balance check of ``operators.continuity`` over a stream of resolved rows: the same step, its position kept as state.
+    """The balance check of ``operators.continuity`` over a stream of resolved rows: the same pass, a position a key kept as state.
 
-    Rows of one batch are taken in the order of the batch check; batches must come in the order of availability. State
-    and output survive a restart on the same ``folder``. Returns all results published so far.
+    Rows of one batch are taken in the order of the batch check; batches must come in the order of availability. A batch meets
+    the positions that the newest earlier batch published and publishes its own results and positions as one partition of the
+    table, so a batch that runs again, in this run or after a restart on the same ``folder``, replaces its own output
+    only. Positions older than the two newest are deleted. Returns all results published so far.
     """
-    order = ["available_at", "accession", "event_day", "line_no", "owner_row_id"]
-
-    def step(key, pdfs, state):
-        now = Position(*[None if pd.isna(v) else v for v in state.get]) if state.exists else None
-        batch = pd.concat(list(pdfs)).sort_values(order, na_position="last", kind="stable")
-        out = []
-        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            now, found = continuity_step(now, row, tolerance)
-            out.append((row["owner_row_id"], *found))
-        if now is not None:
-            state.update(tuple(now))
-        yield pd.DataFrame(out, columns=["owner_row_id", "factor", "expected", "difference", "status"])
-
-    ready = with_splits(rows, splits).select(*keys, "available_at", "accession", "line_no", "event_day", "splits", *STEP_COLUMNS)
-    out = ready.groupBy(*keys).applyInPandasWithState(step, CHECKED, STATE, "append", GroupStateTimeout.NoTimeout)
-    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True)
-    finish(query.start())
-    return rows.sparkSession.read.schema(CHECKED).parquet(f"{folder}/out")
+    spark, table = rows.sparkSession, f"{folder}/out"
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        path = lambda k: f"{table}/batch={k}"
+        before = [k for k in batches(spark, table) if k < batch_id]
+        ready = step_rows(batch, splits, keys)
+        if before:
+            held = spark.read.schema(pass_rows(ready, keys, tolerance).schema).parquet(path(before[-1])).where("is_state")
+            ready = ready.unionByName(held.drop("factor", "expected", "difference", "status"), allowMissingColumns=True)
+        for k in range(PARTS):
+            save(pass_rows(ready.where(part_of(k, *keys)), keys, tolerance), path(batch_id), "append" if k else "overwrite", ["is_state"])
+        save(spark.range(1), f"{path(batch_id)}/_published")
+        for old in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path(old)}/is_state=true")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    finish(rows.writeStream.foreachBatch(check).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
+    if not batches(spark, table):
+        return spark.createDataFrame([], CHECKED)
+    return spark.read.schema(f"{CHECKED}, batch int, is_state boolean").parquet(table).where("NOT is_state").drop("batch", "is_state")
+
+
+def batches(spark: SparkSession, table: str) -> list[int]:
+    """Batches of a table that were published whole, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.rpartition("=")[2]) for n in found if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_published")))
 
 
 def trailing_actor_alerts(stream: DataFrame, group: str, at: str, actor: str, days: int, least: int, folder: str) -> DataFrame:
@@ -114,7 +120,7 @@ def st2(spark, d):
     rows, splits, folder = resolved(spark, d), fx(spark, d, "fx_splits"), scratch(spark, "st2")
     day = F.lit("1998-06-30").cast("date")
     for part in (F.col("available_at") <= day, ~F.coalesce(F.col("available_at") <= day, F.lit(False))):
-        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        save(rows.where(part), f"{folder}/in", "append")
         out = streaming_continuity(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), splits, folder)
     return out.select("owner_row_id", *[F.round(c, 6).alias(c) for c in ("factor", "expected", "difference")], "status")
 
