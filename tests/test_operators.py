@@ -391,7 +391,7 @@ def shuffle_files(spark):
     """Shuffle files that Spark holds, waited for while they are being deleted."""
     import time
 
-    held = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    held = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
     for _ in range(20):
         now = held()
         time.sleep(0.25)
@@ -414,7 +414,7 @@ def left_behind(spark, folder, query):
     before = shuffle_files(spark)
     query(spark, SMALL)
     passing = [p.name for p in (folder / "tables").iterdir() if len(p.name) == 32]  # named tables are stored for the session
-    return shuffle_files(spark) - before, passing
+    return len(shuffle_files(spark) - before), passing
 
 
 SMALL = "/root/testdata/sf0.001"
